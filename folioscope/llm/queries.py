@@ -5,9 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioscope.llm.common import read_table
+from folioscope.llm.common import is_held_out, read_table
 from folioscope.llm.decontaminate import contamination_report
+from folioscope.llm.language import fit_language_model, predict_language
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language_model(docs.where(~is_held_out(F.col("doc_id"))))
+    predicted = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), predict_language(docs, model).alias("p"))
+    return predicted.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +24,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
 }
 
