@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import is_held_out, read_table
 from folioscope.llm.decontaminate import contamination_report
 from folioscope.llm.language import fit_language_model, predict_language
+from folioscope.llm.suffix_dedup import repeat_report
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +24,14 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
