@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import is_held_out, read_table
 from folioscope.llm.decontaminate import contamination_report
+from folioscope.llm.jaccard_join import jaccard_groups
 from folioscope.llm.language import fit_language_model, predict_language
 from folioscope.llm.suffix_dedup import repeat_report
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit_language_model(docs.where(~is_held_out(F.col("doc_id"))))
@@ -29,6 +34,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_suffix_dedup": op10_suffix_dedup,
