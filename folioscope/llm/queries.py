@@ -11,9 +11,14 @@ from folioscope.llm.common import is_held_out, read_table
 from folioscope.llm.decontaminate import contamination_report
 from folioscope.llm.jaccard_join import jaccard_groups
 from folioscope.llm.language import fit_language_model, predict_language
+from folioscope.llm.mixing import mix_report
 from folioscope.llm.suffix_dedup import repeat_report
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(read_table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(read_table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mixing": op4_mixing,
     "op6_jaccard_join": op6_jaccard_join,
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
@@ -41,6 +47,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": r"""
+        WITH docs AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        sums AS (SELECT source, sum(size) AS source_size FROM docs GROUP BY source),
+        ranked AS (
+            SELECT source, CAST(source_size AS BIGINT) AS source_size, 3 * source_size AS cap,
+                   CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+            FROM sums),
+        filled AS (
+            SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+                      / CAST(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
+            FROM ranked),
+        final AS (SELECT min_by(level, cap / weight) AS level FROM filled WHERE level <= cap / weight),
+        targets AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), weight * level) AS target FROM ranked, final),
+        rates AS (
+            SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+                   CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS draw
+            FROM docs JOIN targets ON docs.source IS NOT DISTINCT FROM targets.source)
+        SELECT doc_id, size, source_size, target, size * CAST(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken
+        FROM rates""",
     "op9_decontaminate": r"""
         WITH words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
