@@ -1,12 +1,61 @@
-"""Corpus pipeline (stages are added as their operators land)."""
+"""Corpus pipeline: language, near duplicates, repeated passages, benchmark passages, mix.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next stage's documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.llm.common import is_held_out, materialize, read_table
+from folioscope.llm.decontaminate import drop_contaminated
+from folioscope.llm.jaccard_join import one_of_each
+from folioscope.llm.language import UNDETERMINED, fit_language_model, predict_language
+from folioscope.llm.mixing import mix
+from folioscope.llm.suffix_dedup import without_repeats
+
+#: A text of so many characters of whose n-grams the best language holds less than this share is in none.
+LEAST_CHARS, LEAST_SHARE = 40, 0.2
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that are in one of the languages that their labels teach."""
+    model = fit_language_model(docs.where(~is_held_out(F.col("doc_id"))))
+    told = docs.select(F.struct(*docs.columns).alias("row"), predict_language(docs, model).alias("told"))
+    odd = (F.col("told.lang_pred") == UNDETERMINED) | (F.col("told.score") < LEAST_SHARE) & (F.char_length("row.text") >= LEAST_CHARS)
+    return told.where(~odd).select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near duplicates."""
+    return one_of_each(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages that occur earlier in the corpus from the texts."""
+    return without_repeats(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents without passages of the benchmark."""
+    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Emits each document as often as its source's target asks for."""
+    return mix(docs)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeats", repeats), ("benchmark", benchmark), ("sources", sources)]
 
-STAGES: list = []
+#: Neither language models nor similarity joins are SQL; the tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
