@@ -11,8 +11,19 @@ from folioscope.llm.common import is_held_out, read_table
 from folioscope.llm.decontaminate import contamination_report
 from folioscope.llm.jaccard_join import jaccard_groups
 from folioscope.llm.language import fit_language_model, predict_language
+from folioscope.llm.merkle import fingerprints
 from folioscope.llm.mixing import mix_report
 from folioscope.llm.suffix_dedup import repeat_report
+from folioscope.llm.toolcalls import REPLY, conversation_calls, link_calls
+
+
+def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read_table(spark, sf_dir, "documents")).drop("edited_at")
+
+
+def op3_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = conversation_calls(read_table(spark, sf_dir, "conversations"))
+    return link_calls(calls, results, REPLY)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +50,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_merkle": op2_merkle,
+    "op3_toolcalls": op3_toolcalls,
     "op4_mixing": op4_mixing,
     "op6_jaccard_join": op6_jaccard_join,
     "op8_language": op8_language,
@@ -47,6 +60,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_merkle": r"""
+        WITH ring AS (
+            SELECT DISTINCT doc_id, coalesce(text, '') AS body FROM documents),
+        chained AS (
+            SELECT doc_id, body, coalesce(lead(body) OVER (ORDER BY doc_id NULLS FIRST), first_value(body) OVER (ORDER BY doc_id NULLS FIRST)) AS next_body FROM ring),
+        edited AS (
+            SELECT doc_id, body, next_body, left(body, length(body) - length(body) // 4) || left(next_body, length(body) // 4) AS edited FROM chained),
+        texts AS (
+            SELECT body AS t FROM edited UNION SELECT edited FROM edited),
+        leaves AS (
+            SELECT t, [[[md5(l) for l in string_split(regexp_replace(p, '([.,;:!?*%$#&] )', '\1' || chr(1), 'g'), chr(1))] for p in string_split(s, chr(10))] for s in string_split(t, chr(10) || chr(10))] AS tree
+            FROM texts),
+        prints AS (
+            SELECT t, sha256(array_to_string([md5(array_to_string([md5(array_to_string(p, '')) for p in s], '')) for s in tree], '')) || ':'
+                   || array_to_string([array_to_string([array_to_string([left(l, 8) for l in p], '') for p in s], ',') for s in tree], '/') AS print,
+                   list_distinct([left(l, 8) for l in flatten(flatten(tree))]) AS heads
+            FROM leaves)
+        SELECT d.doc_id, CAST(length(body) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, a.print AS fingerprint, b.print AS edited_fingerprint,
+               CASE WHEN a.print = b.print THEN 1.0 ELSE 2.0 * len(list_intersect(a.heads, b.heads)) / (len(a.heads) + len(b.heads)) END AS near_edited,
+               CASE WHEN a.print = c.print THEN 1.0 ELSE 2.0 * len(list_intersect(a.heads, c.heads)) / (len(a.heads) + len(c.heads)) END AS near_next
+        FROM edited d JOIN prints a ON a.t = body JOIN prints b ON b.t = edited JOIN prints c ON c.t = next_body""",
+    "op3_toolcalls": r"""
+        WITH calls AS (
+            SELECT conv_id, turn, min(text) AS text, count(*) AS times FROM documents_of_users GROUP BY conv_id, turn),
+        ordered AS (
+            SELECT *, row_number() OVER w - 1 AS depth, lag(turn) OVER w AS before FROM calls WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+        answers AS (
+            SELECT conv_id, turn - 1 AS turn, min(text) AS content, count(*) AS times FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn),
+        parts AS (
+            SELECT coalesce(c.conv_id, a.conv_id) AS thread, coalesce(c.conv_id, a.conv_id) || ':' || coalesce(c.turn, a.turn) AS call_id, c.conv_id IS NOT NULL AS called, a.conv_id IS NOT NULL AS answered,
+                   depth, c.conv_id || ':' || before AS after, text, content, c.turn AS turn, coalesce(a.times, 1) - 1 AS repeats
+            FROM ordered c FULL JOIN answers a ON a.conv_id = c.conv_id AND a.turn = c.turn)
+        SELECT thread, call_id, CASE WHEN called THEN 'reply' END AS tool, depth,
+               CASE WHEN NOT called THEN 'orphan' WHEN NOT answered THEN 'unanswered' ELSE 'linked' END AS status,
+               CASE WHEN called AND text IS NULL THEN 'missing text' ELSE '' END AS problems, repeats,
+               '{' || array_to_string([
+                   CASE WHEN after IS NOT NULL THEN '"after":' || to_json(after) END,
+                   CASE WHEN called THEN '"arguments":' || to_json('{"conversation":' || thread || CASE WHEN text IS NULL THEN '' ELSE ',"text":' || to_json(text) END || ',"turn":' || turn || '}') END,
+                   '"id":' || to_json(call_id),
+                   CASE WHEN called THEN '"name":"reply"' END,
+                   CASE WHEN content IS NOT NULL THEN '"result":' || to_json(content) END], ',') || '}' AS record
+        FROM parts""".replace("documents_of_users", "conversations WHERE role = 'user'"),
     "op4_mixing": r"""
         WITH docs AS (
             SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
