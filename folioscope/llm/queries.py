@@ -15,6 +15,11 @@ from folioscope.llm.merkle import fingerprints
 from folioscope.llm.mixing import mix_report
 from folioscope.llm.suffix_dedup import repeat_report
 from folioscope.llm.toolcalls import REPLY, conversation_calls, link_calls
+from folioscope.llm.warc import round_trip
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read_table(spark, sf_dir, "pages"))
 
 
 def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +55,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_merkle": op2_merkle,
     "op3_toolcalls": op3_toolcalls,
     "op4_mixing": op4_mixing,
@@ -60,6 +66,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": r"""
+        WITH hashed AS (
+            SELECT page_id, url, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+        digests AS (
+            SELECT page_id, url, octet_length(encode(body)) AS payload_bytes,
+                   array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, 5 * (k // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31) + 1, 1) for k in range(32)], '') AS payload_digest
+            FROM hashed),
+        firsts AS (SELECT payload_digest, min(page_id) AS first FROM digests GROUP BY payload_digest)
+        SELECT page_id, url, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM digests JOIN firsts USING (payload_digest)""",
     "op2_merkle": r"""
         WITH ring AS (
             SELECT DISTINCT doc_id, coalesce(text, '') AS body FROM documents),
