@@ -15,6 +15,7 @@ from folioscope.llm.merkle import fingerprints
 from folioscope.llm.mixing import mix_report
 from folioscope.llm.suffix_dedup import repeat_report
 from folioscope.llm.toolcalls import REPLY, conversation_calls, link_calls
+from folioscope.llm.urlfilter import fit_url_model, url_verdicts
 from folioscope.llm.warc import round_trip
 
 
@@ -35,6 +36,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(read_table(spark, sf_dir, "documents"))
 
 
+def op5_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return url_verdicts(pages, fit_url_model(pages))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(read_table(spark, sf_dir, "documents"))
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_merkle": op2_merkle,
     "op3_toolcalls": op3_toolcalls,
     "op4_mixing": op4_mixing,
+    "op5_urlfilter": op5_urlfilter,
     "op6_jaccard_join": op6_jaccard_join,
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
