@@ -13,6 +13,7 @@ from folioscope.llm.jaccard_join import jaccard_groups
 from folioscope.llm.language import fit_language_model, predict_language
 from folioscope.llm.merkle import fingerprints
 from folioscope.llm.mixing import mix_report
+from folioscope.llm.quality import fit_quality, quality_scores
 from folioscope.llm.suffix_dedup import repeat_report
 from folioscope.llm.toolcalls import REPLY, conversation_calls, link_calls
 from folioscope.llm.urlfilter import fit_url_model, url_verdicts
@@ -45,6 +46,13 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels")
+    held_out = is_held_out(F.col("doc_id"))
+    model = fit_quality(docs.where(~held_out), labels.where(~held_out))
+    return quality_scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit_language_model(docs.where(~is_held_out(F.col("doc_id"))))
@@ -67,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_urlfilter": op5_urlfilter,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_quality": op7_quality,
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_suffix_dedup": op10_suffix_dedup,
