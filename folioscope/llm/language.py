@@ -134,12 +134,16 @@ def fit_language_model(labelled: DataFrame, *, n: int = 4, docs_per_language: in
     Counts come from a hash sample of about docs_per_language texts a language (all, where it has
     fewer). A language keeps an n-gram if its rate there is at least `least` times the highest rate
     in any language, and at most its grams_per_language most frequent ones. Null languages and
-    texts are left out; without any rows the model has no language and predicts `und`.
+    texts are left out; without any rows the model has no language and predicts `und`. One row per
+    language passes through the driver, and at most grams_per_language n-grams of each.
     """
     rows = labelled.select(F.col("lang").alias("lang"), F.col("text").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").count().withColumnRenamed("count", "docs")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    if not sizes:
+        return LanguageModel.of({}, UNDETERMINED, n)
     spread = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(sizes, "lang").where(spread * F.col("docs") < docs_per_language).select("lang", "text")
+    size = F.element_at(F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair)), F.col("lang"))
+    sample = rows.where(spread * size < docs_per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,8 +164,7 @@ def fit_language_model(labelled: DataFrame, *, n: int = 4, docs_per_language: in
     tops = rates.groupBy("gram").agg(F.max("rate").alias("top"))
     kept = rates.where("times > 1").join(tops, "gram").where(F.col("rate") >= least * F.col("top"))
     grams = {r["lang"]: np.array(r["grams"], np.int64).astype(U64) for r in _top(kept, grams_per_language).collect()}
-    common = sizes.orderBy(F.desc("docs"), "lang").first()
-    return LanguageModel.of(grams, common["lang"] if common else UNDETERMINED, n)
+    return LanguageModel.of(grams, min(sizes, key=lambda x: (-sizes[x], x)), n)
 
 
 def _top(kept: DataFrame, k: int) -> DataFrame:
