@@ -163,11 +163,11 @@ def rrf_fusion(t: Tables) -> DataFrame:
 @query(
     "reference_search",
     """WITH rows AS (SELECT p_partkey, lower(p_name) AS name, lower(p_brand) AS brand, lower(p_type) AS kind FROM part)
-       SELECT p_partkey, CASE WHEN name = 'part 42' THEN 24 WHEN name LIKE 'part 42%' THEN 18 WHEN contains(name, '42') THEN 14 ELSE 0 END + CASE WHEN contains(brand, '42') THEN 4 ELSE 0 END + CASE WHEN contains(kind, '42') THEN 2.5 ELSE 0 END AS score
-       FROM rows WHERE contains(name, '42') OR contains(brand, '42') OR contains(kind, '42') ORDER BY score DESC, p_partkey LIMIT 20""",
+       SELECT p_partkey, CASE WHEN name = 'red bolt' THEN 24 WHEN name LIKE 'red%' THEN 18 WHEN contains(name, 'red') THEN 14 ELSE 0 END + CASE WHEN contains(brand, 'red') THEN 4 ELSE 0 END + CASE WHEN contains(kind, 'red') THEN 2.5 ELSE 0 END AS score
+       FROM rows WHERE contains(name, 'red') OR contains(brand, 'red') OR contains(kind, 'red') ORDER BY score DESC, p_partkey LIMIT 20""",
 )
 def reference_search(t: Tables) -> DataFrame:
     name, brand, kind = F.lower("p_name"), F.lower("p_brand"), F.lower("p_type")
-    has = lambda c: F.contains(c, F.lit("42"))
-    score = F.when(name == "part 42", 24.0).when(name.startswith("part 42"), 18.0).when(has(name), 14.0).otherwise(0.0) + F.when(has(brand), 4.0).otherwise(0.0) + F.when(has(kind), 2.5).otherwise(0.0)
+    has = lambda c: F.contains(c, F.lit("red"))
+    score = F.when(name == "red bolt", 24.0).when(name.startswith("red"), 18.0).when(has(name), 14.0).otherwise(0.0) + F.when(has(brand), 4.0).otherwise(0.0) + F.when(has(kind), 2.5).otherwise(0.0)
     return t.part.where(has(name) | has(brand) | has(kind)).select("p_partkey", score.alias("score")).orderBy(F.desc("score"), "p_partkey").limit(20)
