@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -21,3 +22,13 @@ def ship_package(spark: SparkSession) -> None:
     folder = tempfile.mkdtemp()
     sc.addPyFile(shutil.make_archive(f"{folder}/folioscope", "zip", ROOT, "folioscope"))
     _shipped.add(sc.applicationId)
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or in the warehouse where that is unset.
+    The file system removes it when the application ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_work"
+    path = f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
