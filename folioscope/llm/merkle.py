@@ -87,19 +87,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     body = F.coalesce(F.col("text"), F.lit(""))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    texts = docs.select("doc_id", body.alias("body"), doc.alias("doc"), F.xxhash64(body).alias("mark")).repartition("doc", "mark")
+    # Both uses of the texts need the same columns, so that they are shuffled once.
+    texts = docs.select(body.alias("body"), doc.alias("doc"), F.xxhash64(body).alias("mark")).repartition("doc", "mark")
     slim = docs.select(doc.alias("doc"), F.xxhash64(body).alias("mark"), F.char_length(body).alias("n")).distinct()
     ring = materialize(numbered(slim, F.col("doc"), F.col("mark")))
     n = ring.count()
     # Each document as the next one of another: whose, and how much of it that one takes.
     asked = ring.select(F.col("doc").alias("of_doc"), F.col("mark").alias("of_mark"), F.floor(F.col("n") / 4).cast("int").alias("take"), ((F.col("number") + 1) % max(n, 1)).alias("number"))
     asked = ring.select("doc", "mark", "number").join(asked, "number").drop("number")
-    given = texts.join(asked, ["doc", "mark"]).select("doc_id", "body", "of_doc", "of_mark", "take", merkle_leaves(F.col("body")).alias("leaves"))
+    given = texts.join(asked, ["doc", "mark"]).select("body", "of_doc", "of_mark", "take", merkle_leaves(F.col("body")).alias("leaves"))
     given = given.select(F.col("of_doc").alias("doc"), F.col("of_mark").alias("mark"), "take", F.expr("substring(body, 1, take)").alias("head"), fingerprint(F.col("leaves")).alias("next_fingerprint"))
     given = given.dropDuplicates(["doc", "mark"])  # repeated rows of the next document
 
     both = texts.join(given, ["doc", "mark"])
-    both = both.select("doc_id", "body", "next_fingerprint", F.char_length("body").cast("long").alias("n_chars"), F.expr("concat(substring(body, 1, char_length(body) - take), head)").alias("edited"))
+    doc_id = F.when(F.col("doc") != -(1 << 63), F.col("doc")).cast(docs.schema["doc_id"].dataType)
+    both = both.select(doc_id.alias("doc_id"), "body", "next_fingerprint", F.char_length("body").cast("long").alias("n_chars"), F.expr("concat(substring(body, 1, char_length(body) - take), head)").alias("edited"))
     both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "next_fingerprint", merkle_leaves(F.col("body")).alias("leaves"), merkle_leaves(F.col("edited")).alias("edited_leaves"))
     both = both.select("doc_id", "n_chars", "edited_sha256", "next_fingerprint", fingerprint(F.col("leaves")).alias("fingerprint"), fingerprint(F.col("edited_leaves")).alias("edited_fingerprint"), edited_paragraphs(F.col("leaves"), F.col("edited_leaves")).alias("edited_at"))
     return both.select(
