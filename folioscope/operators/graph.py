@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import similarity
+from folioscope.session import written
 
 SUBJECT, OBJECT = "source_id", "target_id"
 
@@ -167,14 +168,17 @@ def renumbered(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("sort_order", (F.row_number().over(order) - 1).cast("long"))
 
 
-def cycles_and_gaps(steps: DataFrame, *, hops: int = 64) -> DataFrame:
-    """(step_id, problem) of a step graph (step_id, next_id): `dangling` successors that don't exist, and members of a `cycle`."""
+def cycles_and_gaps(steps: DataFrame) -> DataFrame:
+    """(step_id, problem) of a step graph (step_id, next_id), each step with one successor at most: `dangling` successors that
+    don't exist, and members of a `cycle`.
+
+    Successors double their reach each round, so rounds grow with the logarithm of the steps; what any step still
+    reaches after as many moves as there are steps is a member of a cycle.
+    """
     known = steps.select(F.col("step_id").alias("next_id")).distinct()
     dangling = steps.where("next_id IS NOT NULL").join(known, "next_id", "left_anti").select("step_id", F.lit("dangling").alias("problem"))
-    reach = steps.where("next_id IS NOT NULL").select("step_id", F.col("next_id").alias("at")).distinct()
-    span, count = 1, -1
-    while span <= hops and (now := reach.count()) != count:  # reachability doubles its paths each round
-        count = now
-        reach = reach.union(reach.join(reach.select(F.col("step_id").alias("at"), F.col("at").alias("beyond")), "at").select("step_id", "beyond")).distinct()
-        span *= 2
-    return dangling.union(reach.where("step_id = at").select("step_id", F.lit("cycle").alias("problem")))
+    moves = written(steps.where("next_id IS NOT NULL").join(known, "next_id", "left_semi").select("step_id", "next_id"))
+    for _ in range(moves.count().bit_length()):
+        ahead = moves.select(F.col("step_id").alias("next_id"), F.col("next_id").alias("beyond"))
+        moves = written(moves.join(ahead, "next_id").select("step_id", F.col("beyond").alias("next_id")))
+    return dangling.union(moves.select(F.col("next_id").alias("step_id")).distinct().withColumn("problem", F.lit("cycle")))
