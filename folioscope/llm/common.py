@@ -45,6 +45,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes that pass to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session hand rows to Python workers in small batches, unless they are smaller already.
+
+    The default, 10,000 rows or 64 MB, costs each of an executor's tasks several copies of that.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        size = int(now.rstrip("b")) if now and now.rstrip("b").lstrip("-").isdigit() else 0
+        if size <= 0 or size > most:
+            spark.conf.set(key, most)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import U64, Words, materialize, slabs, text_bytes
+from folioscope.llm.common import U64, Words, materialize, slabs, small_batches, text_bytes
 
 WINDOW = 10
 #: Item text, in bytes, that one pass holds in memory; more items take more passes.
@@ -180,6 +180,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     passes, each over all documents.
     """
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     name = "hit"
     while name in docs.columns:
         name += "_"

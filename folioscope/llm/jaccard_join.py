@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import U64, Words, group_starts, materialize, mix, slabs, text_bytes, whole_groups
+from folioscope.llm.common import U64, Words, group_starts, materialize, mix, slabs, small_batches, text_bytes, whole_groups
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -263,6 +263,7 @@ def jaccard_groups(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance:
     other either. Of rows that repeat a doc_id, one text is taken (that with the smallest hash). Rows with a
     null doc_id are left out. Only doc_id and text are read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body")).where("id IS NOT NULL")
     features = rows.mapInArrow(_features, FEATURES)
     features = materialize(features)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import U64, mix, slabs, text_bytes
+from folioscope.llm.common import U64, mix, slabs, small_batches, text_bytes
 
 UNDETERMINED = "und"
 PREDICTION = "struct<lang_pred:string,score:double>"
@@ -137,6 +137,7 @@ def fit_language_model(labelled: DataFrame, *, n: int = 4, docs_per_language: in
     texts are left out; without any rows the model has no language and predicts `und`. One row per
     language passes through the driver, and at most grams_per_language n-grams of each.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col("lang").alias("lang"), F.col("text").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
     if not sizes:
@@ -180,6 +181,7 @@ def _top(kept: DataFrame, k: int) -> DataFrame:
 def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text") -> Column:
     """Struct column (lang_pred, score) of a text column. Null texts and texts without a letter are `und` with
     score 0; a text without a known n-gram gets the model's most common language with score 0."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(texts: pa.Array) -> pa.Array:

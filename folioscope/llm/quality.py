@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import Words, slabs, text_bytes
+from folioscope.llm.common import Words, slabs, small_batches, text_bytes
 
 STATISTICS = (
     "bytes", "words", "word_length", "letters", "capitals", "digits", "marks", "blanks", "line_ends", "other",
@@ -215,6 +215,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, most: int = MOST_LABELS)
     At most about `most` labelled rows are used, chosen by a hash of the id; rows of other ids are left
     out on both sides before anything is joined. Null ids, null labels and labels without a document are left out.
     """
+    small_batches(docs.sparkSession)
     labelled = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("quality")).where("id IS NOT NULL AND quality IS NOT NULL")
     share = min(1.0, most / max(1, labelled.count()))
     drawn = F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(1 << 20)) < share * (1 << 20)
@@ -227,6 +228,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, most: int = MOST_LABELS)
 
 def quality_scores(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     """One row per document: doc_id, score (0 to 1; null and empty texts are scored by their statistics, all 0), predicted."""
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", statistics_column(F.col("text")).alias("statistics"))
     scored = rows.select("doc_id", model.column(F.col("statistics")).alias("score"))
     return scored.select("doc_id", "score", (F.col("score") >= LIKELY).cast("int").alias("predicted"))

@@ -30,7 +30,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import PIECE, U64, group_starts, materialize, mix, power_tables, slabs, text_bytes, whole_groups
+from folioscope.llm.common import PIECE, U64, group_starts, materialize, mix, power_tables, slabs, small_batches, text_bytes, whole_groups
 
 LENGTH = 100
 #: Bytes of the substrings whose smallest hash brings equal strings together.
@@ -40,7 +40,7 @@ GROUP = 4096
 #: Bits of a packed position that count a run's strings.
 COUNT_BITS = 22
 #: Bytes that one suffix ordering takes, as long as groups allow.
-ORDER_BYTES = 1 << 22
+ORDER_BYTES = 1 << 20
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -311,6 +311,7 @@ def cut_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, with
     """
     if length < 8:
         raise ValueError("strings of fewer than 8 bytes aren't supported")
+    small_batches(docs.sparkSession)
     body, doc = F.col("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     mark = F.xxhash64(F.coalesce(body, F.lit("")))
     others = [c for c in docs.columns if c != "text"]

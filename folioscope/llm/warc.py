@@ -19,7 +19,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import delete_on_exit, materialize, shared_dir
+from folioscope.llm.common import delete_on_exit, materialize, shared_dir, small_batches
 
 #: Bytes after which a task begins another archive file.
 FILE_BYTES = 256 << 20
@@ -133,6 +133,7 @@ def write_archives(pages: DataFrame, folder: str, *, least_revisit: int = 0) ->
     counts as larger than all others, and payloads that only such rows have are responses. Line
     ends in a URL become blanks; a null URL is left out. The folder must be one that all machines share.
     """
+    small_batches(pages.sparkSession)
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("body"))
     rows = rows.withColumn("digest", sha1_base32(F.col("body").cast("binary")))
