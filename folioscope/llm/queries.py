@@ -177,4 +177,36 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op6_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        sets AS (
+            SELECT doc_id, list_distinct([array_to_string(w[i : i + 4], ' ') for i in range(1, greatest(len(w) - 4, least(1, len(w))) + 1)]) AS s FROM words),
+        shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+        pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, max(a.n) + max(b.n) AS both
+            FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        close AS (SELECT a, b FROM pairs WHERE common >= 0.8 * (both - common) - 1e-9),
+        links AS (SELECT a, b FROM close UNION ALL SELECT b, a FROM close),
+        reach AS (SELECT doc_id, doc_id AS spot FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.spot)
+        SELECT doc_id, min(spot) AS class_id, (SELECT count(*) FROM links WHERE a = r.doc_id) AS n_links FROM reach r GROUP BY doc_id""",
+    "op10_suffix_dedup": r"""
+        WITH bytes AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        strings AS (
+            SELECT doc_id, s, substr(h, 2 * s + 1, 200) AS k FROM (SELECT doc_id, h, unnest(range(greatest(length(h) // 2 - 99, 0))) AS s FROM bytes)),
+        repeated AS (
+            SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM strings) WHERE n > 1),
+        marked AS (
+            SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS opens FROM repeated),
+        runs AS (SELECT doc_id, s, sum(opens) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked),
+        spans AS (SELECT doc_id, min(s) AS lo, max(s) + 100 AS hi FROM runs GROUP BY doc_id, run),
+        gaps AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM spans),
+        cut AS (
+            SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) AS head
+            FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
+        FROM bytes LEFT JOIN cut USING (doc_id)""",
 }

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import Words, slabs, text_bytes
+from folioscope.llm.common import Words, materialize, slabs, small_batches, text_bytes
 
 ALLOW, BLOCK = "allow", "block"
 #: (host, path, verdict): a rule fits its host and all subdomains, if the path starts with the rule's.
@@ -105,6 +105,21 @@ class UrlModel:
         return self.prior + sum(self.weights.get(t, 0.0) for t in self.segmenter.tokens(host, path))
 
 
+def most_frequent(counts: DataFrame, key: str, times: str, most: int) -> list:
+    """The rows of the highest counts, about `most` at most. A histogram of logarithms gives the count to cut at, and a hash
+    of the key which of the rows there stay, so that only these rows reach the driver, whatever the number of tasks."""
+    counts = materialize(counts)
+    level = F.floor(32 * F.log2(F.col(times)))
+    left, kept = most, F.lit(True)
+    for step, n in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        if n > left:
+            draw = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
+            kept = (level > step) | (level == step) & (draw < 0.9 * left / n)
+            break
+        left -= n
+    return counts.where(kept).collect()
+
+
 def word_counts(texts: DataFrame, column: str, most: int = VOCABULARY) -> dict[str, int]:
     """The most frequent words of ASCII letters in all texts of a column, with their counts."""
 
@@ -120,7 +135,7 @@ def word_counts(texts: DataFrame, column: str, most: int = VOCABULARY) -> dict[s
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in plain], pa.string()), pa.array([t for _, t in plain], pa.int64())], names=["word", "times"])
 
     counts = texts.select(F.col(column).cast("string")).mapInArrow(count, "word string, times long").groupBy("word").agg(F.sum("times").alias("times"))
-    return {r["word"]: r["times"] for r in counts.orderBy(F.desc("times"), "word").limit(most).collect()}
+    return {r["word"]: r["times"] for r in most_frequent(counts, "word", "times", most)}
 
 
 def fit_url_model(pages: DataFrame, rules: Sequence[Rule] = RULES, *, most: int = VOCABULARY) -> UrlModel:
@@ -129,6 +144,7 @@ def fit_url_model(pages: DataFrame, rules: Sequence[Rule] = RULES, *, most: int
     The model knows the `most` most frequent words on either side; that bounds what reaches the driver.
     Without decided pages only the seed words count.
     """
+    small_batches(pages.sparkSession)
     segmenter = Segmenter.of(word_counts(pages, "html", most))
     held = pages.sparkSession.sparkContext.broadcast(segmenter)
 
@@ -141,7 +157,8 @@ def fit_url_model(pages: DataFrame, rules: Sequence[Rule] = RULES, *, most: int
     words = decided.select("verdict", "count", F.explode(F.arrow_udf(tokens, "array<string>")("host", "path")).alias("token"))
     blocked = F.sum(F.when(F.col("verdict") == BLOCK, F.col("count")).otherwise(0))
     allowed = F.sum(F.when(F.col("verdict") == ALLOW, F.col("count")).otherwise(0))
-    seen = {r[0]: (r[1], r[2]) for r in words.groupBy("token").agg(blocked.alias("b"), allowed.alias("a")).orderBy(F.desc(F.col("b") + F.col("a")), "token").limit(most).collect()}
+    tokens_seen = words.groupBy("token").agg(blocked.alias("b"), allowed.alias("a"), F.sum("count").alias("times"))
+    seen = {r["token"]: (r["b"], r["a"]) for r in most_frequent(tokens_seen, "token", "times", most)}
     for seed in SEEDS:
         b, a = seen.get(f"h:{seed}", (0, 0))
         seen[f"h:{seed}"] = (b + SEED_COUNT, a)
