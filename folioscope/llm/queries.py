@@ -123,7 +123,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT conv_id, turn - 1 AS turn, min(text) AS content, count(*) AS times FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn),
         parts AS (
             SELECT coalesce(c.conv_id, a.conv_id) AS thread, coalesce(c.conv_id, a.conv_id) || ':' || coalesce(c.turn, a.turn) AS call_id, c.conv_id IS NOT NULL AS called, a.conv_id IS NOT NULL AS answered,
-                   depth, c.conv_id || ':' || before AS after, text, content, c.turn AS turn, coalesce(a.times, 1) - 1 AS repeats
+                   depth, c.conv_id || ':' || before AS after, text, content, c.turn AS turn, coalesce(c.times, 1) - 1 + coalesce(a.times, 1) - 1 AS repeats
             FROM ordered c FULL JOIN answers a ON a.conv_id = c.conv_id AND a.turn = c.turn)
         SELECT thread, call_id, CASE WHEN called THEN 'reply' END AS tool, depth,
                CASE WHEN NOT called THEN 'orphan' WHEN NOT answered THEN 'unanswered' ELSE 'linked' END AS status,
@@ -185,9 +185,9 @@ ORACLE_SQL: dict[str, str] = {
             SELECT doc_id, list_distinct([array_to_string(w[i : i + 4], ' ') for i in range(1, greatest(len(w) - 4, least(1, len(w))) + 1)]) AS s FROM words),
         shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
         pairs AS (
-            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, max(a.n) + max(b.n) AS both
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, max(a.n) + max(b.n) AS sizes
             FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
-        close AS (SELECT a, b FROM pairs WHERE common >= 0.8 * (both - common) - 1e-9),
+        close AS (SELECT a, b FROM pairs WHERE common >= 0.8 * (sizes - common) - 1e-9),
         links AS (SELECT a, b FROM close UNION ALL SELECT b, a FROM close),
         reach AS (SELECT doc_id, doc_id AS spot FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.spot)
         SELECT doc_id, min(spot) AS class_id, (SELECT count(*) FROM links WHERE a = r.doc_id) AS n_links FROM reach r GROUP BY doc_id""",
@@ -197,7 +197,7 @@ ORACLE_SQL: dict[str, str] = {
         strings AS (
             SELECT doc_id, s, substr(h, 2 * s + 1, 200) AS k FROM (SELECT doc_id, h, unnest(range(greatest(length(h) // 2 - 99, 0))) AS s FROM bytes)),
         repeated AS (
-            SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM strings) WHERE n > 1),
+            SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY md5_number(k) ORDER BY doc_id, s) AS n FROM strings) WHERE n > 1),
         marked AS (
             SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS opens FROM repeated),
         runs AS (SELECT doc_id, s, sum(opens) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked),

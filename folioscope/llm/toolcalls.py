@@ -74,10 +74,12 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     One row per identifier of either side: thread, call_id, tool, depth, status, problems, record. status is
     `linked`, `unanswered` (no result), `orphan` (no call) or `cyclic` (it needs itself or a call that
     isn't there: depth is null). Of rows that repeat an identifier, the smallest is taken on either side
-    and `repeats` counts the others. Rows without an identifier are left out. record is canonical JSON of
-    what is known, arguments as JSON text.
+    and `repeats` counts the others; a column `stands_for` of calls says how many equal rows a row stands
+    for (1 where it is missing, null or no number). Rows without an identifier are left out. record is
+    canonical JSON of what is known, arguments as JSON text.
     """
-    one = calls.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("thread", "after", "tool", "arguments")).alias("call"), (F.count("*") - 1).alias("again"))
+    times = F.coalesce(F.col("stands_for").cast("string").try_cast("long"), F.lit(1)) if "stands_for" in calls.columns else F.lit(1)
+    one = calls.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("thread", "after", "tool", "arguments")).alias("call"), (F.sum(times) - 1).alias("again"))
     one = materialize(one.select("call_id", "call.*", "again"))
     answer = results.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("thread", "content")).alias("answer"), (F.count("*") - 1).alias("more"))
     answer = answer.select("call_id", F.col("answer.thread").alias("answer_thread"), F.col("answer.content").alias("content"), "more", F.lit(True).alias("answered"))
@@ -106,7 +108,8 @@ def conversation_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Each user turn is a call of `reply` that needs the conversation's user turn before it; the assistant
     turn with the next number is its result. Turns are numbered over range partitions, so a conversation
-    of any length is split. Rows without conv_id or turn have no identifier.
+    of any length is split. Rows without conv_id or turn have no identifier. Of user rows that repeat a
+    turn, the smallest text is taken, and `stands_for` of the call counts them.
     """
     users = messages.where("role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("text").alias("text"), F.count("*").alias("times"))
     ranked = materialize(numbered(users, F.col("conv_id"), F.col("turn")))
@@ -120,6 +123,7 @@ def conversation_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("before_conv") == F.col("conv_id"), F.col("after")).alias("after"),
         F.lit("reply").alias("tool"),
         arguments.alias("arguments"),
+        F.col("times").alias("stands_for"),
     )
     answers = messages.where("role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL")
     results = answers.select(F.col("conv_id").alias("thread"), F.concat_ws(":", F.col("conv_id"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
