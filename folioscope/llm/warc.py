@@ -34,9 +34,8 @@ INDEX = "page_id long, url string, file string, offset long, length long, payloa
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def sha1_base32(payload: Column) -> Column:
-    """SHA-1 in base 32: each five hexadecimal digits are four characters."""
-    digits = F.sha1(payload)
+def base32(digits: Column) -> Column:
+    """40 hexadecimal digits in base 32: each five of them are four characters."""
     parts = []
     for i in range(8):
         value = F.conv(F.substring(digits, 5 * i + 1, 5), 16, 10).cast("int")
@@ -136,11 +135,11 @@ def write_archives(pages: DataFrame, folder: str, *, least_revisit: int = 0) ->
     small_batches(pages.sparkSession)
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("body"))
-    rows = rows.withColumn("digest", sha1_base32(F.col("body").cast("binary")))
-    firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
+    rows = rows.withColumn("sha1", F.sha1(F.col("body").cast("binary")))
+    firsts = rows.groupBy("sha1").agg(F.min("page_id").alias("first"))
     long_enough = F.octet_length("body") >= least_revisit
     revisit = F.coalesce(long_enough & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
-    typed = rows.join(firsts, "digest").select("page_id", "url", "body", "digest", "first", revisit.alias("revisit"))
+    typed = rows.join(firsts, "sha1").select("page_id", "url", "body", base32(F.col("sha1")).alias("digest"), "first", revisit.alias("revisit"))
     files, base = _folder(folder)
     files.create_dir(base)
     return materialize(typed.mapInArrow(_writer(folder), INDEX))
