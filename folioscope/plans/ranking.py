@@ -111,7 +111,7 @@ def dense_score(t: Tables) -> DataFrame:
 
 def candidates(t: Tables, question: Question) -> DataFrame:
     """Candidates of five routes over blocks, with synthetic clause numbers and tables."""
-    blocks = t.blocks.where("doc_id < 300").select("block_id", "doc_id", "clause_id", "page_idx", "block_type", "text", "pos")
+    blocks = t.blocks.select("block_id", "doc_id", "clause_id", "page_idx", "block_type", "text", "pos")
     common = [F.col("block_id").alias("item_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("block_type").alias("kind"), F.col("clause_id").alias("title"), "text"]
     rest = [F.col("block_type").alias("section_path"), (F.col("page_idx") + 1).alias("page_idx")]
 
