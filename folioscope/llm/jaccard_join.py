@@ -47,7 +47,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     n = len(words.hashes)
     seeds = _seeds(size)
     shingles = np.zeros(n, U64)
-    for k in range(size):
+    for k in range(min(size, n)):
         shingles[: n - k] += words.hashes[k:] * seeds[k]
     first = words.first
     out, ends = [], [0]

@@ -85,3 +85,9 @@ def test_posterior():
     for n, m in ((8, 2), (32, 17)):
         tail = sum(comb(n + 1, k) * 0.8**k * 0.2 ** (n + 1 - k) for k in range(m + 1))
         assert (least_matches(n, 0.8, 1e-4) <= m) == (tail >= 1e-4)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_table_of_one_short_text(spark, n):
+    docs = [(1, " ".join("abcd"[:n]))]
+    assert groups(jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs) == {1: (1, 0)}
