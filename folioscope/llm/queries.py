@@ -15,7 +15,7 @@ from folioscope.llm.merkle import fingerprints
 from folioscope.llm.mixing import mix_report
 from folioscope.llm.quality import fit_quality, quality_scores
 from folioscope.llm.suffix_dedup import repeat_report
-from folioscope.llm.toolcalls import REPLY, conversation_calls, link_calls
+from folioscope.llm.toolcalls import REPLY, conversation_calls, link_calls, other_messages
 from folioscope.llm.urlfilter import fit_url_model, url_verdicts
 from folioscope.llm.warc import round_trip
 
@@ -33,6 +33,11 @@ def op3_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_calls(calls, results, REPLY)
 
 
+def op3_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of conversations that op3_toolcalls has no call or result for."""
+    return other_messages(read_table(spark, sf_dir, "conversations"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(read_table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_merkle": op2_merkle,
     "op3_toolcalls": op3_toolcalls,
+    "op3_messages": op3_messages,
     "op4_mixing": op4_mixing,
     "op5_urlfilter": op5_urlfilter,
     "op6_jaccard_join": op6_jaccard_join,
@@ -135,6 +141,14 @@ ORACLE_SQL: dict[str, str] = {
                    CASE WHEN called THEN '"name":"reply"' END,
                    CASE WHEN content IS NOT NULL THEN '"result":' || to_json(content) END], ',') || '}' AS record
         FROM parts""".replace("documents_of_users", "conversations WHERE role = 'user'"),
+    "op3_messages": r"""
+        SELECT conv_id AS thread, conv_id || ':' || turn AS call_id, CAST(NULL AS VARCHAR) AS tool, CAST(NULL AS BIGINT) AS depth, 'message' AS status, '' AS problems, CAST(0 AS BIGINT) AS repeats,
+               '{' || array_to_string([
+                   CASE WHEN conv_id IS NOT NULL THEN '"conversation":' || conv_id END,
+                   CASE WHEN role IS NOT NULL THEN '"role":' || to_json(role) END,
+                   CASE WHEN text IS NOT NULL THEN '"text":' || to_json(text) END,
+                   CASE WHEN turn IS NOT NULL THEN '"turn":' || turn END], ',') || '}' AS record
+        FROM conversations WHERE conv_id IS NULL OR turn IS NULL OR role IS NULL OR role NOT IN ('user', 'assistant')""",
     "op4_mixing": r"""
         WITH docs AS (
             SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),

@@ -109,7 +109,8 @@ def conversation_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     Each user turn is a call of `reply` that needs the conversation's user turn before it; the assistant
     turn with the next number is its result. Turns are numbered over range partitions, so a conversation
     of any length is split. Rows without conv_id or turn have no identifier. Of user rows that repeat a
-    turn, the smallest text is taken, and `stands_for` of the call counts them.
+    turn, the smallest text is taken, and `stands_for` of the call counts them. Messages that are neither
+    calls nor results are rows of other_messages.
     """
     users = messages.where("role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("text").alias("text"), F.count("*").alias("times"))
     ranked = materialize(numbered(users, F.col("conv_id"), F.col("turn")))
@@ -128,3 +129,24 @@ def conversation_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     answers = messages.where("role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL")
     results = answers.select(F.col("conv_id").alias("thread"), F.concat_ws(":", F.col("conv_id"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
+
+
+def other_messages(messages: DataFrame) -> DataFrame:
+    """The messages that conversation_calls takes neither as calls nor as results: of other roles or none, without conv_id or turn.
+
+    One row per message, of the columns of link_calls: status is `message`, call_id null where it has no
+    conv_id or turn, record the canonical JSON of what is known.
+    """
+    conv, turn = F.col("conv_id"), F.col("turn")
+    taken = F.col("role").isin("user", "assistant") & conv.isNotNull() & turn.isNotNull()
+    record = {"conversation": conv, "role": F.col("role"), "text": F.col("text"), "turn": turn}
+    return messages.where(~F.coalesce(taken, F.lit(False))).select(
+        conv.alias("thread"),
+        F.concat(conv.cast("string"), F.lit(":"), turn.cast("string")).alias("call_id"),
+        F.lit(None).cast("string").alias("tool"),
+        F.lit(None).cast("long").alias("depth"),
+        F.lit("message").alias("status"),
+        F.lit("").alias("problems"),
+        F.lit(0).cast("long").alias("repeats"),
+        canonical_json(record).alias("record"),
+    )

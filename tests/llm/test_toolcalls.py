@@ -1,6 +1,6 @@
 import json
 
-from folioscope.llm.toolcalls import REPLY, call_depths, conversation_calls, link_calls
+from folioscope.llm.toolcalls import REPLY, call_depths, conversation_calls, link_calls, other_messages
 
 SCHEMAS = {"search": {"query": ("string", True), "limit": ("integer", False)}, "add": {"a": ("number", True), "b": ("number", True)}}
 CALLS = "thread long, call_id string, after string, tool string, arguments string"
@@ -56,3 +56,15 @@ def test_conversations(spark):
         "1:1": ("linked", 0, "", 0), "1:3": ("unanswered", 1, "missing text", 1), "2:0": ("orphan", None, "", 0), "4:0": ("unanswered", 0, "", 0),
     }
     assert link_calls(*conversation_calls(spark.createDataFrame([], schema)), REPLY).count() == 0
+
+
+def test_other_messages(spark):
+    rows = [(1, 0, "system", 'be "kind"'), (1, 1, "user", "hi"), (1, 2, "assistant", "hello"), (4, 1, None, "?"), (None, 1, "user", "lost"), (3, None, "assistant", "lost"), (5, 2, "tool", None), (5, 2, "tool", None)]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((str(r["call_id"]), r["status"], r["record"]) for r in other_messages(messages).collect())
+    want = []
+    for conv, turn, role, text in rows[:1] + rows[3:]:
+        record = {k: v for k, v in {"conversation": conv, "role": role, "text": text, "turn": turn}.items() if v is not None}
+        want.append((str(None if conv is None or turn is None else f"{conv}:{turn}"), "message", json.dumps(record, separators=(",", ":"))))
+    assert got == sorted(want)
+    assert other_messages(messages).columns == link_calls(*conversation_calls(messages), REPLY).columns
