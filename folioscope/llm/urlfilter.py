@@ -26,8 +26,6 @@ RULES: list[Rule] = [("org", "/", ALLOW), ("example.org", "/es/", BLOCK), ("exam
 #: Words that count as seen this often in blocked URLs.
 SEEDS = ("adult", "ads", "bets", "casino", "cheap", "free", "pills", "porn", "spam", "track", "win")
 SEED_COUNT = 20
-#: Most words that the segmentation and the classifier know: the most frequent ones of the corpus.
-VOCABULARY = 50_000
 LONGEST = 24
 
 
@@ -57,8 +55,10 @@ class Segmenter:
     seen: dict[str, list[str]] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, counts: dict[str, int]) -> Segmenter:
-        total = sum(counts.values()) or 1
+    def of(cls, counts: dict[str, int], total: int | None = None) -> Segmenter:
+        """Costs from counts; total: of all words, where counts are only a part of them."""
+        total = sum(counts.values()) if total is None else total
+        total = total or 1
         return cls({w: -math.log(n / total) for w, n in counts.items()}, math.log(10 * total))
 
     def split(self, name: str) -> list[str]:
@@ -95,33 +95,26 @@ class Segmenter:
 
 @dataclass
 class UrlModel:
-    """weights: log-odds of a word being in blocked URLs; prior: log-odds of a blocked URL."""
+    """words: (word, times) of all page texts; total: the sum of times. weights: (token, weight), log-odds of a word being in
+    blocked URLs; prior: log-odds of a blocked URL."""
 
-    segmenter: Segmenter
-    weights: dict[str, float]
+    words: DataFrame
+    total: int
+    weights: DataFrame
     prior: float
 
     def odds(self, host: str, path: str) -> float:
-        return self.prior + sum(self.weights.get(t, 0.0) for t in self.segmenter.tokens(host, path))
+        """The log-odds of one URL, on the driver; url_verdicts joins instead."""
+        names = re.findall(r"[a-z]+", host) + re.findall(r"[a-z]+", path.lower())
+        inner = {n[i:j] for n in names for i in range(len(n)) for j in range(i + 1, min(len(n), i + LONGEST) + 1)}
+        costs = self.words.where(F.col("word").isin(*inner)).collect() if inner else []
+        tokens = Segmenter.of({r["word"]: r["times"] for r in costs}, self.total).tokens(host, path)
+        weights = {r["token"]: r["weight"] for r in self.weights.where(F.col("token").isin(*set(tokens))).collect()} if tokens else {}
+        return self.prior + sum(weights.get(t, 0.0) for t in tokens)
 
 
-def most_frequent(counts: DataFrame, key: str, times: str, most: int) -> list:
-    """The rows of the highest counts, about `most` at most. A histogram of logarithms gives the count to cut at, and a hash
-    of the key which of the rows there stay, so that only these rows reach the driver, whatever the number of tasks."""
-    counts = materialize(counts)
-    level = F.floor(32 * F.log2(F.col(times)))
-    left, kept = most, F.lit(True)
-    for step, n in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
-        if n > left:
-            draw = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
-            kept = (level > step) | (level == step) & (draw < 0.9 * left / n)
-            break
-        left -= n
-    return counts.where(kept).collect()
-
-
-def word_counts(texts: DataFrame, column: str, most: int = VOCABULARY) -> dict[str, int]:
-    """The most frequent words of ASCII letters in all texts of a column, with their counts."""
+def word_counts(texts: DataFrame, column: str) -> DataFrame:
+    """(word, times) of all words of ASCII letters, of at most LONGEST, in all texts of a column."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,38 +127,57 @@ def word_counts(texts: DataFrame, column: str, most: int = VOCABULARY) -> dict[s
                 plain = [(n.decode(), int(t)) for n, t in zip(names, times[short], strict=True) if n.isalpha()]
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in plain], pa.string()), pa.array([t for _, t in plain], pa.int64())], names=["word", "times"])
 
-    counts = texts.select(F.col(column).cast("string")).mapInArrow(count, "word string, times long").groupBy("word").agg(F.sum("times").alias("times"))
-    return {r["word"]: r["times"] for r in most_frequent(counts, "word", "times", most)}
+    return texts.select(F.col(column).cast("string")).mapInArrow(count, "word string, times long").groupBy("word").agg(F.sum("times").alias("times"))
+
+
+def split_names(names: DataFrame, words: DataFrame, total: int) -> DataFrame:
+    """(name, words) of distinct names (name), each split with the counts of its own substrings only."""
+
+    def split(name: pa.Array, found: pa.Array) -> pa.Array:
+        rows = zip(name.to_pylist(), found.to_pylist(), strict=True)
+        return pa.array([Segmenter.of({f["word"]: f["times"] for f in own}, total).split(n) for n, own in rows], pa.list_(pa.string()))
+
+    size = F.char_length("name")
+    inner = F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), size - i + 1)), lambda n: F.substring("name", i, n)))
+    inner = names.select("name", F.explode(F.array_distinct(F.flatten(inner))).alias("word"))
+    known = inner.join(words, "word").groupBy("name").agg(F.collect_list(F.struct("word", "times")).alias("found"))
+    rows = names.join(known, "name", "left").select("name", F.coalesce("found", F.array().cast("array<struct<word:string,times:bigint>>")).alias("found"))
+    return rows.select("name", F.arrow_udf(split, "array<string>")("name", "found").alias("words"))
 
 
-def fit_url_model(pages: DataFrame, rules: Sequence[Rule] = RULES, *, most: int = VOCABULARY) -> UrlModel:
+def url_tokens(parts: DataFrame, words: DataFrame, total: int) -> DataFrame:
+    """(host, path, token) of distinct (host, path), a row for each time that a token occurs."""
+    pieces = lambda kind, text: F.transform(F.regexp_extract_all(text, F.lit("[a-z]+|[0-9]+"), F.lit(0)), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("name")))
+    both = parts.select("host", "path", F.explode(F.concat(pieces("h", F.col("host")), pieces("p", F.lower("path")))).alias("piece")).select("host", "path", "piece.*")
+    both = materialize(both)
+    number = F.col("name").rlike("^[0-9]")
+    numbers = both.where(number).select("host", "path", F.concat("kind", F.lit(":"), F.repeat(F.lit("#"), F.char_length("name"))).alias("token"))
+    names = both.where(~number)
+    split = split_names(names.select("name").distinct(), words, total)
+    spelt = names.join(split, "name").select("host", "path", "kind", F.explode("words").alias("word")).select("host", "path", F.concat("kind", F.lit(":"), "word").alias("token"))
+    return numbers.unionByName(spelt)
+
+
+def fit_url_model(pages: DataFrame, rules: Sequence[Rule] = RULES) -> UrlModel:
     """Learns words from all page texts (html), and verdicts from all pages that a rule decides.
 
-    The model knows the `most` most frequent words on either side; that bounds what reaches the driver.
+    Words and tokens stay tables of Spark, so the model knows all of them; only sums reach the driver.
     Without decided pages only the seed words count.
     """
     small_batches(pages.sparkSession)
-    segmenter = Segmenter.of(word_counts(pages, "html", most))
-    held = pages.sparkSession.sparkContext.broadcast(segmenter)
-
-    def tokens(hosts: pa.Array, paths: pa.Array) -> pa.Array:
-        return pa.array([held.value.tokens(h, p) for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True)], pa.list_(pa.string()))
-
+    counts = materialize(word_counts(pages, "html"))
+    total = counts.agg(F.sum("times")).first()[0] or 0
     parts = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     decided = parts.select("host", "path", rule_of(F.col("host"), F.col("path"), rules)["verdict"].alias("verdict")).where("verdict IS NOT NULL")
-    decided = decided.groupBy("host", "path", "verdict").count()
-    words = decided.select("verdict", "count", F.explode(F.arrow_udf(tokens, "array<string>")("host", "path")).alias("token"))
-    blocked = F.sum(F.when(F.col("verdict") == BLOCK, F.col("count")).otherwise(0))
-    allowed = F.sum(F.when(F.col("verdict") == ALLOW, F.col("count")).otherwise(0))
-    tokens_seen = words.groupBy("token").agg(blocked.alias("b"), allowed.alias("a"), F.sum("count").alias("times"))
-    seen = {r["token"]: (r["b"], r["a"]) for r in most_frequent(tokens_seen, "token", "times", most)}
-    for seed in SEEDS:
-        b, a = seen.get(f"h:{seed}", (0, 0))
-        seen[f"h:{seed}"] = (b + SEED_COUNT, a)
-    b_total, a_total = (sum(x[i] for x in seen.values()) + len(seen) for i in (0, 1))
-    weights = {t: math.log((b + 1) / b_total) - math.log((a + 1) / a_total) for t, (b, a) in seen.items()}
-    b_pages, a_pages = decided.agg(blocked, allowed).first()
-    return UrlModel(segmenter, weights, math.log(((b_pages or 0) + 1) / ((a_pages or 0) + 1)))
+    blocked, allowed = (F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)).alias(n) for v, n in ((BLOCK, "b"), (ALLOW, "a")))
+    decided = materialize(decided.groupBy("host", "path").agg(blocked, allowed))
+    tokens = url_tokens(decided.select("host", "path"), counts, total).join(decided, ["host", "path"]).select("token", "b", "a")
+    seeds = pages.sparkSession.createDataFrame([(f"h:{s}", SEED_COUNT, 0) for s in SEEDS], "token string, b long, a long")
+    seen = materialize(tokens.unionByName(seeds).groupBy("token").agg(F.sum("b").alias("b"), F.sum("a").alias("a")))
+    b_total, a_total, n = seen.agg(F.sum("b"), F.sum("a"), F.count("*")).first()
+    weights = seen.select("token", (F.log((F.col("b") + 1) / float(b_total + n)) - F.log((F.col("a") + 1) / float(a_total + n))).alias("weight"))
+    b_pages, a_pages = decided.agg(F.sum("b"), F.sum("a")).first()
+    return UrlModel(counts, total, weights, math.log(((b_pages or 0) + 1) / ((a_pages or 0) + 1)))
 
 
 def url_verdicts(pages: DataFrame, model: UrlModel, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -173,12 +185,9 @@ def url_verdicts(pages: DataFrame, model: UrlModel, rules: Sequence[Rule] = RULE
 
     host and path are empty for a null URL and for one without `://`; such pages get the model's prior.
     """
-    held = pages.sparkSession.sparkContext.broadcast(model)
-
-    def odds(hosts: pa.Array, paths: pa.Array) -> pa.Array:
-        return pa.array([held.value.odds(h, p) for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True)], pa.float64())
-
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = rows.select("*", rule_of(F.col("host"), F.col("path"), rules).alias("found"), F.arrow_udf(odds, "double")("host", "path").alias("block_odds"))
+    scored = url_tokens(rows.select("host", "path").distinct(), model.words, model.total).join(model.weights, "token").groupBy("host", "path").agg(F.sum("weight").alias("odds"))
+    rows = rows.join(scored, ["host", "path"], "left")
+    rows = rows.select("page_id", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("found"), (F.lit(model.prior) + F.coalesce("odds", F.lit(0.0))).alias("block_odds"))
     verdict = F.coalesce("found.verdict", F.when(F.col("block_odds") > 0, BLOCK).otherwise(ALLOW))
     return rows.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "block_odds")

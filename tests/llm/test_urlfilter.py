@@ -54,3 +54,16 @@ def test_segmentation():
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_verdicts(pages, fit_url_model(pages)).count() == 0
+
+
+def test_all_words_and_tokens_count(spark):
+    """50,400 equally frequent words and tokens: each of them is known and in the totals."""
+    name = lambda i: "".join("abcdefghijklmnopqrstuvwxyz"[i // 26**k % 26] for k in range(4)) + "qx"
+    n = 50_400
+    rows = [(i, f"http://{name(i)}.example.org/es/", name(i)) for i in range(n)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    model = fit_url_model(pages)
+    assert model.total == model.words.count() == n
+    tokens = {r["token"]: r["weight"] for r in model.weights.collect()}
+    assert all(f"h:{name(i)}" in tokens for i in range(n))
+    assert {r["block_odds"] > model.prior for r in url_verdicts(pages, model).collect()} == {True}
