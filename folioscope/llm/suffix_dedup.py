@@ -107,7 +107,7 @@ def minimizer_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int
 def previous_factor(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """For positions in order of precedence, whether LPF reaches `length`: the same string starts at an earlier one.
 
-    Positions are ranked by their first 8 bytes, then by twice as many until `length` is reached; those
+    Positions are ranked by their first 8 bytes, then by 8 more at a time until `length` is reached; those
     that are already alone drop out of the order. Ties end in order of precedence.
     """
     live = np.arange(len(starts))
