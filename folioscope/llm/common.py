@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Base of the polynomial hashes; odd, so that it has an inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
 #: Positions that a rolling hash takes at once.
 PIECE = 1 << 19
 
@@ -65,6 +63,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """The name, with underscores after it until no other column has it; Spark doesn't tell capitals apart."""
+    folded = {t.casefold() for t in taken}
+    while name.casefold() in folded:
+        name += "_"
+    return name
+
+
 def is_held_out(doc_id: Column) -> Column:
     """The fold that no model may learn from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -130,6 +136,37 @@ def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
 
 # ---------------------------------------------------------------- hashes
 
+#: The prime 2**61 - 1 that span hashes are taken modulo, and the base of their polynomials. A power of two as modulus
+#: would be quicker, but lets some long strings of a regular pattern collide whatever the base.
+PRIME = (1 << 61) - 1
+P61 = U64(PRIME)
+BASE = 0x9E3779B97F4A7C15 % PRIME
+INVERSE = pow(BASE, -1, PRIME)
+#: An odd base for the window hashes that only bring equal strings together, modulo 2**64.
+WINDOW_BASE = 0x9E3779B97F4A7C15
+LOW31, LOW30, LOW29 = U64((1 << 31) - 1), U64((1 << 30) - 1), U64((1 << 29) - 1)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit values modulo the prime."""
+    x = (x & P61) + (x >> U64(61))
+    return np.where(x >= P61, x - P61, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, of values below it: from halves of 31 bits."""
+    a_high, a_low, b_high, b_low = a >> U64(31), a & LOW31, b >> U64(31), b & LOW31
+    middle = a_low * b_high + a_high * b_low
+    return reduced(a_high * b_high * U64(2) + (middle >> U64(30)) + ((middle & LOW30) << U64(31)) + a_low * b_low)
+
+
+def prime_powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo the prime."""
+    out = np.ones(1, U64)
+    while len(out) < n:
+        out = np.concatenate((out, times(out, np.full(1, pow(base, len(out), PRIME), U64))))
+    return out[:n]
+
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
@@ -138,15 +175,16 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+@cache
+def span_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo the prime, for a piece and its end."""
+    return prime_powers(BASE, PIECE + 1), prime_powers(INVERSE, PIECE + 1)
 
 
-def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse; kept for the length of a piece."""
-    if n not in _POW:
-        _POW.clear()
-        _POW[n] = powers(BASE, n), powers(INVERSE, n)
-    return _POW[n]
+@cache
+def window_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the window base and of its inverse modulo 2**64, for a piece and its end."""
+    return powers(WINDOW_BASE, PIECE + 1), powers(pow(WINDOW_BASE, -1, 1 << 64), PIECE + 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -159,28 +197,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class PieceSums:
+    """Sums of codes times powers of the base over at most PIECE codes; exact, in two halves of the powers."""
+
+    def __init__(self, codes: np.ndarray):
+        power, n = span_tables()[0], len(codes)
+        wide = codes.astype(U64)
+        self.low, self.high = np.zeros(n + 1, U64), np.zeros(n + 1, U64)
+        np.cumsum(wide * (power[:n] & U64(0xFFFFFFFF)), out=self.low[1:])  # below 2**59
+        np.cumsum(wide * (power[:n] >> U64(32)), out=self.high[1:])  # below 2**56
+
+    def between(self, starts, ends) -> np.ndarray:
+        """Sums over codes[start:end] modulo the prime."""
+        high = self.high[ends] - self.high[starts]
+        return reduced(((high & LOW29) << U64(32)) + (high >> U64(29)) + (self.low[ends] - self.low[starts]))
+
+
+def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each `width` consecutive codes, of at most PIECE codes, to bring equal ones together."""
+    forward, back = window_tables()
+    sums = np.zeros(len(codes) + 1, U64)
+    np.cumsum(codes.astype(U64) * forward[: len(codes)], out=sums[1:])
+    return mix((sums[width:] - sums[:-width]) * back[: max(0, len(codes) - width + 1)])
+
+
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of codes[start:end] for each span, in pieces: temporary arrays don't grow with the text."""
-    forward, back = power_tables(PIECE)
-    n, total = len(codes), U64(0)
-    at_start, at_end = np.zeros(len(starts), U64), np.zeros(len(ends), U64)
-    norm = np.ones(len(starts), U64)
-    scale, unscale = 1, 1
-    step, unstep = pow(BASE, PIECE, 1 << 64), pow(INVERSE, PIECE, 1 << 64)
-    for lo in range(0, n, PIECE):
-        hi = min(n, lo + PIECE)
-        sums = np.zeros(hi - lo + 1, U64)
-        np.cumsum(codes[lo:hi].astype(U64) * forward[: hi - lo], out=sums[1:])
-        sums *= U64(scale)
-        sums += total
-        a, b = np.searchsorted(starts, (lo, hi))
-        at_start[a:b] = sums[starts[a:b] - lo]
-        norm[a:b] = back[starts[a:b] - lo] * U64(unscale)
-        a, b = np.searchsorted(ends, (lo, hi), "right")
-        at_end[a:b] = sums[ends[a:b] - lo]
-        total = sums[-1]
-        scale, unscale = scale * step % (1 << 64), unscale * unstep % (1 << 64)
-    return mix((at_end - at_start) * norm + (ends - starts).astype(U64))
+    """Hash of codes[start:end] for each span, modulo the prime and of the length; spans are in order and don't overlap.
+
+    Works in pieces: temporary arrays don't grow with the text. A span's parts in several pieces add up.
+    """
+    back = span_tables()[1]
+    total = np.zeros(len(starts), U64)
+    for lo in range(0, len(codes), PIECE):
+        hi = min(len(codes), lo + PIECE)
+        a, b = int(np.searchsorted(ends, lo, "right")), int(np.searchsorted(starts, hi))  # spans with a part within
+        if a >= b:
+            continue
+        begin, end = np.maximum(starts[a:b], lo), np.minimum(ends[a:b], hi)
+        part = times(PieceSums(codes[lo:hi]).between(begin - lo, end - lo), back[begin - lo])
+        if begin[0] > starts[a]:  # a span that began in an earlier piece: the part counts from the span's start
+            part[:1] = times(part[:1], np.full(1, pow(BASE, int(begin[0] - starts[a]), PRIME), U64))
+        total[a:b] = reduced(total[a:b] + part)
+    return mix(total ^ (ends - starts).astype(U64) << U64(40))
 
 
 # ---------------------------------------------------------------- words

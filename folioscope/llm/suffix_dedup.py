@@ -8,15 +8,18 @@ them: strings that are equal have the same minimizer (the smallest hash of the `
 within), so runs of positions with one minimizer meet in one place, and suffix order is needed only
 among runs that share a minimizer and differ.
 
-1. Texts that equal an earlier document's whole text are told by their hashes and sizes.
-2. The rest become runs: (minimizer, hash of the run's bytes, document, start, count).
-3. Runs whose bytes equal an earlier run's are repeats as a whole. The first run of each kind, where
-   other kinds share the minimizer, fetches its bytes.
-4. Runs with one minimizer are put into suffix order by prefix doubling, up to `length` bytes; among
-   equal prefixes the smaller position comes first, so the previous smaller position is the neighbour
-   above, with an LPF of `length` at least exactly if the prefixes are equal. A minimizer with very many
-   kinds of runs is split by the hash of the string itself.
-5. The repeated positions of each document cut its text.
+1. Texts that equal an earlier document's whole text are told by two hashes and their sizes.
+2. The rest become runs: (minimizer, hash of the run's bytes, document, start, count). Only those whose
+   minimizer occurs again go on: minimizers are counted first, with partial sums in every task.
+3. Runs whose bytes equal an earlier run's are repeats as a whole: groups of equal runs are reduced to
+   their first, which is joined back. The firsts, where other kinds share the minimizer, fetch their bytes.
+4. Runs with one minimizer are put into suffix order by prefix doubling. Where neighbours in that order
+   share `length` bytes, the nearest neighbours above and below with smaller positions give LPF, and a
+   position with an LPF of `length` or more is a repeat.
+5. A minimizer with very many kinds of runs is split by the hash of the string and dealt over blocks; what
+   is first in its block meets the firsts of the other blocks in a second round, so that no task holds
+   the whole group, even of one string that very many different runs contain.
+6. The repeated positions of each document cut its text.
 """
 
 from __future__ import annotations
@@ -27,15 +30,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import PIECE, U64, group_starts, materialize, mix, power_tables, slabs, small_batches, text_bytes, whole_groups
+from folioscope.llm.common import PIECE, U64, PieceSums, group_starts, materialize, mix, slabs, small_batches, span_tables, text_bytes, times, whole_groups, window_hashes
 
 LENGTH = 100
 #: Bytes of the substrings whose smallest hash brings equal strings together.
 GRAM = 32
-#: Kinds of runs that one group of a minimizer holds before it is split by string hash.
+#: Kinds of runs that one group of a minimizer holds before it is split.
 GROUP = 4096
 #: Bits of a packed position that count a run's strings.
 COUNT_BITS = 22
@@ -52,13 +55,13 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
-def minimizer_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
+def minimizer_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, *, prints: bool = True) -> dict[str, np.ndarray]:
     """Runs of consecutive string starts with one minimizer, never across rows.
 
-    key: the minimizer; print: hash of the bytes that the run's strings cover; row, start and count;
-    twice: whether the minimizer occurs at several places in the run.
+    key: the minimizer; print: hash of the bytes that the run's strings cover (0 without prints); row, start and
+    count; twice: whether the minimizer occurs at several places in the run.
     """
-    forward, back = power_tables(PIECE)
+    back = span_tables()[1]
     gram = min(gram, length)
     n, step = len(data), PIECE - length
     row_end = offsets[1:]
@@ -68,9 +71,7 @@ def minimizer_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int
         m = hi - lo - length + 1
         if m <= 0:
             break
-        sums = np.zeros(hi - lo + 1, U64)
-        np.cumsum(data[lo:hi].astype(U64) * forward[: hi - lo], out=sums[1:])
-        grams = mix((sums[gram:] - sums[:-gram]) * back[: hi - lo - gram + 1])
+        grams = window_hashes(data[lo:hi], gram)
         low = U64((1 << 20) - 1)
         where = (_sliding_min(grams & ~low | np.arange(len(grams), dtype=U64), length - gram + 1) & low).astype(np.int64)[:m]
         m = min(m, step)
@@ -96,7 +97,10 @@ def minimizer_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int
         begin, end = first[head], last[np.concatenate((head[1:], [len(first)])) - 1]
         stop = end + length - 1
         out["key"].append(key[head])
-        out["print"].append(mix((sums[stop] - sums[begin]) * back[begin] + (stop - begin).astype(U64)))
+        if not prints:
+            out["print"].append(np.zeros(len(begin), U64))
+        else:
+            out["print"].append(mix(times(PieceSums(data[lo:hi]).between(begin, stop), back[begin]) ^ (stop - begin).astype(U64) << U64(40)))
         out["row"].append(row[begin])
         out["start"].append(begin + lo - offsets[row[begin]])
         out["count"].append(end - begin)
@@ -104,44 +108,110 @@ def minimizer_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int
     return {k: np.concatenate(v) if v else np.zeros(0, U64 if k in ("key", "print") else np.int64) for k, v in out.items()}
 
 
-def previous_factor(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """For positions in order of precedence, whether LPF reaches `length`: the same string starts at an earlier one.
+class SuffixOrder:
+    """Order of the suffixes of fragments by their first 8, 16, 32 ... bytes, `length` or more; no suffix goes beyond its fragment.
 
-    Positions are ranked by their first 8 bytes, then by 8 more at a time until `length` is reached; those
-    that are already alone drop out of the order. Ties end in order of precedence.
+    ranks[k][p] is the place of position p by its first 8 * 2**k bytes: equal exactly if those bytes are,
+    or if both fragments end before and are equal up to there.
     """
-    live = np.arange(len(starts))
-    words = np.zeros(len(data), U64)
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    for k in range(8):
-        words = words << U64(8) | padded[k : k + len(data)].astype(U64)
-    have = 0
-    rank = np.zeros(len(starts), np.int64)
-    for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 and length > 8 else [])]:
-        own = words[starts[live] + at]
-        if length < 8:
-            own = own >> U64(8 * (8 - length))
-        order = np.lexsort((own, rank[live]))  # stable: ties stay in order of precedence
-        r, o = rank[live][order], own[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (r[1:] != r[:-1]) | (o[1:] != o[:-1])
-        group = np.cumsum(new) - 1
-        size = np.bincount(group)
-        keep = size[group] > 1
-        kept = np.sort(order[keep])
-        fresh = np.zeros(len(live), np.int64)
-        fresh[order] = group
-        rank[live] = fresh
-        live = live[kept]
-        have = at + 8
-        if not len(live):
-            break
-    repeated = np.zeros(len(starts), bool)
-    if len(live):
-        order = np.argsort(rank[live], kind="stable")
-        r = rank[live][order]
-        repeated[live[order[1:]]] = r[1:] == r[:-1]  # the previous smaller position shares the prefix
-    return repeated
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray, length: int):
+        self.left = (ends - np.arange(len(data))).astype(np.int64)  # bytes up to the end of the fragment
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        self.words = np.zeros(len(data), U64)
+        for k in range(8):
+            self.words = self.words << U64(8) | np.where(self.left > k, padded[k : k + len(data)], 0).astype(U64)
+        order = np.lexsort((np.minimum(self.left, 8), self.words))
+        w, left = self.words[order], np.minimum(self.left, 8)[order]
+        self.ranks = [self._ranked(order, (w[1:] != w[:-1]) | (left[1:] != left[:-1]))]
+        size = 8
+        while size < length:
+            rank = self.ranks[-1].astype(np.int64)
+            after = np.zeros(len(data), np.int64)  # 0 where the fragment ends
+            after[: max(0, len(data) - size)] = rank[size:]
+            both = rank << 32 | np.where(self.left > size, after, 0)
+            order = np.argsort(both, kind="stable")
+            both = both[order]
+            self.ranks.append(self._ranked(order, both[1:] != both[:-1]))
+            size *= 2
+
+    @staticmethod
+    def _ranked(order: np.ndarray, new: np.ndarray) -> np.ndarray:
+        out = np.empty(len(order), np.int32)
+        out[order] = np.concatenate((np.ones(min(1, len(order)), np.int64), np.cumsum(new) + 1))
+        return out
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bytes that the suffixes at positions a and b share at their beginning, as far as they are ordered."""
+        most = np.minimum(self.left[a], self.left[b])
+        out = np.zeros(len(a), np.int64)
+        for k in range(len(self.ranks) - 1, -1, -1):
+            open_ = np.flatnonzero(out < most)
+            same = self.ranks[k][a[open_] + out[open_]] == self.ranks[k][b[open_] + out[open_]]
+            out[open_[same]] += 8 << k
+        open_ = np.flatnonzero(out < most)
+        apart = self.words[a[open_] + out[open_]] ^ self.words[b[open_] + out[open_]]
+        for k in range(8):
+            apart_at = (apart >> U64(56 - 8 * k)) > 0
+            out[open_[~apart_at]] += 1
+        return np.minimum(out, most)
+
+
+def nearest_smaller(places: np.ndarray, common: np.ndarray, reach: int) -> np.ndarray:
+    """Bytes shared with the nearest element above that has a smaller place, in suffix order; 0 where there is none.
+
+    places: positions in order of precedence, of suffixes in order; common: bytes that each shares with
+    the one above. Looks at most 2**k >= reach elements back, by halving steps over tables of minima.
+    """
+    n, levels = len(places), max(1, int(reach).bit_length())
+    lowest, least = [places], [common]
+    for k in range(levels - 1):
+        p, c = lowest[-1].copy(), least[-1].copy()
+        step = 1 << k
+        p[step:] = np.minimum(p[step:], lowest[-1][:-step])
+        c[step:] = np.minimum(c[step:], least[-1][:-step])
+        lowest.append(p)
+        least.append(c)
+    at, shared = np.arange(n) - 1, common.copy()
+    for k in range(levels - 1, -1, -1):
+        go = np.flatnonzero(at >= (1 << k) - 1)
+        go = go[lowest[k][at[go]] > places[go]]
+        shared[go] = np.minimum(shared[go], least[k][at[go]])
+        at[go] -= 1 << k
+    found = at >= 0
+    found[found] = places[at[found]] < places[found]
+    return np.where(found, shared, 0)
+
+
+def longest_previous_factors(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """LPF of positions that are given in order of precedence: the bytes that each shares with the most similar earlier one.
+
+    Values below `length` are reported as 0, and those above as far as the suffixes are ordered. ends: of
+    the fragment that each byte belongs to.
+    """
+    out = np.zeros(len(starts), np.int64)
+    if len(starts) < 2:
+        return out
+    suffixes = SuffixOrder(data, ends, length)
+    order = np.argsort(suffixes.ranks[-1][starts], kind="stable")  # ties in order of precedence
+    common = np.zeros(len(order), np.int64)
+    common[1:] = suffixes.common(starts[order[:-1]], starts[order[1:]])
+    close = common >= length  # beyond a pair that is not, LPF is smaller
+    kept = close | np.concatenate((close[1:], [False]))
+    places, common = order[kept].astype(np.int32), np.where(close, common, 0)[kept].astype(np.int32)
+    if not len(places):
+        return out
+    heads = np.flatnonzero(common == 0)
+    reach = int(np.diff(np.concatenate((heads, [len(places)]))).max())
+    above = nearest_smaller(places, common, reach)
+    below = nearest_smaller(places[::-1], np.concatenate(([0], common[:0:-1])).astype(np.int32), reach)[::-1]
+    out[places] = np.maximum(above, below)
+    return out
+
+
+def previous_factor(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """For positions of one text in order of precedence, whether LPF reaches `length`: the same string starts at an earlier one."""
+    return longest_previous_factors(data, np.full(len(data), len(data)), starts, length) >= length
 
 
 def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,20 +233,39 @@ def _runs_of(length: int, gram: int):
     return runs
 
 
+def _keys_of(length: int, gram: int):
+    """How often each minimizer has runs, counted per slab of text, and whether it occurs twice in one."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("body"))
+            for lo, hi in slabs(offsets, PIECE):
+                found = minimizer_runs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length, gram, prints=False)
+                key, at, many = np.unique(found["key"], return_inverse=True, return_counts=True)
+                twice = np.bincount(at, found["twice"].astype(float), len(key)) > 0
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(many.astype(np.int64)), pa.array(twice.astype(np.int64))], names=["key", "times", "twice"])
+
+    return keys
+
+
 def _string_hashes(fragment: np.ndarray, length: int) -> np.ndarray:
-    """A hash of each `length` bytes of a fragment; fragments are short or split by the caller."""
-    out = []
-    forward, back = power_tables(PIECE)
-    for lo in range(0, max(1, len(fragment) - length + 1), PIECE - length + 1):
-        part = fragment[lo : lo + PIECE]
-        sums = np.zeros(len(part) + 1, U64)
-        np.cumsum(part.astype(U64) * forward[: len(part)], out=sums[1:])
-        out.append(mix((sums[length:] - sums[:-length]) * back[: len(part) - length + 1]))
-    return np.concatenate(out)
+    """A hash of each `length` bytes of a fragment."""
+    step = PIECE - length + 1
+    return np.concatenate([window_hashes(fragment[lo : lo + PIECE], length) for lo in range(0, max(1, len(fragment) - length + 1), step)])
+
+
+#: Strings of a run, for suffix order; splits: parts of its minimizer's group by string hash, and blocks of each part.
+FRAGMENT = "key long, part long, block long, splits long, id long, start long, fragment binary"
+FRAGMENT_ARROW = pa.schema([(c, pa.int64()) for c in ("key", "part", "block", "splits", "id", "start")] + [("fragment", pa.binary())])
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _fragments_of(length: int):
-    """Bytes of the runs that need suffix order; runs of a large group go to each split that has one of their strings."""
+    """Bytes of the runs that need suffix order; runs of a large group go to each part that has one of their strings."""
 
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,35 +276,38 @@ def _fragments_of(length: int):
             for r, runs in enumerate(batch.column("runs")):
                 text = data[offsets[r] : offsets[r + 1]]
                 for run in runs.as_py() or ():
-                    if not run["splits"]:
+                    splits = run["splits"]
+                    if not splits:
                         continue
-                    start, count = run["place"] >> COUNT_BITS, (run["place"] & (1 << COUNT_BITS) - 1) >> 1
+                    start, count = run["place"] >> COUNT_BITS, _count(run["place"])
                     fragment = text[start : start + count + length - 1]
-                    parts = np.unique(_string_hashes(fragment, length) % U64(run["splits"])).tolist() if run["splits"] > 1 else [0]
+                    parts = np.unique(_string_hashes(fragment, length) % U64(splits)).tolist() if splits > 1 else [0]
                     for part in parts:
-                        rows.append((run["key"], part, run["splits"], ids[r], start, fragment.tobytes()))
+                        rows.append((run["key"], part, (ids[r] + start) % splits, splits, ids[r], start, fragment.tobytes()))
                         size += len(fragment)
                     if size > 1 << 24:
-                        yield _fragment_batch(rows)
+                        yield _rows(rows, FRAGMENT_ARROW)
                         rows, size = [], 0
-            yield _fragment_batch(rows)
+            yield _rows(rows, FRAGMENT_ARROW)
 
     return fragments
 
 
-def _fragment_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "part", "splits", "id", "start", "fragment"])
+#: Repeated ranges (fragment null), and what is first in its block of a split group.
+FOUND = "key long, part long, id long, place long, fragment binary"
+FOUND_ARROW = pa.schema([(c, pa.int64()) for c in ("key", "part", "id", "place")] + [("fragment", pa.binary())])
+
 
+def _repeats_of(length: int, groups: list[str]):
+    """Repeated positions of fragments, group by group in suffix order: packed ranges of string starts.
 
-def _repeats_of(length: int):
-    """Repeated positions of fragments, group by group in suffix order: packed ranges of string starts."""
+    Of groups that are dealt over blocks, those strings follow that are in a block's own part and first there.
+    """
 
     def order(table: pa.Table) -> pa.RecordBatch:
         data, offsets = text_bytes(table.column("fragment"))
         ids, begin = table.column("id").to_numpy(), table.column("start").to_numpy()
-        splits, part = table.column("splits").to_numpy(), table.column("part").to_numpy()
+        splits, part, key = (table.column(c).to_numpy() for c in ("splits", "part", "key"))
         counts = np.diff(offsets) - length + 1
         bases = np.cumsum(counts) - counts
         row = np.repeat(np.arange(len(counts)), counts)
@@ -226,20 +318,30 @@ def _repeats_of(length: int):
             owned[bases[r] : bases[r] + counts[r]] = _string_hashes(data[offsets[r] : offsets[r + 1]], length) % U64(splits[r]) == part[r]
         order = np.flatnonzero(owned)
         order = order[np.lexsort((begin[row[order]] + within[order], ids[row[order]]))]  # precedence: document, then start
-        repeated = np.zeros(len(row) + 1, bool)
-        repeated[order] = previous_factor(data, starts[order], length)
-        flags = np.zeros(len(row) + len(counts), bool)  # a gap after each fragment
-        flags[np.arange(len(row)) + row] = repeated[:-1]
-        lo, hi = _spans(flags)
-        gapped = bases + np.arange(len(counts))
-        of = np.searchsorted(gapped, lo, "right") - 1
-        place = begin[of] + lo - gapped[of] << COUNT_BITS | hi - lo << 1
-        return pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(place)], names=["id", "place"])
+        repeated = np.zeros(len(row), bool)
+        repeated[order] = longest_previous_factors(data, np.repeat(offsets[1:], np.diff(offsets)), starts[order], length) >= length
+
+        def ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Row, first string and number of strings of each run of flags."""
+            gapped = np.zeros(len(row) + len(counts), bool)  # a gap after each fragment
+            gapped[np.arange(len(row)) + row] = flags
+            lo, hi = _spans(gapped)
+            heads = bases + np.arange(len(counts))
+            of = np.searchsorted(heads, lo, "right") - 1
+            return of, lo - heads[of], hi - lo
+
+        of, first, many = ranges(repeated)
+        on, lead, more = ranges(owned & ~repeated & (splits > 1)[row])
+        texts = [data[offsets[r] + a : offsets[r] + a + n + length - 1].tobytes() for r, a, n in zip(on, lead, more, strict=True)]
+        both = np.concatenate((of, on))
+        place = begin[both] + np.concatenate((first, lead)) << COUNT_BITS | np.concatenate((many, more)) << 1
+        columns = [pa.array(key[both]), pa.array(part[both]), pa.array(ids[both]), pa.array(place), pa.array([None] * len(of) + texts, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, schema=FOUND_ARROW)
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["key", "part"], 1 << 14):
+        for table in whole_groups(batches, groups, 1 << 14):
             size = np.cumsum(pa.compute.binary_length(table.column("fragment")).to_numpy())
-            starts = group_starts(table, ["key", "part"])
+            starts = group_starts(table, groups)
             lo = 0
             while lo < table.num_rows:
                 base = size[lo - 1] if lo else 0
@@ -252,6 +354,10 @@ def _repeats_of(length: int):
     return repeats
 
 
+def _ordered(fragments: DataFrame, groups: list[str], length: int) -> DataFrame:
+    return fragments.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(_repeats_of(length, groups), FOUND)
+
+
 CUT = "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept_sha256:string,kept:binary,text:string>"
 CUT_ARROW = [pa.field("n_bytes", pa.int64()), pa.field("n_removed", pa.int64()), pa.field("n_spans", pa.int64()), pa.field("kept_sha256", pa.string()), pa.field("kept", pa.binary()), pa.field("text", pa.string())]
 
@@ -313,29 +419,35 @@ def cut_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, with
         raise ValueError("strings of fewer than 8 bytes aren't supported")
     small_batches(docs.sparkSession)
     body, doc = F.col("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    mark = F.xxhash64(F.coalesce(body, F.lit("")))
+    plain = F.coalesce(body, F.lit(""))
+    mark = F.xxhash64(plain)
     others = [c for c in docs.columns if c != "text"]
     texts = docs.select(F.struct(*others).alias("rest"), body.alias("body"), doc.alias("doc"), mark.alias("mark")).repartition("doc", "mark")
 
     # One row per document, numbered in order of precedence; written, as a range partitioning made anew may number otherwise.
-    slim = docs.select(doc.alias("doc"), mark.alias("mark"), F.octet_length(F.coalesce(body, F.lit(""))).alias("size")).distinct()
+    slim = docs.select(doc.alias("doc"), mark.alias("mark"), F.xxhash64(F.lit("other"), plain).alias("mark2"), F.octet_length(plain).alias("size")).distinct()
     numbered = materialize(slim.repartitionByRange("doc", "mark").sortWithinPartitions("doc", "mark").withColumn("id", F.monotonically_increasing_id()))
-    firsts = numbered.groupBy("mark", "size").agg(F.min("id").alias("first"))
-    known = numbered.join(firsts, ["mark", "size"]).select("doc", "mark", "size", "id", (F.col("id") > F.col("first")).alias("copy"))
-
-    fresh = texts.join(known.where(~F.col("copy") & (F.col("size") >= length)).select("doc", "mark", "id"), ["doc", "mark"])
-    runs = fresh.select("rest", "body", "id").mapInArrow(_runs_of(length, gram), "key long, print long, id long, place long").repartition("key")
-    kind, shared = Window.partitionBy("key", "print").orderBy("id", "place"), Window.partitionBy("key")
-    ranked = runs.select("*", (F.row_number().over(kind) == 1).alias("leads"))
-    ranked = ranked.select("*", F.sum(F.col("leads").cast("int")).over(shared).alias("kinds"), F.max(F.col("place").bitwiseAND(F.lit(1))).over(shared).alias("twice"))
-    wanted = ranked.where(~F.col("leads") | (F.col("kinds") > 1) | (F.col("twice") == 1))
-    wanted = wanted.select("id", "place", "key", F.when(F.col("leads"), F.ceil(F.col("kinds") / GROUP)).otherwise(0).cast("long").alias("splits"))
-    by_doc = wanted.groupBy("id").agg(F.collect_list(F.struct("place", "key", "splits")).alias("runs"))
+    # Tables that are joined back to rows of which one group may hold very many are written first: so Spark can split such a group.
+    firsts = materialize(numbered.groupBy("mark", "mark2", "size").agg(F.min("id").alias("first"), F.count("*").alias("times")).where("times > 1"))
+    known = numbered.join(firsts, ["mark", "mark2", "size"], "left").select("doc", "mark", "size", "id", F.coalesce(F.col("id") > F.col("first"), F.lit(False)).alias("copy"))
+    known = materialize(known)
+
+    fresh = texts.join(known.where(~F.col("copy") & (F.col("size") >= length)).select("doc", "mark", "id"), ["doc", "mark"]).select("rest", "body", "id")
+    keys = fresh.mapInArrow(_keys_of(length, gram), "key long, times long, twice long").groupBy("key").agg(F.sum("times").alias("times"), F.max("twice").alias("twice"))
+    again = materialize(keys.where("times > 1 OR twice = 1").select("key"))
+    runs = materialize(fresh.mapInArrow(_runs_of(length, gram), "key long, print long, id long, place long").join(again, "key"))
+    kinds = materialize(runs.groupBy("key", "print").agg(F.min(F.struct("id", "place")).alias("lead"), F.max(F.col("place").bitwiseAND(F.lit(1))).alias("twice")))
+    groups = materialize(kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.max("twice").alias("twice")).where("kinds > 1 OR twice = 1"))
+    leads = kinds.join(groups.select("key", "kinds"), "key").select("lead.id", "lead.place", "key", F.ceil(F.col("kinds") / GROUP).cast("long").alias("splits"))
+    later = runs.join(kinds.select("key", "print", "lead"), ["key", "print"]).where(F.struct("id", "place") != F.col("lead")).select("id", "place", "key", F.lit(0).cast("long").alias("splits"))
+    by_doc = materialize(leads.unionByName(later).groupBy("id").agg(F.collect_list(F.struct("place", "key", "splits")).alias("runs")))
     found = by_doc.join(known.select("doc", "mark", "id"), "id")
 
     fetched = texts.join(found, ["doc", "mark"]).select("rest", "body", "id", "runs")
-    fragments = fetched.mapInArrow(_fragments_of(length), "key long, part long, splits long, id long, start long, fragment binary")
-    repeats = fragments.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_repeats_of(length), "id long, place long")
+    fragments = fetched.mapInArrow(_fragments_of(length), FRAGMENT)
+    once = materialize(_ordered(fragments, ["key", "part", "block"], length))
+    second = once.where("fragment IS NOT NULL").select("key", "part", F.lit(0).cast("long").alias("block"), F.lit(1).cast("long").alias("splits"), "id", F.shiftright("place", COUNT_BITS).alias("start"), "fragment")
+    repeats = once.where("fragment IS NULL").select("id", "place").unionByName(_ordered(second, ["key", "part"], length).select("id", "place"))
     ranges = repeats.groupBy("id").agg(F.collect_list("place").alias("ranges"))
     told = known.join(by_doc.join(ranges, "id", "left"), "id", "left")
     whole = F.transform(F.filter("runs", lambda run: run["splits"] == 0), lambda run: run["place"])

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from folioscope.llm import suffix_dedup
-from folioscope.llm.suffix_dedup import minimizer_runs, previous_factor, repeat_report, without_repeats
+from folioscope.llm.suffix_dedup import longest_previous_factors, minimizer_runs, previous_factor, repeat_report, without_repeats
 
 
 def brute(docs, length=100):
@@ -94,3 +94,22 @@ def test_previous_factor():
     text = data.tobytes()
     want = [text[i : i + 10] in {text[j : j + 10] for j in range(i)} for i in starts]
     assert previous_factor(data, starts, 10).tolist() == want
+
+
+def test_longest_previous_factors():
+    r = random.Random(9)
+    fragments = [bytes(r.choice(b"ab") for _ in range(r.choice([30, 45, 70]))) * r.choice([1, 2]) for _ in range(12)] + [b"\0" * 40, b"a" * 60]
+    data, ends = np.frombuffer(b"".join(fragments), np.uint8), np.repeat(np.cumsum([len(f) for f in fragments]), [len(f) for f in fragments])
+    starts = np.flatnonzero(ends - np.arange(len(data)) >= 10)
+    starts = starts[np.random.default_rng(1).permutation(len(starts))]
+    got = longest_previous_factors(data, ends, starts, 10)
+
+    def common(i, j):
+        n = 0
+        while i + n < ends[i] and j + n < ends[j] and data[i + n] == data[j + n]:
+            n += 1
+        return n
+
+    want = [max((common(i, j) for j in starts[:k]), default=0) for k, i in enumerate(starts)]
+    ordered_by = 16  # the first power of two times 8 that is not below 10
+    assert [min(g, ordered_by) for g in got.tolist()] == [min(w, ordered_by) if w >= 10 else 0 for w in want]
