@@ -3,11 +3,14 @@
 1. Texts become sets of hashed five-word shingles; equal sets are one class with a representative.
 2. Banded MinHash values bring candidates together. Each bucket links its members to its smallest id:
    a star, never pairs. Components of stars bound where links can be.
-3. Within a component, representatives are compared in blocks. MinHash values are compared a few at a
+3. Within a component, representatives are compared in blocks. MinHash values are compared some at a
    time; a pair goes as soon as the posterior probability that its similarity reaches the threshold,
    given the matches so far and a uniform prior, falls below the tolerance. The pairs that last are
    verified on their exact sets. Only counts and a spanning forest of the links leave a block.
 4. Components over the verified links are the groups.
+
+Tables that are joined to rows of which one key may hold very many are written first, so that both sides
+of the join are shuffled and Spark can split such a key.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import U64, Words, group_starts, materialize, mix, slabs, small_batches, text_bytes, whole_groups
@@ -27,11 +30,13 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: 26 bands of 4 values miss a pair at the threshold with a probability of about 1e-6.
 BANDS, ROWS = 26, 4
-#: Values compared before each look at the posterior.
-STEP = 8
+#: Values compared before each look at the posterior; fewer than 16 could not drop a pair at this tolerance.
+STEP = 16
 TOLERANCE = 1e-7
-#: Representatives of a component that one block holds.
-BLOCK = 512
+#: Representatives of a component that one block holds, and their shingles (a longer set is a block by itself).
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 19
+#: Rows of a block that are compared with another block at once.
+SLICE = 512
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -81,14 +86,13 @@ def set_prints(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix(sums[1:] - sums[:-1]).view(np.int64)
 
 
-FEATURES = "id long, print long, print2 long, size long, bands array<long>"
+FEATURES = "doc long, mark long, print long, print2 long, size long, bands array<long>"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Set hash and band hashes of each text; none for texts without words."""
+    """Set hashes and band hashes of each text; none for texts without words."""
     for batch in batches:
         data, offsets = text_bytes(batch.column("body"))
-        ids = batch.column("id")
         for lo, hi in slabs(offsets):
             sets, ends = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             values = signatures(sets, ends).astype(U64)
@@ -100,11 +104,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands[:, b] = mixed
             prints = [set_prints(sets, ends), set_prints(mix(sets + U64(1)), ends)]
             full = np.diff(ends) > 0
+            own = [batch.column(c).slice(lo, hi - lo).filter(pa.array(full)) for c in ("doc", "mark")]
             flat = pa.array(bands[full].view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, full.sum() * BANDS + 1, BANDS, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo).filter(pa.array(full)), pa.array(prints[0][full]), pa.array(prints[1][full]), pa.array(np.diff(ends)[full].astype(np.int64)), lists], names=["id", "print", "print2", "size", "bands"]
-            )
+            yield pa.RecordBatch.from_arrays([*own, pa.array(prints[0][full]), pa.array(prints[1][full]), pa.array(np.diff(ends)[full].astype(np.int64)), lists], names=["doc", "mark", "print", "print2", "size", "bands"])
 
 
 @cache
@@ -129,12 +132,13 @@ def similar_pairs(sets: list[np.ndarray], values: np.ndarray, left: np.ndarray,
         matches += a[k][:, None] == b[k][None, :]
     alive = matches >= least_matches(STEP, threshold, tolerance)
     if same:
-        alive &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
+        alive &= left[:, None] < right[None, :]
     sizes = np.array([len(s) for s in sets])
-    small, large = np.minimum(sizes[left][:, None], sizes[right][None, :]), np.maximum(sizes[left][:, None], sizes[right][None, :])
-    alive &= small >= threshold * large - 1e-9
     i, j = np.nonzero(alive)
     seen = matches[i, j]
+    small, large = np.minimum(sizes[left[i]], sizes[right[j]]), np.maximum(sizes[left[i]], sizes[right[j]])
+    keep = small >= threshold * large - 1e-9
+    i, j, seen = i[keep], j[keep], seen[keep]
     for at in range(STEP, len(values), STEP):
         seen = seen + (a[at : at + STEP, i] == b[at : at + STEP, j]).sum(0)
         keep = seen >= least_matches(at + min(STEP, len(values) - at), threshold, tolerance)
@@ -190,7 +194,7 @@ def _links_of(threshold: float, tolerance: float):
     """Blocks of a component against each other: (id, null, weight of links) and (id, other, null) for the forest."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["component", "low", "high"], 2048):
+        for table in whole_groups(batches, ["component", "low", "high"], 1024):
             starts = [*group_starts(table, ["component", "low", "high"]).tolist(), table.num_rows]
             ids, weights = table.column("id").to_numpy(), table.column("copies").to_numpy()
             own, low, high = (table.column(c).to_numpy() for c in ("block", "low", "high"))
@@ -208,7 +212,8 @@ def _links_of(threshold: float, tolerance: float):
                 left, right = (every, every) if same else (np.flatnonzero(own[at] == low[lo]), np.flatnonzero(own[at] == high[lo]))
                 if not len(left) or not len(right):
                     continue
-                i, j = similar_pairs(part, values, left, right, same, threshold, tolerance)
+                found = [similar_pairs(part, values, left[x : x + SLICE], right, same, threshold, tolerance) for x in range(0, len(left), SLICE)]
+                i, j = (np.concatenate(x) for x in zip(*found, strict=True))
                 total = np.bincount(i, weight[j], len(at)) + np.bincount(j, weight[i], len(at))
                 rows += [(int(ids[at[x]]), None, int(total[x])) for x in np.flatnonzero(total)]
                 rows += [(int(ids[at[x]]), int(ids[at[y]]), None) for x, y in _forest(i, j)]
@@ -219,87 +224,112 @@ def _links_of(threshold: float, tolerance: float):
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles of the rows whose set is the expected one."""
+    """The texts' shingles as bytes, beside the other columns."""
     for batch in batches:
         data, offsets = text_bytes(batch.column("body"))
-        rest = [batch.column(c) for c in ("id", "component", "copies", "block", "low", "high")]
+        names = [n for n in batch.schema.names if n != "body"]
         for lo, hi in slabs(offsets):
             sets, ends = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             binary = pa.array([sets[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-            expected = batch.column("print").to_numpy()[lo:hi] == set_prints(sets, ends)
-            yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in rest), binary], names=["id", "component", "copies", "block", "low", "high", "shingles"]).filter(pa.array(expected))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(lo, hi - lo) for n in names), binary], names=[*names, "shingles"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of edges (a, b), a component being its smallest node.
 
     Alternates large-star and small-star rounds until no edge changes: a number of rounds that grows with
-    the logarithm of the nodes. The minimum of a node's neighbours is aggregated before it is joined, so a
-    node with very many edges is no single task's group.
+    the logarithm of the nodes. The minimum of a node's neighbours is aggregated and written before it is
+    joined, so Spark can split a node with very many edges.
     """
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
+
     now = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    while True:
+    before = state(now)
+    while before[0]:
         both = now.union(now.select("b", "a")).toDF("node", "other")
-        low = both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("low", "node").alias("low"))
-        large = both.where("other > node").join(low, "node").select(F.col("low").alias("a"), F.col("other").alias("b")).where("a <> b").distinct()
-        down = large.select(F.col("b").alias("node"), F.col("a").alias("other"))
-        low = down.groupBy("node").agg(F.min("other").alias("low"))
-        small = down.join(low, "node")
-        small = small.select(F.col("low").alias("a"), F.col("other").alias("b")).where("a <> b").union(low.select(F.col("low").alias("a"), F.col("node").alias("b"))).distinct()
-        after = materialize(small)
-        state = [x.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first() for x in (now, after)]
-        now = after
-        if state[0] == state[1]:
+        low = materialize(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("low", "node").alias("low")))
+        large = materialize(both.where("other > node").join(low, "node").select(F.col("low").alias("a"), F.col("other").alias("b")).where("a <> b").distinct())
+        # Each node now has few smaller neighbours: grouped by the larger end, no key is hot.
+        low = large.groupBy("b").agg(F.min("a").alias("low"))
+        small = large.join(low, "b").select(F.col("low").alias("a"), F.col("a").alias("b")).where("a <> b").union(low.select(F.col("low").alias("a"), "b"))
+        now = materialize(small.distinct())
+        after = state(now)
+        if after == before:
             break
+        before = after
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select("a", "a").distinct())
 
 
-def jaccard_groups(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row per distinct non-null doc_id: doc_id, class_id, n_links.
+MARK = ["print", "print2", "size"]
 
-    Documents link if the Jaccard similarity of their sets of five-word shingles is at least the
-    threshold; class_id is the smallest doc_id that links lead to, n_links the number of other documents
-    that the document itself links to, copies included. Texts without words link to nothing, not to each
-    other either. Of rows that repeat a doc_id, one text is taken (that with the smallest hash). Rows with a
-    null doc_id are left out. Only doc_id and text are read.
-    """
+
+def _same_document(left: DataFrame, right: DataFrame) -> Column:
+    return left["doc"].eqNullSafe(right["doc"]) & (left["mark"] == right["mark"])
+
+
+def text_mark(text: Column) -> Column:
+    """What tells the texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def linked(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """One row per distinct document with words, (doc, mark): doc, mark, class_id, n_links, leads (see jaccard_groups)."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body")).where("id IS NOT NULL")
-    features = rows.mapInArrow(_features, FEATURES)
-    features = materialize(features)
-    mark = ["print", "print2", "size"]
-    chosen = features.groupBy("id").agg(F.min(F.struct(*mark)).alias("mark")).select("id", "mark.*")
-    classes = chosen.groupBy(*mark).agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    reps = materialize(classes)
-    members = chosen.join(reps, mark).select("id", "rep", "copies")
-
-    keyed = features.join(reps.select(F.col("rep").alias("id"), *mark), ["id", *mark]).select("id", F.explode("bands").alias("band"))
-    stars = keyed.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band", "low")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), text_mark(F.col("text")).alias("mark"), F.col("text").alias("body"))
+    features = materialize(rows.mapInArrow(_features, FEATURES))
+    # Documents are numbered in ascending doc_id, null last; written, as a range partitioning made anew may number otherwise.
+    order = [F.col("doc").asc_nulls_last(), F.col("mark")]
+    known = features.select("doc", "mark", *MARK).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    known = materialize(known.withColumn("id", F.monotonically_increasing_id()))
+    reps = known.groupBy(*MARK).agg(F.min(F.struct("id", "doc", "mark")).alias("lead"), F.count("*").alias("copies"))
+    reps = materialize(reps.select(F.col("lead.id").alias("rep"), "lead.doc", "lead.mark", "copies", *MARK))
+
+    keyed = features.join(reps, _same_document(features, reps)).select(F.col("rep").alias("id"), F.explode("bands").alias("band"))
+    stars = materialize(keyed.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band", "low"))
     edges = keyed.join(stars, "band").where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
-    parts = materialize(components(edges))
-
-    sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = parts.join(sizes, "component").select(F.col("node").alias("id"), "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
-    placed = placed.join(reps.select(F.col("rep").alias("id"), "copies", "print"), "id")
+    parts = components(edges).join(reps.select(F.col("rep").alias("node"), "doc", "mark", "copies", "size"), "node")
+    parts = materialize(parts.withColumnRenamed("node", "id"))
+
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks")
+    placed = parts.join(materialize(parts.groupBy("component").agg(blocks)), "component").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    sets = rows.join(placed, _same_document(rows, placed)).select("body", "id", "component", "copies", "block", "blocks")
+    sets = sets.mapInArrow(_shingles, "id long, component long, copies long, block long, blocks long, shingles binary")
+    # A text's shingles are made once and go to each pair of blocks that it takes part in.
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with")
-    # One text fetch for each representative; its shingles go to each pair of blocks that it takes part in.
-    fetched = rows.join(placed, "id").select("id", "body", "print", "component", "copies", "block", other)
-    fetched = fetched.select("id", "body", "print", "component", "copies", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
-    sets = fetched.mapInArrow(_shingles, "id long, component long, copies long, block long, low long, high long, shingles binary")
-    dealt = sets.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "id")
+    dealt = sets.select("id", "component", "copies", "block", "shingles", other).select("id", "component", "copies", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "shingles")
+    dealt = dealt.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "id")
     found = materialize(dealt.mapInArrow(_links_of(threshold, tolerance), "id long, other long, links long"))
 
     links = found.where("other IS NULL").groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    told = reps.select(F.col("rep").alias("id")).join(links, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    told = told.select(F.col("id").alias("rep"), F.coalesce("component", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    full = members.join(told, "rep").select(F.col("id").alias("doc_id"), "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    ids = rows.select(F.col("id").alias("doc_id")).distinct()
-    return ids.join(full, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    groups = groups.join(reps.select(F.col("rep").alias("component"), F.col("doc").alias("class_id")), "component").select(F.col("node").alias("rep"), "component", "class_id")
+    told = reps.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(groups, "rep", "left")
+    alone = F.col("component").isNull()
+    told = told.select("rep", *MARK, F.when(alone, F.col("rep")).otherwise(F.col("component")).alias("lead"), F.when(alone, F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+    return known.join(materialize(told), MARK).select("doc", "mark", "class_id", "n_links", (F.col("id") == F.col("lead")).alias("leads"))
+
+
+def jaccard_groups(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links.
+
+    Documents link if the Jaccard similarity of their sets of five-word shingles is at least the
+    threshold; class_id is the smallest doc_id that links lead to, n_links the number of other documents
+    that the document itself links to, copies included. Texts without words link to nothing, not to each
+    other either. Repeated rows are one document; different texts of one doc_id are documents of
+    their own, with a row each. A null doc_id comes after all others: it is a class_id only where no other
+    document is in the class. Only doc_id and text are read.
+    """
+    told = linked(docs, **options)
+    every = docs.select(F.col("doc_id").cast("long").alias("doc"), text_mark(F.col("text")).alias("mark")).distinct()
+    full = every.join(told, _same_document(every, told), "left").select(every["doc"].alias("doc_id"), F.coalesce("class_id", every["doc"]).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return full
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The document with the smallest id of each group; rows with a null doc_id stay."""
-    groups = jaccard_groups(docs, **options)
-    gone = groups.where("doc_id <> class_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest id of each group, with all rows that repeat it; documents without words stay."""
+    told = linked(docs, **options)
+    gone = told.where("NOT leads").select("doc", "mark")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc"), text_mark(F.col("text")).alias("mark"))
+    return rows.join(gone, _same_document(rows, gone), "left_anti").select("row.*")

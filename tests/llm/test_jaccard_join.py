@@ -57,18 +57,37 @@ def test_matches_brute_force(spark, monkeypatch, block):
 
 
 def test_odd_rows(spark, documents, odd_rows):
-    rows = [r for r in odd_rows if r[0] != 9]
-    got = groups(jaccard_groups(documents(rows)))
-    assert got == brute({r[0]: r[1] for r in rows if r[0] is not None}.items())
-    assert got[1] == (1, 1) and got[10] == (1, 1) and got[3] == (3, 0)
-    assert set(groups(jaccard_groups(documents(odd_rows)))) == {r[0] for r in odd_rows} - {None}
+    docs = dict.fromkeys(r[:2] for r in odd_rows)  # repeated rows are one document
+    got = sorted((tuple(r) for r in jaccard_groups(documents(odd_rows)).collect()), key=str)
+    names = {i: d for i, (d, _) in enumerate(sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)))}
+    want = brute([(i, t) for i, (_, t) in enumerate(sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)))])
+    assert got == sorted(((names[i], names[c], n) for i, (c, n) in want.items()), key=str)
+    assert (1, 1, 2) in got and (10, 1, 2) in got and (3, 3, 0) in got  # the text without an id counts
+    assert [g[0] for g in got].count(9) == 2 and [g[0] for g in got].count(None) == 2
+
+
+def test_texts_of_one_id(spark, documents):
+    prose = " ".join(f"w{i}" for i in range(50))
+    docs = documents([(1, prose), (2, "a totally different text of some words"), (2, prose + " more"), (None, prose)])
+    assert sorted((tuple(r) for r in jaccard_groups(docs).collect()), key=str) == [(1, 1, 2), (2, 1, 2), (2, 2, 0), (None, 1, 2)]
+    assert sorted(r["text"] for r in one_of_each(docs).collect()) == ["a totally different text of some words", prose]
+
+
+def test_long_words_of_a_regular_pattern(spark):
+    """Two words that a polynomial hash modulo 2**64 takes for the same, whatever its base."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    docs = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word)]
+    assert groups(jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string"))) == {1: (1, 1), 2: (2, 0), 3: (1, 1)}
 
 
 def test_one_of_each(spark, documents, odd_rows):
     docs = documents(odd_rows)
     kept = one_of_each(docs)
     assert kept.columns == docs.columns
-    assert kept.where("doc_id = 10").count() == 0 and kept.where("doc_id IS NULL").count() == 2
+    assert kept.where("doc_id = 10").count() == 0 and kept.where("doc_id = 1").count() == 2
+    assert kept.where("doc_id IS NULL").count() == 2 and kept.where("doc_id = 9").count() == 2
 
 
 def test_empty_table(spark, documents):
