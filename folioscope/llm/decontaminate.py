@@ -11,20 +11,23 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import U64, Words, materialize, slabs, small_batches, text_bytes
+from folioscope.llm.common import U64, Words, free_name, materialize, slabs, small_batches, text_bytes
 
 WINDOW = 10
-#: Item text, in bytes, that one pass holds in memory; more items take more passes.
+#: Item text, in bytes, that one search holds in memory; more items take more searches over the texts.
 BLOCK_BYTES = 8 << 20
 #: Window ends that one search lane covers.
 LANE = 512
+#: Letters of a word that are compared for all occurrences at once; longer words are compared one by one.
+MOST_STEPS = 64
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 HIT = "struct<n_words:bigint,n_hit:bigint,spans:array<bigint>,items:array<string>>"
@@ -39,10 +42,12 @@ class Patterns:
     """Windows of one length: shift table, suffix buckets, and the words to compare."""
 
     def __init__(self, length: int, windows: list[tuple[bytes, ...]]):
-        self.length, self.block, self.windows = length, min(2, length), [b" ".join(w) for w in windows]
+        self.length, self.block = length, min(2, length)
         flat = [w for window in windows for w in window]
         data = np.frombuffer(b" ".join(flat), np.uint8)
-        self.words = Words(data, np.array([0, len(data)])).hashes.reshape(len(windows), length)
+        own = Words(data, np.array([0, len(data)]))
+        self.codes, self.starts, self.ends = own.codes, own.starts.reshape(-1, length), own.ends.reshape(-1, length)
+        self.words = own.hashes.reshape(len(windows), length)
         self.bits = max(12, int(np.ceil(np.log2(8 * len(windows) * length))))
         self.shift = np.full(1 << self.bits, length - self.block + 1, np.int64)
         for end in range(self.block - 1, length):
@@ -87,13 +92,26 @@ class Patterns:
         for k in range(self.length):
             same &= hashes[first + k] == self.words[which, k]
         first, which = first[same], which[same]
-        sure = np.fromiter((self.equal(words, f, p) for f, p in zip(first, which, strict=True)), bool, len(first))
+        sure = self.equal(words, first, which)
         return first[sure], which[sure]
 
-    def equal(self, words: Words, first: int, pattern: int) -> bool:
-        """Byte comparison of the document's words with the pattern's."""
-        span = words.codes[words.starts[first] : words.ends[first + self.length - 1]].tobytes()
-        return b" ".join(WORD.findall(span)) == self.windows[pattern]
+    def equal(self, words: Words, first: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Direct comparison of the documents' words with the patterns', letter by letter, for all occurrences at once."""
+        sure = np.ones(len(first), bool)
+        for k in range(self.length):
+            begin, size = words.starts[first + k], words.ends[first + k] - words.starts[first + k]
+            other = self.starts[which, k]
+            sure &= size == self.ends[which, k] - other
+            live = np.flatnonzero(sure)
+            at = 0
+            while len(live) and at < MOST_STEPS:
+                live = live[size[live] > at]
+                sure[live] &= words.codes[begin[live] + at] == self.codes[other[live] + at]
+                live = live[sure[live]]
+                at += 1
+            for i in live[size[live] > at]:  # the rest of words that are longer than that
+                sure[i] = (words.codes[begin[i] : begin[i] + size[i]] == self.codes[other[i] : other[i] + size[i]]).all()
+        return sure
 
 
 class Block:
@@ -110,10 +128,9 @@ class Block:
             by_length[len(window)].append(window)
         self.sets = [(Patterns(n, w), [sorted(x for x in owners[k] if x is not None) for k in w]) for n, w in sorted(by_length.items())]
 
-    def scan(self, texts: pa.Array, before: pa.Array | None) -> pa.Array:
-        """One struct a text; `before` holds what earlier blocks found in the same texts."""
+    def scan(self, texts: pa.Array) -> pa.Array:
+        """What each text shares with the items."""
         data, offsets = text_bytes(texts)
-        earlier = before.to_pylist() if before is not None else None
         n_words, n_hit, spans_of, items_of = [], [], [], []
         for lo, hi in slabs(offsets):
             words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])
@@ -123,14 +140,9 @@ class Block:
                 first, which = patterns.search(words)
                 np.add.at(edges, first, 1)
                 np.add.at(edges, first + patterns.length, -1)
-                for row, p in {*zip((np.searchsorted(words.first, first, "right") - 1).tolist(), which.tolist(), strict=True)}:
-                    named[row].update(owners[p])
-            for r in range(hi - lo) if earlier else ():
-                base = int(words.first[r])
-                for a, b in zip(earlier[lo + r]["spans"][::2], earlier[lo + r]["spans"][1::2], strict=True):
-                    edges[base + a] += 1
-                    edges[base + b] -= 1
-                named[r].update(earlier[lo + r]["items"])
+                row = np.searchsorted(words.first, first, "right") - 1
+                for r, p in zip(*np.divmod(np.unique(row * len(owners) + which), len(owners)), strict=True):
+                    named[int(r)].update(owners[p])
             covered = np.cumsum(edges)[:-1] > 0
             total = np.concatenate(([0], np.cumsum(covered)))
             n_words += np.diff(words.first).tolist()
@@ -157,16 +169,30 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) ->
         yield Block([tuple(r) for r in part.collect()])
 
 
-def _passes(held: Broadcast):
-    """The search as Arrow functions: over texts alone, or over texts with what earlier blocks found."""
+def _search(spark: SparkSession, block: Block):
+    held = spark.sparkContext.broadcast(block)
+
+    def search(texts: pa.Array) -> pa.Array:
+        return held.value.scan(texts)
+
+    return F.arrow_udf(search, HIT)
 
-    def first_pass(texts: pa.Array) -> pa.Array:
-        return held.value.scan(texts, None)
 
-    def next_pass(texts: pa.Array, before: pa.Array) -> pa.Array:
-        return held.value.scan(texts, before)
+#: Maximal ranges of a flat sorted list of (from, to) pairs.
+UNITED = """aggregate(array_sort(pairs), cast(array() as array<struct<a:bigint,b:bigint>>), (done, x) ->
+    CASE WHEN size(done) > 0 AND x.a <= element_at(done, -1).b
+         THEN concat(slice(done, 1, size(done) - 1), array(named_struct('a', element_at(done, -1).a, 'b', greatest(element_at(done, -1).b, x.b))))
+         ELSE concat(done, array(x)) END)"""
 
-    return F.arrow_udf(first_pass, HIT), F.arrow_udf(next_pass, HIT)
+
+def _united(found: list[DataFrame]) -> DataFrame:
+    """One row (mark, n_words, n_hit, spans, items) per text of what several searches found in it."""
+    rows = reduce(DataFrame.unionByName, found)
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("hit.spans") / 2).cast("int") - 1), lambda i: F.struct(F.get("hit.spans", 2 * i).alias("a"), F.get("hit.spans", 2 * i + 1).alias("b")))
+    one = rows.groupBy("mark").agg(F.max("hit.n_words").alias("n_words"), F.flatten(F.collect_list(pairs)).alias("pairs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit.items")))).alias("items"))
+    one = one.withColumn("united", F.expr(UNITED))
+    n_hit = F.aggregate("united", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
+    return one.select("mark", F.struct("n_words", n_hit.alias("n_hit"), F.flatten(F.transform("united", lambda x: F.array(x["a"], x["b"]))).alias("spans"), "items").cast(HIT).alias("hit"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, Column]:
@@ -176,23 +202,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     maximal hit ranges of word positions, [from, to)) and items (sorted ids with an occurring window).
     Null and empty texts have no words. Repeated rows and rows of any other columns pass unchanged.
     Items without words match nothing; items with a null id count for hits, but aren't listed; an
-    empty benchmark leaves all documents clean. Items beyond block_bytes are searched in further
-    passes, each over all documents.
+    empty benchmark leaves all documents clean. Items of more than block_bytes are searched in several
+    blocks: each search reads the distinct texts alone and keeps those with hits, which are joined to the documents at last.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    name = "hit"
-    while name in docs.columns:
-        name += "_"
-    out = docs
-    for k, block in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
-        first_pass, next_pass = _passes(spark.sparkContext.broadcast(block))
-        if k == 0:
-            out = out.select("*", first_pass(F.col(text)).alias(name))
-        else:
-            out = materialize(out)  # a pass holds one block
-            out = out.select(*docs.columns, next_pass(F.col(text), F.col(name)).alias(name))
-    return out, F.col(name)
+    name = free_name("hit", docs.columns)
+    blocks = _blocks(benchmark, item_id, item_text, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return docs.select("*", _search(spark, first)(F.col(text)).alias(name)), F.col(name)
+    mark = F.md5(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
+    texts = docs.select(mark.alias("mark"), F.col(text).alias("body"))
+    found = []
+    for block in chain((first, second), blocks):
+        hits = texts.select("mark", _search(spark, block)("body").alias("hit")).where("hit.n_hit > 0")
+        found.append(materialize(hits.groupBy("mark").agg(F.any_value("hit").alias("hit"))))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), mark.alias("mark")).join(materialize(_united(found)), "mark", "left")
+    own = F.struct(_count_words()(F.col("row")[text]).alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    return rows.select("row.*", F.coalesce("hit", own).alias(name)), F.col(name)
+
+
+def _count_words():
+    def count(texts: pa.Array) -> pa.Array:
+        data, offsets = text_bytes(texts)
+        return pa.array([n for lo, hi in slabs(offsets) for n in np.diff(Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1]).first).tolist()], pa.int64())
+
+    return F.arrow_udf(count, "long")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

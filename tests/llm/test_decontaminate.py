@@ -70,3 +70,18 @@ def test_empty_tables(spark, documents, odd_rows):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     assert contamination_report(documents([]), benchmark).count() == 0
     assert {r["contaminated"] for r in contamination_report(documents(odd_rows), benchmark).collect()} == {False}
+
+
+def test_words_that_are_letters_and_long_words(spark):
+    long_word = "ab" * 200
+    docs = [(1, "the " * 300 + long_word), (2, long_word[:-1] + "c"), (3, f"x {long_word} y")]
+    items = [(1, "The"), (2, long_word)]
+    got = contamination_report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert rows(got) == brute(docs, items)
+
+
+def test_names_that_differ_in_capitals(spark):
+    docs = spark.createDataFrame([(1, "some words", "x")], "doc_id long, text string, HIT string")
+    items = spark.createDataFrame([(1, "words")], "item_id long, text string")
+    assert drop_contaminated(docs, items).columns == docs.columns
+    assert drop_contaminated(docs, items).count() == 0
