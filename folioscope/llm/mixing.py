@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import materialize
+from folioscope.llm.common import free_name, materialize
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
 #: Times that a source may be repeated at most.
 MOST = 3
-#: Sources up to which their table is sent to every task; beyond, it is joined by a shuffle.
-BROADCAST_SOURCES = 100_000
+#: Bytes of the table of sources up to which it is sent to every task; beyond, it is joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -69,13 +69,17 @@ def copies(doc_id: Column, rate: Column, seed: str = "mix") -> Column:
 def mixed(docs: DataFrame, *, seed: str = "mix") -> DataFrame:
     """Packed documents with what the mix takes: (row: struct of the columns, size, source_size, target, copies).
 
+    What a source takes differs from its target by the draws alone: its expectation is the target, its standard
+    deviation at most half the root of the sum of its squared sizes, so by little where no document is
+    a large part of its source.
     The source of null is one of its own, after all others. Texts of null and without words have size 0;
     they are copied like the others of their source, or not at all if their source has no words.
     """
     rows = docs.select(F.struct(*docs.columns).alias("row"))
     rows = rows.select("row", word_count(F.col("row.text")).alias("size"))
     targets = source_targets(rows.select(F.col("row.source").alias("source"), "size"))
-    if targets.count() <= BROADCAST_SOURCES:
+    size = targets.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         targets = F.broadcast(targets)
     joined = rows.join(targets, F.col("row.source").eqNullSafe(F.col("source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -91,8 +95,6 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as the mix takes it, numbered from 1 in a last column `copy`."""
     out = mixed(docs)
-    name = "copy"
-    while name in docs.columns:
-        name += "_"
+    name = free_name("copy", docs.columns)
     numbers = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias(name)
     return out.where("copies > 0").select("row", numbers).select(*(F.col("row")[c].alias(c) for c in docs.columns), name)

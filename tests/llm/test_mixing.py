@@ -44,3 +44,11 @@ def test_numbered(spark):
 
     got = numbered(spark.range(1000).repartition(7), F.col("id").desc()).collect()
     assert all(r["number"] == 999 - r["id"] for r in got)
+
+
+def test_names_that_differ_in_capitals(spark):
+    from folioscope.llm.mixing import mix
+
+    docs = spark.createDataFrame([(1, "some words", "a", "x")], "doc_id long, text string, source string, COPY string")
+    out = mix(docs)
+    assert out.columns == ["doc_id", "text", "source", "COPY", "copy_"] and out.collect()[0]["copy_"] == 1
