@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,6 +29,7 @@ RANGE_BYTES, GAP_BYTES = 8 << 20, 64 << 10
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+LINE_ENDS = re.compile("[\r\n]+")
 RECORD_ID = "<urn:x-page:{}>"
 
 INDEX = "page_id long, url string, file string, offset long, length long, payload_digest string, record_type string, refers_to long"
@@ -48,7 +50,7 @@ def _folder(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 def _head(fields: list[tuple[str, object]], block: bytes) -> bytes:
-    lines = ["WARC/1.1", *(f"{k}: {' '.join(str(v).split())}" for k, v in fields if v is not None), f"Content-Length: {len(block)}", "", ""]
+    lines = ["WARC/1.1", *(f"{k}: {LINE_ENDS.sub(' ', str(v))}" for k, v in fields if v is not None), f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
@@ -136,10 +138,13 @@ def write_archives(pages: DataFrame, folder: str, *, least_revisit: int = 0) ->
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("body"))
     rows = rows.withColumn("sha1", F.sha1(F.col("body").cast("binary")))
-    firsts = rows.groupBy("sha1").agg(F.min("page_id").alias("first"))
-    long_enough = F.octet_length("body") >= least_revisit
-    revisit = F.coalesce(long_enough & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
-    typed = rows.join(firsts, "sha1").select("page_id", "url", "body", base32(F.col("sha1")).alias("digest"), "first", revisit.alias("revisit"))
+    # Payloads never travel by their digests, of which one may have very many pages, but with their own pages.
+    digests = rows.select("page_id", "sha1", F.octet_length("body").alias("size")).distinct()
+    firsts = materialize(digests.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).where("times > 1 AND first IS NOT NULL"))
+    revisits = digests.where(F.col("size") >= least_revisit).join(firsts, "sha1").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "sha1", "first")
+    revisits = materialize(revisits)
+    same = rows["page_id"].eqNullSafe(revisits["page_id"]) & (rows["sha1"] == revisits["sha1"])
+    typed = rows.join(revisits, same, "left").select(rows["page_id"], "url", "body", base32(rows["sha1"]).alias("digest"), "first", F.col("first").isNotNull().alias("revisit"))
     files, base = _folder(folder)
     files.create_dir(base)
     return materialize(typed.mapInArrow(_writer(folder), INDEX))

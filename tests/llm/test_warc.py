@@ -63,3 +63,8 @@ def test_damage_is_found():
 
 def test_empty_table(spark):
     assert round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_urls_keep_their_blanks(spark):
+    pages = spark.createDataFrame([(1, "http://a/b  c\td\r\ne", "x")], "page_id long, url string, html string")
+    assert round_trip(pages).first()["url"] == "http://a/b  c\td e"
