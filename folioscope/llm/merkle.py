@@ -7,6 +7,8 @@ equal roots mean equal texts; where roots differ, only branches with differing d
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,22 +60,55 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(left, right)) / (F.size(left) + F.size(right)))
 
 
+def _let(value: Column, build: Callable[[Column], Column]) -> Column:
+    """build(value) with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), build), 1)
+
+
+def _differing(old: Column, new: Column) -> Column:
+    """Struct (head, tail, most) of two digest lists: how many they share at their beginning, at their end without
+    those, and the longer length."""
+    unequal = F.zip_with(old, new, lambda x, y: ~x.eqNullSafe(y))
+    turned = F.zip_with(F.reverse(old), F.reverse(new), lambda x, y: ~x.eqNullSafe(y))
+
+    def build(sizes: Column) -> Column:
+        first = F.coalesce(F.nullif(F.array_position(unequal, True), F.lit(0)) - 1, sizes["most"]).cast("int")
+        last = F.coalesce(F.nullif(F.array_position(turned, True), F.lit(0)) - 1, sizes["most"]).cast("int")
+        return F.struct(first.alias("head"), F.least(last, sizes["least"] - first).alias("tail"), sizes["most"].alias("most"))
+
+    return _let(F.struct(F.greatest(F.size(old), F.size(new)).alias("most"), F.least(F.size(old), F.size(new)).alias("least")), build)
+
+
+def _middle(part: Column) -> Column:
+    """Positions that differ: after the shared beginning and before the shared end."""
+    return F.when(part["head"] < part["most"] - part["tail"], F.sequence(part["head"], part["most"] - part["tail"] - 1)).otherwise(F.array().cast("array<int>"))
+
+
 def edited_paragraphs(before: Column, after: Column) -> Column:
-    """Where two leaf arrays differ: (section, paragraph) positions, from 0, only within sections whose digests differ.
+    """Where two leaf arrays differ: (section, paragraph) positions, from 0.
 
-    Positions are compared in place; those that only one text has count as differing.
+    Goes down the trees: sections that both texts share at their beginning and end are left out by their
+    digests, then, in each section that differs, the paragraphs that are shared so. What is left is compared in
+    place. Where one text has more sections or paragraphs, positions count those of the longer one.
     """
-    old, new = paragraph_digests(before), paragraph_digests(after)
-    sections = F.sequence(F.lit(0), F.greatest(F.size(old), F.size(new)) - 1)
+    empty = F.array().cast("array<string>")
+
+    def branches(trees: Column, sections: Column, i: Column) -> Column:
+        """The paragraphs of a section in both texts; those of the shared end belong to no section that differs."""
+        old, new = (F.when(i < F.size(trees[x]) - sections["tail"], F.get(trees[x], i)).otherwise(empty) for x in ("old", "new"))
+        return F.struct(old.alias("old"), new.alias("new"))
+
+    def places(i: Column, pair: Column, part: Column) -> Column:
+        own = lambda x, p: F.when(p < F.size(pair[x]) - part["tail"], F.get(pair[x], p))
+        differing = F.filter(_middle(part), lambda p: ~own("old", p).eqNullSafe(own("new", p)))
+        return F.transform(differing, lambda p: F.struct(i.alias("section"), p.alias("paragraph")))
 
-    def within(section: Column) -> Column:
-        a, b = F.coalesce(F.get(old, section), F.array().cast("array<string>")), F.coalesce(F.get(new, section), F.array().cast("array<string>"))
-        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b)) - 1), lambda p: ~F.get(a, p).eqNullSafe(F.get(b, p)))
-        return F.when(F.md5(F.array_join(a, "")) == F.md5(F.array_join(b, "")), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(
-            F.transform(places, lambda p: F.struct(section.alias("section"), p.alias("paragraph")))
-        )
+    def sections(trees: Column) -> Column:
+        within = lambda part: F.transform(_middle(part), lambda i: _let(branches(trees, part, i), lambda pair: _let(_differing(pair["old"], pair["new"]), lambda inner: places(i, pair, inner))))
+        digests = [F.transform(trees[x], lambda section: F.md5(F.array_join(section, ""))) for x in ("old", "new")]
+        return F.flatten(_let(_differing(*digests), within))
 
-    return F.flatten(F.transform(sections, within))
+    return _let(F.struct(paragraph_digests(before).alias("old"), paragraph_digests(after).alias("new")), sections)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -81,26 +116,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     as many (or all) of the next document's, in ascending doc_id, after the last the first.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and
-    edited_at, the (section, paragraph) positions of the edit. Null texts are empty. A null doc_id comes first;
-    different texts of one id come in order of their hashes; repeated rows are one document and get equal
-    results; a single document is its own next. Only doc_id and text are read.
+    edited_at, the positions of the edit as `section:paragraph`, comma-joined. Null texts are empty. A null
+    doc_id comes first; different texts of one id come in order of their hashes; repeated rows are one
+    document and get equal results; a single document is its own next. The tree of a text is held in its
+    row while it is worked on: some ten times its bytes. Only doc_id and text are read.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    doc, none = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull()
+    key = ["doc", "none", "mark"]
     # Both uses of the texts need the same columns, so that they are shuffled once.
-    texts = docs.select(body.alias("body"), doc.alias("doc"), F.xxhash64(body).alias("mark")).repartition("doc", "mark")
-    slim = docs.select(doc.alias("doc"), F.xxhash64(body).alias("mark"), F.char_length(body).alias("n")).distinct()
-    ring = materialize(numbered(slim, F.col("doc"), F.col("mark")))
+    texts = docs.select(body.alias("body"), doc.alias("doc"), none.alias("none"), F.xxhash64(body).alias("mark")).repartition(*key)
+    slim = docs.select(doc.alias("doc"), none.alias("none"), F.xxhash64(body).alias("mark"), F.char_length(body).alias("n")).distinct()
+    ring = materialize(numbered(slim, F.desc("none"), F.col("doc"), F.col("mark")))
     n = ring.count()
     # Each document as the next one of another: whose, and how much of it that one takes.
-    asked = ring.select(F.col("doc").alias("of_doc"), F.col("mark").alias("of_mark"), F.floor(F.col("n") / 4).cast("int").alias("take"), ((F.col("number") + 1) % max(n, 1)).alias("number"))
-    asked = ring.select("doc", "mark", "number").join(asked, "number").drop("number")
-    given = texts.join(asked, ["doc", "mark"]).select("body", "of_doc", "of_mark", "take", merkle_leaves(F.col("body")).alias("leaves"))
-    given = given.select(F.col("of_doc").alias("doc"), F.col("of_mark").alias("mark"), "take", F.expr("substring(body, 1, take)").alias("head"), fingerprint(F.col("leaves")).alias("next_fingerprint"))
-    given = given.dropDuplicates(["doc", "mark"])  # repeated rows of the next document
-
-    both = texts.join(given, ["doc", "mark"])
-    doc_id = F.when(F.col("doc") != -(1 << 63), F.col("doc")).cast(docs.schema["doc_id"].dataType)
+    asked = ring.select(*(F.col(k).alias(f"of_{k}") for k in key), F.floor(F.col("n") / 4).cast("int").alias("take"), ((F.col("number") + 1) % max(n, 1)).alias("number"))
+    asked = ring.select(*key, "number").join(asked, "number").drop("number")
+    given = texts.join(asked, key).select("body", *(f"of_{k}" for k in key), "take", merkle_leaves(F.col("body")).alias("leaves"))
+    given = given.select(*(F.col(f"of_{k}").alias(k) for k in key), "take", F.expr("substring(body, 1, take)").alias("head"), fingerprint(F.col("leaves")).alias("next_fingerprint"))
+    given = given.dropDuplicates(key)  # repeated rows of the next document
+
+    both = texts.join(given, key)
+    doc_id = F.when(~F.col("none"), F.col("doc")).cast(docs.schema["doc_id"].dataType)
     both = both.select(doc_id.alias("doc_id"), "body", "next_fingerprint", F.char_length("body").cast("long").alias("n_chars"), F.expr("concat(substring(body, 1, char_length(body) - take), head)").alias("edited"))
     both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "next_fingerprint", merkle_leaves(F.col("body")).alias("leaves"), merkle_leaves(F.col("edited")).alias("edited_leaves"))
     both = both.select("doc_id", "n_chars", "edited_sha256", "next_fingerprint", fingerprint(F.col("leaves")).alias("fingerprint"), fingerprint(F.col("edited_leaves")).alias("edited_fingerprint"), edited_paragraphs(F.col("leaves"), F.col("edited_leaves")).alias("edited_at"))
@@ -112,5 +149,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-        "edited_at",
+        F.array_join(F.transform("edited_at", lambda x: F.concat_ws(":", x["section"], x["paragraph"])), ",").alias("edited_at"),
     )

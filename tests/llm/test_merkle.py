@@ -50,3 +50,19 @@ def test_one_and_no_document(spark, documents):
     assert fingerprints(documents([])).count() == 0
     only = fingerprints(documents([(5, "abcdefgh")])).first()
     assert only["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest() and only["near_next"] == 1.0
+
+
+def test_inserted_branches(spark):
+    def places(before, after):
+        df = spark.createDataFrame([(before, after)], "a string, b string")
+        return [tuple(x) for x in df.select(edited_paragraphs(merkle_leaves(F.col("a")), merkle_leaves(F.col("b")))).first()[0]]
+
+    assert places("a\nb\nc", "a\nnew\nb\nc") == [(0, 1)] == places("a\nnew\nb\nc", "a\nb\nc")
+    assert places("a\n\nb\n\nc", "a\n\nnew\nlines\n\nb\n\nc") == [(1, 0), (1, 1)]
+    assert places("a\na", "a\na\na") == [(0, 2)] and places("", "x") == [(0, 0)] and places("", "") == []
+
+
+def test_smallest_id_is_not_null(spark):
+    docs = spark.createDataFrame([(-(1 << 63), "one two"), (None, "three four")], "doc_id long, text string")
+    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprints(docs).collect()}
+    assert got == {-(1 << 63): hashlib.sha256(b"one tw" + b"t").hexdigest(), None: hashlib.sha256(b"three fo" + b"on").hexdigest()}
