@@ -25,16 +25,17 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(read_table(spark, sf_dir, "documents")).drop("edited_at")
+    return fingerprints(read_table(spark, sf_dir, "documents"))
 
 
 def op3_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = conversation_calls(read_table(spark, sf_dir, "conversations"))
-    return link_calls(calls, results, REPLY)
+    messages = read_table(spark, sf_dir, "conversations")
+    calls, results = conversation_calls(messages)
+    return link_calls(calls, results, REPLY).unionByName(other_messages(messages))
 
 
 def op3_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of conversations that op3_toolcalls has no call or result for."""
+    """The rows of op3_toolcalls that are neither calls nor results, alone."""
     return other_messages(read_table(spark, sf_dir, "conversations"))
 
 
@@ -115,11 +116,33 @@ ORACLE_SQL: dict[str, str] = {
             SELECT t, sha256(array_to_string([md5(array_to_string([md5(array_to_string(p, '')) for p in s], '')) for s in tree], '')) || ':'
                    || array_to_string([array_to_string([array_to_string([left(l, 8) for l in p], '') for p in s], ',') for s in tree], '/') AS print,
                    list_distinct([left(l, 8) for l in flatten(flatten(tree))]) AS heads
-            FROM leaves)
-        SELECT d.doc_id, CAST(length(body) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, a.print AS fingerprint, b.print AS edited_fingerprint,
+            FROM leaves),
+        branches AS (SELECT t, [[md5(array_to_string(p, '')) for p in s] for s in tree] AS digests FROM leaves),
+        changed AS (
+            SELECT doc_id, body, a.digests AS old, b.digests AS new,
+                   [md5(array_to_string(s, '')) FOR s IN a.digests] AS so, [md5(array_to_string(s, '')) FOR s IN b.digests] AS sn
+            FROM edited JOIN branches a ON a.t = body JOIN branches b ON b.t = edited),
+        section_heads AS (
+            SELECT *, list_position([so[k] IS NOT DISTINCT FROM sn[k] AND k <= greatest(len(so), len(sn)) FOR k IN range(1, greatest(len(so), len(sn)) + 2)], false) - 1 AS head,
+                   list_position([list_reverse(so)[k] IS NOT DISTINCT FROM list_reverse(sn)[k] AND k <= greatest(len(so), len(sn)) FOR k IN range(1, greatest(len(so), len(sn)) + 2)], false) - 1 AS tail
+            FROM changed),
+        sections AS (
+            SELECT doc_id, body, i, CASE WHEN i < len(so) - cut THEN old[i + 1] ELSE [] END AS a, CASE WHEN i < len(sn) - cut THEN new[i + 1] ELSE [] END AS b
+            FROM (SELECT *, unnest(range(head, greatest(len(so), len(sn)) - cut)) AS i FROM (SELECT *, least(tail, least(len(so), len(sn)) - head) AS cut FROM section_heads))),
+        paragraph_heads AS (
+            SELECT *, list_position([a[k] IS NOT DISTINCT FROM b[k] AND k <= greatest(len(a), len(b)) FOR k IN range(1, greatest(len(a), len(b)) + 2)], false) - 1 AS head,
+                   list_position([list_reverse(a)[k] IS NOT DISTINCT FROM list_reverse(b)[k] AND k <= greatest(len(a), len(b)) FOR k IN range(1, greatest(len(a), len(b)) + 2)], false) - 1 AS tail
+            FROM sections),
+        paragraphs AS (
+            SELECT doc_id, body, i, j, CASE WHEN j < len(a) - cut THEN a[j + 1] END AS x, CASE WHEN j < len(b) - cut THEN b[j + 1] END AS y
+            FROM (SELECT *, unnest(range(head, greatest(len(a), len(b)) - cut)) AS j FROM (SELECT *, least(tail, least(len(a), len(b)) - head) AS cut FROM paragraph_heads))),
+        places AS (
+            SELECT doc_id, body, string_agg(i || ':' || j, ',' ORDER BY i, j) AS edited_at FROM paragraphs WHERE x IS DISTINCT FROM y GROUP BY doc_id, body)
+        SELECT d.doc_id, CAST(length(d.body) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, a.print AS fingerprint, b.print AS edited_fingerprint,
                CASE WHEN a.print = b.print THEN 1.0 ELSE 2.0 * len(list_intersect(a.heads, b.heads)) / (len(a.heads) + len(b.heads)) END AS near_edited,
-               CASE WHEN a.print = c.print THEN 1.0 ELSE 2.0 * len(list_intersect(a.heads, c.heads)) / (len(a.heads) + len(c.heads)) END AS near_next
-        FROM edited d JOIN prints a ON a.t = body JOIN prints b ON b.t = edited JOIN prints c ON c.t = next_body""",
+               CASE WHEN a.print = c.print THEN 1.0 ELSE 2.0 * len(list_intersect(a.heads, c.heads)) / (len(a.heads) + len(c.heads)) END AS near_next, coalesce(edited_at, '') AS edited_at
+        FROM edited d JOIN prints a ON a.t = d.body JOIN prints b ON b.t = edited JOIN prints c ON c.t = next_body
+             LEFT JOIN places e ON e.doc_id IS NOT DISTINCT FROM d.doc_id AND e.body = d.body""",
     "op3_toolcalls": r"""
         WITH calls AS (
             SELECT conv_id, turn, min(text) AS text, count(*) AS times FROM documents_of_users GROUP BY conv_id, turn),
@@ -136,7 +159,7 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN called AND text IS NULL THEN 'missing text' ELSE '' END AS problems, repeats,
                '{' || array_to_string([
                    CASE WHEN after IS NOT NULL THEN '"after":' || to_json(after) END,
-                   CASE WHEN called THEN '"arguments":' || to_json('{"conversation":' || thread || CASE WHEN text IS NULL THEN '' ELSE ',"text":' || to_json(text) END || ',"turn":' || turn || '}') END,
+                   CASE WHEN called THEN '"arguments":{"conversation":' || thread || CASE WHEN text IS NULL THEN '' ELSE ',"text":' || to_json(text) END || ',"turn":' || turn || '}' END,
                    '"id":' || to_json(call_id),
                    CASE WHEN called THEN '"name":"reply"' END,
                    CASE WHEN content IS NOT NULL THEN '"result":' || to_json(content) END], ',') || '}' AS record
@@ -224,3 +247,5 @@ ORACLE_SQL: dict[str, str] = {
                sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
         FROM bytes LEFT JOIN cut USING (doc_id)""",
 }
+
+ORACLE_SQL["op3_toolcalls"] += " UNION ALL " + ORACLE_SQL["op3_messages"]

@@ -1,8 +1,8 @@
 """Chat formatting: tool calls linked with their results, in DataFrame operations only.
 
 Calls and results are joined by identifier, ordered so that each call comes after the one whose result
-it needs, checked against the schemas of the tools, and written as canonical JSON (keys in order of
-code points, no white space).
+it needs, checked against the schemas of the tools, and written as canonical JSON: keys in order of
+code points, no white space, each number in its shortest form, also within the arguments.
 """
 
 from __future__ import annotations
@@ -22,6 +22,10 @@ Schemas = dict[str, dict[str, tuple[str, bool]]]
 VARIANT_TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|DECIMAL.*)$", "boolean": "^BOOLEAN$", "object": "^OBJECT<", "array": "^ARRAY<"}
 
 
+#: A string, which stays, or a whole number with a decimal point.
+WHOLE = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|(-?[0-9]+)\.0(?=[\],}])'
+
+
 def argument_problems(tool: Column, arguments: Column, schemas: Schemas) -> Column:
     """Sorted problems of JSON arguments: unknown tool, no object, or missing, mistyped and unknown parameters."""
     value = F.try_parse_json(arguments)
@@ -45,27 +49,32 @@ def argument_problems(tool: Column, arguments: Column, schemas: Schemas) -> Colu
 def call_depths(calls: DataFrame) -> DataFrame:
     """(call_id, depth) of calls (call_id, after): 0 for calls that need none, else one more than the call that they need.
 
-    Paths double each round, so the number of rounds grows with the logarithm of the longest chain. A call
-    that needs itself in the end, or a call that isn't there, has a null depth.
+    Paths double each round, so the number of rounds grows with the logarithm of the longest chain. Calls
+    that need none, or are done, are in no join. A call that needs itself in the end, or a call that isn't
+    there, has a null depth.
     """
-    left = calls.select("call_id", "after")
-    known = left.select(F.col("call_id").alias("after"), F.lit(True).alias("there"))
-    now = left.join(known, "after", "left").select("call_id", "after", (F.when(F.col("after").isNull(), 0).when(F.col("there"), 1)).cast("long").alias("depth"))
-    now = materialize(now)  # after: an ancestor not yet passed, at a distance of depth; null: none left
-    open_ = now.where("after IS NOT NULL AND depth IS NOT NULL").count()
-    total = now.count()
+    known = calls.select(F.col("call_id").alias("after"), F.lit(True).alias("there"))
+    needing = calls.where("after IS NOT NULL").select("call_id", "after").join(known, "after", "left")
+    first = needing.select("call_id", "after", F.when(F.col("there"), F.lit(1)).cast("long").alias("depth"))
+    # after: an ancestor not yet passed, at a distance of depth; null: none left
+    now = materialize(first.unionByName(calls.where("after IS NULL").select("call_id", F.lit(None).cast("string").alias("after"), F.lit(0).cast("long").alias("depth"))))
+    total, open_ = now.count(), F.col("after").isNotNull() & F.col("depth").isNotNull()
     span = 1
-    while open_ and span <= total:
+    while span <= total and not now.where(open_).isEmpty():
         up = now.select(F.col("call_id").alias("after"), F.col("after").alias("next"), F.col("depth").alias("more"))
-        now = materialize(now.join(up, "after", "left").select("call_id", F.when(F.col("depth").isNotNull(), F.col("next")).alias("after"), (F.col("depth") + F.coalesce("more", F.when(F.col("after").isNull(), 0))).alias("depth")))
-        open_ = now.where("after IS NOT NULL AND depth IS NOT NULL").count()
+        further = now.where(open_).join(up, "after").select("call_id", F.col("next").alias("after"), (F.col("depth") + F.col("more")).alias("depth"))
+        now = materialize(now.where(~open_).unionByName(further))
         span *= 2
     return now.select("call_id", F.when(F.col("after").isNull(), F.col("depth")).alias("depth"))
 
 
 def canonical_json(fields: dict[str, Column]) -> Column:
-    """JSON object of the fields that aren't null, keys in order."""
-    return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))))
+    """JSON object of the fields that aren't null, keys in order, whole numbers without a decimal point.
+
+    Numbers that were written with an exponent keep it from ten millions on.
+    """
+    text = F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))))
+    return F.when(text.rlike("[0-9]\\.0[],}]"), F.regexp_replace(text, WHOLE, "$1$2")).otherwise(text)
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
@@ -76,7 +85,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     isn't there: depth is null). Of rows that repeat an identifier, the smallest is taken on either side
     and `repeats` counts the others; a column `stands_for` of calls says how many equal rows a row stands
     for (1 where it is missing, null or no number). Rows without an identifier are left out. record is
-    canonical JSON of what is known, arguments as JSON text.
+    canonical JSON of what is known; arguments that are no JSON, or too large to be parsed (more than 128 MB),
+    stand in it as text.
     """
     times = F.coalesce(F.col("stands_for").cast("string").try_cast("long"), F.lit(1)) if "stands_for" in calls.columns else F.lit(1)
     one = calls.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("thread", "after", "tool", "arguments")).alias("call"), (F.sum(times) - 1).alias("again"))
@@ -86,7 +96,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     rows = one.withColumn("called", F.lit(True)).join(call_depths(one), "call_id").join(answer, "call_id", "full_outer")
     status = F.when(F.col("called").isNull(), "orphan").when(F.col("depth").isNull(), "cyclic").when(F.col("answered").isNull(), "unanswered").otherwise("linked")
     problems = F.when(F.col("called"), argument_problems(F.col("tool"), F.col("arguments"), schemas)).otherwise(F.array().cast("array<string>"))
-    record = {"id": F.col("call_id"), "name": F.col("tool"), "arguments": F.col("arguments"), "after": F.col("after"), "result": F.col("content")}
+    record = {"id": F.col("call_id"), "name": F.col("tool"), "arguments": F.coalesce(F.try_parse_json("arguments"), F.col("arguments").cast("variant")), "after": F.col("after"), "result": F.col("content")}
     return rows.select(
         F.coalesce("thread", "answer_thread").alias("thread"),
         "call_id",

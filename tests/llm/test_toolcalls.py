@@ -68,3 +68,13 @@ def test_other_messages(spark):
         want.append((str(None if conv is None or turn is None else f"{conv}:{turn}"), "message", json.dumps(record, separators=(",", ":"))))
     assert got == sorted(want)
     assert other_messages(messages).columns == link_calls(*conversation_calls(messages), REPLY).columns
+
+
+def test_equal_arguments_give_equal_records(spark):
+    forms = ['{"a": 1.50, "b": {"y": 2, "x": [1e2]}}', '{"b":{"x":[100.0],"y":2},"a":1.5}', '{ "b" : {"y":2, "x":[1E+2]}, "a":1.5}']
+    got = linked(spark, [(1, f"c{i}", None, "add", a) for i, a in enumerate(forms)])
+    assert {r["record"].replace(k, "c") for k, r in got.items()} == {'{"arguments":{"a":1.5,"b":{"x":[100],"y":2}},"id":"c","name":"add"}'}
+    texts = ['say "1.0," \\ ' + "x" * 20_000 + " 2.0]", "no json"]
+    odd = linked(spark, [(1, "c", None, "add", json.dumps({"a": 2.0, "b": texts[0]}))])["c"]["record"]
+    assert json.loads(odd)["arguments"]["b"] == texts[0] and '"a":2,' in odd
+    assert json.loads(linked(spark, [(1, "c", None, "add", "no json")])["c"]["record"])["arguments"] == "no json"
