@@ -2,14 +2,14 @@
 
 Host labels and path parts are names without blanks; a unigram Viterbi search over word counts of the
 page texts splits them into words. A multinomial naive Bayes model learns from the pages that the rules
-decide (and from seed words), and scores the words of the others.
+decide and scores the words of the others.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,10 +23,8 @@ ALLOW, BLOCK = "allow", "block"
 #: (host, path, verdict): a rule fits its host and all subdomains, if the path starts with the rule's.
 Rule = tuple[str, str, str]
 RULES: list[Rule] = [("org", "/", ALLOW), ("example.org", "/es/", BLOCK), ("example.org", "/en/1", BLOCK), ("com", "/fr/", ALLOW), ("com", "/de/", BLOCK)]
-#: Words that count as seen this often in blocked URLs.
-SEEDS = ("adult", "ads", "bets", "casino", "cheap", "free", "pills", "porn", "spam", "track", "win")
-SEED_COUNT = 20
-LONGEST = 24
+#: The longest label that a host name can have: longer runs of letters in page texts are data and no words.
+LONGEST = 63
 
 
 def host_of(url: Column) -> Column:
@@ -38,9 +36,9 @@ def path_of(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[Rule] = RULES) -> Column:
-    """Struct (rule, verdict) of the longest rule that fits, null where none does; of equally long ones the first in order."""
+    """Struct (rule, verdict) of the longest rule that fits, null where none does; of equally long ones the first of the given order."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for h, p, verdict in sorted(rules, key=lambda r: (len(r[0] + r[1]), r), reverse=False):
+    for h, p, verdict in sorted(reversed(rules), key=lambda r: len(r[0] + r[1])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
     return out
@@ -142,7 +140,8 @@ def split_names(names: DataFrame, words: DataFrame, total: int) -> DataFrame:
     inner = names.select("name", F.explode(F.array_distinct(F.flatten(inner))).alias("word"))
     known = inner.join(words, "word").groupBy("name").agg(F.collect_list(F.struct("word", "times")).alias("found"))
     rows = names.join(known, "name", "left").select("name", F.coalesce("found", F.array().cast("array<struct<word:string,times:bigint>>")).alias("found"))
-    return rows.select("name", F.arrow_udf(split, "array<string>")("name", "found").alias("words"))
+    # Written before it is joined to the names of all URLs, so that Spark can split names that most hosts have.
+    return materialize(rows.select("name", F.arrow_udf(split, "array<string>")("name", "found").alias("words")))
 
 
 def url_tokens(parts: DataFrame, words: DataFrame, total: int) -> DataFrame:
@@ -158,11 +157,12 @@ def url_tokens(parts: DataFrame, words: DataFrame, total: int) -> DataFrame:
     return numbers.unionByName(spelt)
 
 
-def fit_url_model(pages: DataFrame, rules: Sequence[Rule] = RULES) -> UrlModel:
+def fit_url_model(pages: DataFrame, rules: Sequence[Rule] = RULES, *, seeds: Mapping[str, int] | None = None) -> UrlModel:
     """Learns words from all page texts (html), and verdicts from all pages that a rule decides.
 
     Words and tokens stay tables of Spark, so the model knows all of them; only sums reach the driver.
-    Without decided pages only the seed words count.
+    seeds: host words that count as seen so often in blocked URLs, where a list of one's own is at hand.
+    Tokens that no decided URL has say nothing. Without decided pages and seeds all others are allowed.
     """
     small_batches(pages.sparkSession)
     counts = materialize(word_counts(pages, "html"))
@@ -172,12 +172,12 @@ def fit_url_model(pages: DataFrame, rules: Sequence[Rule] = RULES) -> UrlModel:
     blocked, allowed = (F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)).alias(n) for v, n in ((BLOCK, "b"), (ALLOW, "a")))
     decided = materialize(decided.groupBy("host", "path").agg(blocked, allowed))
     tokens = url_tokens(decided.select("host", "path"), counts, total).join(decided, ["host", "path"]).select("token", "b", "a")
-    seeds = pages.sparkSession.createDataFrame([(f"h:{s}", SEED_COUNT, 0) for s in SEEDS], "token string, b long, a long")
-    seen = materialize(tokens.unionByName(seeds).groupBy("token").agg(F.sum("b").alias("b"), F.sum("a").alias("a")))
+    given = pages.sparkSession.createDataFrame([(f"h:{s}", n, 0) for s, n in (seeds or {}).items()], "token string, b long, a long")
+    seen = materialize(tokens.unionByName(given).groupBy("token").agg(F.sum("b").alias("b"), F.sum("a").alias("a")))
     b_total, a_total, n = seen.agg(F.sum("b"), F.sum("a"), F.count("*")).first()
-    weights = seen.select("token", (F.log((F.col("b") + 1) / float(b_total + n)) - F.log((F.col("a") + 1) / float(a_total + n))).alias("weight"))
+    weights = seen.select("token", (F.log((F.col("b") + 1) / float((b_total or 0) + n)) - F.log((F.col("a") + 1) / float((a_total or 0) + n))).alias("weight"))
     b_pages, a_pages = decided.agg(F.sum("b"), F.sum("a")).first()
-    return UrlModel(counts, total, weights, math.log(((b_pages or 0) + 1) / ((a_pages or 0) + 1)))
+    return UrlModel(counts, total, materialize(weights), math.log(((b_pages or 0) + 1) / ((a_pages or 0) + 1)))
 
 
 def url_verdicts(pages: DataFrame, model: UrlModel, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -187,6 +187,7 @@ def url_verdicts(pages: DataFrame, model: UrlModel, rules: Sequence[Rule] = RULE
     """
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     scored = url_tokens(rows.select("host", "path").distinct(), model.words, model.total).join(model.weights, "token").groupBy("host", "path").agg(F.sum("weight").alias("odds"))
+    scored = materialize(scored)
     rows = rows.join(scored, ["host", "path"], "left")
     rows = rows.select("page_id", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("found"), (F.lit(model.prior) + F.coalesce("odds", F.lit(0.0))).alias("block_odds"))
     verdict = F.coalesce("found.verdict", F.when(F.col("block_odds") > 0, BLOCK).otherwise(ALLOW))

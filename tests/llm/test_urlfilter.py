@@ -1,3 +1,5 @@
+import collections
+import math
 import re
 
 from folioscope.llm.urlfilter import RULES, Segmenter, fit_url_model, url_verdicts
@@ -40,10 +42,58 @@ def test_rules_and_parts(spark):
 
 def test_unknown_hosts_are_judged_by_their_words(spark):
     pages = table(spark)
-    got = {r["page_id"]: r["verdict"] for r in url_verdicts(pages, fit_url_model(pages)).collect()}
+    seeds = {"casino": 20, "win": 20}
+    got = {r["page_id"]: r["verdict"] for r in url_verdicts(pages, fit_url_model(pages, seeds=seeds)).collect()}
     assert got[URLS.index("http://casinowin.net/")] == "block"
 
 
+def brute_tokens(host, path, counts):
+    """All ways to split a name, the cheapest of them."""
+    total = sum(counts.values())
+
+    def best(name):
+        ways = {"": (0.0, [])}
+        for end in range(1, len(name) + 1):
+            ways[name[:end]] = min((ways[name[:i]][0] + (-math.log(counts[name[i:end]] / total) if name[i:end] in counts else math.log(10 * total) + 3.0 * (end - i)), ways[name[:i]][1] + [name[i:end]]) for i in range(end))
+        return ways[name][1]
+
+    out = []
+    for kind, text in (("h", host), ("p", path.lower())):
+        for part in re.findall("[a-z]+|[0-9]+", text):
+            out += [f"{kind}:{'#' * len(part)}"] if part.isdigit() else [f"{kind}:{w}" for w in best(part)]
+    return out
+
+
+def test_odds_match_brute_force(spark):
+    """Viterbi, counts, smoothing and prior, worked out anew."""
+    pages = table(spark).where("page_id IS NOT NULL")
+    counts = collections.Counter(w for r in pages.collect() for w in re.findall("[a-z]+", r["html"] or ""))
+    counts["p"] = counts.pop("p")  # of the tags
+    seen = {"block": collections.Counter(), "allow": collections.Counter()}
+    times = collections.Counter()
+    for r in pages.collect():
+        host, path = split(r["url"])
+        if verdict := brute_rule(host, path)[1]:
+            times[verdict] += 1
+            seen[verdict].update(brute_tokens(host, path, counts))
+    every = set(seen["block"]) | set(seen["allow"])
+    odds = lambda v, t: math.log((seen[v][t] + 1) / (sum(seen[v].values()) + len(every)))
+    for r in url_verdicts(pages, fit_url_model(pages)).collect():
+        own = [t for t in brute_tokens(r["host"], r["path"], counts) if t in every]
+        want = math.log((times["block"] + 1) / (times["allow"] + 1)) + sum(odds("block", t) - odds("allow", t) for t in own)
+        assert abs(r["block_odds"] - want) < 1e-9
+
+
+def test_rules_of_equal_length(spark):
+    from pyspark.sql import functions as F
+
+    from folioscope.llm.urlfilter import rule_of
+
+    df = spark.range(1)
+    for rules in ([("a.b", "/c", "allow"), ("a.b", "/c", "block")], [("a.b", "/c", "block"), ("a.b", "/c", "allow")]):
+        assert df.select(rule_of(F.lit("a.b"), F.lit("/c"), rules)["verdict"]).first()[0] == rules[0][2]
+
+
 def test_segmentation():
     s = Segmenter.of({"casino": 5, "win": 9, "in": 40, "quiet": 3, "house": 7, "a": 50})
     assert s.split("casinowin") == ["casino", "win"] and s.split("quiethouse") == ["quiet", "house"]
