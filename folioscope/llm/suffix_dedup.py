@@ -418,21 +418,22 @@ def cut_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, with
     if length < 8:
         raise ValueError("strings of fewer than 8 bytes aren't supported")
     small_batches(docs.sparkSession)
-    body, doc = F.col("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    body, doc, named = F.col("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNotNull()
+    key = ["named", "doc", "mark"]
     plain = F.coalesce(body, F.lit(""))
     mark = F.xxhash64(plain)
     others = [c for c in docs.columns if c != "text"]
-    texts = docs.select(F.struct(*others).alias("rest"), body.alias("body"), doc.alias("doc"), mark.alias("mark")).repartition("doc", "mark")
+    texts = docs.select(F.struct(*others).alias("rest"), body.alias("body"), doc.alias("doc"), named.alias("named"), mark.alias("mark")).repartition(*key)
 
     # One row per document, numbered in order of precedence; written, as a range partitioning made anew may number otherwise.
-    slim = docs.select(doc.alias("doc"), mark.alias("mark"), F.xxhash64(F.lit("other"), plain).alias("mark2"), F.octet_length(plain).alias("size")).distinct()
-    numbered = materialize(slim.repartitionByRange("doc", "mark").sortWithinPartitions("doc", "mark").withColumn("id", F.monotonically_increasing_id()))
+    slim = docs.select(doc.alias("doc"), named.alias("named"), mark.alias("mark"), F.xxhash64(F.lit("other"), plain).alias("mark2"), F.octet_length(plain).alias("size")).distinct()
+    numbered = materialize(slim.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("id", F.monotonically_increasing_id()))
     # Tables that are joined back to rows of which one group may hold very many are written first: so Spark can split such a group.
     firsts = materialize(numbered.groupBy("mark", "mark2", "size").agg(F.min("id").alias("first"), F.count("*").alias("times")).where("times > 1"))
-    known = numbered.join(firsts, ["mark", "mark2", "size"], "left").select("doc", "mark", "size", "id", F.coalesce(F.col("id") > F.col("first"), F.lit(False)).alias("copy"))
+    known = numbered.join(firsts, ["mark", "mark2", "size"], "left").select(*key, "size", "id", F.coalesce(F.col("id") > F.col("first"), F.lit(False)).alias("copy"))
     known = materialize(known)
 
-    fresh = texts.join(known.where(~F.col("copy") & (F.col("size") >= length)).select("doc", "mark", "id"), ["doc", "mark"]).select("rest", "body", "id")
+    fresh = texts.join(known.where(~F.col("copy") & (F.col("size") >= length)).select(*key, "id"), key).select("rest", "body", "id")
     keys = fresh.mapInArrow(_keys_of(length, gram), "key long, times long, twice long").groupBy("key").agg(F.sum("times").alias("times"), F.max("twice").alias("twice"))
     again = materialize(keys.where("times > 1 OR twice = 1").select("key"))
     runs = materialize(fresh.mapInArrow(_runs_of(length, gram), "key long, print long, id long, place long").join(again, "key"))
@@ -441,9 +442,9 @@ def cut_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, with
     leads = kinds.join(groups.select("key", "kinds"), "key").select("lead.id", "lead.place", "key", F.ceil(F.col("kinds") / GROUP).cast("long").alias("splits"))
     later = runs.join(kinds.select("key", "print", "lead"), ["key", "print"]).where(F.struct("id", "place") != F.col("lead")).select("id", "place", "key", F.lit(0).cast("long").alias("splits"))
     by_doc = materialize(leads.unionByName(later).groupBy("id").agg(F.collect_list(F.struct("place", "key", "splits")).alias("runs")))
-    found = by_doc.join(known.select("doc", "mark", "id"), "id")
+    found = by_doc.join(known.select(*key, "id"), "id")
 
-    fetched = texts.join(found, ["doc", "mark"]).select("rest", "body", "id", "runs")
+    fetched = texts.join(found, key).select("rest", "body", "id", "runs")
     fragments = fetched.mapInArrow(_fragments_of(length), FRAGMENT)
     once = materialize(_ordered(fragments, ["key", "part", "block"], length))
     second = once.where("fragment IS NOT NULL").select("key", "part", F.lit(0).cast("long").alias("block"), F.lit(1).cast("long").alias("splits"), "id", F.shiftright("place", COUNT_BITS).alias("start"), "fragment")
@@ -451,8 +452,8 @@ def cut_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, with
     ranges = repeats.groupBy("id").agg(F.collect_list("place").alias("ranges"))
     told = known.join(by_doc.join(ranges, "id", "left"), "id", "left")
     whole = F.transform(F.filter("runs", lambda run: run["splits"] == 0), lambda run: run["place"])
-    told = told.select("doc", "mark", "copy", whole.alias("places"), "ranges")
-    done = texts.join(told, ["doc", "mark"])
+    told = told.select(*key, "copy", whole.alias("places"), "ranges")
+    done = texts.join(told, key)
     return done.select("rest", "body", _cut_of(length, with_bytes)("body", "copy", "places", "ranges").alias("cut")), F.col("cut")
 
 
