@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import U64, mix, slabs, small_batches, text_bytes
+from folioscope.llm.common import U64, materialize, mix, slabs, small_batches, text_bytes
 
 UNDETERMINED = "und"
 PREDICTION = "struct<lang_pred:string,score:double>"
@@ -128,23 +128,24 @@ class LanguageModel:
         return pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(np.concatenate([*scores, np.zeros(0)]))], fields=PREDICTION_ARROW)
 
 
-def fit_language_model(labelled: DataFrame, *, n: int = 4, docs_per_language: int = 3000, grams_per_language: int = 20_000, least: float = 0.25) -> LanguageModel:
+def fit_language_model(labelled: DataFrame, *, n: int = 4, texts_per_language: int = 3000, least: float = 0.25) -> LanguageModel:
     """Learns from text and non-null lang of the given rows.
 
-    Counts come from a hash sample of about docs_per_language texts a language (all, where it has
-    fewer). A language keeps an n-gram if its rate there is at least `least` times the highest rate
-    in any language, and at most its grams_per_language most frequent ones. Null languages and
+    Counts come from a sample of about texts_per_language distinct texts a language (all, where it has
+    fewer), chosen by a hash of the text; copies of a text count once. A language keeps each n-gram of its sample
+    whose rate there is at least `least` times the highest rate in any language. Null languages and
     texts are left out; without any rows the model has no language and predicts `und`. One row per
-    language passes through the driver, and at most grams_per_language n-grams of each.
+    language passes through the driver, and the n-grams that are kept, which the sample bounds.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col("lang").alias("lang"), F.col("text").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    marked = rows.groupBy("lang", F.xxhash64("text").alias("mark")).agg(F.count("*").alias("times"))
+    sizes = {r["lang"]: (r["texts"], r["rows"]) for r in marked.groupBy("lang").agg(F.count("*").alias("texts"), F.sum("times").alias("rows")).collect()}  # one row a language
     if not sizes:
         return LanguageModel.of({}, UNDETERMINED, n)
     spread = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    size = F.element_at(F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair)), F.col("lang"))
-    sample = rows.where(spread * size < docs_per_language)
+    size = F.element_at(F.create_map(*(F.lit(x) for lang, (texts, _) in sizes.items() for x in (lang, texts))), F.col("lang"))
+    sample = rows.where(spread * size < texts_per_language).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,23 +160,13 @@ def fit_language_model(labelled: DataFrame, *, n: int = 4, docs_per_language: in
                     name = pa.array([langs.dictionary[int(i)].as_py()] * len(found), pa.string())
                     yield pa.RecordBatch.from_arrays([name, pa.array(found.astype(np.int64)), pa.array(times)], names=["lang", "gram", "times"])
 
-    counts = sample.mapInArrow(count, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times"))
+    counts = materialize(sample.mapInArrow(count, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times")))
     totals = counts.groupBy("lang").agg(F.sum("times").alias("total"))
-    rates = counts.join(totals, "lang").select("lang", "gram", (F.col("times") / F.col("total")).alias("rate"), "times")
+    rates = counts.join(totals, "lang").select("lang", "gram", (F.col("times") / F.col("total")).alias("rate"))
     tops = rates.groupBy("gram").agg(F.max("rate").alias("top"))
-    kept = rates.where("times > 1").join(tops, "gram").where(F.col("rate") >= least * F.col("top"))
-    grams = {r["lang"]: np.array(r["grams"], np.int64).astype(U64) for r in _top(kept, grams_per_language).collect()}
-    return LanguageModel.of(grams, min(sizes, key=lambda x: (-sizes[x], x)), n)
-
-
-def _top(kept: DataFrame, k: int) -> DataFrame:
-    """The k n-grams of highest rate a language: rates above the language's k-th, found from a histogram of logarithms."""
-    level = F.floor(-16 * F.log2("rate")).alias("level")
-    steps = kept.groupBy("lang", level).count()
-    steps = steps.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("level", "count"))).alias("steps"))
-    cut = F.aggregate("steps", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("level")), lambda a, s: F.when(a["sum"] + s["count"] <= k, F.struct((a["sum"] + s["count"]).alias("sum"), s["level"].alias("level"))).otherwise(F.struct(F.lit(k + 1).cast("long").alias("sum"), a["level"].alias("level"))))
-    cuts = steps.select("lang", cut["level"].alias("cut"))
-    return kept.withColumn("level", F.floor(-16 * F.log2("rate"))).join(cuts, "lang").where("level <= cut").groupBy("lang").agg(F.collect_list("gram").alias("grams"))
+    kept = rates.join(tops, "gram").where(F.col("rate") >= least * F.col("top"))
+    grams = {r["lang"]: np.array(r["grams"], np.int64).astype(U64) for r in kept.groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()}
+    return LanguageModel.of(grams, min(sizes, key=lambda x: (-sizes[x][1], x)), n)
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text") -> Column:

@@ -1,3 +1,9 @@
+import collections
+import re
+
+import pyarrow as pa
+
+from folioscope.llm.common import text_bytes
 from folioscope.llm.language import fit_language_model, predict_language
 
 SAMPLES = {
@@ -47,3 +53,41 @@ def test_more_than_64_languages(spark, documents):
     model = fit_language_model(docs)
     assert model.table.shape[1] == 2
     assert sum(p[1] == f"l{p[0] // 100:02}" for p in predictions(docs, model)) == len(rows)
+
+
+def brute_shares(texts, samples, n=4, least=0.25):
+    """Share of a text's n-grams in each language, with sets in place of the Bloom filters."""
+
+    def grams(text):
+        out = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" else c if c.isalpha() and c.isascii() or ord(c) > 127 else " " for c in text)
+        raw = re.sub(" +", " ", out).encode()
+        return [raw[i : i + n] for i in range(len(raw) - n + 1)]
+
+    counts = {lang: collections.Counter(g for t in set(own) for g in grams(t)) for lang, own in samples.items()}
+    rates = {lang: {g: k / sum(c.values()) for g, k in c.items()} for lang, c in counts.items()}
+    top = collections.Counter()
+    for r in rates.values():
+        top |= collections.Counter(r)
+    kept = {lang: {g for g, x in r.items() if x >= least * top[g]} for lang, r in rates.items()}
+    return [{lang: sum(g in k for g in grams(t)) / max(1, len(grams(t))) for lang, k in kept.items()} for t in texts]
+
+
+def test_shares_match_brute_force(spark, documents):
+    """Bloom filters, popcounts and their correction against plain sets: equal but for false positives."""
+    samples = {lang: [t + f" {j}" for j in range(6)] + [t + " 0"] for lang, t in SAMPLES.items()}
+    model = fit_language_model(documents([(10 * i + j, t, lang, None) for i, (lang, own) in enumerate(samples.items()) for j, t in enumerate(own)]))
+    texts = ["the old house was there", "DAS HAUS war alt; la maison", "LA MAISON ÉTAIT TRÈS VIEILLE", "nothing of that sort, zzzz qqqq", "xy"]
+    data, offsets = text_bytes(pa.array(texts))
+    for got, want in zip(model.shares(data, offsets), brute_shares(texts, samples), strict=True):
+        assert all(abs(got[i] - want[lang]) < 0.06 for i, lang in enumerate(model.languages))
+    assert max(model.false) < 0.2
+    for got, want in zip(predictions(documents(list(enumerate(texts[:3]))), model), brute_shares(texts[:3], samples), strict=True):
+        assert got[1] == max(want, key=want.get)
+
+
+def test_each_language_keeps_its_ngrams(spark, documents):
+    """A language of one text, and one whose n-grams are all equally frequent."""
+    docs = documents([(1, "abcdefghijklmnopqrstuvwxyz", "aa", None), (2, "zyxwvu tsrqpo nmlkji", "bb", None), (3, "zyxwvu tsrqpo nmlkji", "bb", None)])
+    model = fit_language_model(docs)
+    assert model.languages == ["aa", "bb"]
+    assert [p[1] for p in predictions(docs, model)] == ["aa", "bb", "bb"]
