@@ -13,7 +13,7 @@ among runs that share a minimizer and differ.
    minimizer occurs again go on: minimizers are counted first, with partial sums in every task.
 3. Runs whose bytes equal an earlier run's are repeats as a whole: groups of equal runs are reduced to
    their first, which is joined back. The firsts, where other kinds share the minimizer, fetch their bytes.
-4. Runs with one minimizer are put into suffix order by prefix doubling. Where neighbours in that order
+4. Runs with one minimizer are put into suffix order, eight bytes a step. Where neighbours in that order
    share `length` bytes, the nearest neighbours above and below with smaller positions give LPF, and a
    position with an LPF of `length` or more is a repeat.
 5. A minimizer with very many kinds of runs is split by the hash of the string and dealt over blocks; what
@@ -42,6 +42,8 @@ GRAM = 32
 GROUP = 4096
 #: Bits of a packed position that count a run's strings.
 COUNT_BITS = 22
+#: Bytes beyond the length by which suffixes are ordered.
+DEEPER = 32
 #: Bytes that one suffix ordering takes, as long as groups allow.
 ORDER_BYTES = 1 << 20
 
@@ -108,53 +110,91 @@ def minimizer_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int
     return {k: np.concatenate(v) if v else np.zeros(0, U64 if k in ("key", "print") else np.int64) for k, v in out.items()}
 
 
-class SuffixOrder:
-    """Order of the suffixes of fragments by their first 8, 16, 32 ... bytes, `length` or more; no suffix goes beyond its fragment.
+def _dense(values: np.ndarray) -> np.ndarray:
+    """Places of 64-bit values in their order; equal values have equal places."""
+    order = np.argsort(values)
+    ordered = values[order]
+    out = np.empty(len(values), np.int64)
+    out[order] = np.concatenate((np.zeros(min(1, len(order)), np.int64), np.cumsum(ordered[1:] != ordered[:-1])))
+    return out
 
-    ranks[k][p] is the place of position p by its first 8 * 2**k bytes: equal exactly if those bytes are,
-    or if both fragments end before and are equal up to there.
-    """
 
-    def __init__(self, data: np.ndarray, ends: np.ndarray, length: int):
-        self.left = (ends - np.arange(len(data))).astype(np.int64)  # bytes up to the end of the fragment
-        padded = np.concatenate((data, np.zeros(8, np.uint8)))
-        self.words = np.zeros(len(data), U64)
-        for k in range(8):
-            self.words = self.words << U64(8) | np.where(self.left > k, padded[k : k + len(data)], 0).astype(U64)
-        order = np.lexsort((np.minimum(self.left, 8), self.words))
-        w, left = self.words[order], np.minimum(self.left, 8)[order]
-        self.ranks = [self._ranked(order, (w[1:] != w[:-1]) | (left[1:] != left[:-1]))]
-        size = 8
-        while size < length:
-            rank = self.ranks[-1].astype(np.int64)
-            after = np.zeros(len(data), np.int64)  # 0 where the fragment ends
-            after[: max(0, len(data) - size)] = rank[size:]
-            both = rank << 32 | np.where(self.left > size, after, 0)
-            order = np.argsort(both, kind="stable")
-            both = both[order]
-            self.ranks.append(self._ranked(order, both[1:] != both[:-1]))
-            size *= 2
-
-    @staticmethod
-    def _ranked(order: np.ndarray, new: np.ndarray) -> np.ndarray:
-        out = np.empty(len(order), np.int32)
-        out[order] = np.concatenate((np.ones(min(1, len(order)), np.int64), np.cumsum(new) + 1))
-        return out
+def _heads(new: np.ndarray) -> np.ndarray:
+    """For each place the last place at or before it where something new begins."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def _refined(rank: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Ranks by (rank, own); a rank is that of the first place of its group, so groups only split."""
+    key = rank << 32 | own
+    order = np.argsort(key)
+    key, block = key[order], rank[order]
+    first = np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))
+    head = np.concatenate((np.ones(min(1, len(key)), bool), block[1:] != block[:-1]))
+    out = np.empty(len(rank), np.int64)
+    out[order] = block + _heads(first) - _heads(head)
+    return out
+
+
+def _again(rank: np.ndarray) -> np.ndarray:
+    """Which elements aren't alone in their rank; ranks are below the number of all."""
+    return np.bincount(rank)[rank] > 1 if len(rank) else np.zeros(0, bool)
 
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Bytes that the suffixes at positions a and b share at their beginning, as far as they are ordered."""
-        most = np.minimum(self.left[a], self.left[b])
-        out = np.zeros(len(a), np.int64)
-        for k in range(len(self.ranks) - 1, -1, -1):
-            open_ = np.flatnonzero(out < most)
-            same = self.ranks[k][a[open_] + out[open_]] == self.ranks[k][b[open_] + out[open_]]
-            out[open_[same]] += 8 << k
-        open_ = np.flatnonzero(out < most)
-        apart = self.words[a[open_] + out[open_]] ^ self.words[b[open_] + out[open_]]
-        for k in range(8):
-            apart_at = (apart >> U64(56 - 8 * k)) > 0
-            out[open_[~apart_at]] += 1
-        return np.minimum(out, most)
+
+def _strings(words: np.ndarray, starts: np.ndarray, length: int) -> Iterator[np.ndarray]:
+    """The strings at positions, eight bytes at a time; the last eight may overlap those before."""
+    for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+        yield words[starts + at]
+
+
+def suffix_order(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order of positions: indexes into starts, and the bytes that each suffix shares with the one above.
+
+    starts: positions in order of precedence, `length` bytes or more before the end of their fragment (ends);
+    no suffix goes beyond it. Suffixes that share `length` bytes with none, as hashes tell, are left out. Of
+    each group of the others one is ranked by its first `length` bytes, eight a step, once all are compared
+    with it; then all by DEEPER bytes more. Ties are in order of precedence.
+    """
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    words = np.zeros(len(data), U64)
+    for k in range(8):
+        words = words << U64(8) | padded[k : k + len(data)].astype(U64)
+    group = _dense(_string_hashes(data, length)[starts]) if len(starts) else np.zeros(0, np.int64)
+    live = np.flatnonzero(_again(group))
+    first, group = np.unique(group[live], return_index=True, return_inverse=True)[1:]
+    if any((x != y).any() for x, y in zip(_strings(words, starts[live], length), _strings(words, starts[live[first]][group], length), strict=True)):
+        first = group = np.arange(len(live))  # unequal strings of one hash: each is ranked by itself
+    rank = np.zeros(len(first), np.int64)
+    for own in _strings(words, starts[live[first]], length):
+        split = np.flatnonzero(_again(rank))
+        rank[split] = _refined(rank[split], _dense(own[split]))
+    rank = _refined(np.zeros(len(live), np.int64), rank[group])
+    own, together = starts[live], np.arange(len(live))
+    left = ends[own] - own
+    masks = ~((U64(1) << (U64(8) * np.arange(8, 0, -1, dtype=U64) - U64(1)) << U64(1)) - U64(1)) if len(live) else np.zeros(8, U64)
+    masks = np.concatenate((masks, [~U64(0)]))  # of the first 0 to 8 bytes
+    for at in range(length, length + DEEPER, 8):
+        together = together[_again(rank)[together] & (left[together] > at)] if len(together) else together
+        if not len(together):
+            break
+        split = np.flatnonzero(_again(rank))
+        there = np.clip(left[split] - at, 0, 8)
+        word = np.where(there > 0, words[np.minimum(own[split] + at, len(words) - 1)], 0) & masks[there]
+        rank[split] = _refined(rank[split], _dense(word) << 4 | there)
+    order = np.argsort(rank << 32 | np.arange(len(rank)))
+    a, b = own[order[:-1]], own[order[1:]]
+    most = np.minimum(left[order[:-1]], left[order[1:]])
+    shared = np.zeros(len(a), np.int64)
+    for at in [*range(0, length - 7, 8), *range(length, length + DEEPER, 8)]:
+        if at == length and length % 8:
+            tail = np.flatnonzero(shared == length - length % 8)
+            shared[tail[words[a[tail] + length - 8] == words[b[tail] + length - 8]]] = length
+        open_ = np.flatnonzero((shared == at) & (shared < most))
+        if not len(open_):
+            continue
+        apart = words[np.minimum(a[open_] + at, len(words) - 1)] ^ words[np.minimum(b[open_] + at, len(words) - 1)]
+        shared[open_] += sum((apart >> U64(56 - 8 * k) == 0).astype(np.int64) for k in range(8))
+    return live[order], np.concatenate((np.zeros(min(1, len(order)), np.int64), np.minimum(shared, most)))
 
 
 def nearest_smaller(places: np.ndarray, common: np.ndarray, reach: int) -> np.ndarray:
@@ -186,21 +226,14 @@ def nearest_smaller(places: np.ndarray, common: np.ndarray, reach: int) -> np.nd
 def longest_previous_factors(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """LPF of positions that are given in order of precedence: the bytes that each shares with the most similar earlier one.
 
-    Values below `length` are reported as 0, and those above as far as the suffixes are ordered. ends: of
-    the fragment that each byte belongs to.
+    Values below `length` are reported as 0, and those above as far as suffixes are ordered (DEEPER bytes
+    more). ends: of the fragment that each byte belongs to.
     """
     out = np.zeros(len(starts), np.int64)
-    if len(starts) < 2:
-        return out
-    suffixes = SuffixOrder(data, ends, length)
-    order = np.argsort(suffixes.ranks[-1][starts], kind="stable")  # ties in order of precedence
-    common = np.zeros(len(order), np.int64)
-    common[1:] = suffixes.common(starts[order[:-1]], starts[order[1:]])
-    close = common >= length  # beyond a pair that is not, LPF is smaller
-    kept = close | np.concatenate((close[1:], [False]))
-    places, common = order[kept].astype(np.int32), np.where(close, common, 0)[kept].astype(np.int32)
+    places, common = suffix_order(data, ends, starts, length)
     if not len(places):
         return out
+    places, common = places.astype(np.int32), np.where(common >= length, common, 0).astype(np.int32)  # LPF is smaller beyond
     heads = np.flatnonzero(common == 0)
     reach = int(np.diff(np.concatenate((heads, [len(places)]))).max())
     above = nearest_smaller(places, common, reach)

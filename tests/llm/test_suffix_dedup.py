@@ -111,5 +111,5 @@ def test_longest_previous_factors():
         return n
 
     want = [max((common(i, j) for j in starts[:k]), default=0) for k, i in enumerate(starts)]
-    ordered_by = 16  # the first power of two times 8 that is not below 10
+    ordered_by = 10 + suffix_dedup.DEEPER
     assert [min(g, ordered_by) for g in got.tolist()] == [min(w, ordered_by) if w >= 10 else 0 for w in want]
