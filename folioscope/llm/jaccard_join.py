@@ -34,7 +34,7 @@ BANDS, ROWS = 26, 4
 STEP = 16
 TOLERANCE = 1e-7
 #: Representatives of a component that one block holds, and their shingles (a longer set is a block by itself).
-BLOCK, BLOCK_SHINGLES = 2048, 1 << 19
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 #: Rows of a block that are compared with another block at once.
 SLICE = 512
 
