@@ -9,8 +9,8 @@
    verified on their exact sets. Only counts and a spanning forest of the links leave a block.
 4. Components over the verified links are the groups.
 
-Tables that are joined to rows of which one key may hold very many are written first, so that both sides
-of the join are shuffled and Spark can split such a key.
+Buckets, components and classes, of which one may hold very many rows, are tables that are written before they
+are joined to the rows, so that both sides of the join are shuffled and Spark can split such a key.
 """
 
 from __future__ import annotations
@@ -238,8 +238,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of edges (a, b), a component being its smallest node.
 
     Alternates large-star and small-star rounds until no edge changes: a number of rounds that grows with
-    the logarithm of the nodes. The minimum of a node's neighbours is aggregated and written before it is
-    joined, so Spark can split a node with very many edges.
+    the logarithm of the nodes. The minimum of a node's neighbours is aggregated, with partial minima in every
+    task, before it is joined; what is joined is two ids a row, also for a node with very many edges.
     """
 
     def state(df: DataFrame) -> tuple:
@@ -249,8 +249,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(now)
     while before[0]:
         both = now.union(now.select("b", "a")).toDF("node", "other")
-        low = materialize(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("low", "node").alias("low")))
-        large = materialize(both.where("other > node").join(low, "node").select(F.col("low").alias("a"), F.col("other").alias("b")).where("a <> b").distinct())
+        low = both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("low", "node").alias("low"))
+        large = both.where("other > node").join(low, "node").select(F.col("low").alias("a"), F.col("other").alias("b")).where("a <> b").distinct()
         # Each node now has few smaller neighbours: grouped by the larger end, no key is hot.
         low = large.groupBy("b").agg(F.min("a").alias("low"))
         small = large.join(low, "b").select(F.col("low").alias("a"), F.col("a").alias("b")).where("a <> b").union(low.select(F.col("low").alias("a"), "b"))
