@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.plans import details, flows, graphs, listings, ranking, structuring, working  # noqa: F401  (each module registers its queries)
+from folioscope.plans import details, extracts, flows, graphs, listings, ranking, routes, structuring, working  # noqa: F401  (each module registers its queries)
 from folioscope.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

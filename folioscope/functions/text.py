@@ -23,8 +23,9 @@ BLOCK_TYPES = {
 }
 FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
 HALF_WIDTH = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
-#: \mathrm{} wrappers unwrapped at most this deep.
-UNWRAPS = 4
+#: Shapes of clause numbers: dotted, parted by blanks, by hyphens, or spoken.
+CLAUSE_FORMS = (r"\d+(?:\.\d+){1,4}", r"\d+(?:\s+\d+){1,4}", r"\d+(?:-\d+){1,4}", "[一二三四五六七八九十]+(?:点[一二三四五六七八九十]+){1,4}")
+NUMERALS = {"一": "1", "二": "2", "三": "3", "四": "4", "五": "5", "六": "6", "七": "7", "八": "8", "九": "9"}
 
 
 def let(value: Column, build: Callable[[Column], Column]) -> Column:
@@ -37,16 +38,16 @@ def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "\\s+", " "))
 
 
-def match_form(text: Column) -> Column:
-    """Form that texts are compared in: Greek letters spelled out, wrappers, blanks and punctuation gone, lower case."""
+def spelled(text: Column) -> Column:
+    """Greek letters by their names, \\mathrm{} wrappers taken off, from the inside out, however deep."""
+    named = reduce(lambda c, g: F.replace(c, F.lit(g[0]), F.lit(g[1])), GREEK.items(), text)
+    wrappers = F.sequence(F.lit(1), F.regexp_count(named, F.lit("\\\\mathrm")))
+    unwrapped = F.aggregate(wrappers, named, lambda out, _: F.regexp_replace(out, "\\\\mathrm\\s*\\{([^{}]+)\\}", "$1"))
+    return F.when(F.contains(named, F.lit("\\mathrm")), unwrapped).otherwise(named)
 
 
-    def spelled(raw: Column) -> Column:
-        out = reduce(lambda c, g: F.replace(c, F.lit(g[0]), F.lit(g[1])), GREEK.items(), raw)
-        for _ in range(UNWRAPS):
-            out = F.regexp_replace(out, "\\\\mathrm\\s*\\{([^{}]+)\\}", "$1")
-        return out
-
+def match_form(text: Column) -> Column:
+    """Form that texts are compared in: Greek letters spelled out, wrappers, blanks and punctuation gone, lower case."""
     plain = let(F.coalesce(text, F.lit("")), lambda raw: F.when(raw.rlike("[α-ω]|\\\\mathrm"), spelled(raw)).otherwise(raw))
     return F.lower(F.regexp_replace(plain, f"\\s|{IGNORED}", ""))
 
@@ -74,11 +75,17 @@ def related_clause(own: Column, wanted: Column) -> Column:
     return (own == wanted) | own.startswith(F.concat(wanted, F.lit("."))) | own.startswith(F.concat(wanted, F.lit("-"))) | wanted.startswith(F.concat(own, F.lit(".")))
 
 
+def dotted(ref: Column) -> Column:
+    """A clause number in dotted form; spoken numerals become digits."""
+    digits = F.create_map(*(F.lit(x) for pair in NUMERALS.items() for x in pair))
+    spoken = F.array_join(F.transform(F.split(ref, "点"), lambda part: F.coalesce(F.try_element_at(digits, part), part)), ".")
+    return F.when(F.contains(ref, F.lit("点")), spoken).otherwise(F.trim(F.regexp_replace(ref, "[\\s\\-.]+", ".")))
+
+
 def clause_refs(text: Column) -> Column:
-    """Distinct clause numbers in dotted form: dotted, blank-separated or hyphenated digits."""
-    kinds = ["\\d+(?:\\.\\d+){1,4}", "\\d+(?:\\s+\\d+){1,4}", "\\d+(?:-\\d+){1,4}"]
-    found = F.concat(*(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(k), F.lit(0)) for k in kinds))
-    return F.array_distinct(F.transform(found, lambda x: F.trim(F.regexp_replace(x, "[\\s\\-.]+", "."))))
+    """Distinct clause numbers in dotted form: dotted, blank-separated, hyphenated or spoken ones."""
+    found = F.concat(*(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(k), F.lit(0)) for k in CLAUSE_FORMS))
+    return F.array_distinct(F.transform(found, dotted))
 
 
 def chapter(path: Column) -> Column:

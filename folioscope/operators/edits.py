@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.graph import similar_names
+from folioscope.session import written
+
 
 def merged(blocks: DataFrame, groups: DataFrame) -> DataFrame:
     """Blocks with each group (block_id, into_id) joined into one block, texts in order; parents that went point to what they became."""
@@ -27,16 +32,28 @@ def split(blocks: DataFrame, pieces: DataFrame) -> DataFrame:
     return parts.withColumn("block_id", name).withColumn("text", F.coalesce("_piece", "_text")).select(*blocks.columns)
 
 
-def deleted(blocks: DataFrame, gone: DataFrame, *, depth: int = 8) -> DataFrame:
-    """Blocks without those gone; children move up to the nearest ancestor that stays."""
-    lost = gone.select(F.col("block_id").alias("parent_id")).distinct()
-    up = blocks.select(F.col("block_id").alias("parent_id"), F.col("parent_id").alias("above")).join(lost, "parent_id", "left_semi")
-    out = blocks.join(gone.select("block_id").distinct(), "block_id", "left_anti")
-    for _ in range(depth):
-        out = out.join(up, "parent_id", "left")
-        here = up.select("parent_id", F.lit(True).alias("_gone"))
-        out = out.join(here, "parent_id", "left").withColumn("parent_id", F.when(F.col("_gone"), F.col("above")).otherwise(F.col("parent_id"))).drop("above", "_gone")
-    return out.select(*blocks.columns)
+def deleted(blocks: DataFrame, gone: DataFrame) -> DataFrame:
+    """Blocks without those gone; children move up to the nearest ancestor that stays.
+
+    Among those gone the way up doubles each round, so the rounds grow with the logarithm of the longest chain of them.
+    """
+    lost = gone.select("block_id").distinct()
+    up = written(blocks.join(lost, "block_id", "left_semi").select("block_id", "parent_id"))
+    while True:
+        step = up.select(F.col("block_id").alias("parent_id"), F.col("parent_id").alias("above"), F.lit(True).alias("_gone"))
+        ahead = up.join(step, "parent_id", "left")
+        moved = ahead.where("_gone AND block_id <> parent_id")
+        if moved.isEmpty():
+            break
+        up = written(ahead.select("block_id", F.when(F.col("_gone"), F.col("above")).otherwise(F.col("parent_id")).alias("parent_id")))
+    names = up.select(F.col("block_id").alias("parent_id"), F.col("parent_id").alias("_above"), F.lit(True).alias("_gone"))
+    out = blocks.join(lost, "block_id", "left_anti").join(names, "parent_id", "left")
+    return out.withColumn("parent_id", F.when(F.col("_gone"), F.col("_above")).otherwise(F.col("parent_id"))).select(*blocks.columns)
+
+
+def reparented(blocks: DataFrame, before: str, after: str | None) -> DataFrame:
+    """Blocks with the children of one block given to another."""
+    return blocks.withColumn("parent_id", F.when(F.col("parent_id") == before, F.lit(after)).otherwise(F.col("parent_id")))
 
 
 def relevelled(blocks: DataFrame, ids: Sequence[str], *, by: int, most: int = 6) -> DataFrame:
@@ -56,19 +73,88 @@ def invalid_links(blocks: DataFrame, links: DataFrame) -> DataFrame:
     return both.select("source_id", "target_id", problem.alias("problem")).where("problem IS NOT NULL")
 
 
+def noted(entities: DataFrame, notes: DataFrame) -> DataFrame:
+    """Entities with glossary notes (name, note, aliases) added to their description and aliases, by name in any library."""
+    more = notes.groupBy("name").agg(F.array_join(F.sort_array(F.collect_list("note")), "\n").alias("_note"), F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("_aliases"))
+    none = F.array().cast("array<string>")
+    rows = entities.join(more, "name", "left").withColumn("description", F.when(F.col("_note").isNotNull(), F.concat_ws("\n", F.nullif("description", F.lit("")), "_note")).otherwise(F.col("description")))
+    return rows.withColumn("aliases", F.array_sort(F.array_union(F.coalesce("aliases", none), F.coalesce("_aliases", none)))).select(*entities.columns)
+
+
+def conflicting(relations: DataFrame, marks: DataFrame) -> DataFrame:
+    """Relations with those marked (relation_id, note) at a confidence of -1 and with the note."""
+    rows = relations.join(marks.select("relation_id", F.col("note").alias("_note"), F.lit(True).alias("_marked")), "relation_id", "left")
+    return rows.withColumn("confidence", F.when(F.col("_marked"), F.lit(-1.0)).otherwise(F.col("confidence"))).withColumn("conflict_note", F.coalesce("_note", "conflict_note")).select(*relations.columns)
+
+
+def corrections_of(log: DataFrame, block: str | None = None) -> DataFrame:
+    """The latest correction of each kind (doc_id, block_id, operation, payload, created_at) of all blocks or of one."""
+    rows = log if block is None else log.where(F.col("block_id") == block)
+    return rows.groupBy("doc_id", "block_id", "operation").agg(F.max_by("payload", "created_at").alias("payload"), F.max("created_at").alias("created_at"))
+
+
+def cleared(log: DataFrame, docs: DataFrame) -> DataFrame:
+    """The log of corrections without those of some documents (doc_id)."""
+    return log.join(docs.select("doc_id"), "doc_id", "left_anti")
+
+
+def link_instructions(blocks: DataFrame) -> DataFrame:
+    """(kind, source_uid, target_uid) of blocks (id, source_uid, page, contd, table_merge) that point to another by its id.
+
+    A block with both points by contd. Of two tables that point to each other the one on the earlier page is the source.
+    """
+    kind = F.when(F.col("contd") >= 0, "contd").when(F.col("table_merge") >= 0, "table_merge")
+    rows = blocks.withColumn("kind", kind).withColumn("other", F.when(F.col("kind") == "contd", F.col("contd")).otherwise(F.col("table_merge"))).where("kind IS NOT NULL AND source_uid IS NOT NULL")
+    ids = blocks.select(F.col("id").alias("other"), F.col("source_uid").alias("target_uid")).where("target_uid IS NOT NULL")
+    both = rows.join(ids, "other").select("kind", "source_uid", "target_uid", "page", "id")
+    pair = F.when(F.col("kind") == "table_merge", F.concat_ws("\u0001", F.array_sort(F.array("source_uid", "target_uid")))).otherwise(F.concat_ws("\u0001", F.lit("contd"), "id"))
+    return both.groupBy("kind", pair.alias("pair")).agg(F.min_by(F.struct("source_uid", "target_uid"), F.struct("page", "id")).alias("x")).select("kind", "x.source_uid", "x.target_uid")
+
+
+def signal_levels(blocks: DataFrame, titles: DataFrame) -> DataFrame:
+    """(block_id, level): titles' levels by their source (titles: source_id, title, level), else by their text without blanks; first wins."""
+    level = F.col("level").between(1, 9)
+    by_source = titles.where(level & F.col("source_id").isNotNull()).groupBy("source_id").agg(F.min("level").alias("by_source"))
+    form = lambda c: F.regexp_replace(c, "\\s+", "")
+    by_text = titles.where(level).groupBy(form("title").alias("form")).agg(F.min_by("level", "place").alias("by_text"))
+    rows = blocks.where("block_type = 'title'").join(by_source, "source_id", "left").withColumn("form", form("text")).join(by_text, "form", "left")
+    return rows.select("block_id", F.coalesce("by_source", "by_text").alias("level")).where("level IS NOT NULL")
+
+
 def reviewed(entities: DataFrame, decisions: DataFrame) -> DataFrame:
     """Entities with the status of their latest decision (entity_id, status, at)."""
     last = decisions.groupBy("entity_id").agg(F.max_by("status", "at").alias("_status"))
     return entities.join(last, "entity_id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
 
 
-def reuse(names: DataFrame, entities: DataFrame, form: Column, known_form: Column) -> DataFrame:
-    """(name, entity_id, method): a known entity for each new name: exact before alias before equal form."""
-    exact = names.join(entities.select("name", "entity_id"), "name").select("name", "entity_id", F.lit(1).alias("rank"))
-    alias = names.join(entities.select(F.explode("aliases").alias("name"), "entity_id"), "name").select("name", "entity_id", F.lit(2).alias("rank"))
-    forms = names.withColumn("form", form).join(entities.select(known_form.alias("form"), "entity_id"), "form").select("name", "entity_id", F.lit(3).alias("rank"))
-    best = exact.union(alias).union(forms).groupBy("name").agg(F.min(F.struct("rank", "entity_id")).alias("b"))
-    return best.select("name", "b.entity_id", F.element_at(F.array(F.lit("exact"), F.lit("alias"), F.lit("form")), F.col("b.rank")).alias("method"))
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """Twice the characters in common runs over all characters of two texts."""
+
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right, strict=True)])
+
+    return F.pandas_udf(ratio, "double")(a, b)
+
+
+def reuse(names: DataFrame, entities: DataFrame, form: Column, known_form: Column, *, least: float = 0.92) -> DataFrame:
+    """(name, entity_id, method): a known entity for each new name: exact before alias before equal form before a similar one.
+
+    Forms with a ratio of `least` differ by at most twice the rest in edits, so only pairs that near, which meet by
+    shared pieces, are compared.
+    """
+    exact = names.join(entities.select("name", "entity_id"), "name").select("name", "entity_id", F.lit(1).alias("rank"), F.lit(1.0).alias("score"))
+    alias = names.join(entities.select(F.explode("aliases").alias("name"), "entity_id"), "name").select("name", "entity_id", F.lit(2).alias("rank"), F.lit(1.0).alias("score"))
+    own, known = names.select("name", form.alias("form")), entities.select("entity_id", known_form.alias("form"))
+    forms = own.join(known, "form").select("name", "entity_id", F.lit(3).alias("rank"), F.lit(1.0).alias("score"))
+    new = own.select("form", F.concat(F.lit("n"), "form").alias("entity_id")).distinct()
+    old = known.select("form", F.concat(F.lit("k"), "form").alias("entity_id")).distinct()
+    both = new.unionByName(old).select("entity_id", F.col("form").alias("name"), F.lit("all").alias("layer"))
+    pairs = similar_names(both, layer="layer", least=1 - 2 * (1 - least), auto=1.0).where("left(first_id, 1) = 'k' AND left(second_id, 1) = 'n'")
+    pairs = pairs.select(F.expr("substring(first_id, 2)").alias("known"), F.expr("substring(second_id, 2)").alias("form"))
+    near = pairs.withColumn("score", sequence_ratio(F.col("known"), F.col("form"))).where(F.col("score") >= least)
+    near = near.join(own, "form").join(known.withColumnRenamed("form", "known"), "known").select("name", "entity_id", F.lit(4).alias("rank"), "score")
+    best = exact.union(alias).union(forms).union(near).groupBy("name").agg(F.min(F.struct("rank", (-F.col("score")).alias("far"), "entity_id")).alias("b"))
+    return best.select("name", "b.entity_id", F.element_at(F.array(F.lit("exact"), F.lit("alias"), F.lit("form"), F.lit("similar")), F.col("b.rank")).alias("method"))
 
 
 def level_decision(popo: Column, rule: Column, confidence: Column, *, sure: float = 0.8) -> Column:

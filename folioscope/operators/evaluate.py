@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import section_form
+
 
 def path_fits(predicted: Column, gold: Column) -> Column:
     """A predicted section counts if it equals a gold one or contains it."""
@@ -68,3 +72,48 @@ def mentions(answer: Column, words: Column, every: bool) -> Column:
     """Whether an answer contains all (or any) of the words, whatever the case."""
     has = lambda w: F.contains(F.lower(answer), F.lower(w))
     return F.forall(words, has) if every else F.exists(words, has)
+
+
+def retrieval_rows(predicted: DataFrame) -> DataFrame:
+    """One row per question (question_id, paths, gold): evaluated, score (hit@5), and the others; all null without gold."""
+    some = F.size(filled(F.col("gold"))) > 0
+    told = {**{f"hit_{k}": hit_at(F.col("paths"), F.col("gold"), k) for k in (1, 3, 5)}, "mrr": reciprocal_rank(F.col("paths"), F.col("gold"))}
+    return predicted.select("question_id", some.alias("evaluated"), F.when(some, told["hit_5"]).alias("score"), *(F.when(some, v).alias(k) for k, v in told.items()))
+
+
+def cites_sections(citations: Column, gold: Column) -> Column:
+    """Whether any cited section equals, ends with or contains a gold one; any answer does where there is no gold."""
+    norm = lambda paths: F.filter(F.transform(F.coalesce(paths, F.array().cast("array<string>")), section_form), lambda p: p != "")
+    return F.when(F.size(norm(gold)) == 0, True).otherwise(F.exists(norm(citations), lambda c: F.exists(norm(gold), lambda g: F.contains(c, g))))
+
+
+def sql_scores(runs: DataFrame) -> DataFrame:
+    """Text-to-SQL questions (question_id, execution_status, generated_sql, expected_sql): score, execution_success and
+    sql_exact_match, null without an expected statement."""
+    success = F.coalesce(F.col("execution_status") == "success", F.lit(False))
+    expected, generated = F.trim(F.coalesce("expected_sql", F.lit(""))), F.trim(F.coalesce("generated_sql", F.lit("")))
+    return runs.select("question_id", success.cast("double").alias("score"), success.alias("execution_success"), F.when(expected != "", expected == generated).alias("sql_exact_match"))
+
+
+def score_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(metric, change) of two summaries (metric, value): what one lacks counts as 0."""
+    pair = before.select("metric", F.col("value").alias("a")).join(after.select("metric", F.col("value").alias("b")), "metric", "full_outer")
+    return pair.select("metric", F.round(F.coalesce("b", F.lit(0.0)) - F.coalesce("a", F.lit(0.0)), 4).alias("change"))
+
+
+def case_summary(cases: DataFrame) -> DataFrame:
+    """Test cases (status) in one row: total, passed, failed, skipped."""
+    of = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return cases.agg(F.count("*").alias("total"), of("passed"), of("failed"), of("skipped"))
+
+
+def progress(runs: DataFrame, details: DataFrame) -> DataFrame:
+    """Runs (run_id, total) with what is done of them so far (details: run_id, status, score): done, share, mean score; runs that
+    nothing is done of have no mean."""
+    done = ~F.col("status").isin("pending", "running")
+    so_far = details.groupBy("run_id").agg(F.count_if(done).alias("done"), F.avg(F.when(done, F.col("score"))).alias("mean_score"))
+    return runs.join(so_far, "run_id", "left").select("run_id", F.coalesce("done", F.lit(0)).alias("done"), F.when(F.col("total") > 0, F.coalesce("done", F.lit(0)) / F.col("total")).alias("share"), "mean_score")
+
+
+#: Evaluators by name: each takes a table of predictions and gives one row per question.
+EVALUATORS: dict[str, Callable[[DataFrame], DataFrame]] = {"retrieval": retrieval_rows, "text2sql": sql_scores}

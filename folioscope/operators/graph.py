@@ -27,9 +27,13 @@ def orphans(entities: DataFrame, edges: DataFrame, *, before: Column | None = No
 def contradictions(relations: DataFrame) -> DataFrame:
     """Pairs of relations between the same entities, of different types, from different documents.
 
-    relations: relation_id, source_id, target_id, relation_type, doc_id. Equi-join on both ends; the rest filters.
+    relations: relation_id, source_id, target_id, relation_type, doc_id. The pairs are what is asked for, so
+    their number is that of the answer: only entities with relations of two types from two documents are joined, on both ends.
     """
-    a, b = relations.alias("a"), relations.alias("b")
+    ends = [SUBJECT, OBJECT]
+    mixed = relations.groupBy(*ends).agg(F.min("relation_type").alias("t0"), F.max("relation_type").alias("t1"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("t0 <> t1 AND d0 <> d1")
+    rows = relations.join(mixed.select(*ends), ends, "left_semi")
+    a, b = rows.alias("a"), rows.alias("b")
     same = (F.col("a.source_id") == F.col("b.source_id")) & (F.col("a.target_id") == F.col("b.target_id"))
     pairs = a.join(b, same & (F.col("a.relation_id") < F.col("b.relation_id")) & (F.col("a.doc_id") != F.col("b.doc_id")) & (F.col("a.relation_type") != F.col("b.relation_type")))
     return pairs.select(F.col("a.relation_id").alias("first_id"), F.col("b.relation_id").alias("second_id"), F.col("a.source_id").alias("source_id"), F.col("a.target_id").alias("target_id"), F.col("a.relation_type").alias("first_type"), F.col("b.relation_type").alias("second_type"))
@@ -110,6 +114,52 @@ def redirect(edges: DataFrame, merged: DataFrame) -> DataFrame:
     return edges.where(F.col(SUBJECT) != F.col(OBJECT)).distinct()
 
 
+def merged_entities(entities: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities and edges after merges (loser, keeper): the keeper has the names and aliases of both, losers go, edges are redirected."""
+    lost = merges.join(entities.select(F.col("entity_id").alias("loser"), "name", "aliases"), "loser").groupBy("keeper").agg(F.array_distinct(F.flatten(F.collect_list(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))))).alias("_more"))
+    kept = entities.join(merges.select(F.col("loser").alias("entity_id")), "entity_id", "left_anti").join(lost.withColumnRenamed("keeper", "entity_id"), "entity_id", "left")
+    both = F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce("_more", F.array().cast("array<string>")))
+    return kept.withColumn("aliases", F.array_sort(F.filter(both, lambda x: x != F.col("name")))).select(*entities.columns), redirect(edges, merges)
+
+
+def bridged(rows: DataFrame, bridge: DataFrame, entities: DataFrame, key: str) -> DataFrame:
+    """Principles, examples or warnings that a bridge table (key, entity_id) ties to any of the entities, each once."""
+    return rows.join(bridge.join(entities.select("entity_id"), "entity_id", "left_semi").select(key), key, "left_semi")
+
+
+def listed(entities: DataFrame, *, layer: str | None = None, status: str | None = None, library: str | None = None) -> DataFrame:
+    """Entities of a layer, a status, a library."""
+    for column, value in (("layer", layer), ("status", status), ("library_id", library)):
+        if value is not None:
+            entities = entities.where(F.col(column) == value)
+    return entities
+
+
+def documents_of(edges: DataFrame, entity: str) -> DataFrame:
+    """Documents with an edge at an entity, each once."""
+    return edges.where((F.col(SUBJECT) == entity) | (F.col(OBJECT) == entity)).select("doc_id").distinct()
+
+
+def removed(entities: DataFrame, edges: DataFrame, tombstones: DataFrame, gone: DataFrame, at: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities, edges and tombstones (library_id, name, deleted_at) after entities (entity_id) are deleted: with their edges, and
+    remembered by name, so that they don't come back by themselves."""
+    lost = entities.join(gone.select("entity_id"), "entity_id", "left_semi")
+    known = tombstones.unionByName(lost.select("library_id", "name", at.alias("deleted_at")))
+    ids = lost.select("entity_id")
+    rest = edges.join(ids.withColumnRenamed("entity_id", SUBJECT), SUBJECT, "left_anti").join(ids.withColumnRenamed("entity_id", OBJECT), OBJECT, "left_anti").select(*edges.columns)
+    return entities.join(ids, "entity_id", "left_anti"), rest, known.groupBy("library_id", "name").agg(F.max("deleted_at").alias("deleted_at"))
+
+
+def restored(tombstones: DataFrame, names: DataFrame) -> DataFrame:
+    """Tombstones without those of names (library_id, name) that may come back; what was deleted stays so."""
+    return tombstones.join(names.select("library_id", "name"), ["library_id", "name"], "left_anti")
+
+
+def without_deleted(names: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """Names (library_id, name, ...) that weren't deleted."""
+    return names.join(tombstones.select("library_id", "name"), ["library_id", "name"], "left_anti").select(*names.columns)
+
+
 def final_keepers(merges: DataFrame, *, hops: int = 5) -> DataFrame:
     """(loser, keeper) with chains of merges followed to their end; rings and chains of more than `hops` are rejected."""
     now = merges.select("loser", F.col("keeper").alias("at"), F.lit(1).alias("n"), F.array("loser").alias("seen"))
@@ -132,31 +182,86 @@ def cooccurrences(docs: DataFrame, key: str, text: str, terms: Sequence[str], *,
 # ---------------------------------------------------------------- trees
 
 
-def subtree(nodes: DataFrame, root: str, *, depth: int = 32) -> DataFrame:
-    """(node_id, depth) below and including a root: one join a level, until a level is empty."""
-    level = nodes.where(F.col("node_id") == root).select("node_id", F.lit(0).cast("long").alias("depth"))
+def subtree(nodes: DataFrame, root: str) -> DataFrame:
+    """(node_id, depth) below and including a root: one join a level, each written, until a level is empty. A node that comes
+    up again, in a ring, counts once."""
+    level = written(nodes.where(F.col("node_id") == root).select("node_id", F.lit(0).cast("long").alias("depth")))
     out = level
-    for k in range(1, depth + 1):
-        level = nodes.join(level.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi").select("node_id", F.lit(k).cast("long").alias("depth"))
-        if level.isEmpty():
-            break
+    while not level.isEmpty():
+        below = nodes.join(level.select(F.col("node_id").alias("parent_id"), "depth"), "parent_id").select("node_id", (F.col("depth") + 1).alias("depth"))
+        level = written(below.join(out.select("node_id"), "node_id", "left_anti"))
         out = out.unionByName(level)
     return out
 
 
-def tree_paths(nodes: DataFrame, *, depth: int = 32) -> DataFrame:
-    """(node_id, path): titles from the root down, parted by ` / `."""
-    level = nodes.where("parent_id IS NULL").select("node_id", F.col("title").alias("path"))
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """(node_id, path): titles from the root down, parted by ` / `: one join a level, each written, until a level is empty."""
+    level = written(nodes.where("parent_id IS NULL").select("node_id", F.col("title").alias("path")))
     out = level
-    for _ in range(depth):
+    while not level.isEmpty():
         above = level.select(F.col("node_id").alias("parent_id"), F.col("path").alias("above"))
-        level = nodes.join(above, "parent_id").select("node_id", F.concat_ws(" / ", "above", "title").alias("path"))
-        if level.isEmpty():
-            break
+        level = written(nodes.join(above, "parent_id").select("node_id", F.concat_ws(" / ", "above", "title").alias("path")))
         out = out.unionByName(level)
     return out
 
 
+def children(nodes: DataFrame, parent: str | None, *, scope: str | None = None) -> DataFrame:
+    """Nodes right below a parent (None: the roots), in their order, those deleted left out."""
+    rows = nodes.where(F.col("parent_id").isNull() if parent is None else F.col("parent_id") == parent)
+    if scope is not None:
+        rows = rows.where(F.col("scope_id") == scope)
+    if "deleted" in nodes.columns:
+        rows = rows.where("NOT deleted")
+    return rows.orderBy("sort_order", "node_id")
+
+
+def inserted(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """Nodes with new ones (same columns) after the siblings there are, where they have no order of their own; known ids are replaced."""
+    kept = nodes.join(new.select("node_id"), "node_id", "left_anti")
+    last = kept.groupBy("parent_id").agg(F.max("sort_order").alias("_last"))
+    rank = F.row_number().over(Window.partitionBy("parent_id", F.col("sort_order") < 0).orderBy("node_id"))
+    rows = new.withColumn("_n", rank).join(last.withColumnRenamed("parent_id", "_parent"), F.col("parent_id").eqNullSafe(F.col("_parent")), "left")
+    order = F.when(F.coalesce("sort_order", F.lit(-1)) < 0, F.coalesce("_last", F.lit(-1)) + F.col("_n")).otherwise(F.col("sort_order"))
+    return kept.unionByName(rows.withColumn("sort_order", order.cast(dict(nodes.dtypes)["sort_order"])).select(*nodes.columns))
+
+
+def moved(nodes: DataFrame, moves: DataFrame) -> DataFrame:
+    """Nodes with some moved (node_id, parent_id) to the end of their new siblings; siblings they left and joined are numbered anew."""
+    to = moves.select("node_id", F.col("parent_id").alias("_to"), F.lit(True).alias("_moves"))
+    rows = nodes.join(to, "node_id", "left").withColumn("_moves", F.coalesce("_moves", F.lit(False)))
+    touched = rows.where("_moves").select(F.explode(F.array(F.coalesce("parent_id", F.lit("")), F.coalesce("_to", F.lit("")))).alias("_key")).distinct().withColumn("_touched", F.lit(True))
+    rows = rows.withColumn("parent_id", F.when(F.col("_moves"), F.col("_to")).otherwise(F.col("parent_id"))).withColumn("_key", F.coalesce("parent_id", F.lit("")))
+    rows = rows.join(touched, "_key", "left")
+    place = F.row_number().over(Window.partitionBy("_key").orderBy("_moves", "sort_order", "node_id")) - 1
+    return rows.withColumn("sort_order", F.when(F.col("_touched"), place).otherwise(F.col("sort_order")).cast(dict(nodes.dtypes)["sort_order"])).select(*nodes.columns)
+
+
+def soft_deleted(nodes: DataFrame, root: str) -> DataFrame:
+    """Nodes with all below a root, and it, marked deleted."""
+    gone = subtree(nodes, root).select("node_id", F.lit(True).alias("_gone"))
+    return nodes.join(gone, "node_id", "left").withColumn("deleted", F.coalesce("_gone", "deleted")).select(*nodes.columns)
+
+
+def delete_preview(nodes: DataFrame, root: str, *, folder: Column | None = None, shown: int = 5) -> DataFrame:
+    """What deleting a node takes away, in one row: total_nodes, folder_count, document_count, and the titles of the first documents."""
+    is_folder = F.col("is_folder") if folder is None else folder
+    below = nodes.join(subtree(nodes, root).select("node_id"), "node_id", "left_semi")
+    counts = below.agg(F.count("*").alias("total_nodes"), F.count_if(is_folder).alias("folder_count"), F.count_if(~is_folder).alias("document_count"))
+    first = below.where(~is_folder).orderBy("title", "node_id").limit(shown).agg(F.sort_array(F.collect_list("title")).alias("titles"))
+    return counts.join(F.broadcast(first))
+
+
+def outlines(blocks: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(outline_id, doc_id, title, level, page_idx, anchor_block_id, parent_outline_id, printed_page_label): titles as a flat outline;
+    a parent counts if it is a title with a level itself."""
+    rows = blocks.where((F.col("block_type") == "title") & (F.trim("text") != "") & F.col("title_level").isNotNull())
+    named = rows.select(F.col("block_id").alias("parent_id"), F.concat(F.lit("outline:"), "block_id").alias("parent_outline_id"))
+    out = rows.join(named, "parent_id", "left").select(F.concat(F.lit("outline:"), "block_id").alias("outline_id"), "doc_id", F.trim("text").alias("title"), F.col("title_level").alias("level"), "page_idx", F.col("block_id").alias("anchor_block_id"), "parent_outline_id")
+    if labels is None:
+        return out.withColumn("printed_page_label", F.lit(None).cast("string"))
+    return out.join(labels.select("doc_id", "page_idx", F.col("label").alias("printed_page_label")), ["doc_id", "page_idx"], "left")
+
+
 def next_order(nodes: DataFrame) -> DataFrame:
     """(parent_id, next_order): one more than the highest order of the siblings."""
     return nodes.groupBy("parent_id").agg((F.max("sort_order") + 1).alias("next_order"))

@@ -34,12 +34,12 @@ def page(rows: DataFrame, *, order: Sequence[str | Column], offset: int, limit:
     return rows.orderBy(*order).offset(max(0, offset)).limit(max(1, limit))
 
 
-def by_clause(rows: DataFrame, refs: Sequence[str], *, clause: str = "clause_id", limit: int = 50) -> DataFrame:
+def by_clause(rows: DataFrame, refs: Sequence[str], *, clause: str = "clause_id", then: Sequence[str] = (), limit: int = 50) -> DataFrame:
     """Rows whose clause number equals one of the references, or is above or below it."""
     hit = F.lit(False)
     for ref in refs:
         hit = hit | related_clause(F.col(clause), F.lit(ref))
-    return rows.where(F.coalesce(hit, F.lit(False))).orderBy(clause).limit(max(1, min(50, limit)))
+    return rows.where(F.coalesce(hit, F.lit(False))).orderBy(clause, *then).limit(max(1, min(50, limit)))
 
 
 def metadata_filter(rows: DataFrame, *, section: str | None = None, first_page: int | None = None, last_page: int | None = None, tags: Sequence[str] = (), tag_columns: Sequence[str] = ()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,8 +49,6 @@ def bm25(docs: DataFrame, key: str, tokens: Column, query: Sequence[str], *, k1:
 
 def paragraph_search(docs: DataFrame, key: str, text: str, query: str, *, top: int = 5) -> DataFrame:
     """The best texts by BM25 over ideographs, words and numbers."""
-    import re
-
     tokens = re.findall("[一-鿿]|[a-z]+|\\d+", query.lower())
     return bm25(docs, key, word_tokens(F.col(text)), tokens).orderBy(F.desc("score"), "key").limit(top)
 
@@ -61,6 +60,13 @@ def index_tokens(text: Column) -> Column:
     return F.flatten(cut)
 
 
+def asked_tokens(text: str) -> list[str]:
+    """Tokens of a question, by the same rules."""
+    runs = re.findall(r"[一-鿿]+|(?:(?![一-鿿])[^\W_])+", text.lower())
+    pairs = ([r] if r[0] < "一" or r[0] > "鿿" or len(r) < 2 else [r[i : i + 2] for i in range(len(r) - 1)] for r in runs)
+    return list(dict.fromkeys(t for ts in pairs for t in ts))
+
+
 def fts_search(docs: DataFrame, key: str, text: str, terms: Sequence[str], *, top: int = 20) -> DataFrame:
     """Any-term full-text search ranked by BM25 (k1 1.2, b 0.75)."""
     return bm25(docs, key, index_tokens(F.col(text)), list(dict.fromkeys(terms)), k1=1.2).orderBy(F.desc("score"), "key").limit(top)
@@ -90,9 +96,16 @@ def lexical_overlap(form: Column, question: Question) -> Column:
     return score
 
 
-def sparse_score(title: Column, text: Column, question: Question) -> Column:
-    """Token weights, 6 for each exact clause number, 4 for the whole question. Numbers count 1 in table tasks."""
-    raw = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))
+def raw_text(title: Column, text: Column) -> Column:
+    return F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))
+
+
+def sparse_score(title: Column, text: Column, question: Question, form: Column | None = None) -> Column:
+    """Token weights, 6 for each exact clause number, 4 for the whole question. Numbers count 1 in table tasks.
+
+    form: a column with the match form of title and text, where there is one.
+    """
+    raw = raw_text(title, text)
 
     def score(form: Column) -> Column:
         out = lexical_overlap(form, question)
@@ -105,7 +118,7 @@ def sparse_score(title: Column, text: Column, question: Question) -> Column:
             out = out + F.when(contains_clause(raw, ref), 6.0).otherwise(0.0)
         return F.when(form == "", 0.0).otherwise(out)
 
-    return let(match_form(raw), score)
+    return let(match_form(raw), score) if form is None else score(form)
 
 
 # ---------------------------------------------------------------- vector routes
@@ -134,10 +147,11 @@ def dense_limit(top: int) -> int:
     return max(24, 8 * top)
 
 
-def dense_score(similarity: Column, title: Column, text: Column, question: Question) -> Column:
+def dense_score(similarity: Column, title: Column, text: Column, question: Question, form: Column | None = None) -> Column:
     """Similarity, a little for shared tokens, 0.20 for a clause number, 0.08 where a calculation is asked for and shown."""
-    raw = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))
-    score = F.greatest(F.lit(0.0), similarity) + F.least(F.lit(0.18), let(match_form(raw), lambda form: lexical_overlap(form, question)) * 0.015)
+    raw = raw_text(title, text)
+    overlap = let(match_form(raw), lambda own: lexical_overlap(own, question)) if form is None else lexical_overlap(form, question)
+    score = F.greatest(F.lit(0.0), similarity) + F.least(F.lit(0.18), overlap * 0.015)
     clause = F.lit(False)
     for ref in question.clauses:
         clause = clause | contains_clause(raw, ref)
@@ -195,8 +209,8 @@ def task_bonus(task: str, route: Column, kind: Column, toc: Column) -> Column:
     return out.otherwise(0.0)
 
 
-def fuse(candidates: DataFrame, *, task: str, top: int, weights: Mapping[str, float] = ROUTE_WEIGHTS, hashed: bool = False) -> DataFrame:
-    """Reciprocal-rank fusion of candidates of all routes.
+def fuse(candidates: DataFrame, *, task: str, top: int, weights: Mapping[str, float] = ROUTE_WEIGHTS, hashed: bool = False, depth: int = 1000) -> DataFrame:
+    """Reciprocal-rank fusion of the best `depth` candidates of each route.
 
     candidates: route, item_id, doc_id, kind, title, text, score, target_id, table_id, section_path, page_idx.
     Within a route scores are divided by the route's highest and the best candidate of each key stays;
@@ -207,15 +221,16 @@ def fuse(candidates: DataFrame, *, task: str, top: int, weights: Mapping[str, fl
     rows = candidates.withColumn("key", candidate_key(candidates))
     highest = rows.groupBy("route").agg(F.max("score").alias("highest"))  # one row a route
     rows = rows.join(F.broadcast(highest), "route").withColumn("normal", F.round(F.col("score") / F.coalesce(F.nullif("highest", F.lit(0.0)), F.lit(1.0)), 6))
-    best = rows.groupBy("route", "key").agg(F.max_by(F.struct("item_id", "doc_id", "kind", "title", "text", "normal", "section_path", "page_idx"), F.struct("normal", F.col("item_id"))).alias("own")).select("route", "key", "own.*")
-    ranked = best.withColumn("rank", F.row_number().over(route.orderBy(F.desc("normal"), F.desc("item_id"))) - 1)
+    best = rows.groupBy("route", "key").agg(F.max_by(F.struct("item_id", "doc_id", "kind", "title", "text", "normal", "table_id", "section_path", "page_idx"), F.struct("normal", "item_id", "text")).alias("own")).select("route", "key", "own.*")
+    # Spark keeps the best of each task before it ranks a route, so no task gets a whole route.
+    ranked = best.withColumn("rank", F.row_number().over(route.orderBy(F.desc("normal"), F.desc("item_id")))).where(F.col("rank") <= depth).withColumn("rank", F.col("rank") - 1)
     factor = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, w in weights.items() for x in (k, HASHED_WEIGHT if hashed and k == "dense" else w))), F.col("route")), F.lit(1.0))
     toc = contents_page(F.col("title"), F.col("section_path"), F.col("text"), F.col("kind"), F.col("page_idx"))
     ranked = ranked.withColumn("toc", toc).withColumn("part", factor / (RRF_K + F.col("rank")) + task_bonus(task, F.col("route"), F.coalesce("kind", F.lit("")), toc))
     fused = ranked.groupBy("key").agg(
         F.round(F.sum("part"), 6).alias("fusion_score"),
         F.array_join(F.array_sort(F.collect_set("route")), ",").alias("routes"),
-        F.max_by(F.struct("item_id", "doc_id", "kind", "title", "text", "normal", "toc"), F.struct("part", "route")).alias("own"),
+        F.max_by(F.struct("item_id", "doc_id", "kind", "title", "text", "normal", "table_id", "toc"), F.struct("part", "route")).alias("own"),
     )
     fused = fused.select("key", "fusion_score", "routes", "own.*")
     if task != "locate_qa":

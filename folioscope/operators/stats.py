@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -79,3 +79,18 @@ def grouped_scores(runs: DataFrame, dimensions: Sequence[str], score: str) -> Da
 
     pairs = [pairs_of(d) for d in dimensions]
     return runs.select(F.explode(F.flatten(F.array(*pairs))).alias("d"), score).groupBy("d.dimension", "d.value").agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"))
+
+
+def clusters(rows: DataFrame, signature: str, key: str, size: str, *, shown: int) -> DataFrame:
+    """(signature, n, first): clusters with their number of members and the keys of the largest few, in order of keys.
+
+    Spark keeps the best of each task before it ranks a cluster, so no cluster is collected.
+    """
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(signature).orderBy(F.desc(size), key))).where(F.col("_rank") <= shown)
+    first = ranked.groupBy(signature).agg(F.sort_array(F.collect_list(key)).alias("first"))
+    return rows.groupBy(signature).agg(F.count("*").alias("n")).join(first, signature)
+
+
+def hashed_cluster(signature: Column, n: int) -> Column:
+    """Number of a cluster, from 0, by a hash of its signature."""
+    return F.pmod(F.conv(F.substring(F.md5(signature), 1, 8), 16, 10).cast("long"), F.lit(n))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.query import Question
 from folioscope.functions.text import entity_form, let, match_form, similarity, year_of
-from folioscope.operators import alignment, edits, search, text2sql
+from folioscope.operators import alignment, edits, search, stats, text2sql
 from folioscope.plans.registry import Tables, query
 from folioscope.session import work_dir
 from folioscope.sources import readers
@@ -65,14 +65,12 @@ def split_paragraphs(t: Tables) -> DataFrame:
     return alignment.split_paragraphs(boxed(t).withColumn("text", F.regexp_replace("text", "\\.+$", "")))
 
 
-@query(
-    "layout_resolution",
-    """WITH {blocks} SELECT block_id, 'c' || block_id AS candidate_id, CASE WHEN pos % 2 = 0 THEN 1.04 ELSE 1.0 END AS score FROM blocks WHERE doc_id < 40 AND regexp_matches(text, '[A-Za-zÀ-ÿ0-9]') AND block_id IN (SELECT min_by(block_id, pos) FROM blocks WHERE doc_id < 40 GROUP BY doc_id)""",
-)
+@query("layout_resolution", "WITH {blocks} SELECT block_id, 'c' || block_id AS candidate_id, CASE WHEN pos % 2 = 0 THEN 1.04 ELSE 1.0 END AS score FROM blocks")
 def layout_resolution(t: Tables) -> DataFrame:
-    first = t.blocks.where("doc_id < 40").groupBy("doc_id").agg(F.min_by(F.struct("block_id", "page_idx", "reading_order", "block_type", "text", "pos"), "pos").alias("b")).select("doc_id", "b.*")
-    found = first.withColumn("candidate_id", F.concat(F.lit("c"), "block_id")).withColumn("block_type", F.when(F.col("pos") % 2 == 0, F.col("block_type")).otherwise("other"))
-    return alignment.resolved_boxes(first, found)
+    """Each block finds its own text among the candidates of its page; the tests compare shared and partial texts."""
+    own = t.blocks.withColumn("text", F.concat(F.lit("p"), "pos", F.lit("q"), "text"))
+    found = own.withColumn("candidate_id", F.concat(F.lit("c"), "block_id")).withColumn("block_type", F.when(F.col("pos") % 2 == 0, F.col("block_type")).otherwise("other"))
+    return alignment.resolved_boxes(own, found)
 
 
 @query("page_labels", "WITH {blocks} SELECT doc_id, page_idx, CAST(page_idx + 1 AS VARCHAR) AS label FROM blocks GROUP BY 1, 2 HAVING count(*) FILTER (WHERE pos % 20 = 3) > 0")
@@ -116,7 +114,7 @@ def block_split(t: Tables) -> DataFrame:
         SELECT block_id, parent_id FROM up WHERE parent_id IS NULL OR parent_id NOT IN (SELECT block_id FROM gone)""",
 )
 def block_delete(t: Tables) -> DataFrame:
-    return edits.deleted(_tree(t), t.blocks.where("pos % 40 = 20 OR pos % 9 = 4").select("block_id"), depth=4).select("block_id", "parent_id")
+    return edits.deleted(_tree(t), t.blocks.where("pos % 40 = 20 OR pos % 9 = 4").select("block_id")).select("block_id", "parent_id")
 
 
 @query("title_relevel", "WITH {blocks} SELECT block_id, CASE WHEN block_id IN ('0:0', '1:0') THEN least(6, title_level + 2) ELSE title_level END AS title_level FROM blocks WHERE block_type = 'title'")
@@ -143,14 +141,16 @@ def review_transitions(t: Tables) -> DataFrame:
 
 @query(
     "entity_reuse",
-    """WITH e AS (SELECT s_suppkey AS entity_id, s_name AS name, ['S' || s_suppkey] AS aliases FROM supplier), n AS (SELECT DISTINCT name FROM (SELECT CASE c_custkey % 4 WHEN 0 THEN 'Supplier#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') WHEN 1 THEN 'S' || c_custkey WHEN 2 THEN 'SUPPLIER# ' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') ELSE 'none' END AS name FROM customer)),
-       m AS (SELECT n.name, entity_id, 1 AS r FROM n JOIN e USING (name) UNION ALL SELECT n.name, entity_id, 2 FROM n JOIN (SELECT entity_id, unnest(aliases) AS name FROM e) USING (name) UNION ALL SELECT n.name, entity_id, 3 FROM n JOIN e ON lower(replace(n.name, ' ', '')) = lower(e.name))
-       SELECT name, arg_min(entity_id, struct_pack(r := r, e := entity_id)) AS entity_id, CASE min(r) WHEN 1 THEN 'exact' WHEN 2 THEN 'alias' ELSE 'form' END AS method FROM m GROUP BY name""",
+    """WITH e AS (SELECT s_suppkey AS entity_id, 'S ' || md5(CAST(s_suppkey AS VARCHAR)) AS name, 'S' || s_suppkey AS alias FROM supplier),
+       n AS (SELECT DISTINCT CASE c_custkey % 4 WHEN 0 THEN 'S ' || md5(CAST(c_custkey AS VARCHAR)) WHEN 1 THEN 'S' || c_custkey WHEN 2 THEN 's  ' || upper(md5(CAST(c_custkey AS VARCHAR))) ELSE 'S ' || substr(md5(CAST(c_custkey AS VARCHAR)), 2) END AS name FROM customer),
+       m AS (SELECT n.name, entity_id, 1 AS r FROM n JOIN e USING (name) UNION ALL SELECT n.name, entity_id, 2 FROM n JOIN e ON n.name = alias UNION ALL SELECT n.name, entity_id, 3 FROM n JOIN e ON lower(replace(n.name, ' ', '')) = lower(replace(e.name, ' ', '')) UNION ALL SELECT n.name, entity_id, 4 FROM n JOIN e ON n.name = 'S ' || substr(e.name, 4))
+       SELECT name, arg_min(entity_id, struct_pack(r := r, e := entity_id)) AS entity_id, CASE min(r) WHEN 1 THEN 'exact' WHEN 2 THEN 'alias' WHEN 3 THEN 'form' ELSE 'similar' END AS method FROM m GROUP BY name""",
 )
 def entity_reuse(t: Tables) -> DataFrame:
-    key = F.format_string("%09d", "c_custkey")
-    name = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("Supplier#"), key)).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("S"), "c_custkey")).when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("SUPPLIER# "), key)).otherwise("none")
-    entities = t.supplier.select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("name"), F.array(F.concat(F.lit("S"), "s_suppkey")).alias("aliases"))
+    """Names that are known, known aliases, known forms, and names that lack a letter of a known one."""
+    key, digest = F.col("c_custkey"), F.md5(F.col("c_custkey").cast("string"))
+    name = F.when(key % 4 == 0, F.concat(F.lit("S "), digest)).when(key % 4 == 1, F.concat(F.lit("S"), key)).when(key % 4 == 2, F.concat(F.lit("s  "), F.upper(digest))).otherwise(F.concat(F.lit("S "), F.substring(digest, 2, 32)))
+    entities = t.supplier.select(F.col("s_suppkey").alias("entity_id"), F.concat(F.lit("S "), F.md5(F.col("s_suppkey").cast("string"))).alias("name"), F.array(F.concat(F.lit("S"), "s_suppkey")).alias("aliases"))
     return edits.reuse(t.customer.select(name.alias("name")).distinct(), entities, entity_form(F.col("name")), entity_form(F.col("name")))
 
 
@@ -217,15 +217,6 @@ def table_row_candidates(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.round(base + bonus, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "p_partkey").limit(20)
 
 
-@query(
-    "formula_identifiers",
-    """SELECT p_partkey, len(list_intersect(list_distinct(string_split(p_name, ' ')), ['red', 'ring', 'bolt'])) AS hits FROM part""",
-)
-def formula_identifiers(t: Tables) -> DataFrame:
-    asked = F.array(*map(F.lit, ["red", "ring", "bolt"]))
-    return t.part.select("p_partkey", F.size(F.array_intersect(F.split("p_name", " "), asked)).cast("long").alias("hits"))
-
-
 @query("reference_gaps", "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND NOT contains(text, 'License')")
 def reference_gaps(t: Tables) -> DataFrame:
     answer = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("License"))).otherwise(F.array().cast("array<string>"))
@@ -234,11 +225,12 @@ def reference_gaps(t: Tables) -> DataFrame:
 
 @query(
     "question_clusters",
-    """SELECT signature, count(*) AS n, list_aggregate(list_sort(list(doc_id))[1:3], 'string_agg', ',') AS first FROM (SELECT doc_id, lang || '-' || (n_chars // 1000) AS signature FROM documents) GROUP BY signature""",
+    """SELECT signature, max(n) AS n, string_agg(doc_id, ',' ORDER BY doc_id) AS first FROM (SELECT *, count(*) OVER (PARTITION BY signature) AS n, row_number() OVER (PARTITION BY signature ORDER BY length(text) DESC, doc_id) AS rank
+       FROM (SELECT doc_id, text, lang || '-' || (n_chars // 1000) AS signature FROM documents)) WHERE rank <= 3 GROUP BY signature""",
 )
 def question_clusters(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", F.concat_ws("-", "lang", F.floor(F.col("n_chars") / 1000)).alias("signature"))
-    return rows.groupBy("signature").agg(F.count("*").alias("n"), F.array_join(F.slice(F.sort_array(F.collect_list("doc_id")), 1, 3), ",").alias("first"))
+    rows = t.documents.select("doc_id", F.char_length("text").alias("size"), F.concat_ws("-", "lang", F.floor(F.col("n_chars") / 1000)).alias("signature"))
+    return stats.clusters(rows, "signature", "doc_id", "size", shown=3).select("signature", "n", F.array_join("first", ",").alias("first"))
 
 
 @query("fuzzy_names", "SELECT n_nationkey, round(1 - levenshtein(n_name, 'NATION_12') / greatest(length(n_name), 9), 6) AS similarity FROM nation")
@@ -255,8 +247,8 @@ def outline_consistency(t: Tables) -> DataFrame:
     return rows.agg(F.round(F.avg("fits"), 6).alias("rate"), F.count("*").alias("n"))
 
 
-@query("node_reader", "WITH {blocks} SELECT block_id AS block_uid, block_type, text AS plain_text, page_idx FROM blocks WHERE doc_id < 20")
+@query("node_reader", "WITH {blocks} SELECT block_id AS block_uid, block_type, text AS plain_text, page_idx FROM blocks")
 def node_reader(t: Tables) -> DataFrame:
     folder = work_dir(t.spark)
-    t.blocks.where("doc_id < 20").select(F.col("block_id").alias("block_uid"), "block_type", F.col("text").alias("plain_text"), F.col("page_idx").cast("int").alias("page_idx")).write.json(folder)
+    t.blocks.select(F.col("block_id").alias("block_uid"), "block_type", F.col("text").alias("plain_text"), F.col("page_idx").cast("int").alias("page_idx")).write.json(folder)
     return readers.nodes(t.spark, folder).select("block_uid", "block_type", "plain_text", F.col("page_idx").cast("long").alias("page_idx"))

@@ -12,12 +12,12 @@ from folioscope.plans.registry import Tables, query
 def _relations(t: Tables) -> DataFrame:
     return t.lineitem.select(
         F.concat_ws("-", F.format_string("%09d", "l_orderkey"), "l_linenumber", "l_partkey", "l_suppkey").alias("relation_id"), (F.col("l_partkey") % 500).alias("source_id"), "l_suppkey", F.col("l_suppkey").alias("target_id"), F.col("l_returnflag").alias("relation_type"), F.col("l_orderkey").alias("doc_id")
-    ).where("source_id < 20").drop("l_suppkey")
+    ).drop("l_suppkey")
 
 
 @query(
     "contradiction_pairs",
-    """WITH r AS (SELECT lpad(CAST(l_orderkey AS VARCHAR), 9, '0') || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS relation_id, l_partkey % 500 AS source_id, l_suppkey AS target_id, l_returnflag AS relation_type, l_orderkey AS doc_id FROM lineitem WHERE l_partkey % 500 < 20)
+    """WITH r AS (SELECT lpad(CAST(l_orderkey AS VARCHAR), 9, '0') || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS relation_id, l_partkey % 500 AS source_id, l_suppkey AS target_id, l_returnflag AS relation_type, l_orderkey AS doc_id FROM lineitem)
        SELECT a.relation_id AS first_id, b.relation_id AS second_id, a.source_id, a.target_id, a.relation_type AS first_type, b.relation_type AS second_type FROM r a JOIN r b ON a.source_id = b.source_id AND a.target_id = b.target_id
        WHERE a.relation_id < b.relation_id AND a.doc_id <> b.doc_id AND a.relation_type <> b.relation_type""",
 )
@@ -25,21 +25,21 @@ def contradiction_pairs(t: Tables) -> DataFrame:
     return graph.contradictions(_relations(t))
 
 
-@query("orphan_entities", "SELECT c_custkey AS entity_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0)")
+@query("orphan_entities", "SELECT c_custkey AS entity_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def orphan_entities(t: Tables) -> DataFrame:
-    edges = t.orders.where("o_orderkey % 9 = 0").select(F.concat(F.lit("order-"), "o_orderkey").alias("source_id"), F.col("o_custkey").cast("string").alias("target_id"))
+    edges = t.orders.select(F.concat(F.lit("order-"), "o_orderkey").alias("source_id"), F.col("o_custkey").cast("string").alias("target_id"))
     return graph.orphans(t.customer.select(F.col("c_custkey").cast("string").alias("entity_id")), edges).select(F.col("entity_id").cast("long").alias("entity_id"))
 
 
 @query(
     "entity_dedup",
-    """WITH e AS (SELECT p_partkey AS entity_id, p_type AS layer, p_name || ' ' || (p_partkey % 97) AS name FROM part WHERE p_partkey < 400)
+    """WITH e AS (SELECT p_partkey AS entity_id, p_type AS layer, p_name || ' ' || (p_partkey % 97) AS name FROM part)
        SELECT a.layer, a.entity_id AS first_id, b.entity_id AS second_id, round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) AS confidence,
               CASE WHEN length(a.name) >= length(b.name) THEN a.name ELSE b.name END AS canonical, CASE WHEN 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) >= 0.92 THEN 'auto_merge' ELSE 'review' END AS action
        FROM e a JOIN e b ON a.layer = b.layer AND a.entity_id < b.entity_id WHERE 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) >= 0.85""",
 )
 def entity_dedup(t: Tables) -> DataFrame:
-    entities = t.part.where("p_partkey < 400").select(F.col("p_partkey").alias("entity_id"), "p_type", F.concat_ws(" ", "p_name", F.col("p_partkey") % 97).alias("name"))
+    entities = t.part.select(F.col("p_partkey").alias("entity_id"), "p_type", F.concat_ws(" ", "p_name", F.col("p_partkey") % 97).alias("name"))
     return graph.similar_names(entities, layer="p_type", least=0.85, auto=0.92).withColumn("confidence", F.round("confidence", 6))
 
 
@@ -132,7 +132,7 @@ NODES_SQL = """nodes AS (SELECT 'r' || r_regionkey AS node_id, NULL AS parent_id
        UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_name, s_suppkey % 4 FROM supplier)"""
 
 
-def _nodes(t: Tables) -> DataFrame:
+def tree_nodes(t: Tables) -> DataFrame:
     parts = [
         t.region.selectExpr("concat('r', r_regionkey) AS node_id", "CAST(NULL AS STRING) AS parent_id", "r_name AS title", "CAST(r_regionkey AS BIGINT) AS sort_order"),
         t.nation.selectExpr("concat('n', n_nationkey) AS node_id", "concat('r', n_regionkey) AS parent_id", "n_name AS title", "CAST(n_nationkey % 3 AS BIGINT) AS sort_order"),
@@ -143,31 +143,31 @@ def _nodes(t: Tables) -> DataFrame:
 
 @query("tree_subtree", f"WITH RECURSIVE {NODES_SQL}, walk AS (SELECT node_id, 0 AS depth FROM nodes WHERE node_id = 'r2' UNION ALL SELECT n.node_id, depth + 1 FROM nodes n JOIN walk w ON n.parent_id = w.node_id) SELECT node_id, depth FROM walk")
 def tree_subtree(t: Tables) -> DataFrame:
-    return graph.subtree(_nodes(t), "r2")
+    return graph.subtree(tree_nodes(t), "r2")
 
 
 @query("tree_paths", f"WITH RECURSIVE {NODES_SQL}, walk AS (SELECT node_id, title AS path FROM nodes WHERE parent_id IS NULL UNION ALL SELECT n.node_id, path || ' / ' || title FROM nodes n JOIN walk w ON n.parent_id = w.node_id) SELECT node_id, path FROM walk")
 def tree_paths(t: Tables) -> DataFrame:
-    return graph.tree_paths(_nodes(t))
+    return graph.tree_paths(tree_nodes(t))
 
 
 @query("sibling_resequence", f"WITH {NODES_SQL} SELECT node_id, row_number() OVER (PARTITION BY parent_id ORDER BY sort_order, node_id) - 1 AS sort_order FROM nodes")
 def sibling_resequence(t: Tables) -> DataFrame:
-    return graph.renumbered(_nodes(t)).select("node_id", "sort_order")
+    return graph.renumbered(tree_nodes(t)).select("node_id", "sort_order")
 
 
 @query("next_sibling_order", f"WITH {NODES_SQL} SELECT parent_id, max(sort_order) + 1 AS next_order FROM nodes GROUP BY parent_id")
 def next_sibling_order(t: Tables) -> DataFrame:
-    return graph.next_order(_nodes(t))
+    return graph.next_order(tree_nodes(t))
 
 
 @query(
     "step_validation",
-    """WITH RECURSIVE s AS (SELECT p_partkey AS step_id, CASE WHEN p_partkey % 10 = 9 THEN p_partkey - 4 WHEN p_partkey % 25 = 0 THEN p_partkey + 1000000 ELSE p_partkey + 1 END AS next_id FROM part WHERE p_partkey < 300 AND p_partkey % 10 <> 3),
+    """WITH RECURSIVE s AS (SELECT p_partkey AS step_id, CASE WHEN p_partkey % 10 = 9 THEN p_partkey - 4 WHEN p_partkey % 25 = 0 THEN p_partkey + 1000000 ELSE p_partkey + 1 END AS next_id FROM part),
        walk AS (SELECT step_id, next_id AS spot FROM s UNION SELECT w.step_id, s.next_id FROM walk w JOIN s ON s.step_id = w.spot)
        SELECT step_id, 'dangling' AS problem FROM s WHERE next_id NOT IN (SELECT step_id FROM s) UNION ALL SELECT step_id, 'cycle' FROM walk WHERE step_id = spot""",
 )
 def step_validation(t: Tables) -> DataFrame:
     key = F.col("p_partkey")
     after = F.when(key % 10 == 9, key - 4).when(key % 25 == 0, key + 1_000_000).otherwise(key + 1)
-    return graph.cycles_and_gaps(t.part.where("p_partkey < 300 AND p_partkey % 10 <> 3").select(key.alias("step_id"), after.alias("next_id")))
+    return graph.cycles_and_gaps(t.part.select(key.alias("step_id"), after.alias("next_id")))

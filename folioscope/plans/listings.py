@@ -13,10 +13,10 @@ from folioscope.plans.registry import Tables, query
 @query(
     "list_blocks",
     """WITH {blocks} SELECT doc_id, block_id, block_type, text FROM blocks
-       WHERE doc_id < 50 AND block_type IN ('title', 'list_item') AND contains(lower(text), 'the') ORDER BY doc_id, page_idx, reading_order LIMIT 200""",
+       WHERE block_type IN ('title', 'list_item') AND contains(lower(text), 'the') ORDER BY doc_id, page_idx, reading_order LIMIT 200""",
 )
 def list_blocks(t: Tables) -> DataFrame:
-    return listing.listing(t.blocks, where=F.col("doc_id") < 50, kinds=["title", "list_item"], keyword="The", order=["doc_id", "page_idx", "reading_order"], limit=200).select("doc_id", "block_id", "block_type", "text")
+    return listing.listing(t.blocks, kinds=["title", "list_item"], keyword="The", order=["doc_id", "page_idx", "reading_order"], limit=200).select("doc_id", "block_id", "block_type", "text")
 
 
 @query("list_pages", "WITH {blocks} SELECT doc_id, page_idx, count(*) AS n_blocks, sum(length(text))::BIGINT AS n_chars FROM blocks GROUP BY doc_id, page_idx")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.query import Question
-from folioscope.functions.text import let, match_form
+from folioscope.functions.text import match_form
 from folioscope.operators import search
 from folioscope.plans.registry import Tables, query
 
@@ -44,7 +42,7 @@ def fts_search(t: Tables) -> DataFrame:
 
 @query(
     "tfidf_bigram_recall",
-    """WITH docs AS (SELECT c_custkey AS key, c_name || ' ' || c_mktsegment AS text, FALSE AS asked FROM customer UNION ALL SELECT NULL, 'BUILDING 00042', TRUE),
+    """WITH docs AS (SELECT conv_id || ':' || turn || ':' || role AS key, text, FALSE AS asked FROM conversations WHERE text IS NOT NULL UNION ALL SELECT NULL, 'how do I sort a list', TRUE),
        grams AS (SELECT key, asked, [substr(text, i, 2) for i in range(1, length(text))] AS grams FROM docs),
        tf AS (SELECT key, asked, len(grams) AS total, gram, count(*) AS tf FROM (SELECT key, asked, grams, unnest(grams) AS gram FROM grams) GROUP BY ALL),
        df AS (SELECT gram, count(*) AS df, max(CASE WHEN asked THEN tf / total END) AS q FROM tf GROUP BY gram), size AS (SELECT count(*) AS n FROM docs),
@@ -53,8 +51,8 @@ def fts_search(t: Tables) -> DataFrame:
        SELECT key, round(sum(w * q) / (sqrt(sum(w * w)) * max(norm)), 6) AS score FROM parts, norm GROUP BY key HAVING sum(w * q) / (sqrt(sum(w * w)) * max(norm)) >= 0.02 ORDER BY score DESC, key LIMIT 5""",
 )
 def tfidf_bigram_recall(t: Tables) -> DataFrame:
-    docs = t.customer.select("c_custkey", F.concat_ws(" ", "c_name", "c_mktsegment").alias("text"))
-    return search.tfidf_recall(docs, "c_custkey", "text", "BUILDING 00042").withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "key")
+    turns = t.conversations.where("text IS NOT NULL").select(F.concat_ws(":", "conv_id", "turn", "role").alias("key"), "text")
+    return search.tfidf_recall(turns, "key", "text", "how do I sort a list").withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "key")
 
 
 @query(
@@ -79,14 +77,13 @@ def cosine_topk(t: Tables) -> DataFrame:
 
 @query(
     "hash_embedding",
-    """WITH terms AS (SELECT doc_id AS key, md5(unnest(regexp_extract_all(lower(text), '[一-鿿]|[a-z]+|[0-9]+'))) AS h FROM documents WHERE doc_id < 40),
+    """WITH terms AS (SELECT doc_id AS key, md5(unnest(regexp_extract_all(lower(text), '[一-鿿]|[a-z]+|[0-9]+'))) AS h FROM documents),
        sums AS (SELECT key, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 256 AS bucket, sum(CASE WHEN CAST('0x' || substr(h, 9, 2) AS BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS value FROM terms GROUP BY 1, 2),
        norms AS (SELECT key, sqrt(sum(value * value)) AS norm FROM sums GROUP BY key)
        SELECT key, bucket, round(value / norm, 6) AS value FROM sums JOIN norms USING (key) WHERE norm > 0 AND value <> 0""",
 )
 def hash_embedding(t: Tables) -> DataFrame:
-    docs = t.documents.where("doc_id < 40")
-    return search.hash_embedding(docs, "doc_id", search.word_tokens(F.col("text"))).withColumn("value", F.round("value", 6))
+    return search.hash_embedding(t.documents, "doc_id", search.word_tokens(F.col("text"))).withColumn("value", F.round("value", 6))
 
 
 @query(
@@ -96,7 +93,8 @@ def hash_embedding(t: Tables) -> DataFrame:
                + CASE WHEN regexp_matches(clause_id || chr(10) || text, '(^|[^0-9.])3\\.2\\.1([^0-9.]|$)') THEN 6 ELSE 0 END + CASE WHEN contains(form, '{QUESTION.form}') THEN 4 ELSE 0 END, 6) AS score FROM rows""",
 )
 def sparse_score(t: Tables) -> DataFrame:
-    return t.blocks.select("block_id", F.round(search.sparse_score(F.col("clause_id"), F.col("text"), QUESTION), 6).alias("score"))
+    rows = t.blocks.withColumn("form", match_form(search.raw_text(F.col("clause_id"), F.col("text"))))
+    return rows.select("block_id", F.round(search.sparse_score(F.col("clause_id"), F.col("text"), QUESTION, F.col("form")), 6).alias("score"))
 
 
 @query(
@@ -109,53 +107,21 @@ def dense_score(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", search.dense_score(F.col("doc_id") % 7 / 10 - 0.1, F.col("source"), F.col("text"), plain).alias("score"))
 
 
-def candidates(t: Tables, question: Question) -> DataFrame:
-    """Candidates of five routes over blocks, with synthetic clause numbers and tables."""
-    blocks = t.blocks.select("block_id", "doc_id", "clause_id", "page_idx", "block_type", "text", "pos")
-    common = [F.col("block_id").alias("item_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("block_type").alias("kind"), F.col("clause_id").alias("title"), "text"]
-    rest = [F.col("block_type").alias("section_path"), (F.col("page_idx") + 1).alias("page_idx")]
-
-    def route(name: str, rows: DataFrame, score: F.Column, table: F.Column | None = None, kind: str | None = None) -> DataFrame:
-        out = rows.select(F.lit(name).alias("route"), *common, F.round(score, 6).alias("score"), F.lit(None).cast("string").alias("target_id"), (F.lit(None).cast("string") if table is None else table).alias("table_id"), *rest)
-        return (out.withColumn("kind", F.lit(kind)) if kind else out).where("score > 0").orderBy(F.desc("score"), "item_id").limit(40)
-
-    form = match_form(F.concat_ws("\n", "clause_id", "text"))
-    lexical = let(form, lambda f: search.lexical_overlap(f, question))
-    return reduce(
-        DataFrame.unionByName,
-        [
-            route("dense", blocks, F.least(F.lit(0.18), lexical * 0.015) + (F.col("pos") % 5) / 10),
-            route("sparse", blocks, search.sparse_score(F.col("clause_id"), F.col("text"), question)),
-            route("clause", blocks.where(F.col("clause_id").isin(*question.clauses)), F.lit(14.0)),
-            route("table", blocks.where("block_type = 'list_item'"), lexical, F.concat(F.lit("t"), F.col("doc_id")), "table_text_row"),
-            route("formula", blocks.where("block_type = 'formula'"), lexical * 0.9, kind="formula_block"),
-        ],
-    )
-
-
-@query("hybrid_fusion")
-def hybrid_fusion(t: Tables) -> DataFrame:
-    """Five routes, fused by weighted reciprocal ranks, re-ranked by phrases."""
-    fused = search.fuse(candidates(t, QUESTION), task=QUESTION.task, top=10)
-    ranked = search.phrase_rerank(fused, QUESTION)
-    return ranked.select("key", "routes", "doc_id", "kind", "fusion_score", "rerank_score", search.sufficient(F.col("title"), F.col("text"), F.lit(0.0), F.col("kind"), QUESTION).alias("sufficient"))
-
-
 @query(
     "rrf_fusion",
-    """WITH rows AS (SELECT 'sparse' AS route, CAST(p_partkey AS VARCHAR) AS item, CAST(p_size AS DOUBLE) AS score FROM part WHERE p_partkey % 20 = 0
-                     UNION ALL SELECT 'dense', CAST(p_partkey AS VARCHAR), CAST(p_retailprice AS DOUBLE) FROM part WHERE p_partkey % 30 = 0),
+    """WITH rows AS (SELECT 'sparse' AS route, CAST(p_partkey AS VARCHAR) AS item, CAST(p_size AS DOUBLE) AS score FROM part UNION ALL SELECT 'dense', CAST(p_partkey AS VARCHAR), CAST(p_retailprice AS DOUBLE) FROM part),
        normal AS (SELECT route, item, round(score / max(score) OVER (PARTITION BY route), 6) AS normal FROM rows),
-       ranked AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY normal DESC, item DESC) - 1 AS rank FROM normal)
+       ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY route ORDER BY normal DESC, item DESC) - 1 AS rank FROM normal) WHERE rank < 1000)
        SELECT item AS key, round(sum(CASE route WHEN 'sparse' THEN 1.3 ELSE 0.9 END / (60 + rank) + 0.1), 6) AS fusion_score, string_agg(route, ',' ORDER BY route) AS routes FROM ranked GROUP BY item
        ORDER BY fusion_score DESC, max_by(normal, 1.0 / (60 + rank) * CASE route WHEN 'sparse' THEN 1.3 ELSE 0.9 END) DESC, length(item), item LIMIT 20""",
 )
 def rrf_fusion(t: Tables) -> DataFrame:
-    base = t.part.select(F.col("p_partkey").cast("string").alias("item_id"), F.col("p_partkey").alias("doc_id"), F.lit("content").alias("kind"), F.lit("").alias("title"), F.col("p_partkey").cast("string").alias("text"), "p_size", "p_retailprice", "p_partkey")
+    """Two routes over all parts; each route's best thousand are fused."""
+    base = t.part.select(F.col("p_partkey").cast("string").alias("item_id"), F.col("p_partkey").alias("doc_id"), F.lit("content").alias("kind"), F.lit("").alias("title"), F.col("p_partkey").cast("string").alias("text"), "p_size", "p_retailprice")
     rest = [F.lit(None).cast("string").alias("target_id"), F.lit(None).cast("string").alias("table_id"), F.lit("body").alias("section_path"), F.lit(3).alias("page_idx")]
     own = ["item_id", "doc_id", "kind", "title", "text"]
-    sparse = base.where("p_partkey % 20 = 0").select(F.lit("sparse").alias("route"), *own, F.col("p_size").cast("double").alias("score"), *rest)
-    dense = base.where("p_partkey % 30 = 0").select(F.lit("dense").alias("route"), *own, F.col("p_retailprice").alias("score"), *rest)
+    sparse = base.select(F.lit("sparse").alias("route"), *own, F.col("p_size").cast("double").alias("score"), *rest)
+    dense = base.select(F.lit("dense").alias("route"), *own, F.col("p_retailprice").alias("score"), *rest)
     fused = search.fuse(sparse.unionByName(dense), task="definition_qa", top=20, weights={"sparse": 1.3, "dense": 0.9})
     return fused.select("key", "fusion_score", "routes")
 

@@ -10,7 +10,7 @@ from folioscope.operators import structure
 from folioscope.plans.registry import Tables, query
 
 TITLED = """titles AS (SELECT b.doc_id, b.pos, t.title_level AS lv, t.pos AS tp, t.text AS title, t.block_id AS tid, b.block_type, b.block_id, b.title_level AS own
-       FROM blocks b JOIN blocks t ON t.doc_id = b.doc_id AND t.pos <= b.pos AND t.block_type = 'title' AND t.text <> '' WHERE b.doc_id < 120),
+       FROM blocks b JOIN blocks t ON t.doc_id = b.doc_id AND t.pos <= b.pos AND t.block_type = 'title' AND t.text <> ''),
     live AS (SELECT x.* FROM titles x WHERE NOT EXISTS (SELECT 1 FROM titles y WHERE y.block_id = x.block_id AND y.tp > x.tp AND y.lv <= x.lv))"""
 
 
@@ -20,7 +20,7 @@ TITLED = """titles AS (SELECT b.doc_id, b.pos, t.title_level AS lv, t.pos AS tp,
         SELECT block_id, string_agg(title, ' / ' ORDER BY lv) AS section_path, CASE WHEN block_type = 'title' THEN max_by(tid, lv) FILTER (WHERE lv < own) END AS parent_id FROM live GROUP BY block_id, block_type, own""",
 )
 def section_path(t: Tables) -> DataFrame:
-    return structure.section_paths(t.blocks.where("doc_id < 120")).where("section_path <> ''").select("block_id", "section_path", "parent_id")
+    return structure.section_paths(t.blocks).where("section_path <> ''").select("block_id", "section_path", "parent_id")
 
 
 @query(
@@ -119,7 +119,13 @@ def chunk_assembly(t: Tables) -> DataFrame:
     return structure.chunk_assembly(structure.section_paths(t.blocks))
 
 
-@query("packet_packing")
+@query(
+    "packet_packing",
+    """WITH RECURSIVE {blocks}, i AS (SELECT doc_id, block_id, pos, CAST(length(text) AS BIGINT) AS size FROM blocks),
+       walk AS (SELECT doc_id, block_id, pos, size, size AS used, CAST(0 AS BIGINT) AS packet FROM i WHERE pos = 0
+                UNION ALL SELECT i.doc_id, i.block_id, i.pos, i.size, CASE WHEN used > 0 AND used + i.size > 2000 THEN i.size ELSE used + i.size END, CASE WHEN used > 0 AND used + i.size > 2000 THEN packet + 1 ELSE packet END FROM walk w JOIN i ON i.doc_id = w.doc_id AND i.pos = w.pos + 1)
+       SELECT doc_id, block_id, pos, size, packet FROM walk""",
+)
 def packet_packing(t: Tables) -> DataFrame:
     items = t.blocks.select("doc_id", "block_id", "pos", F.char_length("text").cast("long").alias("size"))
     return structure.packed(items, "doc_id", "pos", "size", most=2000)

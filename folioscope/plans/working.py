@@ -16,13 +16,13 @@ def dedupe_latest(t: Tables) -> DataFrame:
 
 @query(
     "lww_upsert",
-    """WITH a AS (SELECT * FROM events WHERE event_id < 5000), b AS (SELECT event_id - 2500 AS event_id, ts, event_type || '!' AS event_type, value FROM events WHERE event_id BETWEEN 4000 AND 9000)
+    """WITH a AS (SELECT * FROM events), b AS (SELECT event_id - 2500 AS event_id, ts, event_type || '!' AS event_type, value FROM events)
        SELECT event_id, arg_max(event_type, struct_pack(a := ts, b := n)) AS event_type, arg_max(value, struct_pack(a := ts, b := n)) AS value FROM (SELECT event_id, ts, event_type, value, 0 AS n FROM a UNION ALL SELECT event_id, ts, event_type, value, 1 FROM b) GROUP BY event_id""",
 )
 def lww_upsert(t: Tables) -> DataFrame:
     rows = t.events.select("event_id", "ts", "event_type", "value")
-    changes = rows.where("event_id BETWEEN 4000 AND 9000").select((F.col("event_id") - 2500).alias("event_id"), "ts", F.concat("event_type", F.lit("!")).alias("event_type"), "value")
-    return records.upsert(rows.where("event_id < 5000"), changes, ["event_id"], "ts").select("event_id", "event_type", "value")
+    changes = rows.select((F.col("event_id") - 2500).alias("event_id"), "ts", F.concat("event_type", F.lit("!")).alias("event_type"), "value")
+    return records.upsert(rows, changes, ["event_id"], "ts").select("event_id", "event_type", "value")
 
 
 @query("row_patch", "SELECT c_custkey, CASE WHEN n_nationkey % 2 = 0 AND c_custkey % 3 = 0 THEN n_name ELSE c_mktsegment END AS c_mktsegment, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -159,11 +159,11 @@ def keyword_checks(t: Tables) -> DataFrame:
 
 @query(
     "html_table_rows",
-    """SELECT p_size AS table_id, string_agg(p_partkey || '|' || p_name || '|' || p_brand || '|' || p_brand, chr(10) ORDER BY p_partkey) AS body FROM part WHERE p_partkey < 500 GROUP BY p_size""",
+    """SELECT p_size AS table_id, string_agg(p_partkey || '|' || p_name || '|' || p_brand || '|' || p_brand, chr(10) ORDER BY p_partkey) AS body FROM part GROUP BY p_size""",
 )
 def html_table_rows(t: Tables) -> DataFrame:
     row = F.concat(F.lit("<tr><td> "), "p_partkey", F.lit("</td><td>"), F.col("p_name"), F.lit("</td><td colspan='2'><b>"), "p_brand", F.lit("</b></td></tr>"))
-    rows = t.part.where("p_partkey < 500").groupBy("p_size").agg(F.sort_array(F.collect_list(F.struct("p_partkey", row.alias("row")))).alias("rows"))
+    rows = t.part.groupBy("p_size").agg(F.sort_array(F.collect_list(F.struct("p_partkey", row.alias("row")))).alias("rows"))
     html = F.concat(F.lit("<table>"), F.array_join(F.transform("rows", lambda r: r["row"]), "\n"), F.lit("</table>"))
     return rows.select(F.col("p_size").alias("table_id"), lookup.table_text(lookup.html_rows(html)).alias("body"))
 
@@ -193,10 +193,10 @@ def header_lookup(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", lookup.nearest_header(headers, 20.0).cast("long").alias("place"), lookup.inferred_target(F.array(F.lit("name"), F.lit("value"), F.lit("备注")), ["name"]).alias("target"))
 
 
-@query("condition_match", "SELECT p_partkey FROM part WHERE contains(replace(p_name, ' ', ''), 'redring') OR contains('redring', replace(p_name, ' ', ''))")
+@query("condition_match")
 def condition_match(t: Tables) -> DataFrame:
-    exact = F.contains(F.replace("p_name", F.lit(" ")), F.lit("redring"))
-    return t.part.where(lookup.condition_matches(F.col("p_name"), "red ring")).where(exact).select("p_partkey")
+    """By a common variant, or by similarity, which SQL can't say; the tests compare with plain Python."""
+    return t.part.where(lookup.condition_matches(F.col("p_name"), "red ring")).select("p_partkey")
 
 
 @query("conditional_branch", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'closed' WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'soon' ELSE 'later' END AS route FROM orders")

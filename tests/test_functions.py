@@ -9,8 +9,8 @@ def one(spark, expression, **values):
 
 
 def test_match_form_equals_its_twin(spark):
-    for text in ["ε_{t,r}＝\\mathrm{ab c}，（X-1）", "Hello, World! 12.5", "斜坡堤 稳定计算。", "", "\\mathrm{a\\mathrm{b}}"]:
-        assert one(spark, fn.match_form(F.col("t")), t=text) == q.match_form(text)
+    for text in ["ε_{t,r}＝\\mathrm{ab c}，（X-1）", "Hello, World! 12.5", "斜坡堤 稳定计算。", "", "\\mathrm{a\\mathrm{b}}", "\\mathrm{" * 7 + "x" + "}" * 7 + " ω"]:
+        assert one(spark, fn.match_form(F.col("t")), t=text) == q.plain_form(text)
 
 
 def test_clause_numbers(spark):
@@ -18,7 +18,7 @@ def test_clause_numbers(spark):
     assert one(spark, fn.clause_id(F.col("t")), t="1.5m deep") is None
     assert one(spark, fn.contains_clause(F.col("t"), "6.2.1"), t="见6.2.1条") is True
     assert one(spark, fn.contains_clause(F.col("t"), "6.2.1"), t="见6.6.2.1条") is False
-    assert one(spark, fn.clause_refs(F.col("t")), t="6.2.7 and 6 2 8 or 6-2-9, 6.2.7") == ["6.2.7", "6.2.8", "6.2.9"] == q.clause_refs("6.2.7 and 6 2 8 or 6-2-9, 6.2.7")
+    assert one(spark, fn.clause_refs(F.col("t")), t="6.2.7 and 6 2 8 or 6-2-9, 6.2.7") == ["6.2.7", "6.2.8", "6.2.9"] == q.Question("6.2.7 and 6 2 8 or 6-2-9, 6.2.7").clauses
 
 
 def test_levels_counts_and_paths(spark):
@@ -48,3 +48,30 @@ def test_question():
     assert q.Question("LNG ship berth").keyword == "lng"
     assert q.Question("表3怎么查").kind == "locate_table" and q.Question("见图2").kind == "locate_figure"
     assert q.Question("").tokens == [] and q.Question("").phrases == []
+
+
+def test_terms_equal_their_twins(spark):
+    from folioscope.functions import terms
+
+    for text in ["第 5-2 条与 6.2.8 款，1.5m", "表 A.0.1 和 12.3.4、12.3", "ε_{t,r} = \\varepsilon_1 σ + kN · x_a", "按六点二点七取", "公式 5.4", ""]:
+        question = q.Question(text)
+        assert one(spark, terms.strict_clause_refs(F.col("t")), t=text) == question.strict_clauses
+        assert one(spark, fn.clause_refs(F.col("t")), t=text) == question.clauses
+        assert one(spark, terms.formula_identifiers(F.col("t")), t=text) == question.symbols
+
+
+def test_terms(spark):
+    from folioscope.functions import terms
+
+    assert one(spark, terms.eval_form(F.col("t")), t=" 约（１）， 5.0 ％！") == "约(１)5.0%"
+    assert one(spark, terms.refuses(F.col("t")), t="请换一种问法") is True and one(spark, terms.refuses(F.col("t")), t=None) is False
+    assert [one(spark, terms.elapsed(F.col("t").cast("double")), t=t) for t in ("5.26", "60", "3725.4")] == ["5.3秒", "1分0秒", "1小时2分5秒"]
+    assert one(spark, terms.unsupported_reference(F.col("a"), F.col("e")), a="见 JTS 165-2013", e="第 5.2 节") is False
+    assert one(spark, terms.unsupported_reference(F.col("a"), F.col("e")), a="见 XYZ 12", e="《规范》") is True
+    assert one(spark, terms.unsupported_reference(F.col("a"), F.col("e")), a="见《规范》XYZ 12", e="《规范》") is False
+    assert one(spark, terms.titles_fit(F.col("a"), F.col("b")), a="Code_2009", b="kode 2012") is False
+    assert one(spark, terms.titles_fit(F.col("a"), F.col("b")), a="abc-2009", b="x abc-2012") is True
+    assert one(spark, terms.parameter(F.col("t")), t="• 其中 \\alpha 系数") is None
+    assert tuple(one(spark, terms.parameter(F.col("t")), t="K：系数，取0.8（%）；"))[:3] == ("K", "系数，取0.8（%）", "%")
+    assert one(spark, terms.value_by_pattern(F.col("t"), ["z4取?\\s*([\\d.]+)"]), t="Z4取 0.4m") == "0.4"
+    assert one(spark, terms.asked_clause(F.col("t")), t="第5.2m") is None

@@ -63,8 +63,8 @@ def test_section_paths_and_chunks(spark):
     assert [r["section_path"] for r in paths.orderBy("reading_order").collect()] == ["1", "1", "1 / 1.1", "1 / 1.1", "1 / 1.1", "1 / 1.1 / 1.1.1", "1 / 1.1 / 1.1.1", "1 / 1.1 / 1.1.1", "2", "2", "2"]
     chunks = structure.chunk_assembly(paths).orderBy("chunk_id").collect()
     assert {r["chunk_id"]: (r["chunk_type"], r["n_blocks"]) for r in chunks} == {
-        "chunk-b0": ("outline_anchor", 1), "chunk-b1": ("content", 1), "chunk-b2": ("outline_anchor", 1), "chunk-b3": ("formula_block", 2), "chunk-b5": ("outline_anchor", 1),
-        "chunk-b6": ("list_procedure", 2), "chunk-b8": ("outline_anchor", 1), "chunk-b9": ("table_summary", 1),
+        "chunk-b0": ("outline_anchor", 1), "chunk-b1": ("content", 1), "chunk-b2": ("outline_anchor", 1), "chunk-b3": ("content", 2), "chunk-b5": ("outline_anchor", 1),
+        "chunk-b6": ("content", 2), "chunk-b8": ("outline_anchor", 1), "chunk-b9": ("table_summary", 1),
     }
 
 

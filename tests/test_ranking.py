@@ -1,43 +1,43 @@
-"""The flagship's candidates come from the blocks of all documents."""
+"""The routes' candidates come from the blocks of all documents, with the scores that plain Python gives."""
 
 import re
-from collections import defaultdict
 
-from folioscope.functions.query import match_form
-from folioscope.plans import ranking
-from folioscope.plans.registry import QUERIES, Tables
+from folioscope.functions.query import plain_form
+from folioscope.operators import retrieval
+from folioscope.plans import routes
+from folioscope.plans.registry import Tables
 
 
-def brute(docs, question):
-    """(route, item_id) -> score of the best 40 blocks of each of the five routes."""
-    routes = defaultdict(list)
+def lines(docs):
     for doc_id, text in docs:
-        for pos, line in enumerate((text or "").split("\n") if text is not None else []):
-            key, clause = f"{doc_id}:{pos}", f"{doc_id % 9 + 1}.{pos // 20 + 1}.{pos % 5 + 1}"
-            kind = "title" if pos % 20 == 0 else "list_item" if pos % 7 == 3 else "formula" if pos % 11 == 5 else "paragraph"
-            raw = f"{clause}\n{line}"
-            form = match_form(raw)
-            lexical = sum(w for t, w in question.weighted if t in form)
-            sparse = lexical + sum(t in form for t in question.tokens if t.isdigit()) + 4 * (question.form in form)
-            sparse += sum(6 for c in question.clauses if re.search(rf"(?<![\d.]){re.escape(c)}(?![\d.])", raw))
-            routes["dense"].append((min(0.18, lexical * 0.015) + pos % 5 / 10, key))
-            routes["sparse"].append((sparse, key))
-            routes["clause"].append((14.0 * (clause in question.clauses), key))
-            routes["table"].append((lexical * (kind == "list_item"), key))
-            routes["formula"].append((lexical * 0.9 * (kind == "formula"), key))
-    best = {}
-    for route, found in routes.items():
-        found = sorted((-round(score, 6), key) for score, key in found if score > 0)
-        best |= {(route, key): -score for score, key in found[:40]}
-    return best
-
-
-def test_hybrid_fusion_scores_all_documents(spark, tmp_path):
+        for pos, line in enumerate(text.split("\n") if text is not None else []):
+            yield f"{doc_id}:{pos}", f"{doc_id % 9 + 1}.{pos // 20 + 1}.{pos % 5 + 1}", line
+
+
+def has_clause(text, ref):
+    return re.search(rf"(?<![\d.]){re.escape(ref)}(?![\d.])", text) is not None
+
+
+def score(clause, line, question):
+    raw = f"{clause}\n{line}"
+    form = plain_form(raw)
+    out = sum(w for t, w in question.weighted if t in form) + sum(t in form for t in question.tokens if t.isdigit()) + 4 * (question.form in form)
+    return out + 6 * sum(has_clause(raw, c) for c in question.clauses)
+
+
+def test_routes_score_all_documents(spark, tmp_path):
     words = ["licensed", "apache", "text of", "with care", "plain", "3.2.1", "the", "nothing"]
     docs = [(i, "\n".join(words[(i * 5 + pos * 3) % 8] + " " + words[(i + pos) % 7] for pos in range(45))) for i in (2, 299, 300, 301, 4000)]
     docs += [(5000, "\n".join(["the licensed apache text of with 3.2.1"] * 30)), (5001, None), (5002, "")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r["route"], r["item_id"]): r["score"] for r in ranking.candidates(Tables(spark, str(tmp_path)), ranking.QUESTION).collect()}
-    want = brute(docs, ranking.QUESTION)
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
-    assert 5000 in {r["doc_id"] for r in QUERIES["hybrid_fusion"](spark, str(tmp_path)).collect()}
+    tables, question = Tables(spark, str(tmp_path)), routes.QUESTION
+
+    found = retrieval.sparse(routes.targets(tables), routes.chunks(tables), routes.blocks(tables), question, top=routes.TOP).collect()
+    got = {r["item_id"]: r["score"] for r in found if r["target_id"] and r["section_path"]}
+    want = sorted((-round(0.85 * (score(c, x, question) + 8 * has_clause(f"{c}\n{x}", "3.2.1")), 6), key) for key, c, x in lines(docs) if "3.2.1" in x)[:60]
+    assert got.keys() == {key for _, key in want} and all(abs(got[key] + s) < 1e-6 for s, key in want)
+    assert {r["doc_id"] for r in found} >= {4000, 5000}
+
+    clauses = {r["item_id"]: r["score"] for r in retrieval.clause(routes.blocks(tables), question, top=routes.TOP).collect()}
+    near = sorted((c, key) for key, c, _ in lines(docs) if c == "3.2.1" or c.startswith("3.2.1.") or "3.2.1".startswith(c + "."))[:20]
+    assert clauses == {key: 14.0 if c == "3.2.1" else 12.0 for c, key in near}
