@@ -89,3 +89,8 @@ def page_labels(blocks: DataFrame) -> DataFrame:
     label = F.nullif(F.regexp_extract(F.trim("text"), "^[-—·\\s]*(\\d{1,4}|[ivxlcIVXLC]{1,7})[-—·\\s]*$", 1), F.lit(""))
     rows = blocks.withColumn("label", label).where("label IS NOT NULL")
     return rows.groupBy("doc_id", "page_idx").agg(F.min_by("label", "reading_order").alias("label"))
+
+
+def recognition_scores(lines: DataFrame) -> DataFrame:
+    """(page_idx, block, score) of recognised lines (page_idx, block, score): the least of a block's scores, null without any."""
+    return lines.groupBy("page_idx", "block").agg(F.min("score").alias("score"))

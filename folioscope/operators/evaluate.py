@@ -117,3 +117,10 @@ def progress(runs: DataFrame, details: DataFrame) -> DataFrame:
 
 #: Evaluators by name: each takes a table of predictions and gives one row per question.
 EVALUATORS: dict[str, Callable[[DataFrame], DataFrame]] = {"retrieval": retrieval_rows, "text2sql": sql_scores}
+
+
+def enriched(details: DataFrame, questions: DataFrame, *columns: str) -> DataFrame:
+    """Details of runs with columns of their questions; a detail's own value wins."""
+    own = [c for c in columns if c in details.columns]
+    rows = details.join(questions.select("question_id", *(F.col(c).alias(f"_{c}") for c in columns)), "question_id", "left")
+    return rows.select(*(F.coalesce(c, f"_{c}").alias(c) if c in own else F.col(c) for c in details.columns), *(F.col(f"_{c}").alias(c) for c in columns if c not in own))

@@ -27,6 +27,13 @@ def patch(table: DataFrame, changes: DataFrame, key: str, columns: Sequence[str]
     return out.select(*(F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in table.columns))
 
 
+def completed(base: DataFrame, derived: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Base rows with the columns that a second pass derives; a row that it leaves out keeps null, a derived value wins over the base's."""
+    more = [c for c in derived.columns if c not in keys]
+    out = base.join(derived.select(*keys, *(F.col(c).alias(f"_{c}") for c in more)), list(keys), "left")
+    return out.select(*(F.coalesce(f"_{c}", c).alias(c) if c in more else F.col(c) for c in base.columns), *(F.col(f"_{c}").alias(c) for c in more if c not in base.columns))
+
+
 def without(table: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
     """The table without rows whose keys are listed."""
     return table.join(gone.select(*keys).distinct(), list(keys), "left_anti")
@@ -90,3 +97,22 @@ def sessions(events: DataFrame, *, gap: str, at: str, who: str) -> DataFrame:
 def newest_runs(runs: DataFrame, *, dataset: str, order: Sequence[Column], keep: int) -> DataFrame:
     """The newest runs of each dataset."""
     return runs.withColumn("_n", F.row_number().over(Window.partitionBy(dataset).orderBy(*order))).where(F.col("_n") <= keep).drop("_n")
+
+
+def current_runs(runs: DataFrame, *, dataset: str, started: str, keep: int, now: Column, hours: float = 1.0) -> DataFrame:
+    """Runs (dataset, full, started) that stay: the newest full ones of each dataset, and single ones no older than some hours."""
+    full = newest_runs(runs.where("full"), dataset=dataset, order=[F.desc(started), F.col("run_id")], keep=keep)
+    return full.unionByName(runs.where(~F.col("full") & (F.col(started) >= now - F.expr(f"INTERVAL '{int(hours * 3600)}' SECOND"))))
+
+
+def run_counters(runs: DataFrame) -> DataFrame:
+    """(sop_id, runs, failed, last_status, health) of procedures' runs (sop_id, status, at): `good` if at most one in ten failed, `poor` if half did."""
+    failed = F.count_if(F.col("status") == "failed")
+    out = runs.groupBy("sop_id").agg(F.count("*").alias("runs"), failed.alias("failed"), F.max_by("status", "at").alias("last_status"))
+    share = F.col("failed") / F.col("runs")
+    return out.withColumn("health", F.when(share <= 0.1, "good").when(share < 0.5, "fair").otherwise("poor"))
+
+
+def named(records: DataFrame, names: DataFrame, key: str, name: str, *, unknown: str = "") -> DataFrame:
+    """Records with the name of a key, as of who sent them; keys without one get the given text."""
+    return records.join(names.select(key, name), key, "left").withColumn(name, F.coalesce(name, F.lit(unknown)))
