@@ -40,10 +40,13 @@ def clean(text: Column) -> Column:
 
 def spelled(text: Column) -> Column:
     """Greek letters by their names, \\mathrm{} wrappers taken off, from the inside out, however deep."""
-    named = reduce(lambda c, g: F.replace(c, F.lit(g[0]), F.lit(g[1])), GREEK.items(), text)
-    wrappers = F.sequence(F.lit(1), F.regexp_count(named, F.lit("\\\\mathrm")))
-    unwrapped = F.aggregate(wrappers, named, lambda out, _: F.regexp_replace(out, "\\\\mathrm\\s*\\{([^{}]+)\\}", "$1"))
-    return F.when(F.contains(named, F.lit("\\mathrm")), unwrapped).otherwise(named)
+
+    def unwrapped(named: Column) -> Column:
+        wrappers = F.sequence(F.lit(1), F.regexp_count(named, F.lit("\\\\mathrm")))
+        plain = F.aggregate(wrappers, named, lambda out, _: F.regexp_replace(out, "\\\\mathrm\\s*\\{([^{}]+)\\}", "$1"))
+        return F.when(F.contains(named, F.lit("\\mathrm")), plain).otherwise(named)
+
+    return let(reduce(lambda c, g: F.replace(c, F.lit(g[0]), F.lit(g[1])), GREEK.items(), text), unwrapped)
 
 
 def match_form(text: Column) -> Column:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from folioscope.operators.records import upsert
+from folioscope.operators.records import latest
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, *, per_trigger: int = 8) -> DataFrame:
@@ -50,20 +51,26 @@ def run_once(stream: DataFrame, folder: str, *, mode: str = "append") -> DataFra
 
 
 def keep_latest(stream: DataFrame, folder: str, *, keys: list[str], at: str) -> DataFrame:
-    """Upserts a stream into a table, version by version: a batch writes the next version from the last, and a batch that
-    is run again writes the same version again."""
-    spark = stream.sparkSession
+    """Upserts a stream into a table of latest rows, kept as a log: a batch adds the latest row of each of its keys, in a folder of
+    its own, so its cost is that of the batch; one that is run again writes the same folder again. A read takes the latest of all
+    (compacted writes that once, where the log has grown long)."""
+    spark, log = stream.sparkSession, f"{folder}/log"
+
+    def add(batch: DataFrame, number: int) -> None:
+        latest(batch, keys, [at]).write.mode("overwrite").parquet(f"{log}/batch={number}")
+        seen.append(number)
+
+    seen: list[int] = []
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if not seen:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(log)
+    return latest(rows, keys, [at, "batch"]).select(*stream.columns)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        before = spark.read.schema(stream.schema).parquet(f"{folder}/v{number - 1}") if number else batch.limit(0)
-        upsert(before, batch, keys, at).write.mode("overwrite").parquet(f"{folder}/v{number}")
-        last[0] = number
 
-    last = [-1]
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    if last[0] < 0:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/v{last[0]}")
+def compacted(table: DataFrame, folder: str) -> None:
+    """Writes the latest rows as the first batch of a new log."""
+    table.write.mode("overwrite").parquet(f"{folder}/log/batch=0")
 
 
 def in_batches(stream: DataFrame, handle: Callable[[DataFrame], None], folder: str) -> None:
