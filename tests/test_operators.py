@@ -155,3 +155,13 @@ def test_listing(spark):
     df = spark.createDataFrame([(i, "Title" if i % 2 else None, i) for i in range(10)], "id int, text string, n int")
     assert [r["id"] for r in listing.listing(df, keyword="title", order=["id"], limit=3).collect()] == [1, 3, 5]
     assert listing.listing(df, order=["id"], limit=-5).count() == 1
+
+
+def test_deep_titles(spark):
+    rows = blocks(spark, [("title", k, f"t{k}") for k in range(1, 10)] + [("paragraph", None, "x")])
+    paths = structure.section_paths(rows).orderBy("reading_order").collect()
+    assert paths[-1]["section_path"] == " / ".join(f"t{k}" for k in range(1, 10)) and paths[8]["parent_id"] == "b7"
+    assert structure.section_paths(rows, levels=2).orderBy("reading_order").collect()[-1]["section_path"] == "t1 / t9"
+    assert {r["block_id"]: r["parent_at"] for r in structure.parents(rows).collect()}["b8"] == "b7"
+    none = blocks(spark, [("paragraph", None, "x")])
+    assert structure.section_paths(none).first()["section_path"] == ""
