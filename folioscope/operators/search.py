@@ -72,18 +72,36 @@ def fts_search(docs: DataFrame, key: str, text: str, terms: Sequence[str], *, to
     return bm25(docs, key, index_tokens(F.col(text)), list(dict.fromkeys(terms)), k1=1.2).orderBy(F.desc("score"), "key").limit(top)
 
 
+def term_counts(terms: Column) -> Column:
+    """Distinct terms of an array with how often each occurs, as structs (term, n): counted within the row, in sorted order."""
+
+    def runs(ordered: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(ordered) - 1)
+        heads = F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        return let(heads, lambda at: F.transform(at, lambda i, k: F.struct(F.get(ordered, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(ordered)) - i).alias("n"))))
+
+    return F.when(F.size(terms) > 0, let(F.array_sort(terms), runs)).otherwise(F.array().cast("array<struct<term:string,n:int>>"))
+
+
 def tfidf_recall(docs: DataFrame, key: str, text: str, query: str, *, top: int = 5, least: float = 0.02) -> DataFrame:
-    """Cosine of TF-IDF vectors of character pairs; frequencies count the query as one more text."""
+    """Cosine of TF-IDF vectors of character pairs; frequencies count the query as one more text.
+
+    Pairs are counted within each row, so what is shuffled are the frequencies, combined in every task, and one sum a
+    text; the table of frequencies is joined by broadcast where Spark finds it small.
+    """
     grams = [query[i : i + 2] for i in range(len(query) - 1)]
-    rows = docs.select(F.col(key).alias("key"), bigrams(F.coalesce(F.col(text), F.lit(""))).alias("grams"))
-    both = rows.select("key", "grams", F.lit(False).alias("asked")).unionByName(docs.sparkSession.range(1).select(F.lit(None).cast(dict(rows.dtypes)["key"]).alias("key"), F.array(*map(F.lit, grams)).cast("array<string>").alias("grams"), F.lit(True).alias("asked")))
+    asked = {g: grams.count(g) / len(grams) for g in sorted(set(grams))}
+    told = F.create_map(*(F.lit(x) for pair in asked.items() for x in pair)) if asked else F.create_map().cast("map<string,double>")
+    rows = docs.select(F.col(key).alias("key"), bigrams(F.coalesce(F.col(text), F.lit(""))).alias("grams")).select("key", F.size("grams").alias("total"), term_counts(F.col("grams")).alias("counts"))
     n = rows.agg((F.count("*") + 1).alias("n"))
-    tf = both.select("key", "asked", F.size("grams").alias("total"), F.explode("grams").alias("gram")).groupBy("key", "asked", "total", "gram").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("gram").agg(F.count("*").alias("df"), F.max(F.when(F.col("asked"), F.col("tf") / F.col("total"))).alias("query_tf"))
-    weight = F.log(F.col("n") / F.col("df"))
-    rows = tf.where(~F.col("asked")).join(df, "gram").join(F.broadcast(n)).select("key", (F.col("tf") / F.col("total") * weight).alias("w"), (F.coalesce("query_tf", F.lit(0.0)) * weight).alias("q"))
-    norm = df.where("query_tf IS NOT NULL").join(F.broadcast(n)).agg(F.sqrt(F.sum((F.col("query_tf") * weight) ** 2)).alias("norm"))
-    cosine = rows.groupBy("key").agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") ** 2)).alias("own"))
+    entries = rows.select("key", "total", F.explode("counts").alias("c")).select("key", F.col("c.term").alias("gram"), (F.col("c.n") / F.col("total")).alias("tf"))
+    question = docs.sparkSession.createDataFrame([(g,) for g in asked], "gram string") if asked else docs.sparkSession.createDataFrame([], "gram string")
+    seen = entries.groupBy("gram").agg(F.count("*").alias("df")).unionByName(question.withColumn("df", F.lit(1).cast("long")))
+    df = seen.groupBy("gram").agg(F.sum("df").alias("df"))
+    weighed = df.join(F.broadcast(n)).select("gram", F.log(F.col("n") / F.col("df")).alias("idf"), F.coalesce(F.try_element_at(told, F.col("gram")), F.lit(0.0)).alias("query_tf"))
+    norm = weighed.where("query_tf > 0").agg(F.sqrt(F.sum((F.col("query_tf") * F.col("idf")) ** 2)).alias("norm"))
+    own = F.col("tf") * F.col("idf")
+    cosine = entries.join(weighed, "gram").groupBy("key").agg(F.sum(own * F.col("query_tf") * F.col("idf")).alias("dot"), F.sqrt(F.sum(own**2)).alias("own"))
     scored = cosine.join(F.broadcast(norm)).select("key", F.when((F.col("own") > 0) & (F.col("norm") > 0), F.col("dot") / (F.col("own") * F.col("norm"))).otherwise(0.0).alias("score"))
     return scored.where(F.col("score") >= least).orderBy(F.desc("score"), "key").limit(top)
 
