@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Positions that a rolling hash takes at once.
-PIECE = 1 << 19
+PIECE = 1 << 18
 
 
 # ---------------------------------------------------------------- tables in the shared folder
@@ -44,7 +44,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 #: Rows and bytes that pass to a Python worker at once.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -94,7 +94,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slabs(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slabs(offsets: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
     """Splits rows into ranges [lo, hi) of at most so many bytes each, or one row where that alone is longer."""
     lo, n = 0, len(offsets) - 1
     while lo < n:

@@ -45,7 +45,7 @@ COUNT_BITS = 22
 #: Bytes beyond the length by which suffixes are ordered.
 DEEPER = 32
 #: Bytes that one suffix ordering takes, as long as groups allow.
-ORDER_BYTES = 1 << 20
+ORDER_BYTES = 1 << 19
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -257,7 +257,7 @@ def _runs_of(length: int, gram: int):
         for batch in batches:
             data, offsets = text_bytes(batch.column("body"))
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            for lo, hi in slabs(offsets, PIECE):
+            for lo, hi in slabs(offsets):
                 found = minimizer_runs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length, gram)
                 key, mark, row, start, count, twice = found.values()
                 place = start << COUNT_BITS | count << 1 | twice.astype(np.int64)
@@ -272,7 +272,7 @@ def _keys_of(length: int, gram: int):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("body"))
-            for lo, hi in slabs(offsets, PIECE):
+            for lo, hi in slabs(offsets):
                 found = minimizer_runs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length, gram, prints=False)
                 key, at, many = np.unique(found["key"], return_inverse=True, return_counts=True)
                 twice = np.bincount(at, found["twice"].astype(float), len(key)) > 0
@@ -318,7 +318,7 @@ def _fragments_of(length: int):
                     for part in parts:
                         rows.append((run["key"], part, (ids[r] + start) % splits, splits, ids[r], start, fragment.tobytes()))
                         size += len(fragment)
-                    if size > 1 << 24:
+                    if size > 1 << 21:
                         yield _rows(rows, FRAGMENT_ARROW)
                         rows, size = [], 0
             yield _rows(rows, FRAGMENT_ARROW)
