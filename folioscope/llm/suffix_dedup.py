@@ -426,7 +426,8 @@ def _cut_of(length: int, with_bytes: bool):
             texts.append(rest.decode("utf-8", "ignore") if with_bytes and body[r].is_valid else None)
         return pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip((n_bytes, n_removed, n_spans, sha, kept, texts), CUT_ARROW, strict=True)], fields=CUT_ARROW)
 
-    return F.arrow_udf(cut, CUT)
+    # Not to be worked out again where a filter on it could be moved below.
+    return F.arrow_udf(cut, CUT).asNondeterministic()
 
 
 def _count(place):
