@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import is_held_out, read_table
 from folioscope.llm.decontaminate import contamination_report
+from folioscope.llm.filteraudit import filter_audit
 from folioscope.llm.jaccard_join import jaccard_groups
 from folioscope.llm.language import fit_language_model, predict_language
 from folioscope.llm.merkle import fingerprints
@@ -74,6 +75,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(read_table(spark, sf_dir, "documents"))
 
 
+def op13_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_merkle": op2_merkle,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_filteraudit": op13_filteraudit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -246,6 +252,28 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
                sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
         FROM bytes LEFT JOIN cut USING (doc_id)""",
+    "op13_filteraudit": r"""
+        WITH RECURSIVE texts AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        judged AS (
+            SELECT part, list_concat(CASE WHEN len(w) < 200 THEN ['A'] ELSE [] END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN ['B'] ELSE [] END,
+                       CASE WHEN 100 * len(regexp_extract_all(body, '[A-Z]')) > 2 * length(body) THEN ['C'] ELSE [] END, CASE WHEN regexp_matches(body, '[#$%&*|]') THEN ['D'] ELSE [] END,
+                       CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY body) THEN ['E'] ELSE [] END) AS failed,
+                   EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = t.doc_id AND quality = 1) AS good, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = t.doc_id AND toxic = 1) AS toxic
+            FROM texts t),
+        orders AS (
+            SELECT '' AS filter_order UNION ALL SELECT filter_order || f FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(filter_order, f)),
+        steps AS (
+            SELECT filter_order, step, filter_order[step] AS f, string_split(left(filter_order, step - 1), '') AS before
+            FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders WHERE length(filter_order) = 5)),
+        counted AS (
+            SELECT part, filter_order, step, f, count(*) FILTER (NOT list_has_any(failed, before) AND NOT list_contains(failed, f)) AS kept,
+                   count(*) FILTER (NOT list_has_any(failed, before) AND list_contains(failed, f)) AS removed, count(*) FILTER (list_has_any(failed, before) AND list_contains(failed, f)) AS redundant,
+                   count(*) FILTER (failed = [f]) AS unique_fails, count(*) FILTER (NOT list_has_any(failed, before) AND list_contains(failed, f) AND good) AS good_lost,
+                   count(*) FILTER (NOT list_has_any(failed, before) AND list_contains(failed, f) AND toxic) AS toxic_lost
+            FROM judged, steps GROUP BY part, filter_order, step, f)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+        FROM counted""",
 }
 
 ORACLE_SQL["op3_toolcalls"] += " UNION ALL " + ORACLE_SQL["op3_messages"]
