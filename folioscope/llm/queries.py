@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import is_held_out, read_table
+from folioscope.llm.convtrie import trie
 from folioscope.llm.decontaminate import contamination_report
 from folioscope.llm.filteraudit import filter_audit
 from folioscope.llm.jaccard_join import jaccard_groups
@@ -75,6 +76,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(read_table(spark, sf_dir, "documents"))
 
 
+def op11_convtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_convtrie": op11_convtrie,
     "op13_filteraudit": op13_filteraudit,
 }
 
@@ -252,6 +258,34 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
                sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
         FROM bytes LEFT JOIN cut USING (doc_id)""",
+    "op11_convtrie": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+            FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (
+            SELECT conv_id, list(digest ORDER BY turn NULLS FIRST, digest) AS ds, list(words ORDER BY turn NULLS FIRST, digest) AS ws FROM turns GROUP BY conv_id),
+        shared AS (  -- crc32 of the decimal id, bit by bit, modulo 4
+            SELECT *, conv_id - conv_id % 20 AS base, xor(list_reduce(list_prepend(4294967295, [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
+                      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 AS h
+            FROM own),
+        rebuilt AS (
+            SELECT c.conv_id, CASE WHEN c.conv_id = c.base THEN c.ds ELSE list_concat(coalesce(b.ds[1:c.h], []), c.ds[c.h + 1:]) END AS ds,
+                   CASE WHEN c.conv_id = c.base THEN c.ws ELSE list_concat(coalesce(b.ws[1:c.h], []), c.ws[c.h + 1:]) END AS ws
+            FROM shared c LEFT JOIN own b ON b.conv_id = c.base),
+        members AS (
+            SELECT conv_id, d, array_to_string(ds[1:d], '') AS node, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w, d = len(ds) AS ends
+            FROM (SELECT *, unnest(range(len(ds) + 1)) AS d FROM rebuilt)),
+        nodes AS (
+            SELECT node, d, CASE WHEN d > 0 THEN left(node, 64 * (d - 1)) END AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, min(w) AS w,
+                   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+            FROM members GROUP BY node, d),
+        children AS (SELECT parent, count(*) AS n FROM nodes GROUP BY parent),
+        full_nodes AS (SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children ON children.parent = nodes.node),
+        subtrees AS (
+            SELECT left(node, 64 * k) AS top, sum((n_convs - 1) * w) AS saved, count(*) FILTER (n_children = 0) AS leaves
+            FROM (SELECT *, unnest(range(d + 1)) AS k FROM full_nodes) GROUP BY top)
+        SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM full_nodes n JOIN subtrees s ON s.top = n.node LEFT JOIN nodes p ON p.node = n.parent""",
     "op13_filteraudit": r"""
         WITH RECURSIVE texts AS (
             SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
