@@ -16,6 +16,7 @@ from folioscope.llm.language import fit_language_model, predict_language
 from folioscope.llm.merkle import fingerprints
 from folioscope.llm.mixing import mix_report
 from folioscope.llm.quality import fit_quality, quality_scores
+from folioscope.llm.qualityrules import rule_report
 from folioscope.llm.suffix_dedup import repeat_report
 from folioscope.llm.toolcalls import REPLY, conversation_calls, link_calls, other_messages
 from folioscope.llm.urlfilter import fit_url_model, url_verdicts
@@ -80,6 +81,10 @@ def op11_convtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(read_table(spark, sf_dir, "conversations"))
 
 
+def op12_qualityrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op13_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -97,9 +102,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_convtrie": op11_convtrie,
+    "op12_qualityrules": op12_qualityrules,
     "op13_filteraudit": op13_filteraudit,
 }
 
+#: crc32 of the decimal doc_id, byte by byte and bit by bit.
+CRC32_OF_ID = """xor(list_reduce(list_prepend(4294967295, [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]),
+                   lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": r"""
         WITH hashed AS (
@@ -264,9 +274,8 @@ ORACLE_SQL: dict[str, str] = {
             FROM conversations WHERE conv_id IS NOT NULL),
         own AS (
             SELECT conv_id, list(digest ORDER BY turn NULLS FIRST, digest) AS ds, list(words ORDER BY turn NULLS FIRST, digest) AS ws FROM turns GROUP BY conv_id),
-        shared AS (  -- crc32 of the decimal id, bit by bit, modulo 4
-            SELECT *, conv_id - conv_id % 20 AS base, xor(list_reduce(list_prepend(4294967295, [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
-                      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 AS h
+        shared AS (
+            SELECT *, conv_id - conv_id % 20 AS base, CRC32_OF_ID % 4 AS h
             FROM own),
         rebuilt AS (
             SELECT c.conv_id, CASE WHEN c.conv_id = c.base THEN c.ds ELSE list_concat(coalesce(b.ds[1:c.h], []), c.ds[c.h + 1:]) END AS ds,
@@ -285,7 +294,49 @@ ORACLE_SQL: dict[str, str] = {
             SELECT left(node, 64 * k) AS top, sum((n_convs - 1) * w) AS saved, count(*) FILTER (n_children = 0) AS leaves
             FROM (SELECT *, unnest(range(d + 1)) AS k FROM full_nodes) GROUP BY top)
         SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
-        FROM full_nodes n JOIN subtrees s ON s.top = n.node LEFT JOIN nodes p ON p.node = n.parent""",
+        FROM full_nodes n JOIN subtrees s ON s.top = n.node LEFT JOIN nodes p ON p.node = n.parent""".replace("CRC32_OF_ID", CRC32_OF_ID.replace("doc_id", "conv_id")),
+    "op12_qualityrules": r"""
+        WITH texts AS (
+            SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (
+            SELECT body, unnest(flatten([[i, i + 1, i + 2] FOR i IN range(1, len(w) - 1) IF len(list_filter(g, lambda x: x = g[i])) > 1])) AS place
+            FROM (SELECT body, w, [w[i : i + 2] FOR i IN range(1, len(w) - 1)] AS g FROM (SELECT DISTINCT body, w FROM texts))),
+        repeated AS (SELECT body, count(DISTINCT place) AS n FROM windows GROUP BY body),
+        lines AS (
+            SELECT body, len(l) - len(list_distinct(l)) AS n FROM (SELECT DISTINCT body, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM texts)),
+        counts AS (
+            SELECT doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN w]), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(body, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+                   CAST(lines.n AS BIGINT) AS n_dup_lines, CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words
+            FROM texts JOIN lines USING (body) LEFT JOIN repeated USING (body)),
+        judged AS (
+            SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+                   [least(100 * word_chars // greatest(n_words, 1), 100000), -least(100 * word_chars // greatest(n_words, 1), 100000), least(1000 * n_symbols // greatest(n_words, 1), 100000),
+                    least(1000 * n_dup_lines // greatest(n_words, 1), 100000), least(1000 * n_repeat_words // greatest(n_words, 1), 100000)] AS v
+            FROM counts),
+        labelled AS (
+            SELECT stratum, v, good, CRC32_OF_ID % 4 = 0 AS proposes
+            FROM judged JOIN (SELECT doc_id, bool_or(quality = 1) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed),
+        rule_values AS (SELECT stratum, unnest(range(1, 6)) AS rule, unnest(v) AS value FROM labelled WHERE proposes AND good),
+        ranked AS (SELECT stratum, rule, value, rank() OVER (PARTITION BY stratum, rule ORDER BY value DESC) - 1 AS above, count(*) OVER (PARTITION BY stratum, rule) AS n FROM rule_values),
+        cuts AS (
+            SELECT stratum, rule, list_concat([max(value) + 400, max(value) + 200, max(value) + 100, max(value) + 50],
+                   [min(value) FILTER (above = 0), min(value) FILTER (1000 * above <= n), min(value) FILTER (1000 * above <= 2 * n), min(value) FILTER (1000 * above <= 3 * n), min(value) FILTER (1000 * above <= 4 * n),
+                    min(value) FILTER (1000 * above <= 5 * n), min(value) FILTER (1000 * above <= 7 * n), min(value) FILTER (1000 * above <= 10 * n), min(value) FILTER (1000 * above <= 15 * n), min(value) FILTER (1000 * above <= 20 * n)]) AS c
+            FROM ranked GROUP BY stratum, rule),
+        path AS (
+            SELECT stratum, step, list(cut ORDER BY rule) AS cutoffs FROM (SELECT stratum, rule, unnest(range(14)) AS step, unnest(c) AS cut FROM cuts) GROUP BY stratum, step),
+        met AS (SELECT stratum, step, good, proposes, len([i FOR i IN range(1, 6) IF v[i] > cutoffs[i]]) > 0 AS rejected FROM labelled JOIN path USING (stratum)),
+        sums AS (
+            SELECT stratum, step, count(*) FILTER (good AND NOT proposes) AS n, count(*) FILTER (good AND NOT proposes AND rejected) AS lost, count(*) FILTER (NOT good AND proposes AND rejected) AS caught
+            FROM met GROUP BY stratum, step HAVING n > 0),
+        tested AS (
+            SELECT *, list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - CASE WHEN n = i THEN 0 ELSE lgamma(n - i + 1) END + i * ln(0.02) + (n - i) * ln(0.98)) FOR i IN range(lost + 1)]) AS p FROM sums),
+        passed AS (
+            SELECT *, bool_and(p <= 0.05 / (SELECT count(DISTINCT stratum) FROM tested)) OVER (PARTITION BY stratum ORDER BY step) AS ok FROM tested),
+        chosen AS (SELECT stratum, arg_max(step, caught * 100 - step) AS step FROM passed WHERE ok GROUP BY stratum),
+        cutoffs AS (SELECT stratum, cutoffs FROM path JOIN chosen USING (stratum, step))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(len([i FOR i IN range(1, 6) IF v[i] > cutoffs[i]]) = 0, true) AS kept
+        FROM judged LEFT JOIN cutoffs USING (stratum)""".replace("CRC32_OF_ID", CRC32_OF_ID),
     "op13_filteraudit": r"""
         WITH RECURSIVE texts AS (
             SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
