@@ -13,14 +13,17 @@ the document is good or toxic if one of them says so. An empty table has no part
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import permutations
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.mixing import word_count
+from folioscope.llm.common import materialize
 
 BLANKS = "[\\x20\\x09-\\x0D]"
+MARKS = "#$%&*|"
 #: The name of the filter that rejects later copies; its condition needs the whole table.
 COPY = "E"
 COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost")
@@ -29,13 +32,13 @@ COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lo
 def text_filters(text: Column) -> dict[str, Column]:
     """Failure conditions that one text decides: few words, repeated words, capitals, marks."""
     words = F.array_remove(F.split(text, BLANKS), "")
-    n_words = word_count(text)
+    n_words = F.size(words)
     capitals = F.char_length(text) - F.char_length(F.regexp_replace(text, "[A-Z]+", ""))
     return {
         "A": n_words < 200,
         "B": 100 * F.size(F.array_distinct(words)) < 50 * n_words,
         "C": 100 * capitals > 2 * F.char_length(text),
-        "D": F.coalesce(text.rlike("[#$%&*|]"), F.lit(False)),
+        "D": reduce(or_, (text.contains(mark) for mark in MARKS)),
     }
 
 
@@ -53,6 +56,7 @@ def failed_subsets(docs: DataFrame, labels: DataFrame, filters: dict[str, Column
     alike = rows.groupBy("digest", "part", "failed", "good", "toxic").agg(
         F.sum("n").alias("n"), F.min("doc_id").alias("least"), F.coalesce(F.min_by("n", "doc_id"), F.lit(0)).alias("of_least"), F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(0)).alias("unnamed")
     )
+    alike = materialize(alike)  # read twice
     firsts = alike.groupBy("digest").agg(F.min("least").alias("first"))
     alike = alike.join(firsts, "digest")
     # rows without an id and those of the smallest id pass the copy filter, all others fail it
