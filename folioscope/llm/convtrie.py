@@ -46,7 +46,8 @@ def ordered_turns(messages: DataFrame) -> DataFrame:
     rows = messages.where("conv_id IS NOT NULL").select(
         "conv_id", "turn", F.sha2(F.concat(F.char_length(role).cast("string"), F.lit(":"), role, text), 256).alias("digest"), word_count(text).alias("words")
     )
-    return numbered(rows, F.col("conv_id").asc(), F.col("turn").asc_nulls_first(), F.col("digest").asc())
+    # written first: partitioning by range reads its input twice
+    return numbered(materialize(rows), F.col("conv_id").asc(), F.col("turn").asc_nulls_first(), F.col("digest").asc())
 
 
 def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
