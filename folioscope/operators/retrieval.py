@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from folioscope.functions.terms import has_any, identifier_hits
 from folioscope.functions.text import clean, contains_clause, match_form
 from folioscope.operators import search
 from folioscope.operators.listing import any_token, by_clause
+from folioscope.operators.textindex import TextIndex
 from folioscope.session import written
 
 CANDIDATE = ["route", "item_id", "doc_id", "kind", "title", "text", "score", "target_id", "table_id", "section_path", "page_idx"]
@@ -29,6 +31,10 @@ DEFINITION = ("什么是", "定义", "含义", "解释", "表示什么", "代表
 LOOKUP = ("多少", "取多少", "什么值", "数值", "多大", "取值", "上限", "下限", "系数")
 PRIORITY = {"table_row_key": 5, "table_schema": 4, "table_mapping_row": 4, "table_text_row": 3, "table_summary": 2, "formula_context": 5, "formula_clause": 4, "formula": 3}
 CLAUSE_SCORE, EXACT_CLAUSE = 12.0, 2.0
+#: Column of the match form in tables that are prepared for questions.
+FORM = "match_form"
+#: Keys that an index may find for them to be sent to all tasks; beyond, the texts are filtered where they lie.
+MOST_KEYS = 200_000
 BLOCK_FACTOR, FORMULA_FACTOR, CLAUSE_TEXT_FACTOR = 0.85, 0.95, 0.9
 
 
@@ -43,8 +49,16 @@ def _clause_hit(raw: Column, question: Question) -> Column:
 
 
 def _formed(rows: DataFrame, title: Column, text: Column, name: str = "_form") -> DataFrame:
-    """Rows with the match form of a title and text in a column of its own, so that it is worked out once for all that a score asks of it."""
-    return rows.withColumn(name, match_form(search.raw_text(title, text)))
+    """Rows with the match form of a title and text in a column of its own, so that it is worked out once for all that a score asks of it.
+
+    Tables that were prepared at load (with_forms) have it already.
+    """
+    return rows.withColumn(name, F.col(FORM) if FORM in rows.columns else match_form(search.raw_text(title, text)))
+
+
+def with_forms(rows: DataFrame, title: str, text: str) -> DataFrame:
+    """Rows with the match form of their title and text, to be written at load: a question then compares, and normalises nothing."""
+    return rows.withColumn(FORM, match_form(search.raw_text(F.col(title), F.col(text))))
 
 
 def best(candidates: DataFrame, *, top: int) -> DataFrame:
@@ -85,12 +99,21 @@ def dense(vectors: DataFrame, texts: DataFrame, query: Sequence[float], question
 # ---------------------------------------------------------------- sparse
 
 
-def sparse(targets: DataFrame, chunks: DataFrame, blocks: DataFrame, question: Question, *, top: int) -> DataFrame:
+def having_tokens(chunks: DataFrame, key: str, text: str, asked: Sequence[str], index: TextIndex | None) -> DataFrame:
+    """Chunks with any of the tokens: by an index of them (by key) where it finds few enough to broadcast, else by a scan. The rows are the same."""
+    if index is not None:
+        keys = index.hits(asked).select(F.col("key").alias(key)).distinct()
+        if keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS:
+            return chunks.join(F.broadcast(keys), key, "left_semi")
+    return chunks.where(F.arrays_overlap(search.index_tokens(F.col(text)), F.array(*map(F.lit, asked)).cast("array<string>")))
+
+
+def sparse(targets: DataFrame, chunks: DataFrame, blocks: DataFrame, question: Question, *, top: int, index: TextIndex | None = None) -> DataFrame:
     """Candidates by their words: citation targets, chunks that full-text search finds, and blocks with the question's keyword.
 
     targets: target_id, target_type, doc_id, display_title, snippet, page_idx. chunks: chunk_id, chunk_type,
     doc_id, section_path, text, page_idx. blocks: block_id, block_type, doc_id, section_path, text, page_idx.
-    The limits are those of the whole route; the best stay.
+    index: of the chunks' texts by chunk_id, if one is kept. The limits are those of the whole route; the best stay.
     """
     terms = [t for t in question.tokens if t]
 
@@ -110,8 +133,7 @@ def sparse(targets: DataFrame, chunks: DataFrame, blocks: DataFrame, question: Q
     told = {"item_id": F.col("target_id"), "doc_id": F.col("doc_id"), "kind": F.col("target_type"), "title": F.col("display_title"), "text": F.col("snippet"), "target_id": F.col("target_id"), "page_idx": F.col("page_idx")}
     parts = [cut(_candidates(named, "sparse", score=F.round(score, 6), **told), max(20, 4 * top))]
 
-    asked = F.array(*map(F.lit, [t for t in search.asked_tokens(question.text)])).cast("array<string>")
-    hits = chunks.where(F.arrays_overlap(search.index_tokens(F.col("text")), asked)) if question.keyword else chunks
+    hits = having_tokens(chunks, "chunk_id", "text", search.asked_tokens(question.text), index) if question.keyword else chunks
     hits = _formed(hits, F.col("section_path"), F.col("text"))
     base, score = scored(F.col("section_path"), F.col("text"))
     if question.task == "definition_qa":
@@ -213,24 +235,37 @@ def table_text(items: DataFrame, texts: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- formulas
 
 
-def formula_contexts(blocks: DataFrame, question: Question, *, around: int = 4) -> DataFrame:
-    """(block_id, context): a formula with the paragraphs, list items and formulas up to `around` blocks before and after it in
-    the document, of its section or a page away at most; words only where they name a clause, a calculation or a token of the question."""
+def formula_windows(blocks: DataFrame, *, around: int = 4) -> DataFrame:
+    """Formulas with `near`: the paragraphs, list items and formulas up to `around` blocks before and after them in the document,
+    in order, of their section or a page away at most; `telling`: formulas and words of calculation. Nothing here depends on a question, so this shuffle of the blocks is made
+    once, at load; a document's blocks are ordered together, and a row holds 2 * around + 1 of them."""
     order = Window.partitionBy("doc_id").orderBy("page_idx", "reading_order")
-    rows = blocks.withColumn("plain", clean(F.col("text"))).withColumn("raw", search.raw_text(F.col("section_path"), F.col("plain")))
+    rows = blocks.withColumn("plain", clean(F.col("text")))
     rows = _formed(rows, F.col("section_path"), F.col("plain"), "form")
-    telling = _clause_hit(F.col("plain"), question) | has_any(F.col("plain"), EVIDENCE_OF_CALCULATION) | (search.lexical_overlap(F.col("form"), question) > 0)
-    part = F.when(F.col("block_type").isin("paragraph", "list_item", "formula") & (F.col("plain") != "") & ((F.col("block_type") == "formula") | telling), F.struct(F.coalesce("section_path", F.lit("")).alias("section"), F.col("page_idx").alias("page"), F.col("plain").alias("text")))
-    rows = rows.withColumn("part", part)
+    part = F.struct(F.coalesce("section_path", F.lit("")).alias("section"), F.col("page_idx").alias("page"), F.col("block_type").alias("kind"), F.col("plain").alias("text"), F.col("form"), has_any(F.col("plain"), EVIDENCE_OF_CALCULATION).alias("telling"))
+    rows = rows.withColumn("part", F.when(F.col("block_type").isin("paragraph", "list_item", "formula") & (F.col("plain") != ""), part))
     rows = rows.withColumn("near", F.collect_list("part").over(order.rowsBetween(-around, around))).where((F.col("block_type") == "formula") & (F.col("plain") != ""))
     close = F.filter("near", lambda b: (b["section"] == F.coalesce("section_path", F.lit(""))) | (F.abs(b["page"] - F.col("page_idx")) <= 1))
-    return rows.withColumn("context", F.array_join(F.array_distinct(F.transform(close, lambda b: b["text"])), "\n")).drop("part", "near")
+    return rows.select("block_id", "doc_id", "section_path", "page_idx", "plain", "form", F.transform(close, lambda b: F.struct(((b["kind"] == "formula") | b["telling"]).alias("telling"), b["text"].alias("text"), b["form"].alias("form"))).alias("near"))
+
+
+def formula_contexts(windows: DataFrame, question: Question) -> DataFrame:
+    """Windows with `raw` and `context`: of the blocks near a formula its formulas, and the others that name a clause, a calculation or a token of the question."""
+
+    def telling(b: Column) -> Column:
+        named = (F.contains(b["form"], F.lit(token)) for token, weight in question.weighted if weight > 0)
+        return reduce(or_, named, b["telling"]) | _clause_hit(b["text"], question)
+
+    told = F.transform(F.filter("near", telling), lambda b: b["text"])
+    raw = search.raw_text(F.col("section_path"), F.col("plain"))
+    return windows.select("block_id", "doc_id", "section_path", "page_idx", "plain", "form", raw.alias("raw"), F.array_join(F.array_distinct(told), "\n").alias("context"))
 
 
-def formula(blocks: DataFrame, chunks: DataFrame, question: Question, *, top: int) -> DataFrame:
-    """Candidates for questions about calculations: formulas, formulas with their surroundings, and chunks that explain them."""
+def formula(windows: DataFrame, chunks: DataFrame, question: Question, *, top: int) -> DataFrame:
+    """Candidates for questions about calculations: formulas, formulas with their surroundings (windows: formula_windows of the
+    blocks), and chunks that explain them."""
     calculation = question.says(*CALCULATION)
-    rows = _formed(formula_contexts(blocks, question), F.col("section_path"), F.col("context"), "context_form")
+    rows = _formed(formula_contexts(windows, question), F.col("section_path"), F.col("context"), "context_form")
     exact, hits = _clause_hit(F.col("raw"), question), identifier_hits(question.symbols, F.col("raw"))
     score = search.lexical_overlap(F.col("form"), question) + F.when(exact, 12.0).otherwise(0.0) + (4.0 if calculation else 0.0) + (2.0 if question.says("式") else 0.0) + 6.0 * hits
     told = {"doc_id": F.col("doc_id"), "title": F.col("section_path"), "target_id": F.col("block_id"), "section_path": F.col("section_path"), "page_idx": F.col("page_idx")}

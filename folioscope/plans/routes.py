@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.query import Question
 from folioscope.operators import retrieval, search, structure
+from folioscope.operators.textindex import TextIndex
+from folioscope.plans.kept import kept, kept_index
 from folioscope.plans.registry import Tables, query
 
 TOP = 10
@@ -151,6 +153,31 @@ def part_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
     return tables, t.part.select(F.col("p_brand").alias("table_id"), F.col("p_partkey").alias("row_index"), F.array("p_name", "p_type", size).alias("cells"), F.concat_ws(" ", "p_name", size).alias("text"))
 
 
+def loaded_blocks(t: Tables) -> DataFrame:
+    columns = ["block_id", "block_type", "doc_id", "section_path", "clause_id", "text", "page_idx", "reading_order"]
+    return kept(t, "blocks", lambda: retrieval.with_forms(blocks(t).select(*columns), "section_path", "text"))
+
+
+def loaded_chunks(t: Tables) -> DataFrame:
+    return kept(t, "chunks", lambda: retrieval.with_forms(chunks(t), "section_path", "text"))
+
+
+def loaded_targets(t: Tables) -> DataFrame:
+    return kept(t, "targets", lambda: retrieval.with_forms(targets(t), "display_title", "snippet"))
+
+
+def loaded_windows(t: Tables) -> DataFrame:
+    return kept(t, "windows", lambda: retrieval.formula_windows(loaded_blocks(t)))
+
+
+def chunk_index(t: Tables) -> TextIndex:
+    return kept_index(t, "chunks", lambda: loaded_chunks(t), "chunk_id", "text")
+
+
+def sparse_route(t: Tables, question: Question) -> DataFrame:
+    return retrieval.sparse(loaded_targets(t), loaded_chunks(t), loaded_blocks(t), question, top=TOP, index=chunk_index(t))
+
+
 def sources(t: Tables, question: Question) -> dict[str, DataFrame]:
     """Candidates of all five routes."""
     texts = t.documents.select(F.concat(F.lit("d"), "doc_id").alias("item_id"), F.col("doc_id").cast("long").alias("doc_id"), F.lit("chunk").alias("entity"), F.lit("content").alias("kind"), F.col("source").alias("title"), "text", F.lit(None).cast("string").alias("target_id"), F.col("source").alias("section_path"), F.lit(1).alias("page_idx"))
@@ -158,10 +185,10 @@ def sources(t: Tables, question: Question) -> dict[str, DataFrame]:
     first = t.embeddings.orderBy("vec_id").select("embedding").first()
     return {
         "dense": retrieval.dense(vectors, texts, first[0] if first else [], question, top=TOP),
-        "sparse": retrieval.sparse(targets(t), chunks(t), blocks(t), question, top=TOP),
-        "clause": retrieval.clause(blocks(t), question, top=TOP),
+        "sparse": sparse_route(t, question),
+        "clause": retrieval.clause(loaded_blocks(t), question, top=TOP),
         "table": retrieval.table(*part_tables(t), question, top=TOP),
-        "formula": retrieval.formula(blocks(t), chunks(t), question, top=TOP),
+        "formula": retrieval.formula(loaded_windows(t), loaded_chunks(t), question, top=TOP),
     }
 
 
@@ -176,12 +203,12 @@ def dense_retriever(t: Tables) -> DataFrame:
 
 @query("sparse_retriever", f"WITH {{blocks}}, {CHUNKS_SQL}, {sparse_sql(QUESTION)} SELECT {_SHOWN} FROM sparse")
 def sparse_retriever(t: Tables) -> DataFrame:
-    return retrieval.sparse(targets(t), chunks(t), blocks(t), QUESTION, top=TOP).select(*SHOWN)
+    return sparse_route(t, QUESTION).select(*SHOWN)
 
 
 @query("clause_retriever", f"WITH {{blocks}}, {clause_route_sql(QUESTION)} SELECT {_SHOWN} FROM clause")
 def clause_retriever(t: Tables) -> DataFrame:
-    return retrieval.clause(blocks(t), QUESTION, top=TOP).select(*SHOWN)
+    return retrieval.clause(loaded_blocks(t), QUESTION, top=TOP).select(*SHOWN)
 
 
 @query("table_retriever", f"WITH {TABLES_SQL}, {table_sql(TABLE_QUESTION)} SELECT {_SHOWN} FROM table_route")
@@ -191,7 +218,7 @@ def table_retriever(t: Tables) -> DataFrame:
 
 @query("formula_retriever", f"WITH {{blocks}}, {CHUNKS_SQL}, {formula_sql(FORMULA_QUESTION)} SELECT {_SHOWN} FROM formula")
 def formula_retriever(t: Tables) -> DataFrame:
-    return retrieval.formula(blocks(t), chunks(t), FORMULA_QUESTION, top=TOP).select(*SHOWN)
+    return retrieval.formula(loaded_windows(t), loaded_chunks(t), FORMULA_QUESTION, top=TOP).select(*SHOWN)
 
 
 HYBRID_SQL = f"""WITH {{blocks}}, {CHUNKS_SQL}, {TABLES_SQL}, {dense_sql(QUESTION)}, {sparse_sql(QUESTION)}, {clause_route_sql(QUESTION)}, {table_sql(QUESTION)}, {formula_sql(QUESTION)},
