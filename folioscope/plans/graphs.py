@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.operators import graph
+from folioscope.operators import components, graph
 from folioscope.plans.registry import Tables, query
 
 
@@ -25,10 +25,18 @@ def contradiction_pairs(t: Tables) -> DataFrame:
     return graph.contradictions(_relations(t))
 
 
-@query("orphan_entities", "SELECT c_custkey AS entity_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query(
+    "orphan_entities",
+    """SELECT c_custkey AS entity_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
+       AND DATE '1998-01-01' + CAST(c_custkey % 60 AS INTEGER) < DATE '1998-02-22' - 7""",
+)
 def orphan_entities(t: Tables) -> DataFrame:
-    edges = t.orders.select(F.concat(F.lit("order-"), "o_orderkey").alias("source_id"), F.col("o_custkey").cast("string").alias("target_id"))
-    return graph.orphans(t.customer.select(F.col("c_custkey").cast("string").alias("entity_id")), edges).select(F.col("entity_id").cast("long").alias("entity_id"))
+    """Customers that no pending order names, made more than seven days before the day of the check."""
+    edges = t.orders.where("o_orderstatus = 'P'").select(F.concat(F.lit("order-"), "o_orderkey").alias("source_id"), F.col("o_custkey").cast("string").alias("target_id"))
+    made = F.date_add(F.lit("1998-01-01").cast("date"), (F.col("c_custkey") % 60).cast("int"))
+    entities = t.customer.select(F.col("c_custkey").cast("string").alias("entity_id"), made.alias("created_at"))
+    found = graph.orphans(entities, edges, before=F.date_sub(F.lit("1998-02-22").cast("date"), 7), since="created_at")
+    return found.select(F.col("entity_id").cast("long").alias("entity_id"))
 
 
 @query(
@@ -171,3 +179,25 @@ def step_validation(t: Tables) -> DataFrame:
     key = F.col("p_partkey")
     after = F.when(key % 10 == 9, key - 4).when(key % 25 == 0, key + 1_000_000).otherwise(key + 1)
     return graph.cycles_and_gaps(t.part.select(key.alias("step_id"), after.alias("next_id")))
+
+
+@query(
+    "entity_merge",
+    """WITH RECURSIVE e AS (SELECT p_partkey AS id, p_type AS layer, p_name || ' ' || (p_partkey % 97) AS name FROM part),
+       firsts AS (SELECT layer, name, min(id) AS first FROM e GROUP BY layer, name),
+       alike AS (SELECT a.first AS a, b.first AS b FROM firsts a JOIN firsts b ON a.layer = b.layer AND a.first < b.first WHERE 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) >= 0.92),
+       links AS (SELECT a, b FROM alike UNION ALL SELECT b, a FROM alike),
+       reach AS (SELECT first AS id, first AS other FROM firsts UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.other),
+       tops AS (SELECT id, min(other) AS top FROM reach GROUP BY id),
+       merged AS (SELECT e.id, e.name, top FROM e JOIN firsts USING (layer, name) JOIN tops ON tops.id = firsts.first)
+       SELECT top AS entity_id, count(*) - 1 AS merged, md5(string_agg(DISTINCT name, ',' ORDER BY name)) AS names FROM merged GROUP BY top""",
+)
+def entity_merge(t: Tables) -> DataFrame:
+    """Parts merged along all links of equal and similar names: how many each keeper took in, and the names it goes by."""
+    entities = t.part.select(F.col("p_partkey").alias("entity_id"), "p_type", F.concat_ws(" ", "p_name", F.col("p_partkey") % 97).alias("name"), F.array().cast("array<string>").alias("aliases"))
+    tied = components.components(components.merge_pairs(entities, layer="p_type", least=0.92), "first_id", "second_id")
+    losers = tied.where("id <> component").select(F.col("id").alias("loser"), F.col("component").alias("keeper"))
+    kept, _ = graph.merged_entities(entities, t.edges, losers)
+    counts = losers.groupBy(F.col("keeper").alias("entity_id")).agg(F.count("*").alias("n"))
+    names = F.md5(F.array_join(F.array_sort(F.array_union("aliases", F.array("name"))), ","))
+    return kept.join(counts, "entity_id", "left").select("entity_id", F.coalesce("n", F.lit(0)).alias("merged"), names.alias("names"))

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from folioscope.functions.query import Question
 from folioscope.functions.text import match_form
 from folioscope.operators import search
+from folioscope.operators.textindex import TextIndex
+from folioscope.operators.vectorindex import VectorIndex
+from folioscope.plans.kept import kept_index, once
 from folioscope.plans.registry import Tables, query
+from folioscope.session import work_dir
 
 QUESTION = Question("the licensed apache text of with 3.2.1", task="table_qa")
 
@@ -30,6 +34,10 @@ WORDS = "regexp_extract_all(lower(text), '[一-鿿]|[a-z]+|[0-9]+')"
 LETTERS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 
+def document_index(t: Tables) -> TextIndex:
+    return kept_index(t, "documents", lambda: t.documents, "doc_id", "text")
+
+
 @query("bm25_paragraph", bm25_sql(WORDS, ["licensed", "under", "the", "apache", "the"], 1.5, 5))
 def bm25_paragraph(t: Tables) -> DataFrame:
     return search.paragraph_search(t.documents, "doc_id", "text", "licensed under the Apache the").withColumn("score", F.round("score", 6))
@@ -37,7 +45,39 @@ def bm25_paragraph(t: Tables) -> DataFrame:
 
 @query("fts_search", bm25_sql(LETTERS, ["reaux", "étion", "gnu"], 1.2, 20))
 def fts_search(t: Tables) -> DataFrame:
-    return search.fts_search(t.documents, "doc_id", "text", ["reaux", "étion", "gnu"]).withColumn("score", F.round("score", 6))
+    """Of the kept index, the buckets of three tokens."""
+    found = document_index(t).search(["reaux", "étion", "gnu"])
+    return found.select(F.col("key").cast("long").alias("key"), F.round("score", 6).alias("score"))
+
+
+#: Letters as ideographs, so that words become runs of them and their pairs tokens.
+LATIN, IDEOGRAPHS = "abcdefghijklmnopqrstuvwxyz", "一丁七万丈三上下不与丐丑专且世丘丙业丛东丝丢两严丧个"
+CJK_TERMS = "".join(IDEOGRAPHS[LATIN.index(c)] for c in "licensed")
+
+
+CJK_RUNS = rf"regexp_extract_all(regexp_replace(translate(lower(text), '{LATIN}', '{IDEOGRAPHS}'), '([一-鿿]+)', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
+CJK_PAIRS = f"flatten([CASE WHEN length(r) > 1 AND regexp_matches(r, '[一-鿿]') THEN [substr(r, i, 2) FOR i IN range(1, length(r))] ELSE [r] END FOR r IN {CJK_RUNS}])"
+
+
+@query("cjk_search", bm25_sql(CJK_PAIRS, search.asked_tokens(CJK_TERMS), 1.2, 20))
+def cjk_search(t: Tables) -> DataFrame:
+    """Full-text search over pairs of ideographs: the documents with their letters written as such."""
+    texts = t.documents.select("doc_id", F.translate(F.lower("text"), LATIN, IDEOGRAPHS).alias("text"))
+    index = kept_index(t, "ideographs", lambda: texts, "doc_id", "text")
+    return index.search(search.asked_tokens(CJK_TERMS)).select(F.col("key").cast("long").alias("key"), F.round("score", 6).alias("score"))
+
+
+REBUILT_SQL = "FROM (SELECT doc_id, CASE WHEN lang = 'fr' THEN text || ' gnu nation ' || doc_id ELSE text END AS text FROM documents WHERE lang IS DISTINCT FROM 'de'))"
+
+
+@query("fts_rebuild", bm25_sql(LETTERS, ["reaux", "étion", "gnu", "nation"], 1.2, 20).replace("FROM documents)", REBUILT_SQL))
+def fts_rebuild(t: Tables) -> DataFrame:
+    """The index after documents of one language were replaced and those of another removed, without a rebuild of the others."""
+    index = TextIndex(t.spark, work_dir(t.spark))
+    index.replace("load", t.documents, "doc_id", "text")
+    changed = t.documents.where("lang = 'fr'").select("doc_id", F.concat_ws(" ", "text", F.lit("gnu nation"), "doc_id").alias("text"))
+    index.replace("change", changed, "doc_id", "text", removed=t.documents.where("lang = 'de'").select("doc_id"))
+    return index.search(["reaux", "étion", "gnu", "nation"]).select(F.col("key").cast("long").alias("key"), F.round("score", 6).alias("score"))
 
 
 @query(
@@ -137,3 +177,41 @@ def reference_search(t: Tables) -> DataFrame:
     has = lambda c: F.contains(c, F.lit("red"))
     score = F.when(name == "red bolt", 24.0).when(name.startswith("red"), 18.0).when(has(name), 14.0).otherwise(0.0) + F.when(has(brand), 4.0).otherwise(0.0) + F.when(has(kind), 2.5).otherwise(0.0)
     return t.part.where(has(name) | has(brand) | has(kind)).select("p_partkey", score.alias("score")).orderBy(F.desc("score"), "p_partkey").limit(20)
+
+
+# ---------------------------------------------------------------- vector index
+
+
+def vector_index(t: Tables) -> VectorIndex:
+    """The kept index of all vectors."""
+
+    def build() -> VectorIndex:
+        index = VectorIndex(t.spark, work_dir(t.spark))
+        index.fit(t.embeddings, "vec_id", "embedding")
+        index.replace("load", t.embeddings, "vec_id", "embedding")
+        return index
+
+    return once(t, "vector index", "embeddings", build)
+
+
+@query(
+    "ann_exact",
+    """WITH q AS (SELECT embedding AS v FROM embeddings ORDER BY vec_id DESC LIMIT 1)
+       SELECT vec_id AS key, round(greatest(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 0), 6) AS score FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) DESC, vec_id LIMIT 40""",
+)
+def ann_exact(t: Tables) -> DataFrame:
+    """The index with all of its cells and no estimates."""
+    last = t.embeddings.orderBy(F.desc("vec_id")).select("embedding").first()
+    found = vector_index(t).search(last[0] if last else [], top=40, probes=None)
+    return found.select(F.col("key").cast("long").alias("key"), F.round("score", 6).alias("score"))
+
+
+@query("ann_recall", "SELECT count(*) AS questions, 10 AS top, TRUE AS reached FROM embeddings WHERE vec_id % 50 = 0")
+def ann_recall(t: Tables) -> DataFrame:
+    """Whether the nearest ten of every fiftieth vector are found, on average 0.9 of them, in the probed cells by their estimates."""
+    index = vector_index(t)
+    asked = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"))
+    found = index.search_all(asked, top=10)
+    exact = index.search_all(asked, top=10, probes=None)
+    hits = exact.join(found.select("query_id", "key", F.lit(1).alias("hit")), ["query_id", "key"], "left")
+    return hits.agg(F.count_distinct("query_id").alias("questions"), F.lit(10).alias("top"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("reached"))
