@@ -117,3 +117,32 @@ def test_all_words_and_tokens_count(spark):
     tokens = {r["token"]: r["weight"] for r in model.weights.collect()}
     assert all(f"h:{name(i)}" in tokens for i in range(n))
     assert {r["block_odds"] > model.prior for r in url_verdicts(pages, model).collect()} == {True}
+
+
+def test_long_names_and_words(spark, monkeypatch):
+    """Names over several blocks and words longer than a seed are split as by brute force."""
+    from folioscope.llm import urlfilter
+
+    monkeypatch.setattr(urlfilter, "BLOCK_LETTERS", 8)
+    monkeypatch.setattr(urlfilter, "SEED", 5)
+    html = "quiet house casino winner winnertakesall winnertakesnothing houseofcards a ab abc"
+    paths = ["quiethousecasinowinner", "winnertakesallwinnertakesnothing", "xxwinnertakesnothingyyhouseofcardszzabcab", "winnertakesal", "q" * 40 + "winnertakesall"]
+    pages = spark.createDataFrame([(i, f"http://example.org/es/{p}", html) for i, p in enumerate(paths)], "page_id long, url string, html string")
+    counts = collections.Counter(html.split() * len(paths))
+    words = spark.createDataFrame(list(counts.items()), "word string, times long")
+    names = spark.createDataFrame([(p,) for p in paths], "name string")
+    got = {r["name"]: r["words"] for r in urlfilter.split_names(names, words, sum(counts.values())).collect()}
+    for p in paths:
+        assert [f"p:{w}" for w in got[p]] == brute_tokens("", p, counts)
+    assert url_verdicts(pages, fit_url_model(pages)).count() == len(paths)
+
+
+def test_a_url_of_a_million_letters(spark):
+    """It takes seconds: rows hold blocks of it."""
+    import time
+
+    word = "quiethousecasinowin"
+    pages = table(spark).unionByName(spark.createDataFrame([(99, "http://example.net/" + word * 55_000, "x", "own", "own")], table(spark).schema))
+    began = time.time()
+    got = {r["page_id"]: r for r in url_verdicts(pages, fit_url_model(pages)).collect()}
+    assert len(got[99]["path"]) == 1 + 55_000 * len(word) and time.time() - began < 120
