@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.plans.registry import Tables, query
 from folioscope.session import work_dir
 from folioscope.sources import sinks
-from folioscope.streaming import events
+from folioscope.streaming import events, pool
 
 
 @query("stream_window_counts", "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS started, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -54,3 +54,20 @@ def subset_export(t: Tables) -> DataFrame:
 )
 def faithful_markdown(t: Tables) -> DataFrame:
     return sinks.markdown(t.blocks)
+
+
+@query(
+    "session_evictions",
+    """WITH timed AS (SELECT CAST(user_id AS VARCHAR) AS session_key, epoch_us(ts) // 1000 AS ms, event_type, lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_type, event_id) AS before, event_id FROM events),
+       numbered AS (SELECT *, sum(CASE WHEN before IS NULL OR ms > before + 7200000 THEN 1 ELSE 0 END) OVER (PARTITION BY session_key ORDER BY ms, event_type, event_id) AS session FROM timed),
+       ended AS (SELECT session_key, CAST(session AS BIGINT) AS session, count(*) AS turns, max(ms) + 7200000 AS ended, string_agg('user: ' || event_type, chr(10) ORDER BY ms, event_type) AS memory, max(session) OVER (PARTITION BY session_key) AS last FROM numbered GROUP BY session_key, session)
+       SELECT session_key, session, turns, CAST(ended AS BIGINT) AS ended, md5(memory) AS memory FROM ended WHERE session < last OR ended <= (SELECT max(ms) FROM timed)""",
+)
+def session_evictions(t: Tables) -> DataFrame:
+    """Sessions of users that a pool let go two hours after their last event, by timer or by the next event, with what they remembered."""
+    folder = work_dir(t.spark)
+    stream = events.file_stream(t.spark, t.folder, "events")
+    requests = stream.select(F.col("user_id").cast("string").alias("session_key"), F.col("ts").alias("at"), F.lit("user").alias("role"), F.col("event_type").alias("text"))
+    with pool.rocksdb(t.spark):
+        rows = events.run_once(pool.session_pool(requests, late="0 seconds", remembered=1 << 30), folder)
+    return rows.where("event = 'evicted'").select("session_key", "session", "turns", F.unix_millis("at").alias("ended"), F.md5("memory").alias("memory"))

@@ -58,18 +58,18 @@ def keep_latest(stream: DataFrame, folder: str, *, keys: list[str], at: str) ->
 
     def add(batch: DataFrame, number: int) -> None:
         latest(batch, keys, [at]).write.mode("overwrite").parquet(f"{log}/batch={number}")
-        seen.append(number)
 
-    seen: list[int] = []
     stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    if not seen:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):  # no batch yet, neither in this run nor in one before
         return spark.createDataFrame([], stream.schema)
     rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(log)
     return latest(rows, keys, [at, "batch"]).select(*stream.columns)
 
 
 def compacted(table: DataFrame, folder: str) -> None:
-    """Writes the latest rows as the first batch of a new log."""
+    """Writes the latest rows as the first batch of a new log, in another folder than the log that the table was read from: a
+    write can't replace what it reads."""
     table.write.mode("overwrite").parquet(f"{folder}/log/batch=0")
 
 

@@ -165,3 +165,13 @@ def test_deep_titles(spark):
     assert {r["block_id"]: r["parent_at"] for r in structure.parents(rows).collect()}["b8"] == "b7"
     none = blocks(spark, [("paragraph", None, "x")])
     assert structure.section_paths(none).first()["section_path"] == ""
+
+
+def test_latest_states_after_a_restart_without_new_data(spark, tmp_path):
+    from folioscope.streaming import events
+
+    spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "user_id long, at long, what string").coalesce(1).write.parquet(f"{tmp_path}/in/events.parquet")
+    stream = lambda: spark.readStream.schema("user_id long, at long, what string").parquet(f"{tmp_path}/in/*")
+    first = sorted(map(tuple, events.keep_latest(stream(), str(tmp_path), keys=["user_id"], at="at").collect()))
+    again = sorted(map(tuple, events.keep_latest(stream(), str(tmp_path), keys=["user_id"], at="at").collect()))
+    assert first == again == [(1, 2, "b"), (2, 1, "c")]
