@@ -182,27 +182,40 @@ def cooccurrences(docs: DataFrame, key: str, text: str, terms: Sequence[str], *,
 # ---------------------------------------------------------------- trees
 
 
+def _parents(nodes: DataFrame) -> DataFrame:
+    """(node_id, parent_id) with one row a node: of several parents the smallest counts."""
+    return nodes.where("node_id IS NOT NULL").groupBy("node_id").agg(F.min("parent_id").alias("parent_id"))
+
+
 def subtree(nodes: DataFrame, root: str) -> DataFrame:
-    """(node_id, depth) below and including a root: one join a level, each written, until a level is empty. A node that comes
-    up again, in a ring, counts once."""
-    level = written(nodes.where(F.col("node_id") == root).select("node_id", F.lit(0).cast("long").alias("depth")))
-    out = level
-    while not level.isEmpty():
-        below = nodes.join(level.select(F.col("node_id").alias("parent_id"), "depth"), "parent_id").select("node_id", (F.col("depth") + 1).alias("depth"))
-        level = written(below.join(out.select("node_id"), "node_id", "left_anti"))
-        out = out.unionByName(level)
-    return out
+    """(node_id, depth) below and including a root, by path doubling: each node points to its parent, then to the node that its
+    parent points to, and so on, until it points to the root or to nothing. Rounds, each written, grow with the logarithm of the
+    depth; nodes of a ring without the root never get there and end with the rounds that all nodes together could need."""
+    state = _parents(nodes).select("node_id", F.when(F.col("node_id") != root, F.col("parent_id")).alias("ptr"), F.lit(1).cast("long").alias("steps"), F.when(F.col("node_id") == root, F.lit(0).cast("long")).alias("depth"))
+    state = written(state)
+    for _ in range(state.count().bit_length() + 1):
+        if state.where("depth IS NULL AND ptr IS NOT NULL").isEmpty():
+            break
+        ahead = state.select(F.col("node_id").alias("ptr"), F.col("ptr").alias("next"), F.col("steps").alias("more"), F.col("depth").alias("below"))
+        done, open_ = state.where("depth IS NOT NULL OR ptr IS NULL"), state.where("depth IS NULL AND ptr IS NOT NULL")
+        moved = open_.join(ahead, "ptr").select("node_id", "next", (F.col("steps") + F.col("more")).alias("steps"), (F.col("steps") + F.col("below")).alias("depth"))
+        state = written(done.unionByName(moved.withColumnRenamed("next", "ptr")))
+    return state.where("depth IS NOT NULL").select("node_id", "depth")
 
 
 def tree_paths(nodes: DataFrame) -> DataFrame:
-    """(node_id, path): titles from the root down, parted by ` / `: one join a level, each written, until a level is empty."""
-    level = written(nodes.where("parent_id IS NULL").select("node_id", F.col("title").alias("path")))
-    out = level
-    while not level.isEmpty():
-        above = level.select(F.col("node_id").alias("parent_id"), F.col("path").alias("above"))
-        level = written(nodes.join(above, "parent_id").select("node_id", F.concat_ws(" / ", "above", "title").alias("path")))
-        out = out.unionByName(level)
-    return out
+    """(node_id, path): titles from the root down, parted by ` / `, by path doubling: a node's path so far is put behind that
+    of the node it points to. Nodes below a parent that doesn't exist and nodes of rings have no path; a null title is left out."""
+    titles = nodes.groupBy("node_id").agg(F.min("title").alias("path"))
+    state = written(_parents(nodes).join(titles, "node_id").select("node_id", F.col("parent_id").alias("ptr"), F.concat_ws(" / ", "path").alias("path")))
+    for _ in range(state.count().bit_length() + 1):
+        open_ = state.where("ptr IS NOT NULL")
+        if open_.isEmpty():
+            break
+        ahead = state.select(F.col("node_id").alias("ptr"), F.col("ptr").alias("next"), F.nullif("path", F.lit("")).alias("above"))
+        moved = open_.join(ahead, "ptr").select("node_id", F.col("next").alias("ptr"), F.concat_ws(" / ", "above", F.nullif("path", F.lit(""))).alias("path"))
+        state = written(state.where("ptr IS NULL").unionByName(moved))
+    return state.where("ptr IS NULL").select("node_id", "path")
 
 
 def children(nodes: DataFrame, parent: str | None, *, scope: str | None = None) -> DataFrame:

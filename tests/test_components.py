@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators import components as module
+from folioscope.operators import graph
 from folioscope.operators.components import components, merge_pairs, merged_by_name
 from folioscope.operators.vectorindex import VectorIndex, as_units, recall
 
@@ -69,6 +70,32 @@ def test_entities_of_one_name_are_tied_once_each(spark):
     assert sorted(map(tuple, redirected.select("source_id", "target_id").collect())) == [(0, 52), (51, 0)]
 
 
+# ---------------------------------------------------------------- trees
+
+
+def tree(spark, rows):
+    return spark.createDataFrame(rows, "node_id string, parent_id string, title string")
+
+
+def test_deep_trees_in_logarithmic_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(graph, "written", lambda df, real=graph.written: rounds.append(1) or real(df))
+    chain = tree(spark, [(f"n{i}", f"n{i - 1}" if i else None, f"t{i}") for i in range(300)] + [("x", None, "x")])
+    assert {r["node_id"]: r["depth"] for r in graph.subtree(chain, "n100").collect()} == {f"n{i}": i - 100 for i in range(100, 300)}
+    assert len(rounds) <= 11
+    paths = {r["node_id"]: r["path"] for r in graph.tree_paths(chain).collect()}
+    assert paths["n250"] == " / ".join(f"t{i}" for i in range(251)) and paths["x"] == "x" and len(paths) == 301
+    assert len(rounds) <= 22
+
+
+def test_odd_trees(spark):
+    rows = [("a", None, "A"), ("b", "a", None), ("c", "b", "C"), ("d", "gone", "D"), ("e", "d", "E"), ("r1", "r2", "R1"), ("r2", "r1", "R2"), ("s", "r1", "S"), ("c", "b", "C"), (None, "a", "N")]
+    assert {r["node_id"]: r["path"] for r in graph.tree_paths(tree(spark, rows)).collect()} == {"a": "A", "b": "A", "c": "A / C"}
+    depths = lambda root: {r["node_id"]: r["depth"] for r in graph.subtree(tree(spark, rows), root).collect()}
+    assert depths("a") == {"a": 0, "b": 1, "c": 2} and depths("r1") == {"r1": 0, "r2": 1, "s": 1} and depths("d") == {"d": 0, "e": 1} and depths("nothing") == {}
+    assert graph.subtree(tree(spark, []), "a").count() == 0 == graph.tree_paths(tree(spark, [])).count()
+
+
 # ---------------------------------------------------------------- vectors
 
 
