@@ -109,8 +109,16 @@ def extracted(text: Column, *, strict: bool = False, complete: bool = False) ->
     part = json_part(text)
     sound = F.try_parse_json(part).isNotNull()
 
-    def mend(parts: pa.Array) -> pa.Array:
-        return pa.array([None if p is None else p if valid(p) else None if strict else repaired(p, complete=complete) for p in parts.to_pylist()], pa.string())
-
-    broken = F.when(~sound & (part != ""), part if not complete else F.coalesce(F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)(\{.*)", 1), F.lit("")), part))
-    return F.when(sound, part).otherwise(F.arrow_udf(mend, "string")(broken))
+    def mend(parts: pa.Array, tails: pa.Array) -> pa.Array:
+        out = []
+        for part, tail in zip(parts.to_pylist(), tails.to_pylist(), strict=True):
+            if part is None or valid(part) or strict:
+                out.append(part if part is not None and valid(part) else None)
+                continue
+            whole = repaired(part)
+            out.append(repaired(tail, complete=True) if whole is None and complete and tail else whole)
+        return pa.array(out, pa.string())
+
+    broken = F.when(~sound & (part != ""), part)
+    tail = F.when(broken.isNotNull(), F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)(\{.*)", 1))  # from the first brace to the end, as a cut loses the last one
+    return F.when(sound, part).otherwise(F.arrow_udf(mend, "string")(broken, tail))
