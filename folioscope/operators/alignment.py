@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.terms import structure_level
 from folioscope.functions.text import match_form
 
 BOX = ("x0", "y0", "x1", "y1")
@@ -47,6 +48,30 @@ def captions(blocks: DataFrame, media: DataFrame) -> DataFrame:
     return texts.join(needles, ["doc_id", "page_idx"]).where(F.contains("form", F.col("needle")) & (F.col("block_id") != F.col("media_id"))).select("block_id", "media_id")
 
 
+# Types that are never a caption, types that may be headings, and how captions begin.
+NO_CAPTIONS = ("image", "table", "header", "footer", "page_header", "page_number")
+HEADING_TYPES = ("paragraph", "list", "list_item")
+CAPTION_START = "(?i)^(图|表|figure|table)[0-9a-z\u4e00-\u9fa5]"
+
+
+def related_blocks(blocks: DataFrame, media: DataFrame) -> DataFrame:
+    """(media_id, role, block_id): blocks of a page that repeat a caption or a footnote of an image or table on it.
+
+    media: doc_id, page_idx, block_id, captions, footnotes (arrays of texts). Other media, furniture and what reads like a heading are left
+    out. In match form, a block holds such a text of two characters or more, or is a part of it of ten or more, or begins like a caption as it does.
+    """
+    kind = F.lower(F.trim(F.coalesce("block_type", F.lit(""))))
+    heading = (kind == "title") | (kind.isin(*HEADING_TYPES) & structure_level(F.col("text")).isNotNull())
+    texts = blocks.where(~kind.isin(*NO_CAPTIONS) & ~heading & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    texts = texts.select("doc_id", "page_idx", "block_id", match_form(F.trim("text")).alias("form")).where("form <> ''")
+    none = F.array().cast("array<string>")
+    needles = lambda c: F.array_distinct(F.filter(F.transform(F.coalesce(c, none), match_form), lambda x: F.char_length(x) >= 2))
+    asked = media.select("doc_id", "page_idx", F.col("block_id").alias("media_id"), F.inline(F.array(F.struct(F.lit("caption").alias("role"), needles("captions").alias("needles")), F.struct(F.lit("footnote").alias("role"), needles("footnotes").alias("needles")))))
+    form = F.col("form")
+    hit = F.exists("needles", lambda n: F.contains(form, n) | ((F.char_length(form) >= 10) & F.contains(n, form)) | (form.rlike(CAPTION_START) & F.startswith(n, F.substring(form, 1, 32))))
+    return texts.join(asked.where(F.size("needles") > 0), ["doc_id", "page_idx"]).where(hit & (F.col("block_id") != F.col("media_id"))).select("media_id", "role", "block_id")
+
+
 def split_paragraphs(blocks: DataFrame, *, bottom: float = 0.80, top: float = 0.35) -> DataFrame:
     """(doc_id, page_idx, from_id, to_id, text): a page's last paragraph that ends without a stop at its foot, with the one that
     begins the next page at its head, their texts joined."""

@@ -73,6 +73,33 @@ def invalid_links(blocks: DataFrame, links: DataFrame) -> DataFrame:
     return both.select("source_id", "target_id", problem.alias("problem")).where("problem IS NOT NULL")
 
 
+#: Types that may be continued by another block: fixed values.
+CONTINUABLE = ("paragraph", "list_item")
+
+
+def checked_instructions(blocks: DataFrame, instructions: DataFrame) -> DataFrame:
+    """Instructions (kind, source_uid, target_uid) with accepted and the reason why not; the first rule that is broken counts.
+
+    blocks: doc_id, block_id, block_type, page_idx, block_seq, columns (of a table). Both ends have to exist, in one document. A
+    continuation (contd) ties paragraphs and list items, runs forward and crosses no title; a merge (table_merge) ties tables of as many columns;
+    other kinds are unknown. Null columns equal null columns. Titles are counted up to each block, document by document.
+    """
+    up_to = Window.partitionBy("doc_id").orderBy("page_idx", "block_seq").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    place = F.struct(F.coalesce("page_idx", F.lit(0)).alias("page"), F.coalesce("block_seq", F.lit(0)).alias("seq"))
+    is_title = (F.col("block_type") == "title").cast("int")
+    rows = blocks.withColumn("at", place).withColumn("titles", F.sum(is_title).over(up_to)).select("doc_id", "block_id", "block_type", "at", "titles", is_title.alias("own"), "columns")
+    side = lambda name, uid: rows.select(F.struct(*rows.columns).alias(name), F.col("block_id").alias(uid))
+    both = instructions.join(side("s", "source_uid"), "source_uid", "left").join(side("t", "target_uid"), "target_uid", "left")
+    between = F.col("t.titles") - F.coalesce("t.own", F.lit(0)) - F.col("s.titles")
+    compatible = F.col("s.block_type").isin(*CONTINUABLE) & F.col("t.block_type").isin(*CONTINUABLE)
+    of_text = F.when(~F.coalesce(compatible, F.lit(False)), "types").when(F.col("t.at") <= F.col("s.at"), "not later").when(between > 0, "title between")
+    tables = (F.col("s.block_type") == "table") & (F.col("t.block_type") == "table")
+    of_table = F.when(~F.coalesce(tables, F.lit(False)), "types").when(~F.col("s.columns").eqNullSafe(F.col("t.columns")), "columns")
+    missing = F.col("s").isNull() | F.col("t").isNull() | (F.col("s.doc_id") != F.col("t.doc_id"))
+    reason = F.when(missing, "missing").when(F.col("kind") == "contd", of_text).when(F.col("kind") == "table_merge", of_table).otherwise("unknown kind")
+    return both.select("kind", "source_uid", "target_uid", reason.isNull().alias("accepted"), reason.alias("reason"))
+
+
 def noted(entities: DataFrame, notes: DataFrame) -> DataFrame:
     """Entities with glossary notes (name, note, aliases) added to their description and aliases, by name in any library."""
     more = notes.groupBy("name").agg(F.array_join(F.sort_array(F.collect_list("note")), "\n").alias("_note"), F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("_aliases"))

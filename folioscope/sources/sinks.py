@@ -19,6 +19,24 @@ def export_subset(tables: Mapping[str, DataFrame], scope: DataFrame, key: str, p
         rows.join(scope.select(key).distinct(), key, "left_semi").write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def export_documents(tables: Mapping[str, DataFrame], scope: DataFrame, key: str, path: str, *, relations: str, entities: str, bridges: Mapping[str, str] | None = None) -> None:
+    """Writes the rows of documents in the scope, and of the entities that these rows name, to path/<table>.
+
+    relations: the table with source_id and target_id; bridges: tables with an entity_id and the column that ties them to
+    rows of another table of the same name, as {bridge: owner}. Entities are exported by name and not by document, each once.
+    """
+    wanted = scope.select(key).distinct()
+    own = {name: rows.join(wanted, key, "left_semi") for name, rows in tables.items() if name != entities and name not in (bridges or {})}
+    named = own[relations].select(F.explode(F.array("source_id", "target_id")).alias("entity_id"))
+    for bridge, owner in (bridges or {}).items():
+        tie = next(c for c in tables[bridge].columns if c != "entity_id")
+        own[bridge] = tables[bridge].join(own[owner].select(tie), tie, "left_semi")
+        named = named.unionByName(own[bridge].select("entity_id"))
+    own[entities] = tables[entities].join(named, "entity_id", "left_semi")
+    for name, rows in own.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def write_report(findings: DataFrame, path: str) -> None:
     """Appends findings as JSON lines, a folder per day."""
     findings.withColumn("day", F.current_date()).write.mode("append").partitionBy("day").json(path)
