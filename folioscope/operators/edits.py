@@ -184,7 +184,7 @@ def reuse(names: DataFrame, entities: DataFrame, form: Column, known_form: Colum
     return best.select("name", "b.entity_id", F.element_at(F.array(F.lit("exact"), F.lit("alias"), F.lit("form"), F.lit("similar")), F.col("b.rank")).alias("method"))
 
 
-def level_decision(popo: Column, rule: Column, confidence: Column, *, sure: float = 0.8) -> Column:
+def level_decision(parser_level: Column, rule: Column, confidence: Column, *, sure: float = 0.8) -> Column:
     """Struct (level, decision) of two opinions on a title's level: agreed ones are adopted, disputed ones kept by the surer."""
-    decision = F.when(popo.isNull() & rule.isNull(), "review").when(popo.eqNullSafe(rule) | popo.isNull() | rule.isNull(), "adopt").when(confidence >= sure, "disputed").otherwise("review")
-    return F.struct(F.when(popo.isNotNull() & (confidence < sure), popo).otherwise(F.coalesce(rule, popo)).alias("level"), decision.alias("decision"))
+    decision = F.when(parser_level.isNull() & rule.isNull(), "review").when(parser_level.eqNullSafe(rule) | parser_level.isNull() | rule.isNull(), "adopt").when(confidence >= sure, "disputed").otherwise("review")
+    return F.struct(F.when(parser_level.isNotNull() & (confidence < sure), parser_level).otherwise(F.coalesce(rule, parser_level)).alias("level"), decision.alias("decision"))

@@ -227,8 +227,8 @@ def task_bonus(task: str, route: Column, kind: Column, toc: Column) -> Column:
     return out.otherwise(0.0)
 
 
-def fuse(candidates: DataFrame, *, task: str, top: int, weights: Mapping[str, float] = ROUTE_WEIGHTS, hashed: bool = False, depth: int = 1000) -> DataFrame:
-    """Reciprocal-rank fusion of the best `depth` candidates of each route.
+def fuse(candidates: DataFrame, *, task: str, top: int, weights: Mapping[str, float] = ROUTE_WEIGHTS, hashed: bool = False, depth: int | None = 1000) -> DataFrame:
+    """Reciprocal-rank fusion of the best `depth` candidates of each route (None: of all).
 
     candidates: route, item_id, doc_id, kind, title, text, score, target_id, table_id, section_path, page_idx.
     Within a route scores are divided by the route's highest and the best candidate of each key stays;
@@ -240,8 +240,9 @@ def fuse(candidates: DataFrame, *, task: str, top: int, weights: Mapping[str, fl
     highest = rows.groupBy("route").agg(F.max("score").alias("highest"))  # one row a route
     rows = rows.join(F.broadcast(highest), "route").withColumn("normal", F.round(F.col("score") / F.coalesce(F.nullif("highest", F.lit(0.0)), F.lit(1.0)), 6))
     best = rows.groupBy("route", "key").agg(F.max_by(F.struct("item_id", "doc_id", "kind", "title", "text", "normal", "table_id", "section_path", "page_idx"), F.struct("normal", "item_id", "text")).alias("own")).select("route", "key", "own.*")
-    # Spark keeps the best of each task before it ranks a route, so no task gets a whole route.
-    ranked = best.withColumn("rank", F.row_number().over(route.orderBy(F.desc("normal"), F.desc("item_id")))).where(F.col("rank") <= depth).withColumn("rank", F.col("rank") - 1)
+    # With a depth, Spark keeps the best of each task before it ranks a route, so no task gets a whole route.
+    ranked = best.withColumn("rank", F.row_number().over(route.orderBy(F.desc("normal"), F.desc("item_id"))))
+    ranked = (ranked if depth is None else ranked.where(F.col("rank") <= depth)).withColumn("rank", F.col("rank") - 1)
     factor = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, w in weights.items() for x in (k, HASHED_WEIGHT if hashed and k == "dense" else w))), F.col("route")), F.lit(1.0))
     toc = contents_page(F.col("title"), F.col("section_path"), F.col("text"), F.col("kind"), F.col("page_idx"))
     ranked = ranked.withColumn("toc", toc).withColumn("part", factor / (RRF_K + F.col("rank")) + task_bonus(task, F.col("route"), F.coalesce("kind", F.lit("")), toc))

@@ -158,10 +158,13 @@ def derived_rows(t: Tables) -> DataFrame:
     return records.completed(t.customer.select("c_custkey", "c_name"), derived, ["c_custkey"])
 
 
-@query("reparenting", "WITH {blocks} SELECT block_id, CASE WHEN page_idx = 0 THEN 'other' ELSE doc_id || ':' || (page_idx * 20) END AS parent_id FROM blocks WHERE doc_id = 7 AND reading_order > 0")
+@query(
+    "reparenting",
+    "WITH {blocks} SELECT block_id, CASE WHEN doc_id = 7 AND page_idx = 0 THEN 'other' ELSE doc_id || ':' || (page_idx * 20) END AS parent_id FROM blocks WHERE reading_order > 0",
+)
 def reparenting(t: Tables) -> DataFrame:
-    """The children of one block of a document given to another."""
-    own = t.blocks.where("doc_id = 7 AND reading_order > 0").withColumn("parent_id", F.concat_ws(":", "doc_id", F.col("page_idx") * 20))
+    """All blocks, the children of one block of one document given to another."""
+    own = t.blocks.where("reading_order > 0").withColumn("parent_id", F.concat_ws(":", "doc_id", F.col("page_idx") * 20))
     return edits.reparented(own, "7:0", "other").select("block_id", "parent_id")
 
 

@@ -114,7 +114,20 @@ def citation_targets(t: Tables) -> DataFrame:
     return structure.citation_targets(t.blocks)
 
 
-@query("chunk_assembly")
+CHUNK_WALK_SQL = rf"""WITH RECURSIVE {{blocks}}, {TITLED}, sections AS (SELECT block_id, string_agg(title, ' / ' ORDER BY lv) AS section FROM live GROUP BY block_id),
+    b AS (SELECT doc_id, block_id, block_type AS kind, page_idx, coalesce(section, '') AS section, plain, length(plain) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i
+          FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS plain FROM blocks) LEFT JOIN sections USING (block_id) WHERE plain <> ''),
+    walk AS (
+        SELECT *, 1 AS chunk, n AS total, kind = 'formula' AS formula, section AS first_section FROM b WHERE i = 1
+        UNION ALL
+        SELECT doc_id, block_id, kind, page_idx, section, plain, n, i, chunk + CASE WHEN fresh THEN 1 ELSE 0 END, CASE WHEN fresh THEN n ELSE total + 1 + n END, kind = 'formula' OR (formula AND NOT fresh), CASE WHEN fresh THEN section ELSE first_section END
+        FROM (SELECT *, held = 'title' OR kind = 'title' OR page_idx - held_page > 1 OR (NOT follows AND (section <> first_section OR greatest(1, (total + 1 + n) // 4) > 260)) AS fresh
+              FROM (SELECT b.*, w.chunk, w.total, w.formula, w.first_section, w.kind AS held, w.page_idx AS held_page, b.kind = 'paragraph' AND w.formula AS follows FROM walk w JOIN b ON b.doc_id = w.doc_id AND b.i = w.i + 1)))
+    SELECT doc_id, 'chunk-' || arg_min(block_id, i) AS chunk_id, CASE WHEN bool_or(kind = 'title') THEN 'outline_anchor' WHEN lead(bool_or(kind = 'title')) OVER (PARTITION BY doc_id ORDER BY chunk) THEN 'content' WHEN bool_or(kind = 'formula') THEN 'formula_block' WHEN 2 * count(*) FILTER (kind = 'list_item') > count(*) THEN 'list_procedure' ELSE 'content' END AS chunk_type,
+           count(*) AS n_blocks, CAST(greatest(1, (sum(n) + count(*) - 1) // 4) AS BIGINT) AS token_count, arg_min(page_idx, i) AS page_start, max(page_idx) AS page_end, string_agg(plain, chr(10) ORDER BY i) AS text FROM walk GROUP BY doc_id, chunk"""
+
+
+@query("chunk_assembly", CHUNK_WALK_SQL)
 def chunk_assembly(t: Tables) -> DataFrame:
     return structure.chunk_assembly(structure.section_paths(t.blocks))
 
