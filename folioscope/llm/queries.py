@@ -176,7 +176,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT coalesce(c.conv_id, a.conv_id) AS thread, coalesce(c.conv_id, a.conv_id) || ':' || coalesce(c.turn, a.turn) AS call_id, c.conv_id IS NOT NULL AS called, a.conv_id IS NOT NULL AS answered,
                    depth, c.conv_id || ':' || before AS after, text, content, c.turn AS turn, coalesce(c.times, 1) - 1 + coalesce(a.times, 1) - 1 AS repeats
             FROM ordered c FULL JOIN answers a ON a.conv_id = c.conv_id AND a.turn = c.turn)
-        SELECT thread, call_id, CASE WHEN called THEN 'reply' END AS tool, depth,
+        SELECT thread, call_id, CASE WHEN called THEN 'reply' END AS tool, depth, CASE WHEN called THEN row_number() OVER (PARTITION BY thread, called ORDER BY depth, call_id) - 1 END AS position,
                CASE WHEN NOT called THEN 'orphan' WHEN NOT answered THEN 'unanswered' ELSE 'linked' END AS status,
                CASE WHEN called AND text IS NULL THEN 'missing text' ELSE '' END AS problems, repeats,
                '{' || array_to_string([
@@ -187,7 +187,7 @@ ORACLE_SQL: dict[str, str] = {
                    CASE WHEN content IS NOT NULL THEN '"result":' || to_json(content) END], ',') || '}' AS record
         FROM parts""".replace("documents_of_users", "conversations WHERE role = 'user'"),
     "op3_messages": r"""
-        SELECT conv_id AS thread, conv_id || ':' || turn AS call_id, CAST(NULL AS VARCHAR) AS tool, CAST(NULL AS BIGINT) AS depth, 'message' AS status, '' AS problems, CAST(0 AS BIGINT) AS repeats,
+        SELECT conv_id AS thread, conv_id || ':' || turn AS call_id, CAST(NULL AS VARCHAR) AS tool, CAST(NULL AS BIGINT) AS depth, CAST(NULL AS BIGINT) AS position, 'message' AS status, '' AS problems, CAST(0 AS BIGINT) AS repeats,
                '{' || array_to_string([
                    CASE WHEN conv_id IS NOT NULL THEN '"conversation":' || conv_id END,
                    CASE WHEN role IS NOT NULL THEN '"role":' || to_json(role) END,

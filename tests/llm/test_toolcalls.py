@@ -78,3 +78,85 @@ def test_equal_arguments_give_equal_records(spark):
     odd = linked(spark, [(1, "c", None, "add", json.dumps({"a": 2.0, "b": texts[0]}))])["c"]["record"]
     assert json.loads(odd)["arguments"]["b"] == texts[0] and '"a":2,' in odd
     assert json.loads(linked(spark, [(1, "c", None, "add", "no json")])["c"]["record"])["arguments"] == "no json"
+
+
+def test_numbers_have_one_form(spark):
+    groups = [["100000000", "1e8", "1E+8", "100000000.0", "1.0e8"], ["0.0000001", "1e-7", "0.1E-6", "1.0e-7"], ["0", "-0", "0.0", "-0.0", "0e5"], ["-12.5", "-1.25e1", "-125e-1", "-12.500"], ["1.5e20", "150000000000000000000"], ["123456789012345678"], ["0.1", "1e-1"]]
+    shown = ["100000000", "0.0000001", "0", "-12.5", "150000000000000000000", "123456789012345678", "0.1"]
+    calls = [(1, f"c{i}-{j}", None, "add", f'{{"a":{n},"b":["{n}",{n}]}}') for i, g in enumerate(groups) for j, n in enumerate(g)]
+    got = linked(spark, calls)
+    for i, (g, want) in enumerate(zip(groups, shown, strict=True)):
+        for j, n in enumerate(g):
+            assert got[f"c{i}-{j}"]["record"] == f'{{"arguments":{{"a":{want},"b":["{n}",{want}]}},"id":"c{i}-{j}","name":"add"}}'
+
+
+NESTED = {
+    "plan": {
+        "type": "object",
+        "required": ["title", "steps"],
+        "properties": {
+            "title": {"type": "string", "minLength": 2, "maxLength": 5},
+            "kind": {"enum": ["a", 1, {"x": 1}]},
+            "steps": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer", "minimum": 0, "maximum": 9}, "tags": {"type": "array", "items": {"type": "string"}}}}},
+            "free": {"type": "object", "additionalProperties": True},
+        },
+    }
+}
+
+
+def plain_problems(value, schema, path=""):
+    """The same rules, value by value."""
+    kinds = {"string": lambda v: isinstance(v, str), "integer": lambda v: isinstance(v, int) and not isinstance(v, bool), "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool), "boolean": lambda v: isinstance(v, bool), "object": lambda v: isinstance(v, dict), "array": lambda v: isinstance(v, list)}
+    kind = schema.get("type")
+    if kind and not kinds[kind](value):
+        return [f"{path or 'arguments'} {'is' if path else 'are'} no {kind}"]
+    out, here = [], path or "arguments"
+    if "enum" in schema and not any(json.dumps(value, sort_keys=True) == json.dumps(e, sort_keys=True) for e in schema["enum"]):
+        out.append(f"{here} is none of {', '.join(json.dumps(e, sort_keys=True, separators=(',', ':')) for e in schema['enum'])}")
+    sizes = {"": value if kinds["number"](value) else None, "Length": len(value) if isinstance(value, str) else None, "Items": len(value) if isinstance(value, list) else None}
+    units = {"": "", "Length": " characters", "Items": " items"}
+    for name, what, low in (("minimum", "", True), ("maximum", "", False), ("minLength", "Length", True), ("maxLength", "Length", False), ("minItems", "Items", True), ("maxItems", "Items", False)):
+        if name in schema and sizes[what] is not None and (sizes[what] < schema[name] if low else sizes[what] > schema[name]):
+            out.append(f"{here} is {'below' if low else 'above'} {schema[name]}{units[what]}")
+    if "items" in schema and isinstance(value, list):
+        out += [p for i, v in enumerate(value) for p in plain_problems(v, schema["items"], f"{path}[{i}]")]
+    if isinstance(value, dict) and ("properties" in schema or kind == "object"):
+        inner = lambda k: f"{path}.{k}" if path else k
+        for k, sub in schema.get("properties", {}).items():
+            if value.get(k) is None:
+                out += [f"missing {inner(k)}"] if k in schema.get("required", ()) else []
+            else:
+                out += plain_problems(value[k], sub, inner(k))
+        if not schema.get("additionalProperties", False):
+            out += [f"unknown {inner(k)}" for k in value if k not in schema.get("properties", {})]
+    return out
+
+
+def test_nested_schemas(spark):
+    values = [
+        {"title": "abc", "steps": [{"n": 1, "tags": ["x"]}], "kind": {"x": 1}, "free": {"any": [1]}},
+        {"title": "a", "steps": [], "kind": "b"},
+        {"title": "abcdef", "steps": [{"n": -1}, {"n": 10, "tags": [1, "y", None]}, {"m": 2}], "kind": 1},
+        {"title": 3, "steps": {"n": 1}, "more": True, "free": 7},
+        {"steps": [1, [], {"n": 1.5, "tags": "x"}], "title": None},
+        [1], "text", {"title": "é東", "steps": [{"n": 3, "tags": [], "other": {"deep": 1}}], "kind": {"x": 1, "y": 2}},
+    ]
+    calls = spark.createDataFrame([(1, str(i), None, "plan", json.dumps(v)) for i, v in enumerate(values)], CALLS)
+    got = {r["call_id"]: r["problems"] for r in link_calls(calls, spark.createDataFrame([], "thread long, call_id string, content string"), NESTED).collect()}
+    assert {int(k): v for k, v in got.items()} == {i: "; ".join(sorted(plain_problems(v, NESTED["plan"]))) for i, v in enumerate(values)}
+
+
+def test_positions_are_topological(spark):
+    calls = [(1, c, a, "add", "{}") for c, a in (("z", None), ("b", "z"), ("a", "z"), ("c", "a"), ("d", None), ("x", "gone"))] + [(2, "p", None, "add", "{}"), (None, "q", None, "add", "{}")]
+    got = linked(spark, calls, [(1, "lost", "x")])
+    assert {k: r["position"] for k, r in got.items()} == {"d": 0, "z": 1, "a": 2, "b": 3, "c": 4, "x": None, "p": 0, "q": 0, "lost": None}
+    needs = {c: a for _, c, a, *_ in calls if a}
+    assert all(got[a]["position"] < got[c]["position"] for c, a in needs.items() if a in got)
+
+
+def test_a_very_long_conversation(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(4000)]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(8)
+    got = {r["call_id"]: (r["depth"], r["position"], r["status"]) for r in link_calls(*conversation_calls(messages), REPLY).collect()}
+    assert got == {f"1:{i}": (i // 2, i // 2, "linked") for i in range(0, 4000, 2)}
+    assert other_messages(messages).count() == 0 == other_messages(messages.limit(0)).count()
