@@ -39,6 +39,23 @@ def contradictions(relations: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.relation_id").alias("first_id"), F.col("b.relation_id").alias("second_id"), F.col("a.source_id").alias("source_id"), F.col("a.target_id").alias("target_id"), F.col("a.relation_type").alias("first_type"), F.col("b.relation_type").alias("second_type"))
 
 
+def contradiction_groups(relations: DataFrame) -> DataFrame:
+    """(source_id, target_id, n_pairs, relations, documents, types): the ends with contradictions, how many pairs of relations contradict
+    each other, and the relations and documents of each type, as a sorted array of (relation_type, n, n_docs).
+
+    The pairs are counted from sums over types and documents, none is made: all pairs, less those of one document, less those of one
+    type, and those of both again. So one pair of ends with very many relations costs what its rows cost. Null types and documents contradict nothing.
+    """
+    ends = [SUBJECT, OBJECT]
+    cells = relations.where("relation_type IS NOT NULL AND doc_id IS NOT NULL").groupBy(*ends, "relation_type", "doc_id").agg(F.count("*").alias("n"))
+    square = (F.col("n") * F.col("n")).cast("decimal(38,0)")
+    types = cells.groupBy(*ends, "relation_type").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"), F.sum(square).alias("both"))
+    docs = cells.groupBy(*ends, "doc_id").agg(F.sum("n").alias("n")).groupBy(*ends).agg(F.sum(square).alias("of_docs"), F.count("*").alias("documents"))
+    told = types.groupBy(*ends).agg(F.sum("n").alias("n"), F.sum(square).alias("of_types"), F.sum("both").alias("both"), F.sort_array(F.collect_list(F.struct("relation_type", F.col("n").alias("n"), "n_docs"))).alias("types"))
+    pairs = ((square - F.col("of_docs") - F.col("of_types") + F.col("both")) / 2).cast("long")
+    return told.join(docs, ends).select(*ends, pairs.alias("n_pairs"), F.col("n").alias("relations"), "documents", "types").where("n_pairs > 0")
+
+
 def similar_names(entities: DataFrame, *, layer: str, least: float, auto: float) -> DataFrame:
     """Pairs of entities of one layer with similar names: first_id, second_id, confidence, canonical, action.
 

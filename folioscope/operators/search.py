@@ -47,10 +47,14 @@ def bm25(docs: DataFrame, key: str, tokens: Column, query: Sequence[str], *, k1:
     return scored.groupBy("key").agg(F.sum("part").alias("score"))
 
 
+def paragraph_tokens(query: str) -> list[str]:
+    """Ideographs, words and numbers of a question, by the rules of word_tokens."""
+    return re.findall("[一-鿿]|[a-z]+|\\d+", query.lower())
+
+
 def paragraph_search(docs: DataFrame, key: str, text: str, query: str, *, top: int = 5) -> DataFrame:
     """The best texts by BM25 over ideographs, words and numbers."""
-    tokens = re.findall("[一-鿿]|[a-z]+|\\d+", query.lower())
-    return bm25(docs, key, word_tokens(F.col(text)), tokens).orderBy(F.desc("score"), "key").limit(top)
+    return bm25(docs, key, word_tokens(F.col(text)), paragraph_tokens(query)).orderBy(F.desc("score"), "key").limit(top)
 
 
 def index_tokens(text: Column) -> Column:

@@ -7,11 +7,15 @@ length of the texts are sums in the manifest, so no question scans the corpus fo
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import uuid
+from collections.abc import Callable, Sequence
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import bigrams
 from folioscope.operators.search import index_tokens, term_counts
 from folioscope.sources.segments import Segments
 
@@ -23,11 +27,14 @@ def bucket_of(token: Column, buckets: int = BUCKETS) -> Column:
 
 
 class TextIndex:
-    """Full-text index of texts with unique keys that aren't null; texts without tokens count in the statistics alone, null texts are empty."""
+    """Full-text index of texts with unique keys that aren't null; texts without tokens count in the statistics alone, null texts are empty.
 
-    def __init__(self, spark: SparkSession, path: str, *, buckets: int = BUCKETS):
+    tokens: the tokens of a text as a column; all batches of an index have to be made with the same.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, *, buckets: int = BUCKETS, tokens: Callable[[Column], Column] = index_tokens):
         self.store = Segments(spark, path, "key", partitions={"postings": ["bucket"]})
-        self.spark, self.buckets = spark, buckets
+        self.spark, self.buckets, self.tokens = spark, buckets, tokens
 
     def _postings(self, rows: DataFrame) -> DataFrame:
         """Terms are counted within the row of their text. Ranges of (bucket, token, key) spread a frequent token over tasks."""
@@ -43,7 +50,7 @@ class TextIndex:
         at = self.store.manifest()
         if batch in at.batches:
             return False
-        rows = docs.select(F.col(key).cast("string").alias("key"), index_tokens(F.col(text)).alias("tokens")).where("key IS NOT NULL")
+        rows = docs.select(F.col(key).cast("string").alias("key"), self.tokens(F.col(text)).alias("tokens")).where("key IS NOT NULL")
         keys = rows.select("key")
         if removed is not None:
             keys = keys.unionByName(removed.select(F.col(removed.columns[0]).cast("string").alias("key")))
@@ -64,8 +71,6 @@ class TextIndex:
         if not wanted:
             return rows.limit(0).drop("bucket")
         # the same buckets as the column gives: crc32 of the UTF-8 bytes
-        from zlib import crc32
-
         return rows.where(F.col("bucket").isin(*{crc32(t.encode()) % self.buckets for t in wanted}) & F.col("token").isin(*wanted)).drop("bucket")
 
     def bm25(self, query: Sequence[str], *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -82,3 +87,43 @@ class TextIndex:
     def search(self, query: Sequence[str], *, top: int = 20) -> DataFrame:
         """The best texts by BM25 (k1 1.2, b 0.75)."""
         return self.bm25(list(dict.fromkeys(query))).orderBy(F.desc("score"), "key").limit(top)
+
+
+class GramIndex:
+    """TF-IDF vectors of character pairs as postings and the norms of all texts, so that a question reads the pairs that it has.
+
+    Frequencies count the question as one more text, which changes the weight of every pair a little. A norm is therefore kept in three sums
+    over a text's pairs, of tf, tf * ln(df) and tf * ln(df)^2 (each with tf squared), from which the norm for any number of texts follows; for the pairs
+    of the question, whose df is one more, the postings correct it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.index = TextIndex(spark, f"{path}/pairs", tokens=lambda text: bigrams(F.coalesce(text, F.lit(""))))
+        self.path, self.spark = path, spark
+
+    def load(self, docs: DataFrame, key: str, text: str) -> None:
+        """Indexes all texts, in place of those that were there; one shuffle of the distinct pairs of each text, once."""
+        self.index.replace(uuid.uuid4().hex, docs, key, text)
+        entries = self.index.store.read("postings").select("token", "key", (F.col("tf") / F.col("dl")).alias("tf"))
+        logs = entries.groupBy("token").agg(F.log(F.count("*").cast("double")).alias("ldf"))
+        square = F.col("tf") ** 2
+        entries.join(logs, "token").groupBy("key").agg(F.sum(square).alias("a"), F.sum(square * F.col("ldf")).alias("b"), F.sum(square * F.col("ldf") ** 2).alias("c")).write.mode("overwrite").parquet(f"{self.path}/norms")
+
+    def recall(self, query: str, *, top: int = 5, least: float = 0.02) -> DataFrame:
+        """(key, score): the texts of the highest cosine to the question, if it is at least `least`."""
+        grams = [query[i : i + 2] for i in range(len(query) - 1)]
+        if not grams:
+            return self.spark.createDataFrame([], "key string, score double")
+        n = self.index.store.manifest().facts().get("n", 0) + 1
+        all_ = F.lit(math.log(n))
+        asked = self.spark.createDataFrame([(g, grams.count(g) / len(grams)) for g in sorted(set(grams))], "token string, query_tf double")
+        hits = self.index.hits(grams).select("token", "key", (F.col("tf") / F.col("dl")).alias("tf"))
+        df = F.broadcast(asked).join(hits.groupBy("token").agg(F.count("*").alias("df")), "token", "left").select("token", "query_tf", F.coalesce("df", F.lit(0)).alias("df"))  # one row a pair of the question
+        weighed = df.select("token", "query_tf", (all_ - F.log(F.col("df") + 1.0)).alias("idf"), (all_ - F.log(F.greatest("df", F.lit(1)).cast("double"))).alias("kept_idf"))
+        norm = weighed.agg(F.sqrt(F.sum((F.col("query_tf") * F.col("idf")) ** 2)).alias("norm"))
+        own = F.col("tf") * F.col("idf")
+        dots = hits.join(F.broadcast(weighed), "token").groupBy("key").agg(F.sum(own * F.col("query_tf") * F.col("idf")).alias("dot"), F.sum(own**2 - (F.col("tf") * F.col("kept_idf")) ** 2).alias("more"))
+        norms = self.spark.read.schema("key string, a double, b double, c double").parquet(f"{self.path}/norms")
+        size = F.sqrt(F.greatest(F.col("a") * all_ * all_ - 2 * F.col("b") * all_ + F.col("c") + F.col("more"), F.lit(0.0)))
+        scored = dots.join(norms, "key").join(F.broadcast(norm)).select("key", F.when((size > 0) & (F.col("norm") > 0), F.col("dot") / (size * F.col("norm"))).otherwise(0.0).alias("score"))
+        return scored.where(F.col("score") >= least).orderBy(F.desc("score"), "key").limit(top)

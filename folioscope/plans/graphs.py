@@ -25,6 +25,18 @@ def contradiction_pairs(t: Tables) -> DataFrame:
     return graph.contradictions(_relations(t))
 
 
+@query(
+    "contradiction_groups",
+    """WITH r AS (SELECT l_partkey % 500 AS source_id, l_suppkey AS target_id, l_returnflag AS relation_type, l_orderkey AS doc_id FROM lineitem),
+       groups AS (SELECT source_id, target_id, count(*) AS relations, count(DISTINCT doc_id) AS documents, count(DISTINCT relation_type) AS types FROM r GROUP BY 1, 2),
+       pairs AS (SELECT a.source_id, a.target_id, count(*) // 2 AS n_pairs FROM r a JOIN r b ON a.source_id = b.source_id AND a.target_id = b.target_id AND a.doc_id <> b.doc_id AND a.relation_type <> b.relation_type GROUP BY 1, 2)
+       SELECT source_id, target_id, n_pairs, relations, documents, types FROM pairs JOIN groups USING (source_id, target_id)""",
+)
+def contradiction_groups(t: Tables) -> DataFrame:
+    """How many pairs contradict each other between the same ends, without the pairs."""
+    return graph.contradiction_groups(_relations(t)).withColumn("types", F.size("types").cast("long"))
+
+
 @query(
     "orphan_entities",
     """SELECT c_custkey AS entity_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')

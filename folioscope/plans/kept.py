@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import TypeVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
+from folioscope.operators.search import index_tokens
 from folioscope.operators.textindex import TextIndex
 from folioscope.plans.registry import Tables
 from folioscope.session import work_dir, written
@@ -39,11 +40,11 @@ def kept(t: Tables, name: str, make: Callable[[], DataFrame], *, source: str = "
     return once(t, name, source, lambda: written(make()))
 
 
-def kept_index(t: Tables, name: str, make: Callable[[], DataFrame], key: str, text: str, *, source: str = "documents") -> TextIndex:
+def kept_index(t: Tables, name: str, make: Callable[[], DataFrame], key: str, text: str, *, source: str = "documents", tokens: Callable[[Column], Column] = index_tokens) -> TextIndex:
     """A full-text index of the rows of `make`."""
 
     def build() -> TextIndex:
-        index = TextIndex(t.spark, work_dir(t.spark))
+        index = TextIndex(t.spark, work_dir(t.spark), tokens=tokens)
         index.replace("load", make(), key, text)
         return index
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.query import Question
-from folioscope.functions.text import match_form
+from folioscope.functions.text import match_form, word_tokens
 from folioscope.operators import search
-from folioscope.operators.textindex import TextIndex
+from folioscope.operators.textindex import GramIndex, TextIndex
 from folioscope.operators.vectorindex import VectorIndex
 from folioscope.plans.kept import kept_index, once
 from folioscope.plans.registry import Tables, query
@@ -40,7 +40,10 @@ def document_index(t: Tables) -> TextIndex:
 
 @query("bm25_paragraph", bm25_sql(WORDS, ["licensed", "under", "the", "apache", "the"], 1.5, 5))
 def bm25_paragraph(t: Tables) -> DataFrame:
-    return search.paragraph_search(t.documents, "doc_id", "text", "licensed under the Apache the").withColumn("score", F.round("score", 6))
+    """Of a kept index of ideographs, words and numbers; a word that is asked for twice counts twice."""
+    index = kept_index(t, "paragraphs", lambda: t.documents, "doc_id", "text", tokens=word_tokens)
+    found = index.bm25(search.paragraph_tokens("licensed under the Apache the"), k1=1.5).orderBy(F.desc("score"), F.col("key").cast("long")).limit(5)
+    return found.select(F.col("key").cast("long").alias("key"), F.round("score", 6).alias("score"))
 
 
 @query("fts_search", bm25_sql(LETTERS, ["reaux", "étion", "gnu"], 1.2, 20))
@@ -91,8 +94,12 @@ def fts_rebuild(t: Tables) -> DataFrame:
        SELECT key, round(sum(w * q) / (sqrt(sum(w * w)) * max(norm)), 6) AS score FROM parts, norm GROUP BY key HAVING sum(w * q) / (sqrt(sum(w * w)) * max(norm)) >= 0.02 ORDER BY score DESC, key LIMIT 5""",
 )
 def tfidf_bigram_recall(t: Tables) -> DataFrame:
-    turns = t.conversations.where("text IS NOT NULL").select(F.concat_ws(":", "conv_id", "turn", "role").alias("key"), "text")
-    return search.tfidf_recall(turns, "key", "text", "how do I sort a list").withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "key")
+    def load() -> GramIndex:
+        index = GramIndex(t.spark, work_dir(t.spark))
+        index.load(t.conversations.where("text IS NOT NULL").select(F.concat_ws(":", "conv_id", "turn", "role").alias("key"), "text"), "key", "text")
+        return index
+
+    return once(t, "pairs of turns", "conversations", load).recall("how do I sort a list").withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "key")
 
 
 @query(

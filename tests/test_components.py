@@ -158,3 +158,14 @@ def test_replaced_and_odd_vectors(spark, tmp_path):
     got = kept.search([1.0] * 8, top=400, probes=None)
     assert [r["key"] for r in got.limit(2).collect()] == ["3", "500"] and got.count() == 400 and got.where(F.col("key") == "4").count() == 0
     assert kept.search([1.0] * 3, top=3).count() == 0
+
+
+def test_contradiction_groups_count_what_pairs_list(spark):
+    r = random.Random(5)
+    rows = [(f"r{i}", r.randrange(3), r.randrange(2), r.choice(["a", "b", None]), r.choice(["d1", "d2", "d3", None])) for i in range(120)]
+    relations = spark.createDataFrame(rows, "relation_id string, source_id long, target_id long, relation_type string, doc_id string")
+    listed = graph.contradictions(relations).groupBy("source_id", "target_id").count().collect()
+    counted = graph.contradiction_groups(relations).collect()
+    assert {(r["source_id"], r["target_id"]): r["n_pairs"] for r in counted} == {(r["source_id"], r["target_id"]): r["count"] for r in listed}
+    assert all(sum(t["n"] for t in r["types"]) == r["relations"] for r in counted)
+    assert graph.contradiction_groups(relations.limit(0)).count() == 0

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import word_tokens
 from folioscope.operators.search import asked_tokens, fts_search
 from folioscope.operators.textindex import TextIndex
 from folioscope.session import work_dir
@@ -166,3 +167,24 @@ def test_empty_tables(spark, path):
     kept.replace("more", spark.createDataFrame(TEXTS, "id long, text string"), "id", "text")
     assert scores(kept.search(["dog"])) == {k: round(v, 9) for k, v in plain_bm25({str(k): t for k, t in TEXTS}, ["dog"]).items()}
     assert work_dir(spark)
+
+
+# ---------------------------------------------------------------- pairs of characters
+
+
+def test_pairs_equal_a_scan(spark, path):
+    from folioscope.operators.search import paragraph_search, paragraph_tokens, tfidf_recall
+    from folioscope.operators.textindex import GramIndex
+
+    texts = [("a", "sort a list"), ("b", "how to sort"), ("c", "listing of things"), ("d", "结构 构件"), ("e", ""), ("f", None), ("g", "x"), ("h", "sort a list"), ("i", "o a l s")]
+    docs = spark.createDataFrame(texts, "id string, text string")
+    kept = GramIndex(spark, path)
+    kept.load(docs, "id", "text")
+    for query in ("how do I sort a list", "结构", "zz", "x", "", "listlist"):
+        assert scores(kept.recall(query, top=9, least=0.0001)) == scores(tfidf_recall(docs, "id", "text", query, top=9, least=0.0001))
+    kept.load(docs.where("id <> 'a'").unionByName(spark.createDataFrame([("j", "sort sort")], docs.schema)), "id", "text")  # a further load replaces what it has
+    now = docs.unionByName(spark.createDataFrame([("j", "sort sort")], docs.schema))
+    assert scores(kept.recall("sort", top=9)) == scores(tfidf_recall(now, "id", "text", "sort", top=9))
+    paragraphs = TextIndex(spark, f"{path}-p", tokens=word_tokens)
+    paragraphs.replace("all", docs, "id", "text")
+    assert scores(paragraphs.bm25(paragraph_tokens("sort a sort 构"), k1=1.5)) == scores(paragraph_search(docs, "id", "text", "sort a sort 构", top=99))
