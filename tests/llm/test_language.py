@@ -1,10 +1,14 @@
 import collections
+import random
 import re
+import zlib
+from collections import Counter
 
 import pyarrow as pa
 
 from folioscope.llm.common import text_bytes
 from folioscope.llm.language import fit_language_model, predict_language
+from folioscope.llm.queries import QUERIES
 
 SAMPLES = {
     "en": "the house on the hill was very old and nobody knew who had built it there",
@@ -91,3 +95,62 @@ def test_each_language_keeps_its_ngrams(spark, documents):
     model = fit_language_model(docs)
     assert model.languages == ["aa", "bb"]
     assert [p[1] for p in predictions(docs, model)] == ["aa", "bb", "bb"]
+
+
+# ---------------------------------------------------------------- the whole query
+
+
+def held(i):
+    return zlib.crc32(str(i).encode()) % 4 == 2
+
+
+def corpus():
+    r = random.Random(8)
+    words = {"en": "the of and that with which thing house water".split(), "de": "der die und nicht mit welche haus wasser schön".split(), "es": "el la que con cosa casa agua señor niño".split()}
+    rows = [(i, " ".join(r.choices(words[lang := "en de es".split()[i % 3]], k=r.randrange(3, 30))) + "!", lang) for i in range(240)]
+    return [*rows, (240, None, "en"), (241, "", "de"), (242, "12 34", None), (243, "東京 みず", None), (244, "zzz qqq", "en"), (245, "the water and die Wasser", None)]
+
+
+def run_query(spark, folder, rows):
+    spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return {r["doc_id"]: r for r in QUERIES["op8_language"](spark, str(folder)).collect()}
+
+
+def grams(text, n=4):
+    """Byte n-grams of a text: letters in lower case, runs of other ASCII as one space."""
+    low = "".join(c.lower() if c.isascii() or "À" <= c <= "Þ" else c for c in text)
+    raw = re.sub(rb"[^a-z\x80-\xff]+", b" ", low.encode())
+    return [raw[i : i + n] for i in range(len(raw) - n + 1)]
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    """Exact sets in place of the filters: a share differs by what false positives leave, so the same language wins unless two are that close."""
+    rows = corpus()
+    got = run_query(spark, tmp_path, rows)
+    counts = {}
+    for lang in ("de", "en", "es"):
+        counts[lang] = Counter(g for t in {t for i, t, own in rows if own == lang and t is not None and not held(i)} for g in grams(t))
+    rate = {lang: {g: k / c.total() for g, k in c.items()} for lang, c in counts.items()}
+    top = {g: max(r.get(g, 0) for r in rate.values()) for r in rate.values() for g in r}
+    known = {lang: {g for g, x in r.items() if x >= 0.25 * top[g]} for lang, r in rate.items()}
+    assert len(got) == len(rows)
+    compared = 0
+    for i, text, _ in rows:
+        assert got[i]["held_out"] == held(i)
+        if not text or not any(c.isalpha() for c in text):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+            continue
+        own = grams(text)
+        shares = sorted(((sum(g in known[lang] for g in own) / max(1, len(own)), lang) for lang in known), reverse=True)
+        assert abs(got[i]["score"] - shares[0][0]) < 0.15
+        if shares[0][0] - shares[1][0] > 0.3:
+            compared += 1
+            assert got[i]["lang_pred"] == shares[0][1]
+    assert compared > 200
+
+
+def test_languages_of_the_held_out_fold_change_nothing(spark, tmp_path):
+    rows = corpus()
+    first = run_query(spark, tmp_path / "a", rows)
+    turned = run_query(spark, tmp_path / "b", [(i, t, {"en": "de", "de": "xx", "es": None}.get(lang) if held(i) else lang) for i, t, lang in rows])
+    assert {i: tuple(r) for i, r in first.items()} == {i: tuple(r) for i, r in turned.items()} and sum(map(held, first)) > 30
