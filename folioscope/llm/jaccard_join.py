@@ -1,13 +1,15 @@
 """Jaccard self-join over word n-grams with Bayesian candidate pruning.
 
-1. Texts become sets of hashed five-word shingles; equal sets are one class with a representative.
-2. Banded MinHash values bring candidates together. Each bucket links its members to its smallest id:
-   a star, never pairs. Components of stars bound where links can be.
-3. Within a component, representatives are compared in blocks. MinHash values are compared some at a
-   time; a pair goes as soon as the posterior probability that its similarity reaches the threshold,
-   given the matches so far and a uniform prior, falls below the tolerance. The pairs that last are
-   verified on their exact sets. Only counts and a spanning forest of the links leave a block.
-4. Components over the verified links are the groups.
+1. Texts become sets of hashed five-word shingles; equal sets are one class with a representative, and each
+   representative gets MinHash values, worked out once and carried along from then on.
+2. Bands of values put representatives into buckets. Pairs of a bucket, in blocks where it is large, are
+   compared in their first common band only: values some at a time, and a pair goes as soon as the posterior
+   probability that its similarity reaches the threshold, given the matches so far and a uniform prior, falls below the
+   tolerance. What leaves a block is who has a pair left, and a forest of these pairs: no pairs.
+3. Components of the forests hold texts that are all but surely similar to one another or linked by such. Only their members get
+   their shingles fetched, once for a component that fits a block. A larger one is verified by pairs of blocks, or by its
+   buckets, whichever sends fewer sets: blocks for many copies of one text, buckets for long chains.
+4. Pairs that last are verified on the exact sets. Only counts and a forest of the links leave a block, and components over them are the groups.
 
 Buckets, components and classes, of which one may hold very many rows, are tables that are written before they
 are joined to the rows, so that both sides of the join are shuffled and Spark can split such a key.
@@ -33,10 +35,10 @@ BANDS, ROWS = 26, 4
 #: Values compared before each look at the posterior; fewer than 16 could not drop a pair at this tolerance.
 STEP = 16
 TOLERANCE = 1e-7
-#: Representatives of a component that one block holds, and their shingles (a longer set is a block by itself).
+#: Representatives of a bucket or component that one block holds, and their shingles (a longer set is a block by itself).
 BLOCK, BLOCK_SHINGLES = 512, 1 << 18
-#: Rows of a block that are compared with another block at once.
-SLICE = 512
+#: Pairs that are compared at once.
+PAIRS = 1 << 18
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -69,14 +71,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     return np.concatenate([*out, shingles[:0]]), np.array(ends)
 
 
-def signatures(sets: np.ndarray, ends: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
-    """MinHash values of each row: n x rows. Rows without shingles get the largest value."""
+def signatures(sets: np.ndarray, ends: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """MinHash values of each row, of 16 bits, those of a band in one integer: rows x bands. Rows without shingles get zeros."""
     full = np.flatnonzero(np.diff(ends) > 0)
-    out = np.full((n, len(ends) - 1), np.iinfo(np.uint32).max, np.uint32)
+    out = np.zeros((len(ends) - 1, bands), U64)
     if len(full):
         at = ends[full]
-        for k, seed in enumerate(_seeds(n)):
-            out[k, full] = np.minimum.reduceat(sets * seed, at) >> U64(32)
+        for k, seed in enumerate(_seeds(bands * ROWS)):
+            value = np.minimum.reduceat(sets * seed, at) >> U64(32) & U64(0xFFFF)  # the low bits: high ones of a minimum are small
+            out[full, k // ROWS] |= value << U64(16 * (k % ROWS))
     return out
 
 
@@ -90,22 +93,15 @@ FEATURES = "doc long, mark long, print long, print2 long, size long, bands array
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Set hashes and band hashes of each text; none for texts without words."""
+    """Set hashes and MinHash values of each text; none for texts without words."""
     for batch in batches:
         data, offsets = text_bytes(batch.column("body"))
         for lo, hi in slabs(offsets):
             sets, ends = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            values = signatures(sets, ends).astype(U64)
-            bands = np.empty((hi - lo, BANDS), U64)
-            for b in range(BANDS):
-                mixed = np.full(hi - lo, b + 1, U64)
-                for k in range(ROWS):
-                    mixed = mix(mixed * U64(0x9E3779B97F4A7C15) + values[b * ROWS + k])
-                bands[:, b] = mixed
             prints = [set_prints(sets, ends), set_prints(mix(sets + U64(1)), ends)]
             full = np.diff(ends) > 0
             own = [batch.column(c).slice(lo, hi - lo).filter(pa.array(full)) for c in ("doc", "mark")]
-            flat = pa.array(bands[full].view(np.int64).ravel())
+            flat = pa.array(signatures(sets, ends)[full].view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, full.sum() * BANDS + 1, BANDS, dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays([*own, pa.array(prints[0][full]), pa.array(prints[1][full]), pa.array(np.diff(ends)[full].astype(np.int64)), lists], names=["doc", "mark", "print", "print2", "size", "bands"])
 
@@ -124,34 +120,64 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
     return n
 
 
-def similar_pairs(sets: list[np.ndarray], values: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs of rows (i of left, j of right); within one block (`same`) each pair once."""
-    a, b = values[:, left], values[:, right]
-    matches = np.zeros((len(left), len(right)), np.int16)
-    for k in range(STEP):
-        matches += a[k][:, None] == b[k][None, :]
-    alive = matches >= least_matches(STEP, threshold, tolerance)
-    if same:
-        alive &= left[:, None] < right[None, :]
-    sizes = np.array([len(s) for s in sets])
-    i, j = np.nonzero(alive)
-    seen = matches[i, j]
-    small, large = np.minimum(sizes[left[i]], sizes[right[j]]), np.maximum(sizes[left[i]], sizes[right[j]])
+def pair_chunks(starts: list[int], own: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows to be compared within the groups that begin at `starts`, some at a time: of one block each pair once, of two blocks
+    those between them. Rows of a group are sorted by their block."""
+    n = len(own)
+    ends = np.repeat([*starts[1:], n], np.diff([*starts, n]))
+    place = np.arange(n)
+    same = low == high
+    firsts = np.zeros(n + 1, np.int64)
+    np.cumsum(own == low, out=firsts[1:])
+    begin = np.repeat(starts, np.diff([*starts, n]))
+    second = begin + firsts[ends] - firsts[begin]  # where the rows of the second block begin
+    to = np.where(same, place + 1, second)
+    count = np.where(same | (own == low), ends - to, 0)
+    total = np.concatenate(([0], np.cumsum(count)))
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PAIRS, "right")) - 1)
+        i = np.repeat(place[lo:hi], count[lo:hi])
+        yield i, np.repeat(to[lo:hi] - total[lo:hi], count[lo:hi]) + np.arange(total[lo], total[hi])
+        lo = hi
+
+
+def likely_pairs(i: np.ndarray, j: np.ndarray, bands: np.ndarray, sizes: np.ndarray, band: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose posterior stays above the tolerance; band: where rows meet, -1 if not by a band. A pair that shares an
+    earlier band is compared there."""
+    small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
     keep = small >= threshold * large - 1e-9
-    i, j, seen = i[keep], j[keep], seen[keep]
-    for at in range(STEP, len(values), STEP):
-        seen = seen + (a[at : at + STEP, i] == b[at : at + STEP, j]).sum(0)
-        keep = seen >= least_matches(at + min(STEP, len(values) - at), threshold, tolerance)
+    i, j = i[keep], j[keep]
+    for k in range(int(band.max(initial=-1))):
+        keep = (band[i] <= k) | (bands[i, k] != bands[j, k])
+        i, j = i[keep], j[keep]
+    values = bands.view(np.uint16)
+    seen = np.zeros(len(i), np.int16)
+    for at in range(0, values.shape[1], STEP):
+        end = min(at + STEP, values.shape[1])
+        seen = seen + (values[i, at:end] == values[j, at:end]).sum(1, dtype=np.int16)
+        keep = seen >= least_matches(end, threshold, tolerance)
         i, j, seen = i[keep], j[keep], seen[keep]
-    if not len(i):
-        return left[i], right[j]
-    if len(i) <= 4 * (len(left) + len(right)):
-        common = np.array([len(np.intersect1d(sets[left[x]], sets[right[y]], assume_unique=True)) for x, y in zip(i, j, strict=True)])
-    else:
-        common = _common(sets, left, right)[i, j]
-    union = sizes[left[i]] + sizes[right[j]] - common
-    sure = common >= threshold * union - 1e-9
-    return left[i[sure]], right[j[sure]]
+    return i, j
+
+
+def similar_pairs(i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], starts: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose sets are as similar as the threshold, exactly; pairs are in the order of i."""
+    common = np.zeros(len(i), np.int64)
+    group = np.searchsorted(starts, i, "right")
+    cuts = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(i)]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        left, x = np.unique(i[lo:hi], return_inverse=True)
+        right, y = np.unique(j[lo:hi], return_inverse=True)
+        if hi - lo <= 4 * (len(left) + len(right)):
+            common[lo:hi] = [len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i[lo:hi].tolist(), j[lo:hi].tolist(), strict=True)]
+            continue
+        for part in range(0, len(left), BLOCK):
+            rows = (x >= part) & (x < part + BLOCK)
+            common[lo:hi][rows] = _common(sets, left[part : part + BLOCK], right)[x[rows] - part, y[rows]]
+    sizes = np.array([len(s) for s in sets])
+    sure = common >= threshold * (sizes[i] + sizes[j] - common) - 1e-9
+    return i[sure], j[sure]
 
 
 def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -171,54 +197,94 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     return np.rint(out).astype(np.int64)
 
 
-def _forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """The edges that join what was apart."""
-    root: dict[int, int] = {}
+def star_forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A star for each component of the pairs: the rows that aren't the smallest of theirs, and the smallest."""
+    low = np.arange(n)
+    while True:
+        least = np.minimum(low[i], low[j])
+        new = low.copy()
+        np.minimum.at(new, low[i], least)
+        np.minimum.at(new, low[j], least)
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    rows = np.flatnonzero(low != np.arange(n))
+    return rows, low[rows]
+
+
+GROUP = ["component", "band", "bucket", "low", "high"]
+
+
+class _Block:
+    """Rows of whole groups as arrays; repeated rows of an id in a group count once."""
+
+    def __init__(self, table: pa.Table):
+        ids = table.column("id").to_numpy()
+        starts = group_starts(table, GROUP)
+        new = np.concatenate(([True], ids[1:] != ids[:-1]))
+        new[starts] = True
+        self.starts = (np.cumsum(new) - 1)[starts].tolist()
+        self.table = table.filter(pa.array(new)) if not new.all() else table
+        self.ids = self.table.column("id").to_numpy()
+        self.band, self.own, self.low, self.high, self.sizes = (self.table.column(c).to_numpy() for c in ("band", "block", "low", "high", "size"))
+        lists = self.table.column("bands").combine_chunks()
+        self.bands = (lists.flatten().to_numpy() if len(lists) else np.zeros(0, np.int64)).astype(np.int64).reshape(-1, BANDS).view(U64)
+
+    def likely(self, threshold: float, tolerance: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """Pairs that may be similar, and how many were compared for them."""
+        for i, j in pair_chunks(self.starts, self.own, self.low, self.high):
+            yield *likely_pairs(i, j, self.bands, self.sizes, self.band, threshold, tolerance), len(i)
+
+
+SURVIVORS = "band long, bucket long, low long, high long, block long, id long, other long, compared long"
+
 
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+def _survivors_of(threshold: float, tolerance: float):
+    """Who has a pair left in a block of a bucket: (the block, id); and (id, other) for the forest of these pairs; and the number of comparisons."""
 
-    kept = []
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        p, q = find(x), find(y)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            kept.append((x, y))
-    return kept
+    def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in SURVIVORS.split(", ")]
+        for table in whole_groups(batches, GROUP, 1 << 14):
+            block = _Block(table)
+            n, compared = len(block.ids), 0
+            active, edges = np.zeros(n, bool), [np.zeros((2, 0), np.int64)]
+            for i, j, c in block.likely(threshold, tolerance):
+                compared += c
+                active[i] = active[j] = True
+                edges.append(np.stack(star_forest(i, j, n)))
+            rows, lows = star_forest(*np.concatenate(edges, 1), n)
+            at = np.flatnonzero(active)
+            key = [block.table.column(c).to_numpy()[at] for c in ("band", "bucket", "low", "high", "block")]
+            size = (len(at), len(rows), 1)
+            none = lambda k: pa.nulls(k, pa.int64())
+            columns = [pa.concat_arrays([pa.array(k), none(size[1] + 1)]) for k in key]
+            columns += [pa.concat_arrays([pa.array(block.ids[at]), pa.array(block.ids[rows]), none(1)]), pa.concat_arrays([none(size[0]), pa.array(block.ids[lows]), none(1)]), pa.concat_arrays([none(size[0] + size[1]), pa.array([compared], pa.int64())])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return survivors
 
 
 def _links_of(threshold: float, tolerance: float):
-    """Blocks of a component against each other: (id, null, weight of links) and (id, other, null) for the forest."""
+    """Verified links of blocks: (id, null, weight of links) and (id, other, null) for the forest."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["component", "low", "high"], 1024):
-            starts = [*group_starts(table, ["component", "low", "high"]).tolist(), table.num_rows]
-            ids, weights = table.column("id").to_numpy(), table.column("copies").to_numpy()
-            own, low, high = (table.column(c).to_numpy() for c in ("block", "low", "high"))
-            data, offsets = text_bytes(table.column("shingles"))
+        for table in whole_groups(batches, GROUP, 1024):
+            block = _Block(table)
+            n = len(block.ids)
+            data, offsets = text_bytes(block.table.column("shingles"))
             sets = [data[a:b].view(U64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            rows: list[tuple] = []
-            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-                at = lo + np.flatnonzero(np.concatenate(([True], ids[lo + 1 : hi] != ids[lo : hi - 1])))  # repeated rows once
-                if len(at) < 2:
-                    continue
-                part, weight = [sets[x] for x in at], weights[at]
-                values = signatures(np.concatenate(part), np.cumsum([0, *map(len, part)]))
-                same = low[lo] == high[lo]
-                every = np.arange(len(at))
-                left, right = (every, every) if same else (np.flatnonzero(own[at] == low[lo]), np.flatnonzero(own[at] == high[lo]))
-                if not len(left) or not len(right):
-                    continue
-                found = [similar_pairs(part, values, left[x : x + SLICE], right, same, threshold, tolerance) for x in range(0, len(left), SLICE)]
-                i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-                total = np.bincount(i, weight[j], len(at)) + np.bincount(j, weight[i], len(at))
-                rows += [(int(ids[at[x]]), None, int(total[x])) for x in np.flatnonzero(total)]
-                rows += [(int(ids[at[x]]), int(ids[at[y]]), None) for x, y in _forest(i, j)]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "other", "links"])
+            weights = block.table.column("copies").to_numpy()
+            total, edges = np.zeros(n), [np.zeros((2, 0), np.int64)]
+            for i, j, _ in block.likely(threshold, tolerance):
+                i, j = similar_pairs(i, j, sets, block.starts, threshold)
+                total += np.bincount(i, weights[j], n) + np.bincount(j, weights[i], n)
+                edges.append(np.stack(star_forest(i, j, n)))
+            rows, lows = star_forest(*np.concatenate(edges, 1), n)
+            at = np.flatnonzero(total)
+            none = lambda k: pa.nulls(k, pa.int64())
+            columns = [pa.concat_arrays([pa.array(block.ids[at]), pa.array(block.ids[rows])]), pa.concat_arrays([none(len(at)), pa.array(block.ids[lows])]), pa.concat_arrays([pa.array(np.rint(total[at]).astype(np.int64)), none(len(rows))])]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "other", "links"])
 
     return links
 
@@ -274,6 +340,30 @@ def text_mark(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def in_block_pairs(rows: DataFrame, keys: list[str], *carried: str) -> DataFrame:
+    """Rows (keys, id, block, blocks, carried) dealt to each pair of blocks (low, high) of their keys that they take part in."""
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with")
+    dealt = rows.select(*keys, "id", "block", *carried, other)
+    return dealt.select(*keys, "id", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), *carried)
+
+
+def sorted_groups(rows: DataFrame) -> DataFrame:
+    """Rows with whole groups in one task, in the order that _Block needs."""
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "block", "id")
+
+
+def survivors(reps: DataFrame, *, threshold: float, tolerance: float) -> DataFrame:
+    """Rows of SURVIVORS from representatives (rep, size, bands): pairs of all buckets compared, each in its first common band."""
+    keyed = reps.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "bucket"))
+    counts = keyed.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    counts = materialize(counts.select("band", "bucket", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    met = keyed.join(counts, ["band", "bucket"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    met = met.join(reps.select(F.col("rep").alias("id"), "size", "bands"), "id")
+    dealt = in_block_pairs(met, ["band", "bucket"], "blocks", "size", "bands").drop("blocks")
+    dealt = dealt.withColumn("component", F.lit(0).cast("long")).withColumn("band", F.col("band").cast("long"))
+    return materialize(sorted_groups(dealt.select(*GROUP, "block", "id", "size", "bands")).mapInArrow(_survivors_of(threshold, tolerance), SURVIVORS))
+
+
 def linked(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """One row per distinct document with words, (doc, mark): doc, mark, class_id, n_links, leads (see jaccard_groups)."""
     small_batches(docs.sparkSession)
@@ -285,21 +375,29 @@ def linked(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float =
     known = materialize(known.withColumn("id", F.monotonically_increasing_id()))
     reps = known.groupBy(*MARK).agg(F.min(F.struct("id", "doc", "mark")).alias("lead"), F.count("*").alias("copies"))
     reps = materialize(reps.select(F.col("lead.id").alias("rep"), "lead.doc", "lead.mark", "copies", *MARK))
-
-    keyed = features.join(reps, _same_document(features, reps)).select(F.col("rep").alias("id"), F.explode("bands").alias("band"))
-    stars = materialize(keyed.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band", "low"))
-    edges = keyed.join(stars, "band").where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
-    parts = components(edges).join(reps.select(F.col("rep").alias("node"), "doc", "mark", "copies", "size"), "node")
-    parts = materialize(parts.withColumnRenamed("node", "id"))
-
+    # repeated rows of a document have the same values
+    values = features.join(reps.select("rep", "doc", "mark"), _same_document(features, reps)).select("rep", "size", "bands")
+    values = materialize(values.dropDuplicates(["rep"]))
+
+    left = survivors(values, threshold=threshold, tolerance=tolerance)
+    parts = components(left.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "id")
+    parts = materialize(parts.join(reps.select(F.col("rep").alias("id"), "doc", "mark", "copies", "size"), "id"))
+    active = left.where("band IS NOT NULL").select("band", "bucket", "low", "high", "block", "id")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks")
-    placed = parts.join(materialize(parts.groupBy("component").agg(blocks)), "component").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    sets = rows.join(placed, _same_document(rows, placed)).select("body", "id", "component", "copies", "block", "blocks")
-    sets = sets.mapInArrow(_shingles, "id long, component long, copies long, block long, blocks long, shingles binary")
-    # A text's shingles are made once and go to each pair of blocks that it takes part in.
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with")
-    dealt = sets.select("id", "component", "copies", "block", "shingles", other).select("id", "component", "copies", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "shingles")
-    dealt = dealt.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "id")
+    whole = parts.groupBy("component").agg(F.count("*").alias("n"), blocks)
+    by_bucket = active.join(parts.select("id", "component"), "id").groupBy("component").agg(F.count("*").alias("sent"))
+    # sets that the pairs of blocks send, and those that the buckets do
+    way = whole.join(by_bucket, "component").select("component", "blocks", (F.col("blocks") * F.col("n") > F.col("sent")).alias("by_bucket"))
+    way = materialize(way.withColumn("by_bucket", F.col("by_bucket") & (F.col("blocks") > 1)))
+    placed = parts.join(way, "component").join(values.select(F.col("rep").alias("id"), "bands"), "id")
+    sets = rows.join(placed, _same_document(rows, placed)).select("body", "id", "component", "copies", "size", "bands", "blocks", "by_bucket")
+    sets = sets.mapInArrow(_shingles, "id long, component long, copies long, size long, bands array<long>, blocks long, by_bucket boolean, shingles binary")
+    sets = materialize(sets)
+    carried = ["size", "bands", "copies", "shingles"]
+    blocked = in_block_pairs(sets.where("NOT by_bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")), ["component"], "blocks", *carried).drop("blocks")
+    blocked = blocked.withColumn("band", F.lit(-1).cast("long")).withColumn("bucket", F.lit(0).cast("long"))
+    bucketed = sets.where("by_bucket").select("id", "component", *carried).join(active, "id")
+    dealt = sorted_groups(blocked.select(*GROUP, "block", "id", *carried).unionByName(bucketed.select(*GROUP, "block", "id", *carried)))
     found = materialize(dealt.mapInArrow(_links_of(threshold, tolerance), "id long, other long, links long"))
 
     links = found.where("other IS NULL").groupBy("id").agg(F.sum("links").alias("links"))

@@ -110,3 +110,63 @@ def test_posterior():
 def test_table_of_one_short_text(spark, n):
     docs = [(1, " ".join("abcd"[:n]))]
     assert groups(jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs) == {1: (1, 0)}
+
+
+# ---------------------------------------------------------------- what is compared
+
+
+def chain(n):
+    """Texts each of which is similar to the two before and the two after it, and no other."""
+    words = [f"w{i}" for i in range(5 * n + 100)]
+    return [(k, " ".join(words[5 * k : 5 * k + 100])) for k in range(n)]
+
+
+def compared(spark, docs):
+    """Pairs that were compared by buckets."""
+    seen = []
+    real = jaccard_join.survivors
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(jaccard_join, "survivors", lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+        got = groups(jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string")))
+    return got, seen[0].agg({"compared": "sum"}).first()[0]
+
+
+def test_a_long_chain_is_compared_in_linear_time(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64)
+    counts = {}
+    for n in (500, 2000):
+        got, counts[n] = compared(spark, chain(n))
+        assert {c for c, _ in got.values()} == {0} and all(got[k][1] == min(2, k) + min(2, n - 1 - k) for k in range(n))
+    assert counts[2000] < 4.5 * counts[500] and counts[2000] < 2000 * 60
+
+
+@pytest.mark.parametrize("by_bucket", [True, False])
+def test_both_ways_of_verifying_a_large_component(spark, monkeypatch, by_bucket):
+    """One large group of near copies, tied to a chain: by pairs of blocks, and by buckets."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    if by_bucket:
+        monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 1 << 5)  # many blocks: buckets send less
+    r = random.Random(4)
+    docs = chain(30)
+    for k in range(30, 90):
+        words = docs[0][1].split()
+        for _ in range(r.randrange(4)):
+            words[r.randrange(100)] = r.choice(["zz", "yy"])
+        docs.append((k, " ".join(words)))
+    assert groups(jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+
+
+def test_pairs_of_blocks_are_each_made_once():
+    import numpy as np
+
+    own, low, high = (np.array(x) for x in ([0, 0, 1, 0, 1, 1, 2, 2, 2], [0, 0, 0, 0, 0, 0, 2, 2, 2], [1, 1, 1, 1, 1, 1, 2, 2, 2]))
+    got = [(int(i), int(j)) for a, b in jaccard_join.pair_chunks([0, 3, 6], own, low, high) for i, j in zip(a, b, strict=True)]
+    assert got == [(0, 2), (1, 2), (3, 4), (3, 5), (6, 7), (6, 8), (7, 8)]
+
+
+def test_star_forest():
+    import numpy as np
+
+    rows, lows = jaccard_join.star_forest(np.array([5, 4, 3, 8]), np.array([4, 3, 1, 9]), 10)
+    assert dict(zip(rows.tolist(), lows.tolist(), strict=True)) == {3: 1, 4: 1, 5: 1, 9: 8}
+    assert [len(x) for x in jaccard_join.star_forest(np.zeros(0, np.int64), np.zeros(0, np.int64), 3)] == [0, 0]
