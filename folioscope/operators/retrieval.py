@@ -39,9 +39,13 @@ BLOCK_FACTOR, FORMULA_FACTOR, CLAUSE_TEXT_FACTOR = 0.85, 0.95, 0.9
 
 
 def _candidates(rows: DataFrame, route: str, **columns: Column) -> DataFrame:
-    """Rows as candidates of a route; what isn't given is null."""
+    """Rows as candidates of a route; what isn't given is null.
+
+    They leave a generator of one row each, so that a filter on the score reads the score, and doesn't work it out a second time below.
+    """
     kinds = {"item_id": "string", "doc_id": "long", "kind": "string", "title": "string", "text": "string", "score": "double", "target_id": "string", "table_id": "string", "section_path": "string", "page_idx": "long"}
-    return rows.select(F.lit(route).alias("route"), *(columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
+    one = F.struct(F.lit(route).alias("route"), *(columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
+    return rows.select(F.inline(F.array(one)))
 
 
 def _clause_hit(raw: Column, question: Question) -> Column:
@@ -258,7 +262,8 @@ def formula_contexts(windows: DataFrame, question: Question) -> DataFrame:
 
     told = F.transform(F.filter("near", telling), lambda b: b["text"])
     raw = search.raw_text(F.col("section_path"), F.col("plain"))
-    return windows.select("block_id", "doc_id", "section_path", "page_idx", "plain", "form", raw.alias("raw"), F.array_join(F.array_distinct(told), "\n").alias("context"))
+    rows = windows.select("block_id", "doc_id", "section_path", "page_idx", "plain", "form", raw.alias("raw"), F.inline(F.array(F.struct(F.array_join(F.array_distinct(told), "\n").alias("context")))))
+    return rows.select("block_id", "doc_id", "section_path", "page_idx", "plain", "form", "raw", "context")
 
 
 def formula(windows: DataFrame, chunks: DataFrame, question: Question, *, top: int) -> DataFrame:
