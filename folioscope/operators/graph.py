@@ -94,6 +94,11 @@ def edge_stats(edges: DataFrame) -> DataFrame:
     return counts.join(ends, "relation_type")
 
 
+def relations_by_document(edges: DataFrame) -> DataFrame:
+    """(doc_id, relation_type, n)."""
+    return edges.groupBy("doc_id", "relation_type").agg(F.count("*").alias("n"))
+
+
 def around(edges: DataFrame, entity: str) -> DataFrame:
     """Edges of an entity with their direction and the other end."""
     out = edges.where(F.col(SUBJECT) == entity).select(F.lit("out").alias("direction"), F.col(OBJECT).alias("other_id"), "relation_type")

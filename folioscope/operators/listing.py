@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,3 +88,48 @@ def nested(parents: DataFrame, key: str, **children: DataFrame) -> DataFrame:
         grouped = child.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias(name))
         out = out.join(grouped, key, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
     return out
+
+
+def pages(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page_idx, n_blocks, n_chars) of the pages that have blocks."""
+    return blocks.groupBy("doc_id", "page_idx").agg(F.count("*").alias("n_blocks"), F.sum(F.char_length("text")).alias("n_chars"))
+
+
+def page_numbers(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page_idx): all pages from 0 to the last that has a block, also those without any."""
+    return blocks.groupBy("doc_id").agg(F.max("page_idx").cast("long").alias("last")).where("last >= 0").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("page_idx"))
+
+
+def page_counts(blocks: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, pages) of the asked documents (doc_id)."""
+    return blocks.join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg((F.max("page_idx") + 1).alias("pages"))
+
+
+def with_labels(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """Blocks with the printed label (doc_id, page_idx, label) of their page, empty where it has none; of several labels the smallest."""
+    one = labels.groupBy("doc_id", "page_idx").agg(F.min("label").alias("label"))
+    return blocks.join(one, ["doc_id", "page_idx"], "left").withColumn("label", F.coalesce("label", F.lit("")))
+
+
+def nodes_and_folders(docs: DataFrame, *, prefix: str = "d") -> DataFrame:
+    """(id, parent_id, kind): documents (doc_id, folder) as nodes, and their folders, each once."""
+    nodes = docs.select(F.concat(F.lit(prefix), "doc_id").alias("id"), F.col("folder").alias("parent_id"), F.lit("document").alias("kind"))
+    folders = docs.select(F.col("folder").alias("id"), F.lit("folder").alias("kind")).distinct()
+    return nodes.unionByName(folders, allowMissingColumns=True)
+
+
+def reference_search(rows: DataFrame, key: str, title: str, others: Mapping[str, float], query: str, *, limit: int = 20) -> DataFrame:
+    """(key, score): what a mention may refer to. A title that is the query gets 24 points, begins with it 18, holds it 14; each other
+    column that holds it gets its own points. Best first, then by key."""
+    asked = F.lit(query.lower())
+    name = F.lower(title)
+    has = lambda c: F.coalesce(F.contains(c, asked), F.lit(False))
+    score = F.when(name == asked, 24.0).when(F.startswith(name, asked), 18.0).when(has(name), 14.0).otherwise(0.0)
+    for column, points in others.items():
+        score = score + F.when(has(F.lower(column)), points).otherwise(0.0)
+    return rows.select(key, score.alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(limit)
+
+
+def vector_records(rows: DataFrame, prefix: str, kind: str, key: str, content: Column) -> DataFrame:
+    """(record_id, entity_type, content): what an item's vector is made of, under an id that tells kinds apart."""
+    return rows.select(F.concat(F.lit(f"{prefix}:"), F.col(key).cast("string")).alias("record_id"), F.lit(kind).alias("entity_type"), content.alias("content"))

@@ -94,3 +94,16 @@ def clusters(rows: DataFrame, signature: str, key: str, size: str, *, shown: int
 def hashed_cluster(signature: Column, n: int) -> Column:
     """Number of a cluster, from 0, by a hash of its signature."""
     return F.pmod(F.conv(F.substring(F.md5(signature), 1, 8), 16, 10).cast("long"), F.lit(n))
+
+
+def outdated(rows: DataFrame, family: str, year: str) -> DataFrame:
+    """Rows of an earlier year than the newest of their family."""
+    newest = rows.groupBy(family).agg(F.max(year).alias("_newest"))
+    return rows.join(newest, family).where(F.col(year) < F.col("_newest")).drop("_newest")
+
+
+def level_consistency(titles: DataFrame) -> DataFrame:
+    """(rate, n): share of titles (doc_id, pos, title_level) that are at most one level below the one before them in their document."""
+    before = F.lag("title_level").over(Window.partitionBy("doc_id").orderBy("pos"))
+    fits = titles.select((before.isNull() | (F.col("title_level") <= before + 1)).cast("double").alias("fits"))
+    return fits.agg(F.avg("fits").alias("rate"), F.count("*").alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.query import Question
 from folioscope.functions.text import entity_form, let, match_form, similarity, year_of
-from folioscope.operators import alignment, edits, search, stats, text2sql
+from folioscope.operators import alignment, edits, listing, search, stats, text2sql
 from folioscope.plans.registry import Tables, query
 from folioscope.session import work_dir
 from folioscope.sources import readers
@@ -176,14 +176,12 @@ def text2sql_count(t: Tables) -> DataFrame:
 )
 def staleness(t: Tables) -> DataFrame:
     rows = t.part.select("p_partkey", F.col("p_brand").alias("family"), year_of(F.concat(F.lit("JTS 165-"), F.col("p_size") + 1990)).cast("long").alias("year"))
-    newest = rows.groupBy("family").agg(F.max("year").alias("newest"))
-    return rows.join(newest, "family").where("year < newest").select("p_partkey", "year")
+    return stats.outdated(rows, "family", "year").select("p_partkey", "year")
 
 
 @query("nodes_and_folders", "SELECT 'd' || doc_id AS id, source AS parent_id, 'document' AS kind FROM documents UNION ALL SELECT DISTINCT source, NULL, 'folder' FROM documents")
 def nodes_and_folders(t: Tables) -> DataFrame:
-    docs = t.documents.select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("source").alias("parent_id"), F.lit("document").alias("kind"))
-    return docs.unionByName(t.documents.select(F.col("source").alias("id"), F.lit("folder").alias("kind")).distinct(), allowMissingColumns=True)
+    return listing.nodes_and_folders(t.documents.select("doc_id", F.col("source").alias("folder")))
 
 
 @query(
@@ -240,11 +238,7 @@ def fuzzy_names(t: Tables) -> DataFrame:
 
 @query("outline_consistency", "WITH {blocks}, o AS (SELECT *, lag(title_level) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM blocks WHERE block_type = 'title') SELECT round(avg(CASE WHEN before IS NULL OR title_level <= before + 1 THEN 1.0 ELSE 0.0 END), 6) AS rate, count(*) AS n FROM o")
 def outline_consistency(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    before = F.lag("title_level").over(Window.partitionBy("doc_id").orderBy("pos"))
-    rows = t.blocks.where("block_type = 'title'").select((before.isNull() | (F.col("title_level") <= before + 1)).cast("double").alias("fits"))
-    return rows.agg(F.round(F.avg("fits"), 6).alias("rate"), F.count("*").alias("n"))
+    return stats.level_consistency(t.blocks.where("block_type = 'title'")).withColumn("rate", F.round("rate", 6))
 
 
 @query("node_reader", "WITH {blocks} SELECT block_id AS block_uid, block_type, text AS plain_text, page_idx FROM blocks")

@@ -93,7 +93,7 @@ def entities_of_document(t: Tables) -> DataFrame:
 
 @query("relations_per_document", "WITH {edges} SELECT doc_id, relation_type, count(*) AS n FROM edges GROUP BY 1, 2")
 def relations_per_document(t: Tables) -> DataFrame:
-    return t.edges.groupBy("doc_id", "relation_type").agg(F.count("*").alias("n"))
+    return graph.relations_by_document(t.edges)
 
 
 @query(

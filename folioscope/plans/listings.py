@@ -21,7 +21,7 @@ def list_blocks(t: Tables) -> DataFrame:
 
 @query("list_pages", "WITH {blocks} SELECT doc_id, page_idx, count(*) AS n_blocks, sum(length(text))::BIGINT AS n_chars FROM blocks GROUP BY doc_id, page_idx")
 def list_pages(t: Tables) -> DataFrame:
-    return t.blocks.groupBy("doc_id", "page_idx").agg(F.count("*").alias("n_blocks"), F.sum(F.char_length("text")).alias("n_chars"))
+    return listing.pages(t.blocks)
 
 
 @query("record_page", "SELECT event_id, user_id, event_type FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '1970-01-01' ORDER BY ts DESC, event_id LIMIT 50 OFFSET 100")
@@ -103,7 +103,7 @@ def parse_stats(t: Tables) -> DataFrame:
 
 @query("page_counts", "WITH {blocks} SELECT doc_id, max(page_idx) + 1 AS pages FROM blocks WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY doc_id")
 def page_counts(t: Tables) -> DataFrame:
-    return t.blocks.join(t.labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg((F.max("page_idx") + 1).alias("pages"))
+    return listing.page_counts(t.blocks, t.labels.where("quality = 1"))
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.query import Question
 from folioscope.functions.text import match_form, word_tokens
-from folioscope.operators import search
+from folioscope.operators import listing, search
 from folioscope.operators.textindex import GramIndex, TextIndex
 from folioscope.operators.vectorindex import VectorIndex
 from folioscope.plans.kept import kept_index, once
@@ -175,15 +175,14 @@ def rrf_fusion(t: Tables) -> DataFrame:
 
 @query(
     "reference_search",
-    """WITH rows AS (SELECT p_partkey, lower(p_name) AS name, lower(p_brand) AS brand, lower(p_type) AS kind FROM part)
-       SELECT p_partkey, CASE WHEN name = 'red bolt' THEN 24 WHEN name LIKE 'red%' THEN 18 WHEN contains(name, 'red') THEN 14 ELSE 0 END + CASE WHEN contains(brand, 'red') THEN 4 ELSE 0 END + CASE WHEN contains(kind, 'red') THEN 2.5 ELSE 0 END AS score
-       FROM rows WHERE contains(name, 'red') OR contains(brand, 'red') OR contains(kind, 'red') ORDER BY score DESC, p_partkey LIMIT 20""",
+    """WITH rows AS (SELECT p_partkey, lower(p_name) AS name, lower(p_brand) AS brand, lower(p_type) AS kind FROM part), asked AS (SELECT unnest(['red', 'red bolt', 'bolt']) AS q),
+       scored AS (SELECT q AS asked, p_partkey, CASE WHEN name = q THEN 24 WHEN starts_with(name, q) THEN 18 WHEN contains(name, q) THEN 14 ELSE 0 END + CASE WHEN contains(brand, q) THEN 4 ELSE 0 END + CASE WHEN contains(kind, q) THEN 2.5 ELSE 0 END AS score FROM rows, asked)
+       SELECT asked, p_partkey, score FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, p_partkey) AS n FROM scored WHERE score > 0) WHERE n <= 20""",
 )
 def reference_search(t: Tables) -> DataFrame:
-    name, brand, kind = F.lower("p_name"), F.lower("p_brand"), F.lower("p_type")
-    has = lambda c: F.contains(c, F.lit("red"))
-    score = F.when(name == "red bolt", 24.0).when(name.startswith("red"), 18.0).when(has(name), 14.0).otherwise(0.0) + F.when(has(brand), 4.0).otherwise(0.0) + F.when(has(kind), 2.5).otherwise(0.0)
-    return t.part.where(has(name) | has(brand) | has(kind)).select("p_partkey", score.alias("score")).orderBy(F.desc("score"), "p_partkey").limit(20)
+    """What three mentions may refer to: a whole name, the beginning and the end of one."""
+    found = [listing.reference_search(t.part, "p_partkey", "p_name", {"p_brand": 4.0, "p_type": 2.5}, asked).select(F.lit(asked).alias("asked"), "p_partkey", "score") for asked in ("red", "red bolt", "bolt")]
+    return found[0].union(found[1]).union(found[2])
 
 
 # ---------------------------------------------------------------- vector index

@@ -73,8 +73,8 @@ def rich_media(t: Tables) -> DataFrame:
 @query("label_lookup", "WITH {blocks} SELECT block_id, CASE WHEN page_idx % 2 = 0 THEN 'p. ' || (page_idx + 1) ELSE '' END AS label FROM blocks")
 def label_lookup(t: Tables) -> DataFrame:
     """Blocks with the printed label of their page, where it has one."""
-    labels = t.blocks.where("page_idx % 2 = 0").select("doc_id", "page_idx", F.concat(F.lit("p. "), F.col("page_idx") + 1).alias("label")).distinct()
-    return t.blocks.join(labels, ["doc_id", "page_idx"], "left").select("block_id", F.coalesce("label", F.lit("")).alias("label"))
+    labels = t.blocks.where("page_idx % 2 = 0").select("doc_id", "page_idx", F.concat(F.lit("p. "), F.col("page_idx") + 1).alias("label"))
+    return listing.with_labels(t.blocks, labels).select("block_id", "label")
 
 
 # ---------------------------------------------------------------- readers

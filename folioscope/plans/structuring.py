@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import clean
-from folioscope.operators import structure
+from folioscope.operators import listing, structure
 from folioscope.plans.registry import Tables, query
 
 TITLED = """titles AS (SELECT b.doc_id, b.pos, t.title_level AS lv, t.pos AS tp, t.text AS title, t.block_id AS tid, b.block_type, b.block_id, b.title_level AS own
@@ -146,7 +146,7 @@ def packet_packing(t: Tables) -> DataFrame:
 
 @query("page_synthesis", "WITH {blocks} SELECT doc_id, unnest(range(max(page_idx) + 1)) AS page_idx FROM blocks GROUP BY doc_id")
 def page_synthesis(t: Tables) -> DataFrame:
-    return t.blocks.groupBy("doc_id").agg(F.max("page_idx").alias("last")).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("page_idx"))
+    return listing.page_numbers(t.blocks)
 
 
 @query(
@@ -156,10 +156,7 @@ def page_synthesis(t: Tables) -> DataFrame:
         UNION ALL SELECT 'row:' || p_partkey, 'table_row_key', p_name || ' ' || p_brand FROM part""",
 )
 def vector_records(t: Tables) -> DataFrame:
-    def records(rows: DataFrame, name: str, kind: str, key: str, content) -> DataFrame:
-        return rows.select(F.concat(F.lit(f"{name}:"), key).alias("record_id"), F.lit(kind).alias("entity_type"), content.alias("content"))
-
     body = clean(F.col("text"))
-    chunks = records(t.blocks.where("block_type = 'paragraph'"), "chunk", "chunk", "block_id", body)
-    formulas = records(t.blocks.where("block_type = 'formula'"), "formula", "formula", "block_id", body)
-    return chunks.unionByName(formulas).unionByName(records(t.part, "row", "table_row_key", "p_partkey", F.concat_ws(" ", "p_name", "p_brand")))
+    chunks = listing.vector_records(t.blocks.where("block_type = 'paragraph'"), "chunk", "chunk", "block_id", body)
+    formulas = listing.vector_records(t.blocks.where("block_type = 'formula'"), "formula", "formula", "block_id", body)
+    return chunks.unionByName(formulas).unionByName(listing.vector_records(t.part, "row", "table_row_key", "p_partkey", F.concat_ws(" ", "p_name", "p_brand")))

@@ -25,9 +25,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or in the warehouse where that is unset.
-    The file system removes it when the application ends."""
+    """A new folder that driver and executors share: under spark.checkpoint.dir; where that is unset, in the warehouse, which is refused on a
+    cluster if it is a folder of the driver's machine. The file system removes it when the application ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_work"
+    alone = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+    if not alone and not spark.conf.get("spark.checkpoint.dir", None) and base.startswith(("file:", "/")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     path = f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
