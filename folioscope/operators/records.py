@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.scans import running_before
+from folioscope.session import written
+
 
 def latest(log: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key: an aggregation that combines before the shuffle, not a window."""
@@ -69,15 +72,20 @@ def changed(before: DataFrame, after: DataFrame, key: str, content: str) -> Data
 
 def compaction(messages: DataFrame, *, budget: int, summary: int, stop: int) -> DataFrame:
     """Adds compact: the oldest tool messages of a conversation are cut to a summary of so many characters until half
-    of all characters fit the budget; and halted: even then more than `stop`."""
-    talk = Window.partitionBy("conv_id")
+    of all characters fit the budget; and halted: even then more than `stop`.
+
+    Characters of a conversation are aggregated, and what earlier messages save comes from a scan that splits long conversations.
+    Null texts have no characters, a null role is no tool; rows of a null conv_id are one conversation.
+    """
     size = F.char_length(F.coalesce("text", F.lit("")))
     saving = F.when(F.col("role") == "tool", F.greatest(size - summary, F.lit(0))).otherwise(0)
-    rows = messages.withColumn("_total", F.sum(size).over(talk)).withColumn("_saving", saving)
-    before = F.coalesce(F.sum("_saving").over(talk.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("compact", (F.col("_saving") > 0) & (F.col("_total") / 2 - before / 2 > budget))
-    left = F.col("_total") - F.sum(F.when(F.col("compact"), F.col("_saving")).otherwise(0)).over(talk)
-    return rows.withColumn("halted", left / 2 > stop).drop("_total", "_saving")
+    totals = messages.groupBy(F.col("conv_id").alias("_conv")).agg(F.sum(size).alias("_total"))
+    rows = running_before(messages.withColumn("_saving", saving), "conv_id", ["turn"], "_saving", "_before")
+    rows = rows.join(totals, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
+    rows = written(rows.withColumn("compact", (F.col("_saving") > 0) & (F.col("_total") / 2 - F.col("_before") / 2 > budget)))
+    saved = rows.groupBy(F.col("conv_id").alias("_conv")).agg(F.sum(F.when(F.col("compact"), F.col("_saving")).otherwise(0)).alias("_saved"))
+    rows = rows.join(saved, F.col("conv_id").eqNullSafe(F.col("_conv")))
+    return rows.select(*messages.columns, "compact", ((F.col("_total") - F.col("_saved")) / 2 > stop).alias("halted"))
 
 
 def transcript(messages: DataFrame, *, last: int) -> DataFrame:

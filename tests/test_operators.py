@@ -175,3 +175,30 @@ def test_latest_states_after_a_restart_without_new_data(spark, tmp_path):
     first = sorted(map(tuple, events.keep_latest(stream(), str(tmp_path), keys=["user_id"], at="at").collect()))
     again = sorted(map(tuple, events.keep_latest(stream(), str(tmp_path), keys=["user_id"], at="at").collect()))
     assert first == again == [(1, 2, "b"), (2, 1, "c")]
+
+
+def test_running_sums_of_a_group_over_many_tasks(spark):
+    from folioscope.operators.scans import running_before
+
+    rows = [("hot", i, i % 7 if i % 5 else None) for i in range(500)] + [("a", 1, 5), ("a", 0, 3), (None, 2, 1), (None, 1, 4)]
+    df = spark.createDataFrame(rows, "key string, n long, v long").repartition(7)
+    got = {(r["key"], r["n"]): r["before"] for r in running_before(df, "key", ["n"], "v", "before").collect()}
+    want = {(k, n): sum(v or 0 for j, m, v in rows if j == k and m < n) for k, n, _ in rows}
+    assert got == want and running_before(df.limit(0), "key", ["n"], "v", "before").count() == 0
+
+
+def test_compaction_of_one_long_conversation(spark):
+    from folioscope.operators.records import compaction
+
+    rows = [(1, i, ("tool", "user")[i % 2], "x" * (50 + i % 9)) for i in range(400)] + [(2, 0, None, None), (None, 0, "tool", "y" * 90)]
+    got = {(r["conv_id"], r["turn"]): (r["compact"], r["halted"]) for r in compaction(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=6000, summary=10, stop=5000).collect()}
+    want, groups = {}, {c: [r for r in rows if r[0] == c] for c in (1, 2, None)}
+    for c, messages in groups.items():
+        total, saved = sum(len(t or "") for *_, t in messages), 0
+        for _, turn, role, text in messages:
+            saving = max(len(text or "") - 10, 0) if role == "tool" else 0
+            want[c, turn] = saving > 0 and total / 2 - saved / 2 > 6000
+            saved += saving
+        left = total - sum(max(len(t) - 10, 0) for _, turn, role, t in messages if want[c, turn])
+        want |= {(c, turn): (want[c, turn], left / 2 > 5000) for _, turn, *_ in messages}
+    assert got == want and sum(x for x, _ in got.values()) > 50
