@@ -39,20 +39,31 @@ class Step:
 
 
 class Registry:
-    """Tools by name; a name that is given twice is an error."""
+    """Tools by name; a name that is given twice is an error. A tool takes the columns of a step's inputs, or with `of_step` the step and the rows."""
 
     def __init__(self) -> None:
         self._tools: dict[str, Tool] = {}
+        self._of_step: set[str] = set()
 
-    def add(self, name: str) -> Callable[[Tool], Tool]:
+    def add(self, name: str, *, of_step: bool = False) -> Callable[[Tool], Tool]:
         def keep(tool: Tool) -> Tool:
             if name in self._tools:
                 raise ValueError(f"a tool has the name already: {name}")
             self._tools[name] = tool
+            if of_step:
+                self._of_step.add(name)
             return tool
 
         return keep
 
+    def call(self, step: Step, rows: DataFrame) -> Mapping[str, Column]:
+        """The results of a step's tool as columns by name; what isn't registered here may be a standard tool."""
+        own = self if step.tool in self else TOOLS
+        tool = own[step.tool]
+        if step.tool in own._of_step:
+            return tool(step, rows)
+        return tool({k: F.col(str(v)[2:-1]) if str(v).startswith("${") else F.lit(v) for k, v in step.inputs.items()})
+
     def __getitem__(self, name: str) -> Tool:
         if name not in self._tools:
             raise KeyError(f"unknown tool: {name}")
@@ -65,15 +76,6 @@ class Registry:
         return sorted(self._tools)
 
 
-TOOLS = Registry()
-
-
-@TOOLS.add("calculator")
-def calculator(inputs: Mapping[str, Column]) -> Mapping[str, Column]:
-    """The value of `expression` over the other inputs."""
-    raise TypeError("the calculator is compiled, not called")
-
-
 def is_value(value: Column, kind: str) -> Column:
     """Whether a column holds something that counts as present."""
     if kind == "string":
@@ -112,8 +114,8 @@ def selected(output: str, results: Mapping[str, Column], kinds: Mapping[str, str
     return next(iter(values.values())) if len(values) == 1 else None
 
 
-def _expression(step: Step, rows: DataFrame) -> Mapping[str, Column]:
-    """The step's expression over its other inputs."""
+def calculator(step: Step, rows: DataFrame) -> Mapping[str, Column]:
+    """The value of the step's `expression` over its other inputs, compiled into a column."""
     inputs = {k: v for k, v in step.inputs.items() if k != "expression"}
     if missing := [str(v)[2:-1] for v in inputs.values() if str(v).startswith("${") and str(v)[2:-1] not in rows.columns]:
         raise KeyError(f"no value of {', '.join(missing)}")
@@ -121,6 +123,11 @@ def _expression(step: Step, rows: DataFrame) -> Mapping[str, Column]:
     return {"result": compiled(str(step.inputs["expression"]), list(inputs), value)}
 
 
+#: The standard tools.
+TOOLS = Registry()
+TOOLS.add("calculator", of_step=True)(calculator)
+
+
 def run_step(rows: DataFrame, step: Step, tools: Registry = TOOLS) -> DataFrame:
     """Rows with the outputs of one step; rows that hold all of them already keep theirs, and a step that fails leaves null.
 
@@ -128,11 +135,7 @@ def run_step(rows: DataFrame, step: Step, tools: Registry = TOOLS) -> DataFrame:
     """
     problems = F.col("problems") if "problems" in rows.columns else F.array().cast("array<string>")
     try:
-        if step.tool == "calculator":
-            results = _expression(step, rows)
-        else:
-            inputs = {k: F.col(str(v)[2:-1]) if str(v).startswith("${") else F.lit(v) for k, v in step.inputs.items()}
-            results = tools[step.tool](inputs)
+        results = tools.call(step, rows)
         wanted = {k: k for k in results} if step.outputs == "*" else dict(step.outputs)
         added = {}
         for name, source in wanted.items():
