@@ -1,8 +1,8 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and clauses, in DataFrame operations only.
 
 Sections are parted by blank lines, paragraphs by line ends, and the leaves of a paragraph are its
-clauses, each with the punctuation and the blank that end it. Leaves and shape give the text back, so
-equal roots mean equal texts; where roots differ, only branches with differing digests hold edits.
+clauses, each with the punctuation and the blank that end it. Leaves and shape give the text back, and digests are those of SHA-256 (128
+bits of it within the tree), so equal roots mean equal texts; where roots differ, only branches with differing digests hold edits.
 """
 
 from __future__ import annotations
@@ -17,8 +17,13 @@ from folioscope.llm.mixing import numbered
 
 #: What ends a clause; group 1 stays with the clause.
 CLAUSE_END = "([.,;:!?*%$#&] )"
-#: Hexadecimal digits that a fingerprint shows of each leaf.
-SHOWN = 8
+#: Hexadecimal digits of a leaf's digest that a fingerprint shows, and leaves that it shows at most: those of the smallest digests.
+SHOWN, KEPT = 8, 128
+
+
+def digest(text: Column) -> Column:
+    """The digest of a node: the first 128 bits of SHA-256, in hexadecimal."""
+    return F.substring(F.sha2(text, 256), 1, 32)
 
 
 def merkle_leaves(text: Column) -> Column:
@@ -26,17 +31,17 @@ def merkle_leaves(text: Column) -> Column:
     sections = F.split(F.coalesce(text, F.lit("")), "\n\n")
     return F.transform(
         sections,
-        lambda section: F.transform(F.split(section, "\n"), lambda paragraph: F.transform(F.split(F.regexp_replace(paragraph, CLAUSE_END, "$1\u0001"), "\u0001"), F.md5)),
+        lambda section: F.transform(F.split(section, "\n"), lambda paragraph: F.transform(F.split(F.regexp_replace(paragraph, CLAUSE_END, "$1\u0001"), "\u0001"), digest)),
     )
 
 
 def paragraph_digests(leaves: Column) -> Column:
     """Digests of the paragraphs, by section."""
-    return F.transform(leaves, lambda section: F.transform(section, lambda paragraph: F.md5(F.array_join(paragraph, ""))))
+    return F.transform(leaves, lambda section: F.transform(section, lambda paragraph: digest(F.array_join(paragraph, ""))))
 
 
 def section_digests(leaves: Column) -> Column:
-    return F.transform(paragraph_digests(leaves), lambda section: F.md5(F.array_join(section, "")))
+    return F.transform(paragraph_digests(leaves), lambda section: digest(F.array_join(section, "")))
 
 
 def root(leaves: Column) -> Column:
@@ -44,20 +49,26 @@ def root(leaves: Column) -> Column:
 
 
 def fingerprint(leaves: Column) -> Column:
-    """Root, colon, then the heads of the leaf digests: sections parted by slashes, paragraphs by commas."""
-    heads = F.transform(leaves, lambda s: F.array_join(F.transform(s, lambda p: F.array_join(F.transform(p, lambda leaf: F.substring(leaf, 1, SHOWN)), "")), ","))
-    return F.concat(root(leaves), F.lit(":"), F.array_join(heads, "/"))
+    """Root, colon, then the smallest KEPT distinct heads of the leaf digests, in order: at most 1,089 characters, however long the text."""
+    heads = F.array_distinct(F.flatten(F.transform(leaves, lambda s: F.flatten(F.transform(s, lambda p: F.transform(p, lambda leaf: F.substring(leaf, 1, SHOWN)))))))
+    return F.concat(root(leaves), F.lit(":"), F.array_join(F.slice(F.array_sort(heads), 1, KEPT), ""))
 
 
 def shown_leaves(print_: Column) -> Column:
-    """Distinct leaf heads of a fingerprint."""
-    return F.array_distinct(F.regexp_extract_all(F.substring_index(print_, ":", -1), F.lit(f"[0-9a-f]{{{SHOWN}}}"), F.lit(0)))
+    """Leaf heads of a fingerprint."""
+    return F.regexp_extract_all(F.substring_index(print_, ":", -1), F.lit(f"[0-9a-f]{{{SHOWN}}}"), F.lit(0))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice coefficient of the leaves of two fingerprints: 1 if equal, 0 if they share no clause."""
-    left, right = shown_leaves(a), shown_leaves(b)
-    return F.when(a == b, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(left, right)) / (F.size(left) + F.size(right)))
+    """Dice coefficient of the distinct leaves of two fingerprints: 1 if equal, 0 if they share no clause. Exact where both texts have
+    fewer than KEPT leaves; beyond, the smallest KEPT of both together are a sample of all, drawn by their digests."""
+
+    def dice(x: Column) -> Column:
+        every = F.array_sort(F.array_union(x["left"], x["right"]))
+        some = F.when(F.greatest(F.size(x["left"]), F.size(x["right"])) < KEPT, every).otherwise(F.slice(every, 1, KEPT))
+        return _let(some, lambda u: _let(F.size(F.array_intersect(F.array_intersect(u, x["left"]), x["right"])), lambda both: 2.0 * both / (F.size(u) + both)))
+
+    return F.when(a == b, F.lit(1.0)).otherwise(_let(F.struct(shown_leaves(a).alias("left"), shown_leaves(b).alias("right")), dice))
 
 
 def _let(value: Column, build: Callable[[Column], Column]) -> Column:
@@ -105,7 +116,7 @@ def edited_paragraphs(before: Column, after: Column) -> Column:
 
     def sections(trees: Column) -> Column:
         within = lambda part: F.transform(_middle(part), lambda i: _let(branches(trees, part, i), lambda pair: _let(_differing(pair["old"], pair["new"]), lambda inner: places(i, pair, inner))))
-        digests = [F.transform(trees[x], lambda section: F.md5(F.array_join(section, ""))) for x in ("old", "new")]
+        digests = [F.transform(trees[x], lambda section: digest(F.array_join(section, ""))) for x in ("old", "new")]
         return F.flatten(_let(_differing(*digests), within))
 
     return _let(F.struct(paragraph_digests(before).alias("old"), paragraph_digests(after).alias("new")), sections)

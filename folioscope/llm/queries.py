@@ -132,17 +132,15 @@ ORACLE_SQL: dict[str, str] = {
         texts AS (
             SELECT body AS t FROM edited UNION SELECT edited FROM edited),
         leaves AS (
-            SELECT t, [[[md5(l) for l in string_split(regexp_replace(p, '([.,;:!?*%$#&] )', '\1' || chr(1), 'g'), chr(1))] for p in string_split(s, chr(10))] for s in string_split(t, chr(10) || chr(10))] AS tree
+            SELECT t, [[[left(sha256(l), 32) for l in string_split(regexp_replace(p, '([.,;:!?*%$#&] )', '\1' || chr(1), 'g'), chr(1))] for p in string_split(s, chr(10))] for s in string_split(t, chr(10) || chr(10))] AS tree
             FROM texts),
         prints AS (
-            SELECT t, sha256(array_to_string([md5(array_to_string([md5(array_to_string(p, '')) for p in s], '')) for s in tree], '')) || ':'
-                   || array_to_string([array_to_string([array_to_string([left(l, 8) for l in p], '') for p in s], ',') for s in tree], '/') AS print,
-                   list_distinct([left(l, 8) for l in flatten(flatten(tree))]) AS heads
-            FROM leaves),
-        branches AS (SELECT t, [[md5(array_to_string(p, '')) for p in s] for s in tree] AS digests FROM leaves),
+            SELECT t, root || ':' || array_to_string(heads, '') AS print, heads
+            FROM (SELECT t, sha256(array_to_string([left(sha256(array_to_string([left(sha256(array_to_string(p, '')), 32) for p in s], '')), 32) for s in tree], '')) AS root, list_sort(list_distinct([left(l, 8) for l in flatten(flatten(tree))]))[1:128] AS heads FROM leaves)),
+        branches AS (SELECT t, [[left(sha256(array_to_string(p, '')), 32) for p in s] for s in tree] AS digests FROM leaves),
         changed AS (
             SELECT doc_id, body, a.digests AS old, b.digests AS new,
-                   [md5(array_to_string(s, '')) FOR s IN a.digests] AS so, [md5(array_to_string(s, '')) FOR s IN b.digests] AS sn
+                   [left(sha256(array_to_string(s, '')), 32) FOR s IN a.digests] AS so, [left(sha256(array_to_string(s, '')), 32) FOR s IN b.digests] AS sn
             FROM edited JOIN branches a ON a.t = body JOIN branches b ON b.t = edited),
         section_heads AS (
             SELECT *, list_position([so[k] IS NOT DISTINCT FROM sn[k] AND k <= greatest(len(so), len(sn)) FOR k IN range(1, greatest(len(so), len(sn)) + 2)], false) - 1 AS head,
@@ -161,8 +159,8 @@ ORACLE_SQL: dict[str, str] = {
         places AS (
             SELECT doc_id, body, string_agg(i || ':' || j, ',' ORDER BY i, j) AS edited_at FROM paragraphs WHERE x IS DISTINCT FROM y GROUP BY doc_id, body)
         SELECT d.doc_id, CAST(length(d.body) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, a.print AS fingerprint, b.print AS edited_fingerprint,
-               CASE WHEN a.print = b.print THEN 1.0 ELSE 2.0 * len(list_intersect(a.heads, b.heads)) / (len(a.heads) + len(b.heads)) END AS near_edited,
-               CASE WHEN a.print = c.print THEN 1.0 ELSE 2.0 * len(list_intersect(a.heads, c.heads)) / (len(a.heads) + len(c.heads)) END AS near_next, coalesce(edited_at, '') AS edited_at
+               CASE WHEN a.print = b.print THEN 1.0 ELSE 2.0 * len(list_intersect(list_intersect((list_sort(list_distinct(list_concat(a.heads, b.heads))))[1:CASE WHEN greatest(len(a.heads), len(b.heads)) < 128 THEN 256 ELSE 128 END], a.heads), b.heads)) / (len((list_sort(list_distinct(list_concat(a.heads, b.heads))))[1:CASE WHEN greatest(len(a.heads), len(b.heads)) < 128 THEN 256 ELSE 128 END]) + len(list_intersect(list_intersect((list_sort(list_distinct(list_concat(a.heads, b.heads))))[1:CASE WHEN greatest(len(a.heads), len(b.heads)) < 128 THEN 256 ELSE 128 END], a.heads), b.heads))) END AS near_edited,
+               CASE WHEN a.print = c.print THEN 1.0 ELSE 2.0 * len(list_intersect(list_intersect((list_sort(list_distinct(list_concat(a.heads, c.heads))))[1:CASE WHEN greatest(len(a.heads), len(c.heads)) < 128 THEN 256 ELSE 128 END], a.heads), c.heads)) / (len((list_sort(list_distinct(list_concat(a.heads, c.heads))))[1:CASE WHEN greatest(len(a.heads), len(c.heads)) < 128 THEN 256 ELSE 128 END]) + len(list_intersect(list_intersect((list_sort(list_distinct(list_concat(a.heads, c.heads))))[1:CASE WHEN greatest(len(a.heads), len(c.heads)) < 128 THEN 256 ELSE 128 END], a.heads), c.heads))) END AS near_next, coalesce(edited_at, '') AS edited_at
         FROM edited d JOIN prints a ON a.t = d.body JOIN prints b ON b.t = edited JOIN prints c ON c.t = next_body
              LEFT JOIN places e ON e.doc_id IS NOT DISTINCT FROM d.doc_id AND e.body = d.body""",
     "op3_toolcalls": r"""

@@ -66,3 +66,13 @@ def test_smallest_id_is_not_null(spark):
     docs = spark.createDataFrame([(-(1 << 63), "one two"), (None, "three four")], "doc_id long, text string")
     got = {r["doc_id"]: r["edited_sha256"] for r in fingerprints(docs).collect()}
     assert got == {-(1 << 63): hashlib.sha256(b"one tw" + b"t").hexdigest(), None: hashlib.sha256(b"three fo" + b"on").hexdigest()}
+
+
+def test_long_texts_have_bounded_fingerprints(spark):
+    """Beyond KEPT leaves a fingerprint stops growing, and likeness is near the share of common clauses."""
+    clause = [f"clause number {i}, " for i in range(4000)]
+    a, b, c, d = "".join(clause[:2000]), "".join(clause[500:2500]), "".join(clause[2000:]), "".join(clause[:2000]) + "x"
+    shown = prints(spark, [a, b, c, d])
+    assert all(len(p) == 64 + 1 + 8 * 128 for p in shown) and len(set(shown)) == 4
+    near = spark.range(1).select(*(likeness(F.lit(shown[0]), F.lit(p)) for p in shown)).first()
+    assert near[0] == 1.0 and abs(near[1] - 0.75) < 0.12 and near[2] == 0.0 and near[3] > 0.97
