@@ -212,22 +212,27 @@ def fit_rules(x: np.ndarray, y: np.ndarray, penalty: float = 0.002) -> RuleEnsem
 def fit_quality(docs: DataFrame, labels: DataFrame, *, most: int = MOST_LABELS) -> RuleEnsemble:
     """Fits documents (doc_id, text) to labels (doc_id, quality 0 or 1).
 
-    At most about `most` labelled rows are used, chosen by a hash of the id; rows of other ids are left
-    out on both sides before anything is joined. Null ids, null labels and labels without a document are left out.
+    At most about `most` labelled ids are used, chosen by a hash of the id; rows of other ids are left
+    out on both sides before anything is joined. An id counts once: of several labels the largest, of several texts that of the
+    smallest statistics. Null ids, null labels and labels without a document are left out.
     """
     small_batches(docs.sparkSession)
     labelled = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("quality")).where("id IS NOT NULL AND quality IS NOT NULL")
+    labelled = labelled.groupBy("id").agg(F.max("quality").alias("quality"))
     share = min(1.0, most / max(1, labelled.count()))
     drawn = F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(1 << 20)) < share * (1 << 20)
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text")).where(drawn & F.col("id").isNotNull())
-    measured = texts.select("id", statistics_column(F.col("text")).alias("statistics"))
+    measured = texts.select("id", statistics_column(F.col("text")).alias("statistics")).groupBy("id").agg(F.min("statistics").alias("statistics"))
     rows = measured.join(labelled.where(drawn), "id").orderBy("id").select("statistics", "quality").collect()
     x = np.array([r["statistics"] for r in rows]).reshape(len(rows), len(STATISTICS))
     return fit_rules(x, np.array([r["quality"] for r in rows]))
 
 
 def quality_scores(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
-    """One row per document: doc_id, score (0 to 1; null and empty texts are scored by their statistics, all 0), predicted."""
+    """One row per document: doc_id, score (0 to 1; null and empty texts are scored by their statistics, all 0), predicted.
+
+    Repeated rows are scored each; a null doc_id is scored like others, and other columns are left out, whatever their names.
+    """
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", statistics_column(F.col("text")).alias("statistics"))
     scored = rows.select("doc_id", model.column(F.col("statistics")).alias("score"))

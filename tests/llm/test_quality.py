@@ -138,3 +138,12 @@ def test_several_labels_of_an_id_and_repeated_rows(spark, tmp_path):
     run_query(spark, tmp_path, rows, [(i, y, 0) for i, _, y in rows] + [(1, 0, 0), (1, 1, 0), (None, 1, 0), (2, None, 0)])
     scored = got(spark, str(tmp_path)).collect()
     assert len(scored) == len(rows) and all(0 <= r["score"] <= 1 for r in scored)
+
+
+def test_an_id_counts_once_in_the_fit(spark):
+    rows = data(200)
+    docs = spark.createDataFrame([r[:2] for r in rows] + [rows[0][:2]] * 500, "doc_id long, text string")
+    labels = [(r[0], r[2]) for r in rows]
+    model = fit_quality(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    again = fit_quality(docs, spark.createDataFrame(labels + [(rows[0][0], rows[0][2])] * 300 + [(1, 0)], "doc_id long, quality int"))
+    assert (model.rules, model.weights, model.intercept) == (again.rules, again.weights, again.intercept)
