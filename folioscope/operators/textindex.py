@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import bigrams
 from folioscope.operators.search import index_tokens, term_counts
+from folioscope.session import written
 from folioscope.sources.segments import Segments
 
 BUCKETS = 64
@@ -37,8 +38,8 @@ class TextIndex:
         self.spark, self.buckets, self.tokens = spark, buckets, tokens
 
     def _postings(self, rows: DataFrame) -> DataFrame:
-        """Terms are counted within the row of their text. Ranges of (bucket, token, key) spread a frequent token over tasks."""
-        entries = rows.select("key", F.size("tokens").cast("long").alias("dl"), F.explode(term_counts(F.col("tokens"))).alias("c"))
+        """Ranges of (bucket, token, key) spread a frequent token over tasks."""
+        entries = rows.select("key", "dl", F.explode("counts").alias("c"))
         entries = entries.select(bucket_of(F.col("c.term"), self.buckets).alias("bucket"), F.col("c.term").alias("token"), "key", F.col("c.n").cast("long").alias("tf"), "dl")
         return entries.repartitionByRange("bucket", "token", "key").sortWithinPartitions("bucket", "token", "key")
 
@@ -50,18 +51,20 @@ class TextIndex:
         at = self.store.manifest()
         if batch in at.batches:
             return False
-        rows = docs.select(F.col(key).cast("string").alias("key"), self.tokens(F.col(text)).alias("tokens")).where("key IS NOT NULL")
+        told = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), self.tokens(F.col(text)).alias("tokens"))
+        # terms are counted within the row of their text, once: all that follows reads the counts
+        rows = written(told.select("key", F.size("tokens").cast("long").alias("dl"), term_counts(F.col("tokens")).alias("counts")))
         keys = rows.select("key")
         if removed is not None:
             keys = keys.unionByName(removed.select(F.col(removed.columns[0]).cast("string").alias("key")))
-        added = rows.agg(F.count("*"), F.sum(F.size("tokens"))).first()
+        added = rows.agg(F.count("*"), F.sum("dl")).first()
         facts = {"n": added[0], "length": added[1] or 0}
         gone = None
         if at.segments:
             gone = keys.distinct()
             lost = self.store.read("lengths", at=at).join(gone, "key", "left_semi").agg(F.count("*"), F.sum("dl")).first()
             facts = {"n": added[0] - lost[0], "length": facts["length"] - (lost[1] or 0)}
-        tables = {"postings": self._postings(rows), "lengths": rows.select("key", F.size("tokens").cast("long").alias("dl"))}
+        tables = {"postings": self._postings(rows), "lengths": rows.select("key", "dl")}
         return self.store.commit(batch, tables, gone=gone, facts=facts)
 
     def hits(self, tokens: Sequence[str]) -> DataFrame:
