@@ -135,7 +135,8 @@ def fit_language_model(labelled: DataFrame, *, n: int = 4, texts_per_language: i
     fewer), chosen by a hash of the text; copies of a text count once. A language keeps each n-gram of its sample
     whose rate there is at least `least` times the highest rate in any language. Null languages and
     texts are left out; without any rows the model has no language and predicts `und`. One row per
-    language passes through the driver, and the n-grams that are kept, which the sample bounds.
+    language passes through the driver, and the n-grams that are kept, which the sample bounds: the filter that is broadcast
+    grows with the languages, by some megabytes for each.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col("lang").alias("lang"), F.col("text").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
@@ -171,7 +172,8 @@ def fit_language_model(labelled: DataFrame, *, n: int = 4, texts_per_language: i
 
 def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text") -> Column:
     """Struct column (lang_pred, score) of a text column. Null texts and texts without a letter are `und` with
-    score 0; a text without a known n-gram gets the model's most common language with score 0."""
+    score 0; a text without a known n-gram gets the model's most common language with score 0. Of languages with
+    equal shares the first by code point wins. Repeated rows are predicted each."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
