@@ -56,33 +56,55 @@ def contradiction_groups(relations: DataFrame) -> DataFrame:
     return told.join(docs, ends).select(*ends, pairs.alias("n_pairs"), F.col("n").alias("relations"), "documents", "types").where("n_pairs > 0")
 
 
+def near_names(names: DataFrame, *, least: float) -> DataFrame:
+    """(layer, long_name, short_name, confidence): pairs of different names of a layer with at most a share of edits, each once.
+
+    Rows are (layer, name) or (layer, name, side): with a boolean side only names of differing sides pair. Names within k
+    edits share one of k + 1 pieces. So that no pair is compared without cause, the longer name of a pair is cut into pieces, and the shorter offers,
+    for each length that a longer one has, the substrings that a piece may equal. Of the pieces one is equal such that up to i edits are before
+    piece i and up to k - i behind it, which bounds how far it is shifted, counted from either end.
+    """
+    sided = "side" in names.columns
+    names = names.where("name <> ''").select("layer", "name", (F.col("side") if sided else F.lit(True)).alias("side")).distinct().withColumn("n", F.char_length("name"))
+    k = F.floor((1 - least) * F.col("longest") + 1e-9).cast("int")
+    at = lambda i: i * F.floor(F.col("longest") / (F.col("k") + 1)).cast("int")
+    size = lambda i: F.when(i == F.col("k"), F.col("longest") - at(i)).otherwise(at(i + 1) - at(i))
+    pieces = F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i")
+    cut = names.withColumn("longest", F.col("n")).withColumn("k", k).select("*", pieces).where(size(F.col("i")) > 0)
+    cut = cut.select("layer", F.col("side").alias("meets"), "longest", "i", F.substring("name", at(F.col("i")) + 1, size(F.col("i"))).alias("bit"), F.col("name").alias("long_name"))
+    # Lengths are few, whatever the names: the table of them is as small as the longest name is long.
+    lengths = names.select(F.col("side").alias("meets"), F.col("n").alias("longest")).distinct()
+    offered = names.withColumn("meets", ~F.col("side") if sided else F.col("side"))
+    offered = offered.join(F.broadcast(lengths.withColumnRenamed("meets", "_meets")), (F.col("meets") == F.col("_meets")) & F.col("longest").between(F.col("n"), F.floor(F.col("n") / least + 1e-9))).drop("_meets")
+    if sided:  # of two equally long names the one of the true side is cut
+        offered = offered.where((F.col("longest") > F.col("n")) | F.col("meets"))
+    offered = offered.withColumn("k", k).select("*", pieces).where(size(F.col("i")) > 0)
+    i, shorter = F.col("i"), F.col("n") - F.col("longest")
+    low, high = F.greatest(-i, shorter - (F.col("k") - i), -at(i)), F.least(i, shorter + (F.col("k") - i), F.col("n") - at(i) - size(i))
+    offered = offered.withColumn("low", low).withColumn("high", high).where("low <= high").withColumn("shift", F.explode(F.sequence("low", "high")))
+    bit = F.substring("name", at(i) + F.col("shift") + 1, size(i))
+    offered = offered.select("layer", "meets", "longest", "i", bit.alias("bit"), F.col("name").alias("short_name"), "n")
+    met = cut.join(offered, ["layer", "meets", "longest", "i", "bit"])
+    met = met.where((F.col("n") < F.col("longest")) | (F.col("long_name") != F.col("short_name") if sided else F.col("long_name") > F.col("short_name")))
+    near = met.withColumn("confidence", similarity(F.col("long_name"), F.col("short_name"))).where(F.col("confidence") >= least)
+    return near.select("layer", "long_name", "short_name", "confidence").distinct()
+
+
 def similar_names(entities: DataFrame, *, layer: str, least: float, auto: float) -> DataFrame:
     """Pairs of entities of one layer with similar names: first_id, second_id, confidence, canonical, action.
 
-    Names within k edits share one of k + 1 pieces at about the same place. So that no pair of a layer is
-    compared without cause, names meet by length and piece: each name of n characters is cut into pieces
-    for each length that a partner may have, and only names with an equal piece at a shift of at most k are verified.
+    Different names are compared once, however many entities have them (`near_names`); the pairs of entities follow by two joins.
     """
-    names = entities.select("entity_id", F.col(layer).alias("layer"), F.trim("name").alias("name")).where("name <> ''").withColumn("n", F.char_length("name"))
-    edits = F.floor((1 - least) * F.col("longest") + 1e-9).cast("int")
-    longest = F.explode(F.sequence(F.col("n"), F.floor(F.col("n") / least + 1e-9).cast("int"))).alias("longest")
-    # The longer name of a pair is cut; the shorter offers every substring that a piece may equal.
-    cut = names.select("*", F.col("n").alias("longest")).withColumn("k", edits)
-    piece = F.floor(F.col("n") / (F.col("k") + 1)).cast("int")
-    places = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.struct((i * F.col("piece")).alias("at"), F.when(i == F.col("k"), F.col("n") - i * F.col("piece")).otherwise(F.col("piece")).alias("len")))
-    cut = cut.withColumn("piece", F.greatest(piece, F.lit(1))).withColumn("place", F.explode(places)).where("place.len > 0")
-    cut = cut.select("layer", "longest", F.col("place.at").alias("at"), F.expr("substring(name, place.at + 1, place.len)").alias("bit"), F.col("entity_id").alias("long_id"), F.col("name").alias("long_name"))
-    offered = names.select("*", longest).withColumn("k", edits).withColumn("piece", F.greatest(F.floor(F.col("longest") / (F.col("k") + 1)).cast("int"), F.lit(1)))
-    target = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.struct((i * F.col("piece")).alias("at"), F.when(i == F.col("k"), F.col("longest") - i * F.col("piece")).otherwise(F.col("piece")).alias("len")))
-    offered = offered.withColumn("place", F.explode(target)).where("place.len > 0").withColumn("shift", F.explode(F.expr("sequence(-k, k)")))
-    offered = offered.where("place.at + shift >= 0 AND place.at + shift + place.len <= n")
-    offered = offered.select("layer", "longest", F.col("place.at").alias("at"), F.expr("substring(name, place.at + shift + 1, place.len)").alias("bit"), F.col("entity_id").alias("short_id"), F.col("name").alias("short_name")).distinct()
-    pairs = cut.join(offered, ["layer", "longest", "at", "bit"]).where("long_id <> short_id")
-    first = F.least(F.struct(F.col("long_id").alias("id"), F.col("long_name").alias("name")), F.struct(F.col("short_id").alias("id"), F.col("short_name").alias("name")))
-    second = F.greatest(F.struct(F.col("long_id").alias("id"), F.col("long_name").alias("name")), F.struct(F.col("short_id").alias("id"), F.col("short_name").alias("name")))
-    pairs = pairs.select("layer", first.alias("a"), second.alias("b")).distinct().withColumn("confidence", similarity(F.col("a.name"), F.col("b.name"))).where(F.col("confidence") >= least)
-    canonical = F.when(F.char_length("a.name") >= F.char_length("b.name"), F.col("a.name")).otherwise(F.col("b.name"))
-    return pairs.select("layer", F.col("a.id").alias("first_id"), F.col("b.id").alias("second_id"), "confidence", canonical.alias("canonical"), F.when(F.col("confidence") >= auto, "auto_merge").otherwise("review").alias("action"))
+    rows = entities.select("entity_id", F.col(layer).alias("layer"), F.trim("name").alias("name")).where("name <> '' AND layer IS NOT NULL").distinct()
+    names = rows.select("layer", "name").distinct()
+    pairs = near_names(names, least=least).unionByName(names.select("layer", F.col("name").alias("long_name"), F.col("name").alias("short_name"), F.lit(1.0).alias("confidence")))
+    for side in ("long", "short"):
+        pairs = pairs.join(rows.select("layer", F.col("name").alias(f"{side}_name"), F.col("entity_id").alias(f"{side}_id")), ["layer", f"{side}_name"])
+    swapped = F.col("long_id") > F.col("short_id")
+    pairs = pairs.where(F.when(F.col("long_name") == F.col("short_name"), ~swapped & (F.col("long_id") != F.col("short_id"))).otherwise(F.col("long_id") != F.col("short_id")))
+    # The longer name, and of two equally long ones that of the first entity.
+    canonical = F.when(swapped & (F.char_length("short_name") == F.char_length("long_name")), F.col("short_name")).otherwise(F.col("long_name"))
+    return pairs.select("layer", F.least("long_id", "short_id").alias("first_id"), F.greatest("long_id", "short_id").alias("second_id"), "confidence", canonical.alias("canonical"), F.when(F.col("confidence") >= auto, "auto_merge").otherwise("review").alias("action"))
 
 
 def edge_stats(edges: DataFrame) -> DataFrame:

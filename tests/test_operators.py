@@ -202,3 +202,40 @@ def test_compaction_of_one_long_conversation(spark):
         left = total - sum(max(len(t) - 10, 0) for _, turn, role, t in messages if want[c, turn])
         want |= {(c, turn): (want[c, turn], left / 2 > 5000) for _, turn, *_ in messages}
     assert got == want and sum(x for x, _ in got.values()) > 50
+
+
+def test_near_names_pair_across_sides_and_names_once(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    from folioscope.operators import edits
+
+    r = random.Random(5)
+
+    def changed(name):
+        chars = list(name)
+        for _ in range(r.randint(0, 4)):
+            at = r.randrange(len(chars))
+            chars[at : at + 1] = r.choice([[], [r.choice("abcd")], [chars[at], r.choice("abcd")]])
+        return "".join(chars) or "a"
+
+    firsts = ["".join(r.choice("abcd") for _ in range(r.randint(8, 30))) for _ in range(60)]
+    rows = [("x", n, True) for n in firsts] + [("x", changed(n), False) for n in firsts * 2]
+    pairs = graph.near_names(spark.createDataFrame(rows, "layer string, name string, side boolean"), least=0.84).collect()
+    lev = spark.createDataFrame([(a, b) for _, a, s in rows for _, b, t in rows if s and not t and a != b], "a string, b string").distinct().where("1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.84").collect()
+    assert sorted(tuple(sorted((p["long_name"], p["short_name"]))) for p in pairs) == sorted({tuple(sorted((p["a"], p["b"]))) for p in lev}) and len(pairs) > 50
+
+    known, new = sorted(set(firsts)), sorted({n for _, n, side in rows if not side} - set(firsts))
+    got = edits.reuse(spark.createDataFrame([(n,) for n in new], "name string"), spark.createDataFrame([(i, n, []) for i, n in enumerate(known)], "entity_id int, name string, aliases array<string>"), F.col("name"), F.col("name"))
+    want = {n: max((SequenceMatcher(None, k, n).ratio(), -i) for i, k in enumerate(known)) for n in new}
+    assert {g["name"]: g["entity_id"] for g in got.collect()} == {n: -i for n, (score, i) in want.items() if score >= 0.92}
+
+
+def test_copies_of_names_are_not_compared(spark):
+    rows = spark.range(4000).selectExpr("id AS entity_id", "'x' AS layer", "concat('some name ', id % 40) AS name")
+    got = graph.similar_names(rows, layer="layer", least=0.9, auto=0.95)
+    want = spark.sql("WITH e AS (SELECT id, concat('some name ', id % 40) AS name FROM range(4000)) SELECT count(*) FROM e a JOIN e b ON a.id < b.id WHERE 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) >= 0.9").first()[0]
+    assert got.count() == want and got.select("first_id", "second_id").distinct().count() == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    compared = plan[plan.index("levenshtein") :]
+    assert "entity_id" not in compared[: compared.index("Join")]
