@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.operators.graph import similar_names
+from folioscope.operators.graph import near_names
 from folioscope.session import written
 
 
@@ -173,11 +173,11 @@ def reuse(names: DataFrame, entities: DataFrame, form: Column, known_form: Colum
     alias = names.join(entities.select(F.explode("aliases").alias("name"), "entity_id"), "name").select("name", "entity_id", F.lit(2).alias("rank"), F.lit(1.0).alias("score"))
     own, known = names.select("name", form.alias("form")), entities.select("entity_id", known_form.alias("form"))
     forms = own.join(known, "form").select("name", "entity_id", F.lit(3).alias("rank"), F.lit(1.0).alias("score"))
-    new = own.select("form", F.concat(F.lit("n"), "form").alias("entity_id")).distinct()
-    old = known.select("form", F.concat(F.lit("k"), "form").alias("entity_id")).distinct()
-    both = new.unionByName(old).select("entity_id", F.col("form").alias("name"), F.lit("all").alias("layer"))
-    pairs = similar_names(both, layer="layer", least=1 - 2 * (1 - least), auto=1.0).where("left(first_id, 1) = 'k' AND left(second_id, 1) = 'n'")
-    pairs = pairs.select(F.expr("substring(first_id, 2)").alias("known"), F.expr("substring(second_id, 2)").alias("form"))
+    both = own.select("form", F.lit(False).alias("side")).unionByName(known.select("form", F.lit(True).alias("side"))).select(F.lit("all").alias("layer"), F.col("form").alias("name"), "side")
+    pairs = near_names(both, least=1 - 2 * (1 - least))
+    # Which of a pair is known isn't told by its length: a form may be both, so both ways are looked up.
+    pairs = pairs.select(F.inline(F.array(F.struct(F.col("long_name").alias("known"), F.col("short_name").alias("form")), F.struct(F.col("short_name").alias("known"), F.col("long_name").alias("form")))))
+    pairs = pairs.join(known.select(F.col("form").alias("known")), "known", "left_semi").join(own.select("form"), "form", "left_semi")
     near = pairs.withColumn("score", sequence_ratio(F.col("known"), F.col("form"))).where(F.col("score") >= least)
     near = near.join(own, "form").join(known.withColumnRenamed("form", "known"), "known").select("name", "entity_id", F.lit(4).alias("rank"), "score")
     best = exact.union(alias).union(forms).union(near).groupBy("name").agg(F.min(F.struct("rank", (-F.col("score")).alias("far"), "entity_id")).alias("b"))
