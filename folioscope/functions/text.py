@@ -160,3 +160,16 @@ def expression_form(text: Column) -> Column:
     for sign, power in (("²", "**2"), ("³", "**3"), ("^", "**")):
         out = F.replace(out, F.lit(sign), F.lit(power))
     return F.regexp_replace(F.regexp_replace(out, "(?<=\\d),(?=\\d{3})", ""), "\\s+", "")
+
+
+#: Letters that upper-casing makes several of, and the single letters that take their place: ß gets ẞ, those with an iota below their title form, others stay.
+_SEVERAL = [c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000 and len(c.upper()) > 1]
+_SINGLE = ["ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in _SEVERAL]
+
+
+def upper_letters(text: Column) -> Column:
+    """Upper case letter by letter, so that a text keeps its length (`upper` makes SS of ß)."""
+    letters = "".join(_SEVERAL)
+    parts = F.split(text, f"(?=[{letters}])|(?<=[{letters}])")
+    each = F.transform(parts, lambda p: F.when(p.rlike(f"^[{letters}]"), F.translate(p, letters, "".join(_SINGLE))).otherwise(F.upper(p)))
+    return F.when(text.rlike(f"[{letters}]"), F.array_join(each, "")).otherwise(F.upper(text))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import upper_letters
 from folioscope.operators.upkeep import ChunkIndexes
 from folioscope.plans.ranking import LETTERS, bm25_sql
 from folioscope.plans.registry import Tables, query
@@ -31,7 +32,7 @@ def document_replace(t: Tables) -> DataFrame:
     store = Segments(t.spark, work_dir(t.spark), "doc_id")
     store.commit("load", _children(t.blocks))
     french = t.documents.where("lang = 'fr'").select("doc_id")
-    store.commit("replace", _children(t.blocks.where("pos % 2 = 0").withColumn("text", F.upper("text")).join(french, "doc_id", "left_semi")), gone=french)
+    store.commit("replace", _children(t.blocks.where("pos % 2 = 0").withColumn("text", upper_letters(F.col("text"))).join(french, "doc_id", "left_semi")), gone=french)
     store.commit("delete", {}, gone=t.documents.where("lang = 'de'").select("doc_id"))
     children = {name: store.read(name) for name in CHILDREN}
     whole = nested(children["blocks"].select("doc_id").distinct(), children, "doc_id", {name: ["pos"] for name in CHILDREN})

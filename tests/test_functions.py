@@ -75,3 +75,11 @@ def test_terms(spark):
     assert tuple(one(spark, terms.parameter(F.col("t")), t="K：系数，取0.8（%）；"))[:3] == ("K", "系数，取0.8（%）", "%")
     assert one(spark, terms.value_by_pattern(F.col("t"), ["z4取?\\s*([\\d.]+)"]), t="Z4取 0.4m") == "0.4"
     assert one(spark, terms.asked_clause(F.col("t")), t="第5.2m") is None
+
+
+def test_upper_case_letter_by_letter_as_in_sql(spark):
+    import duckdb
+
+    texts = ["Straße été", "ßß", "ﬁn ŉ ᾳ ΐ և", "", "plain œuvre", "aßﬀb\nß"]
+    got = [r["u"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(fn.upper_letters(F.col("t")).alias("u")).collect()]
+    assert got == [duckdb.execute("SELECT upper(?)", [t]).fetchone()[0] for t in texts] and got[0] == "STRAẞE ÉTÉ"
