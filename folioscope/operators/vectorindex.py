@@ -22,8 +22,10 @@ from folioscope.sources.segments import Segments
 SAMPLE, ROUNDS = 20_000, 12
 #: Centroids at most, and vectors of the sample for each; dimensions of a part, and codes of one at most.
 CELLS, PER_CELL, PART, CODES = 256, 40, 4, 256
-#: Cells that a question reads, and estimates that are scored exactly, as a multiple of what is asked for.
+#: Cells that a question reads at least, and estimates that are scored exactly, as a multiple of what is asked for.
 PROBES, RESCORED = 8, 20
+#: What the fit measures on its sample: share of the nearest so many that questions are to find, and questions asked. FITTED as probes: the cells found necessary.
+REACHED, NEAREST, ASKED, FITTED = 0.95, 10, 500, 0
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -53,16 +55,40 @@ def as_units(v: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Quantiser:
-    """Centroids, and for each part of the dimensions a book of codes."""
+    """Centroids, for each part of the dimensions a book of codes, and the cells that a question has to read."""
 
     centroids: np.ndarray
     books: list[np.ndarray]
+    probes: int = PROBES
 
     @classmethod
     def fit(cls, sample: np.ndarray, *, cells: int) -> Quantiser:
         centroids = k_means(sample, cells)
         rest = sample - centroids[nearest(sample, centroids)]
-        return cls(centroids, [k_means(rest[:, i : i + PART], CODES) for i in range(0, sample.shape[1], PART)])
+        model = cls(centroids, [k_means(rest[:, i : i + PART], CODES) for i in range(0, sample.shape[1], PART)])
+        model.probes = model.needed(sample)
+        return model
+
+    def needed(self, sample: np.ndarray) -> int:
+        """The fewest cells by which questions of the sample find REACHED of their NEAREST others, compared with all of the sample; all cells if none do."""
+        if len(sample) <= NEAREST + 1:
+            return len(self.centroids)
+        cell, code = self.encode(sample)
+        ranks = []
+        for own in np.array_split(np.linspace(0, len(sample) - 1, min(ASKED, len(sample))).astype(int), 10):
+            exact, of_cell = sample[own] @ sample.T, sample[own] @ self.centroids.T
+            estimates = of_cell[:, cell]
+            for i, book in enumerate(self.books):
+                estimates += (sample[own, PART * i : PART * (i + 1)] @ book.T)[:, code[:, i]]
+            for scores in (exact, estimates):
+                scores[np.arange(len(own)), own] = -np.inf
+            top = np.argsort(-exact, 1, kind="stable")[:, :NEAREST]
+            least = -np.sort(-estimates, 1)[:, min(RESCORED * NEAREST, len(sample)) - 1]
+            rank = np.take_along_axis(np.argsort(np.argsort(-of_cell, 1, kind="stable"), 1), cell[top], 1)
+            ranks.append(np.where(np.take_along_axis(estimates, top, 1) >= least[:, None], rank, len(self.centroids)).ravel())
+        found = np.cumsum(np.bincount(np.concatenate(ranks), minlength=len(self.centroids) + 1)[:-1]) / sum(map(len, ranks))
+        enough = np.flatnonzero(found >= REACHED)
+        return max(PROBES, int(enough[0]) + 1) if len(enough) else len(self.centroids)
 
     def encode(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cell = nearest(v, self.centroids)
@@ -99,18 +125,23 @@ class VectorIndex:
         model = Quantiser.fit(x, cells=max(1, min(cells, len(x) // PER_CELL)))
         kept = [("centroids", i, [float(y) for y in row]) for i, row in enumerate(model.centroids)]
         kept += [(f"book {i}", j, [float(y) for y in row]) for i, book in enumerate(model.books) for j, row in enumerate(book)]
+        kept.append(("probes", model.probes, []))
         self.store.commit("model", {"model": self.spark.createDataFrame(kept, "part string, n int, v array<double>").withColumn("key", F.lit(None).cast("string"))})
         self._model = None
 
     @property
     def model(self) -> Quantiser | None:
-        """The quantisers: at most CELLS + CODES x parts rows, which fit the driver and each task."""
+        """The quantisers: at most CELLS + CODES x parts rows and one, which fit the driver and each task."""
         if self._model is None and "model" in self.store.manifest().schemas:
             parts: dict[str, list] = {}
+            probes = PROBES
             for r in self.store.read("model").orderBy("part", "n").collect():
-                parts.setdefault(r["part"], []).append(r["v"])
+                if r["part"] == "probes":
+                    probes = r["n"]
+                else:
+                    parts.setdefault(r["part"], []).append(r["v"])
             books = sorted((p for p in parts if p != "centroids"), key=lambda p: int(p.split()[1]))
-            self._model = Quantiser(np.array(parts["centroids"]), [np.array(parts[b]) for b in books])
+            self._model = Quantiser(np.array(parts["centroids"]), [np.array(parts[b]) for b in books], probes)
         return self._model
 
     def replace(self, batch: str, vectors: DataFrame, key: str, vector: str, *, removed: DataFrame | None = None) -> bool:
@@ -137,13 +168,14 @@ class VectorIndex:
 
     # ------------------------------------------------------------ questions
 
-    def search(self, query: Sequence[float], *, top: int, probes: int | None = PROBES, rescored: int = RESCORED) -> DataFrame:
-        """(key, score) of the nearest vectors, score = max(0, cosine); probes None: all of them, exactly."""
+    def search(self, query: Sequence[float], *, top: int, probes: int | None = FITTED, rescored: int = RESCORED) -> DataFrame:
+        """(key, score) of the nearest vectors, score = max(0, cosine), in as many cells as the fit found necessary; probes None: all of them, exactly."""
         model, wanted = self.model, as_units(np.array(query, float))
         if model is None or "vectors" not in self.store.manifest().schemas or len(wanted) != model.centroids.shape[1]:
             return self.spark.createDataFrame([], "key string, score double")
         rows = self.store.read("vectors")
         exact = F.greatest(dot(F.col("vector"), F.array(*(F.lit(float(x)) for x in wanted))), F.lit(0.0))
+        probes = model.probes if probes == FITTED else probes
         if probes is not None:
             of_cell, table = model.products(wanted)
             cells = np.argsort(-of_cell, kind="stable")[:probes]
@@ -153,7 +185,7 @@ class VectorIndex:
         return rows.select("key", exact.alias("score")).orderBy(F.desc("score"), "key").limit(top)
 
 
-    def search_all(self, queries: DataFrame, *, top: int, probes: int | None = PROBES, rescored: int = RESCORED) -> DataFrame:
+    def search_all(self, queries: DataFrame, *, top: int, probes: int | None = FITTED, rescored: int = RESCORED) -> DataFrame:
         """(query_id, key, score) of the nearest vectors of each query (query_id, vector).
 
         Queries meet vectors by cell: a query is sent to the cells that it probes (all of them with probes None, exactly), and tasks score blocks of
@@ -163,6 +195,7 @@ class VectorIndex:
         if model is None or "vectors" not in self.store.manifest().schemas:
             return self.spark.createDataFrame([], "query_id string, key string, score double")
         size, count = model.centroids.shape[1], len(model.centroids)
+        probes = model.probes if probes == FITTED else probes
         wanted = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast("array<double>").alias("query")).where(F.size("query") == size)
 
         def probed(column: pa.Array) -> pa.Array:
@@ -209,7 +242,7 @@ def estimate(cell: Column, code: Column, of_cell: np.ndarray, table: np.ndarray)
     return F.arrow_udf(products, "double")(cell, code)
 
 
-def recall(index: VectorIndex, queries: DataFrame, *, top: int, probes: int = PROBES) -> float:
+def recall(index: VectorIndex, queries: DataFrame, *, top: int, probes: int = FITTED) -> float:
     """Share of the exact nearest of all queries (query_id, vector) that the probed cells and estimates give."""
     found = index.search_all(queries, top=top, probes=probes).select("query_id", "key", F.lit(1.0).alias("hit"))
     exact = index.search_all(queries, top=top, probes=None)

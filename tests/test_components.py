@@ -169,3 +169,16 @@ def test_contradiction_groups_count_what_pairs_list(spark):
     assert {(r["source_id"], r["target_id"]): r["n_pairs"] for r in counted} == {(r["source_id"], r["target_id"]): r["count"] for r in listed}
     assert all(sum(t["n"] for t in r["types"]) == r["relations"] for r in counted)
     assert graph.contradiction_groups(relations.limit(0)).count() == 0
+
+
+def test_vectors_without_groups_are_found_too(spark, tmp_path):
+    from folioscope.operators.vectorindex import PROBES
+
+    x = np.random.default_rng(4).normal(size=(3000, 32))
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "id long, v array<double>")
+    kept = VectorIndex(spark, str(tmp_path / "flat"))
+    kept.fit(df, "id", "v")
+    kept.replace("load", df, "id", "v")
+    asked = df.where("id % 50 = 0").selectExpr("string(id) AS query_id", "v AS vector")
+    assert recall(kept, asked, top=10) >= 0.9 > recall(kept, asked, top=10, probes=PROBES)
+    assert VectorIndex(spark, str(tmp_path / "flat")).model.probes == kept.model.probes > PROBES
