@@ -334,13 +334,16 @@ def cycles_and_gaps(steps: DataFrame) -> DataFrame:
     """(step_id, problem) of a step graph (step_id, next_id), each step with one successor at most: `dangling` successors that
     don't exist, and members of a `cycle`.
 
-    Successors double their reach each round, so rounds grow with the logarithm of the steps; what any step still
-    reaches after as many moves as there are steps is a member of a cycle.
+    Successors double their reach each round. What is reached after more moves was reached after fewer, so once it is as much as the round before,
+    moves only permute it: it is the members of cycles. Rounds grow with the logarithm of the longest way into a cycle or to an end, not of all steps;
+    moves are as many as steps, so no side of their join is broadcast.
     """
     known = steps.select(F.col("step_id").alias("next_id")).distinct()
     dangling = steps.where("next_id IS NOT NULL").join(known, "next_id", "left_anti").select("step_id", F.lit("dangling").alias("problem"))
     moves = written(steps.where("next_id IS NOT NULL").join(known, "next_id", "left_semi").select("step_id", "next_id"))
-    for _ in range(moves.count().bit_length()):
+    reached, before = moves.select("next_id").distinct().count(), None
+    while reached != before:
         ahead = moves.select(F.col("step_id").alias("next_id"), F.col("next_id").alias("beyond"))
-        moves = written(moves.join(ahead, "next_id").select("step_id", F.col("beyond").alias("next_id")))
+        moves = written(moves.join(ahead.hint("merge"), "next_id").select("step_id", F.col("beyond").alias("next_id")))
+        before, reached = reached, moves.select("next_id").distinct().count()
     return dangling.union(moves.select(F.col("next_id").alias("step_id")).distinct().withColumn("problem", F.lit("cycle")))

@@ -239,3 +239,14 @@ def test_copies_of_names_are_not_compared(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     compared = plan[plan.index("levenshtein") :]
     assert "entity_id" not in compared[: compared.index("Join")]
+
+
+def test_cycles_take_few_rounds_and_no_broadcast(spark, monkeypatch):
+    plans, keep = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    # Cycles of three with ways of two into them, ends of four steps, and one step after itself.
+    rows = [(5 * i + j, 5 * i + (j + 1 if j < 4 else 2)) for i in range(200) for j in range(5)] + [(2000 + 4 * i + j, 2001 + 4 * i + j if j < 3 else 9999) for i in range(50) for j in range(4)] + [(5000, 5000)]
+    got = graph.cycles_and_gaps(spark.createDataFrame(rows, "step_id long, next_id long")).collect()
+    assert sorted(r["step_id"] for r in got if r["problem"] == "cycle") == sorted([5 * i + j for i in range(200) for j in (2, 3, 4)] + [5000])
+    assert sorted(r["step_id"] for r in got if r["problem"] == "dangling") == [2003 + 4 * i for i in range(50)]
+    assert len(plans) <= 6 and all("Broadcast" not in p for p in plans[1:])
