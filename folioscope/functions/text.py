@@ -13,8 +13,8 @@ GREEK = {
     "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "varepsilon", "η": "eta", "θ": "theta", "κ": "kappa", "λ": "lambda", "μ": "mu",
     "ν": "nu", "ξ": "xi", "π": "pi", "ρ": "rho", "σ": "sigma", "τ": "tau", "φ": "phi", "ψ": "psi", "ω": "omega",
 }
-#: Punctuation that matching ignores, as a character class.
-IGNORED = "[，。；：、“”‘’（）()\\[\\]【】《》{}<>.,;:!?！？·—\\-~$\\\\]"
+#: White space and punctuation that matching ignores, as a pattern: Latin-1 characters are one bit set for Java, wider ones a chain of tests that only wide characters meet.
+IGNORED = "[ \\t\\n\\x0B\\f\\r()\\[\\]{}<>.,;:!?·\\-~$\\\\]+|(?![\\x00-\\xFF])[，。；：、“”‘’（）【】《》！？—]+"
 BLOCK_TYPES = {
     "text": "paragraph", "para": "paragraph", "paragraph": "paragraph", "list": "list_item", "list_item": "list_item", "table": "table", "table_caption": "table_caption",
     "figure": "figure", "image": "figure", "figure_caption": "figure_caption", "header_footer": "header_footer", "page_header": "header_footer",
@@ -51,8 +51,8 @@ def spelled(text: Column) -> Column:
 
 def match_form(text: Column) -> Column:
     """Form that texts are compared in: Greek letters spelled out, wrappers, blanks and punctuation gone, lower case."""
-    plain = let(F.coalesce(text, F.lit("")), lambda raw: F.when(raw.rlike("[α-ω]|\\\\mathrm"), spelled(raw)).otherwise(raw))
-    return F.lower(F.regexp_replace(plain, f"\\s|{IGNORED}", ""))
+    plain = let(F.coalesce(text, F.lit("")), lambda raw: F.when(raw.rlike("[α-ω]") | F.contains(raw, F.lit("\\mathrm")), spelled(raw)).otherwise(raw))
+    return F.lower(F.regexp_replace(plain, IGNORED, ""))
 
 
 def token_count(text: Column) -> Column:

@@ -109,7 +109,7 @@ def having_tokens(chunks: DataFrame, key: str, text: str, asked: Sequence[str],
         keys = index.hits(asked).select(F.col("key").alias(key)).distinct()
         if keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS:
             return chunks.join(F.broadcast(keys), key, "left_semi")
-    return chunks.where(F.arrays_overlap(search.index_tokens(F.col(text)), F.array(*map(F.lit, asked)).cast("array<string>")))
+    return chunks.where(search.has_token(F.col(text), asked))
 
 
 def sparse(targets: DataFrame, chunks: DataFrame, blocks: DataFrame, question: Question, *, top: int, index: TextIndex | None = None) -> DataFrame:

@@ -58,10 +58,17 @@ def paragraph_search(docs: DataFrame, key: str, text: str, query: str, *, top: i
 
 
 def index_tokens(text: Column) -> Column:
-    """Tokens of full-text search: letter and digit runs in lower case, and pairs within runs of ideographs."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[一-鿿]+|[\\p{L}\\p{N}&&[^一-鿿]]+"), F.lit(0))
-    cut = F.transform(runs, lambda r: F.when(r.rlike("^[一-鿿]{2,}$"), bigrams(r)).otherwise(F.array(r)))
-    return F.flatten(cut)
+    """Tokens of full-text search: letter and digit runs in lower case, and pairs within runs of ideographs.
+
+    Where a text has ideographs, one pass finds what begins at each place: a pair, an ideograph alone, or the first letter of another run. Java looks
+    back one UTF-16 unit only, so texts with characters of two are cut into runs first.
+    """
+    lower, whole = F.lower(F.coalesce(text, F.lit(""))), F.lit(0)
+    other = "[\\p{L}\\p{N}&&[^一-鿿]]"
+    here = f"(?=([一-鿿]{{2}}|(?<![一-鿿])[一-鿿](?![一-鿿])|(?<!{other}){other}+))"
+    cut = F.transform(F.regexp_extract_all(lower, F.lit(f"[一-鿿]+|{other}+"), whole), lambda r: F.when(r.rlike("^[一-鿿]{2,}$"), bigrams(r)).otherwise(F.array(r)))
+    plain = F.when(lower.rlike("[一-鿿]"), F.regexp_extract_all(lower, F.lit(here), F.lit(1))).otherwise(F.regexp_extract_all(lower, F.lit(f"{other}+"), whole))
+    return F.when(lower.rlike("[\\x{10000}-\\x{10FFFF}]"), F.flatten(cut)).otherwise(plain)
 
 
 def asked_tokens(text: str) -> list[str]:
@@ -71,6 +78,17 @@ def asked_tokens(text: str) -> list[str]:
     return list(dict.fromkeys(t for ts in pairs for t in ts))
 
 
+def has_token(text: Column, asked: Sequence[str]) -> Column:
+    """Whether a text has any of the tokens (of asked_tokens): what index_tokens has of it, found without making all tokens of the text."""
+    lower, other = F.lower(F.coalesce(text, F.lit(""))), "[\\p{L}\\p{N}&&[^一-鿿]]"
+    pairs = [t for t in asked if len(t) > 1 and "一" <= t[0] <= "鿿"]
+    alone = [t for t in asked if len(t) == 1 and "一" <= t <= "鿿"]
+    runs = [f"(?={other}{{{len(t)}}}(?!{other})){t}" for t in asked if not "一" <= t[0] <= "鿿"]
+    parts = [*pairs, *([f"(?<![一-鿿])[{''.join(alone)}](?![一-鿿])"] if alone else ()), *([f"(?<!{other})(?:{'|'.join(runs)})"] if runs else ())]
+    listed = F.arrays_overlap(index_tokens(text), F.array(*map(F.lit, asked)).cast("array<string>"))
+    return F.when(lower.rlike("[\\x{10000}-\\x{10FFFF}]"), listed).otherwise(lower.rlike("|".join(parts)) if parts else F.lit(False))
+
+
 def fts_search(docs: DataFrame, key: str, text: str, terms: Sequence[str], *, top: int = 20) -> DataFrame:
     """Any-term full-text search ranked by BM25 (k1 1.2, b 0.75)."""
     return bm25(docs, key, index_tokens(F.col(text)), list(dict.fromkeys(terms)), k1=1.2).orderBy(F.desc("score"), "key").limit(top)

@@ -1,0 +1,35 @@
+"""That work grows with the input: what a query has to do is done, and no more."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from folioscope.operators import alignment, search, structure
+from folioscope.operators.textindex import TextIndex
+from folioscope.plans import routes
+from folioscope.plans.registry import QUERIES
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def refuse(*_, **__):
+    raise AssertionError("not for this query")
+
+
+def test_one_question_indexes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(TextIndex, "replace", refuse)
+    assert QUERIES["sparse_retriever"](spark, SMALL).count() > 0
+
+
+RUNS = ["一", "a一", "一二a三b四五六 七", "𠀀a𐐀b一二𠀀三", "😀the 😀一", "", None, "é1二", "x二二", "the", "other", "THE.of", "3.2.1", "3２"]
+
+
+def test_having_a_token_is_having_it_in_the_list(spark):
+    rows = spark.createDataFrame([(x,) for x in RUNS], "t string")
+    for asked in (["the", "of", "3"], ["一"], ["一二", "七"], ["b", "二二", "三"], ["𠀀a𐐨b", "é1"], []):
+        listed = F.arrays_overlap(search.index_tokens(F.col("t")), F.array(*map(F.lit, asked)).cast("array<string>"))
+        assert rows.where(search.has_token(F.col("t"), asked) != listed).count() == 0
+    assert rows.where("t LIKE '%🙂%' OR t = '𠀀a𐐀b一二𠀀三'").select(search.index_tokens(F.col("t"))).first()[0] == ["𠀀a𐐨b", "一二", "𠀀", "三"]
