@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,7 +88,7 @@ def resolved_boxes(blocks: DataFrame, candidates: DataFrame, *, least: float = 0
     """(block_id, candidate_id, score): each block's best layout candidate of its page by text, each candidate used once.
 
     1.0 for equal texts, 0.72 and a quarter of the shorter share for containment, 0.04 more for the expected kind.
-    Which candidate is left depends on those taken before, so pages are worked through one by one; pairs are scored in Spark.
+    Which candidate is left depends on those taken before, so pages are worked through in order, those of a task one after the other; pairs are scored in Spark.
     """
     a = blocks.select("doc_id", "page_idx", "block_id", "reading_order", "block_type", match_form(F.col("text")).alias("a")).where("a <> ''")
     b = candidates.select("doc_id", "page_idx", "candidate_id", F.col("block_type").alias("kind"), match_form(F.col("text")).alias("b")).where("b <> ''")
@@ -96,17 +98,22 @@ def resolved_boxes(blocks: DataFrame, candidates: DataFrame, *, least: float = 0
     score = score + F.when(F.col("block_type") == F.col("kind"), 0.04).otherwise(0.0)
     near = pairs.withColumn("score", F.round(score, 6)).where(F.col("score") >= least).select("doc_id", "page_idx", "block_id", "reading_order", "candidate_id", "score")
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for _, own in pdf.sort_values(["reading_order", "score", "candidate_id"], ascending=[True, False, True]).groupby("reading_order", sort=True):
-            for row in own.itertuples(index=False):
-                if row.candidate_id not in used:
-                    used.add(row.candidate_id)
-                    out.append((row.block_id, row.candidate_id, row.score))
-                    break
-        return pd.DataFrame(out, columns=["block_id", "candidate_id", "score"])
-
-    return near.groupBy("doc_id", "page_idx").applyInPandas(pick, "block_id string, candidate_id string, score double")
+    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used, served = set(), None
+        for batch in batches:
+            keep = []
+            for place, reading_order, candidate in zip(*(batch.column(c).to_pylist() for c in ("_place", "reading_order", "candidate_id"))):
+                if place == 1:
+                    used, served = set(), None
+                keep.append(reading_order is not None and reading_order != served and candidate not in used)
+                if keep[-1]:
+                    used.add(candidate)
+                    served = reading_order
+            yield batch.select(["block_id", "candidate_id", "score"]).filter(pa.array(keep, pa.bool_()))
+
+    order = Window.partitionBy("doc_id", "page_idx").orderBy(F.asc_nulls_last("reading_order"), F.desc("score"), "candidate_id")
+    places = near.withColumn("_place", F.row_number().over(order)).select("_place", "reading_order", "block_id", "candidate_id", "score")
+    return places.mapInArrow(pick, "block_id string, candidate_id string, score double")
 
 
 def page_labels(blocks: DataFrame) -> DataFrame:

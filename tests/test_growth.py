@@ -33,3 +33,10 @@ def test_having_a_token_is_having_it_in_the_list(spark):
         listed = F.arrays_overlap(search.index_tokens(F.col("t")), F.array(*map(F.lit, asked)).cast("array<string>"))
         assert rows.where(search.has_token(F.col("t"), asked) != listed).count() == 0
     assert rows.where("t LIKE '%🙂%' OR t = '𠀀a𐐀b一二𠀀三'").select(search.index_tokens(F.col("t"))).first()[0] == ["𠀀a𐐨b", "一二", "𠀀", "三"]
+
+
+def test_boxes_of_pages_stream(spark):
+    blocks = spark.createDataFrame([(1, p, f"b{p}{i}", i, "paragraph", "same" if i < 2 else f"text {i}") for p in range(3) for i in range(3)], "doc_id long, page_idx long, block_id string, reading_order long, block_type string, text string")
+    found = alignment.resolved_boxes(blocks, blocks.withColumn("candidate_id", F.concat(F.lit("c"), "block_id")))
+    assert {(r[0], r[1]) for r in found.collect()} == {(f"b{p}{i}", f"cb{p}{i}") for p in range(3) for i in range(3)}
+    assert "FlatMapGroups" not in plan(found)
