@@ -40,3 +40,12 @@ def test_boxes_of_pages_stream(spark):
     found = alignment.resolved_boxes(blocks, blocks.withColumn("candidate_id", F.concat(F.lit("c"), "block_id")))
     assert {(r[0], r[1]) for r in found.collect()} == {(f"b{p}{i}", f"cb{p}{i}") for p in range(3) for i in range(3)}
     assert "FlatMapGroups" not in plan(found)
+
+
+def test_chunks_of_documents_stream(spark):
+    rows = [(d, f"{d}:{i}", kind, "s", 0, i, text) for d in range(3) for i, (kind, text) in enumerate([("title", "t"), ("paragraph", "one  two"), ("paragraph", " "), ("paragraph", "x" * 1020), ("paragraph", "y" * 30), ("table", "z")])]
+    found = structure.chunk_assembly(spark.createDataFrame(rows, "doc_id long, block_id string, block_type string, section_path string, page_idx long, reading_order long, text string").repartition(5))
+    assert "FlatMapGroups" not in plan(found)
+    told = sorted((r["chunk_id"], r["chunk_type"], r["n_blocks"], r["token_count"]) for r in found.where("doc_id = 1").collect())
+    # a text of Unicode's white space alone has no length and no blank before it
+    assert told == [("chunk-1:0", "outline_anchor", 1, 1), ("chunk-1:1", "content", 3, 257), ("chunk-1:4", "table_summary", 2, 8)]
