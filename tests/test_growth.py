@@ -55,3 +55,15 @@ def test_the_dense_route_makes_no_tables_of_others(spark, monkeypatch):
     for name in ("loaded_blocks", "loaded_chunks", "loaded_targets", "loaded_windows"):
         monkeypatch.setattr(routes, name, refuse)
     assert QUERIES["dense_retriever"](spark, SMALL).count() > 0
+
+
+def test_packets_of_keys_stream(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        items = spark.createDataFrame([(k, i, n) for k in (1, 2, None) for i, n in enumerate([5, 5, 1, 20, None, 3])], "k long, i long, n long").repartition(4)
+        found = structure.packed(items, "k", "i", "n", most=10)
+        assert "FlatMapGroups" not in plan(found)
+        got = {(r["k"], r["i"]): r["packet"] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(k, i): p for k in (1, 2, None) for i, p in enumerate([0, 0, 1, 2, 2, 2])}
