@@ -9,24 +9,44 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import bigrams
-from folioscope.operators.search import index_tokens, term_counts
+from folioscope.operators.search import index_tokens
 from folioscope.session import written
 from folioscope.sources.segments import Segments
 
 BUCKETS = 64
+#: Postings that a task sorts and writes at most, about: they fit its memory, so that nothing is spilled however large the corpus is.
+TASK_POSTINGS = 1_000_000
 
 
 def bucket_of(token: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.crc32(token.cast("binary")), F.lit(buckets)).cast("int")
 
 
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (key, tokens) as (key, dl, counts): the distinct tokens of each with how often it has them, sorted out for all texts of a batch at once."""
+    for batch in batches:
+        key, tokens = batch.columns
+        dl = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+        terms = tokens.flatten().dictionary_encode()
+        kinds = max(1, len(terms.dictionary))
+        # one number for each (text, term)
+        seen, n = np.unique(np.repeat(np.arange(len(dl)), dl) * kinds + terms.indices.to_numpy().astype(np.int64), return_counts=True)
+        offsets = np.zeros(len(dl) + 1, np.int32)
+        np.cumsum(np.bincount(seen // kinds, minlength=len(dl)), out=offsets[1:])
+        counts = pa.StructArray.from_arrays([terms.dictionary.take(pa.array(seen % kinds)), pa.array(n.astype(np.int64))], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([key, pa.array(dl), pa.ListArray.from_arrays(pa.array(offsets), counts)], names=["key", "dl", "counts"])
+
+
 class TextIndex:
     """Full-text index of texts with unique keys that aren't null; texts without tokens count in the statistics alone, null texts are empty.
 
@@ -37,11 +57,15 @@ class TextIndex:
         self.store = Segments(spark, path, "key", partitions={"postings": ["bucket"]})
         self.spark, self.buckets, self.tokens = spark, buckets, tokens
 
-    def _postings(self, rows: DataFrame) -> DataFrame:
-        """Ranges of (bucket, token, key) spread a frequent token over tasks."""
+    def _postings(self, rows: DataFrame, n: int) -> DataFrame:
+        """The n postings, sorted, in tasks of at most about TASK_POSTINGS: a bucket of more is dealt by the keys, so a frequent token is spread too."""
         entries = rows.select("key", "dl", F.explode("counts").alias("c"))
-        entries = entries.select(bucket_of(F.col("c.term"), self.buckets).alias("bucket"), F.col("c.term").alias("token"), "key", F.col("c.n").cast("long").alias("tf"), "dl")
-        return entries.repartitionByRange("bucket", "token", "key").sortWithinPartitions("bucket", "token", "key")
+        entries = entries.select(bucket_of(F.col("c.term"), self.buckets).alias("bucket"), F.col("c.term").alias("token"), "key", F.col("c.n").alias("tf"), "dl")
+        tasks = -(-n // TASK_POSTINGS)
+        pieces = F.pmod(F.xxhash64("key"), F.lit(-(-tasks // self.buckets) or 1))
+        usual = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = entries.repartition(tasks, "bucket", pieces) if tasks > usual else entries.repartition("bucket", pieces)
+        return dealt.sortWithinPartitions("bucket", "token")
 
     def replace(self, batch: str, docs: DataFrame, key: str, text: str, *, removed: DataFrame | None = None) -> bool:
         """Indexes texts in place of those of the same keys, and drops the keys in `removed`; false if the batch was applied before.
@@ -53,18 +77,18 @@ class TextIndex:
             return False
         told = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), self.tokens(F.col(text)).alias("tokens"))
         # terms are counted within the row of their text, once: all that follows reads the counts
-        rows = written(told.select("key", F.size("tokens").cast("long").alias("dl"), term_counts(F.col("tokens")).alias("counts")))
+        rows = written(told.mapInArrow(_counted, "key string, dl long, counts array<struct<term:string,n:long>>"))
         keys = rows.select("key")
         if removed is not None:
             keys = keys.unionByName(removed.select(F.col(removed.columns[0]).cast("string").alias("key")))
-        added = rows.agg(F.count("*"), F.sum("dl")).first()
+        added = rows.agg(F.count("*"), F.sum("dl"), F.sum(F.size("counts"))).first()
         facts = {"n": added[0], "length": added[1] or 0}
         gone = None
         if at.segments:
             gone = keys.distinct()
             lost = self.store.read("lengths", at=at).join(gone, "key", "left_semi").agg(F.count("*"), F.sum("dl")).first()
             facts = {"n": added[0] - lost[0], "length": facts["length"] - (lost[1] or 0)}
-        tables = {"postings": self._postings(rows), "lengths": rows.select("key", "dl")}
+        tables = {"postings": self._postings(rows, added[2] or 0), "lengths": rows.select("key", "dl")}
         return self.store.commit(batch, tables, gone=gone, facts=facts)
 
     def hits(self, tokens: Sequence[str]) -> DataFrame:
