@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import word_tokens
-from folioscope.operators.search import hash_embedding
 from folioscope.operators.textindex import TextIndex
 from folioscope.operators.vectorindex import VectorIndex
 from folioscope.session import written
@@ -18,10 +21,26 @@ DIMENSION = 64
 
 
 def hash_vectors(chunks: DataFrame, key: str, text: str, *, dimension: int = DIMENSION) -> DataFrame:
-    """(key, vector) of hashed words; chunks without words have none."""
-    sparse = hash_embedding(chunks, key, word_tokens(F.col(text)), dimension=dimension)
-    values = sparse.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))  # at most `dimension` entries
-    return values.select("key", F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0.0))).alias("vector"))
+    """(key, vector) of hashed words, as hash_embedding has them; chunks without words have none. Each row is one chunk, so nothing is shuffled."""
+
+    def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, words = batch.columns
+            rows = np.repeat(np.arange(len(keys)), pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
+            terms = words.flatten().dictionary_encode()
+            digests = [hashlib.md5(t.encode()).digest() for t in terms.dictionary.to_pylist()]
+            buckets = np.array([int.from_bytes(d[:4], "big") % dimension for d in digests], np.int64)
+            signs = np.array([1.0 if d[4] % 2 == 0 else -1.0 for d in digests])
+            at = terms.indices.to_numpy()
+            sums = np.bincount(rows * dimension + buckets[at], weights=signs[at], minlength=len(keys) * dimension).reshape(len(keys), dimension)
+            norms = np.sqrt((sums**2).sum(axis=1))
+            some = norms > 0
+            values = (sums[some] / norms[some, None]).ravel()
+            offsets = np.arange(some.sum() + 1, dtype=np.int32) * dimension
+            yield pa.RecordBatch.from_arrays([keys.filter(pa.array(some)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))], names=["key", "vector"])
+
+    kind = chunks.schema[key].dataType.simpleString()
+    return chunks.select(F.col(key).alias("key"), word_tokens(F.col(text)).alias("words")).mapInArrow(vectors, f"key {kind}, vector array<double>")
 
 
 class ChunkIndexes:

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import alignment, search, structure
+from folioscope.functions.text import word_tokens
+from folioscope.operators import alignment, search, structure, upkeep
 from folioscope.operators.textindex import TextIndex
 from folioscope.plans import routes
 from folioscope.plans.registry import QUERIES
@@ -19,33 +20,6 @@ def refuse(*_, **__):
     raise AssertionError("not for this query")
 
 
-def test_the_dense_route_makes_no_tables_of_others(spark, monkeypatch):
-    for name in ("loaded_blocks", "loaded_chunks", "loaded_targets", "loaded_windows"):
-        monkeypatch.setattr(routes, name, refuse)
-    assert QUERIES["dense_retriever"](spark, SMALL).count() > 0
-
-
-def test_packets_of_keys_stream(spark):
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
-    try:
-        items = spark.createDataFrame([(k, i, n) for k in (1, 2, None) for i, n in enumerate([5, 5, 1, 20, None, 3])], "k long, i long, n long").repartition(4)
-        found = structure.packed(items, "k", "i", "n", most=10)
-        assert "FlatMapGroups" not in plan(found)
-        got = {(r["k"], r["i"]): r["packet"] for r in found.collect()}
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert got == {(k, i): p for k in (1, 2, None) for i, p in enumerate([0, 0, 1, 2, 2, 2])}
-
-
-@pytest.mark.parametrize("n, tasks", [(10, 4), (300_000_000, 300)])
-def test_postings_are_dealt_by_their_number(spark, tmp_path, n, tasks):
-    kept = TextIndex(spark, str(tmp_path / "index"))
-    rows = spark.createDataFrame([("a", 3, [("x", 2), ("y", 1)])], "key string, dl long, counts array<struct<term:string,n:long>>")
-    dealt = kept._postings(rows, n)
-    assert f", {tasks})" in plan(dealt).split("Exchange")[-1].split("\n")[0] or f", {tasks}), REPARTITION" in plan(dealt)
-    assert "rangepartitioning" not in plan(dealt) and dealt.count() == 2
-
-
 def test_one_question_indexes_nothing(spark, monkeypatch):
     monkeypatch.setattr(TextIndex, "replace", refuse)
     assert QUERIES["sparse_retriever"](spark, SMALL).count() > 0
@@ -76,3 +50,38 @@ def test_chunks_of_documents_stream(spark):
     told = sorted((r["chunk_id"], r["chunk_type"], r["n_blocks"], r["token_count"]) for r in found.where("doc_id = 1").collect())
     # a text of Unicode's white space alone has no length and no blank before it
     assert told == [("chunk-1:0", "outline_anchor", 1, 1), ("chunk-1:1", "content", 3, 257), ("chunk-1:4", "table_summary", 2, 8)]
+
+
+def test_the_dense_route_makes_no_tables_of_others(spark, monkeypatch):
+    for name in ("loaded_blocks", "loaded_chunks", "loaded_targets", "loaded_windows"):
+        monkeypatch.setattr(routes, name, refuse)
+    assert QUERIES["dense_retriever"](spark, SMALL).count() > 0
+
+
+def test_hashed_vectors_are_made_in_their_rows(spark):
+    texts = spark.createDataFrame([("a", "the cat the mat"), ("b", ""), ("c", None), ("d", "cat 12 漢字"), ("e", "x")], "id string, text string")
+    found = upkeep.hash_vectors(texts, "id", "text", dimension=8)
+    assert "Exchange" not in plan(found)
+    want = {(r["key"], r["bucket"]): r["value"] for r in search.hash_embedding(texts, "id", word_tokens(F.col("text")), dimension=8).collect()}
+    assert {(r["key"], i): v for r in found.collect() for i, v in enumerate(r["vector"]) if v} == want
+
+
+def test_packets_of_keys_stream(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        items = spark.createDataFrame([(k, i, n) for k in (1, 2, None) for i, n in enumerate([5, 5, 1, 20, None, 3])], "k long, i long, n long").repartition(4)
+        found = structure.packed(items, "k", "i", "n", most=10)
+        assert "FlatMapGroups" not in plan(found)
+        got = {(r["k"], r["i"]): r["packet"] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(k, i): p for k in (1, 2, None) for i, p in enumerate([0, 0, 1, 2, 2, 2])}
+
+
+@pytest.mark.parametrize("n, tasks", [(10, 4), (300_000_000, 300)])
+def test_postings_are_dealt_by_their_number(spark, tmp_path, n, tasks):
+    kept = TextIndex(spark, str(tmp_path / "index"))
+    rows = spark.createDataFrame([("a", 3, [("x", 2), ("y", 1)])], "key string, dl long, counts array<struct<term:string,n:long>>")
+    dealt = kept._postings(rows, n)
+    assert f", {tasks})" in plan(dealt).split("Exchange")[-1].split("\n")[0] or f", {tasks}), REPARTITION" in plan(dealt)
+    assert "rangepartitioning" not in plan(dealt) and dealt.count() == 2
