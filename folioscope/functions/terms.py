@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import GREEK, dotted, match_form, spelled
+from folioscope.functions.text import GREEK, dotted, let, match_form, spelled
 
 # Fixed values that results depend on: shapes of numbers and symbols.
 _PARTS = r"[0-9]+(?:[.\s\-][0-9]+){0,4}"
@@ -113,8 +113,8 @@ def formula_form(text: Column) -> Column:
 def formula_number(formula: Column, lines: Column) -> Column:
     """The number of a formula, in brackets or as a tag, in its text or else in its explanation."""
     texts = F.transform(F.concat(F.array(formula), lines), formula_form)
-    found = F.transform(texts, lambda t: F.coalesce(_first(t, FORMULA_NUMBER, 1), _first(t, FORMULA_NUMBER, 2)))
-    return F.get(F.array_compact(found), F.lit(0))
+    first = F.get(F.filter(texts, lambda t: t.rlike(FORMULA_NUMBER)), F.lit(0))
+    return F.concat(F.regexp_extract(first, FORMULA_NUMBER, 1), F.regexp_extract(first, FORMULA_NUMBER, 2))  # one of the groups is empty
 
 
 def without_tag(formula: Column) -> Column:
@@ -129,7 +129,7 @@ def unit_of(description: Column) -> Column:
 
 def reference_hint(description: Column) -> Column:
     """Where a value comes from: what follows `by`, `take`, `see` and the like, up to the end of the clause."""
-    return F.nullif(formula_form(_first(description, HINT)), F.lit(""))
+    return let(formula_form(F.regexp_extract(description, HINT, 1)), lambda hint: F.when(hint != "", hint))
 
 
 def parameter(line: Column) -> Column:
@@ -138,14 +138,20 @@ def parameter(line: Column) -> Column:
     Symbol and description are parted by a dash, colon or equals sign; a blank will do where the
     description is in words and the symbol is no command.
     """
+    def parted(plain: Column, form: str) -> Column:
+        return F.struct(*(formula_form(F.regexp_extract(plain, form, i)).alias(name) for i, name in ((1, "symbol"), (2, "description"))))
+
+    def in_words(s: Column) -> Column:
+        text = s["description"]
+        return F.when(text.rlike("[\u4e00-\u9fff(（]") & ~text.rlike(r"^[+\-*/=_{\\^~]") & ~s["symbol"].startswith("\\") & (s["symbol"] != ""), s)
+
+    def told(s: Column) -> Column:
+        parts = F.struct(s["symbol"].alias("symbol"), s["description"].alias("description"), unit_of(s["description"]).alias("unit"), reference_hint(s["description"]).alias("reference_hint"))
+        return F.when((s["symbol"] != "") & (s["description"] != ""), parts)
+
+    # each step is worked out once: within a lambda Spark shares nothing, and a column that names another twice would double all below it
     plain = F.regexp_replace(F.regexp_replace(formula_form(line), r"^[•·]\s*", ""), r"^(?:式中|其中|注)[:：]?\s*", "")
-    soft_symbol, soft_text = formula_form(_first(plain, PARAMETER_SOFT, 1)), formula_form(_first(plain, PARAMETER_SOFT, 2))
-    soft = soft_text.rlike("[\u4e00-\u9fff(（]") & ~soft_text.rlike(r"^[+\-*/=_{\\^~]") & ~soft_symbol.startswith("\\") & (soft_symbol != "")
-    strict = plain.rlike(PARAMETER)
-    symbol = F.when(strict, formula_form(_first(plain, PARAMETER, 1))).when(soft, soft_symbol)
-    description = F.when(strict, formula_form(_first(plain, PARAMETER, 2))).when(soft, soft_text)
-    told = F.struct(symbol.alias("symbol"), description.alias("description"), unit_of(description).alias("unit"), reference_hint(description).alias("reference_hint"))
-    return F.when((symbol != "") & (description != ""), told)
+    return let(let(plain, lambda p: F.when(p.rlike(PARAMETER), parted(p, PARAMETER)).otherwise(let(parted(p, PARAMETER_SOFT), in_words))), told)
 
 
 # ---------------------------------------------------------------- tags and kinds

@@ -288,7 +288,9 @@ def formula_explanations(t: Tables) -> DataFrame:
 )
 def formula_facts(t: Tables) -> DataFrame:
     lines = F.array(F.lit("式中：q——荷载（kN/m）；L——长度"), F.lit("与上式相同"))
-    found = evidence.formula_facts(t.part.select("p_partkey", F.concat(F.lit("F = q  L (3."), "p_size", F.lit(")")).alias("text"), lines.alias("lines")))
+    # a file of small rows is one task or few, and here the work is in each row: the rows are dealt first
+    parts = t.part.select("p_partkey", "p_size").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    found = evidence.formula_facts(parts.select("p_partkey", F.concat(F.lit("F = q  L (3."), "p_size", F.lit(")")).alias("text"), lines.alias("lines")))
     params = F.array_join(F.transform("formula_params", lambda p: F.concat(p["symbol"], F.lit(":"), F.coalesce(p["unit"], F.lit("")))), ";")
     return found.select("p_partkey", F.col("formula_summary").alias("summary"), F.col("formula_param_count").cast("long").alias("n"), params.alias("params"))
 
