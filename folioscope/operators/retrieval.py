@@ -247,10 +247,13 @@ def formula_windows(blocks: DataFrame, *, around: int = 4) -> DataFrame:
     rows = blocks.withColumn("plain", clean(F.col("text")))
     rows = _formed(rows, F.col("section_path"), F.col("plain"), "form")
     part = F.struct(F.coalesce("section_path", F.lit("")).alias("section"), F.col("page_idx").alias("page"), F.col("block_type").alias("kind"), F.col("plain").alias("text"), F.col("form"), has_any(F.col("plain"), EVIDENCE_OF_CALCULATION).alias("telling"))
-    rows = rows.withColumn("part", F.when(F.col("block_type").isin("paragraph", "list_item", "formula") & (F.col("plain") != ""), part))
-    rows = rows.withColumn("near", F.collect_list("part").over(order.rowsBetween(-around, around))).where((F.col("block_type") == "formula") & (F.col("plain") != ""))
+    part = F.when(F.col("block_type").isin("paragraph", "list_item", "formula") & (F.col("plain") != ""), part)
+    # texts and forms are sent in their part alone, also those of the formulas
+    rows = rows.select("doc_id", "page_idx", "reading_order", "block_id", "section_path", part.alias("part"))
+    rows = rows.withColumn("near", F.collect_list("part").over(order.rowsBetween(-around, around))).where(F.col("part.kind") == "formula")
     close = F.filter("near", lambda b: (b["section"] == F.coalesce("section_path", F.lit(""))) | (F.abs(b["page"] - F.col("page_idx")) <= 1))
-    return rows.select("block_id", "doc_id", "section_path", "page_idx", "plain", "form", F.transform(close, lambda b: F.struct(((b["kind"] == "formula") | b["telling"]).alias("telling"), b["text"].alias("text"), b["form"].alias("form"))).alias("near"))
+    told = F.transform(close, lambda b: F.struct(((b["kind"] == "formula") | b["telling"]).alias("telling"), b["text"].alias("text"), b["form"].alias("form")))
+    return rows.select("block_id", "doc_id", "section_path", "page_idx", F.col("part.text").alias("plain"), F.col("part.form").alias("form"), told.alias("near"))
 
 
 def formula_contexts(windows: DataFrame, question: Question) -> DataFrame:
@@ -270,15 +273,17 @@ def formula(windows: DataFrame, chunks: DataFrame, question: Question, *, top: i
     """Candidates for questions about calculations: formulas, formulas with their surroundings (windows: formula_windows of the
     blocks), and chunks that explain them."""
     calculation = question.says(*CALCULATION)
-    rows = _formed(formula_contexts(windows, question), F.col("section_path"), F.col("context"), "context_form")
+    named = windows.withColumn("raw", search.raw_text(F.col("section_path"), F.col("plain")))
     exact, hits = _clause_hit(F.col("raw"), question), identifier_hits(question.symbols, F.col("raw"))
     score = search.lexical_overlap(F.col("form"), question) + F.when(exact, 12.0).otherwise(0.0) + (4.0 if calculation else 0.0) + (2.0 if question.says("式") else 0.0) + 6.0 * hits
     told = {"doc_id": F.col("doc_id"), "title": F.col("section_path"), "target_id": F.col("block_id"), "section_path": F.col("section_path"), "page_idx": F.col("page_idx")}
-    alone = _candidates(rows, "formula", item_id=F.col("block_id"), kind=F.lit("formula"), text=F.col("plain"), score=F.round(score * FORMULA_FACTOR, 6), **told)
+    alone = _candidates(named, "formula", item_id=F.col("block_id"), kind=F.lit("formula"), text=F.col("plain"), score=F.round(score * FORMULA_FACTOR, 6), **told)
+    rows = _formed(formula_contexts(windows, question), F.col("section_path"), F.col("context"), "context_form")
     score = search.lexical_overlap(F.col("context_form"), question) + F.when(exact, 10.0).otherwise(0.0) + (6.0 if calculation else 0.0) + F.when(has_any(F.col("context"), CONTEXT_OF_CALCULATION), 4.0).otherwise(0.0) + 4.0 * hits
     around = _candidates(rows, "formula", item_id=F.concat("block_id", F.lit(":context")), kind=F.lit("formula_context"), text=F.col("context"), score=F.round(score, 6), **told)
 
-    rows = _formed(chunks.withColumn("plain", clean(F.col("text"))).where("plain <> ''"), F.col("section_path"), F.col("plain"))
+    # a text has a plain form if it has more than white space; asked of the text, so that no filter makes the form a second time
+    rows = _formed(chunks.where(F.col("text").rlike("\\S")).withColumn("plain", clean(F.col("text"))), F.col("section_path"), F.col("plain"))
     raw = search.raw_text(F.col("section_path"), F.col("plain"))
     score = search.lexical_overlap(F.col("_form"), question) + F.when(_clause_hit(raw, question), 8.0).otherwise(0.0) + 4.0 * identifier_hits(question.symbols, raw)
     if calculation:

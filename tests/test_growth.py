@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import word_tokens
-from folioscope.operators import alignment, search, structure, upkeep
+from folioscope.operators import alignment, retrieval, search, structure, upkeep
 from folioscope.operators.textindex import TextIndex
 from folioscope.plans import routes
-from folioscope.plans.registry import QUERIES
+from folioscope.plans.registry import QUERIES, Tables
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -85,3 +85,15 @@ def test_postings_are_dealt_by_their_number(spark, tmp_path, n, tasks):
     dealt = kept._postings(rows, n)
     assert f", {tasks})" in plan(dealt).split("Exchange")[-1].split("\n")[0] or f", {tasks}), REPARTITION" in plan(dealt)
     assert "rangepartitioning" not in plan(dealt) and dealt.count() == 2
+
+
+def test_formulas_alone_gather_no_surroundings(spark):
+    tables = Tables(spark, SMALL)
+    found = retrieval.formula(routes.loaded_windows(tables), routes.loaded_chunks(tables), routes.FORMULA_QUESTION, top=routes.TOP)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("array_distinct(") == 1
+
+
+def test_windows_send_a_text_once(spark):
+    found = retrieval.formula_windows(routes.loaded_blocks(Tables(spark, SMALL)))
+    sent = next(line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Project" in line and " AS part#" in line)
+    assert "plain#" not in sent.split("CASE WHEN")[0]
