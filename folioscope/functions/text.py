@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -68,9 +69,10 @@ def clause_id(text: Column) -> Column:
 
 
 def contains_clause(text: Column, clause: Column | str) -> Column:
-    """Whether a text has exactly this clause number, not as a part of a longer one."""
-    clause = F.lit(clause) if isinstance(clause, str) else clause
-    return F.regexp_like(text, F.concat(F.lit("(?<![\\d.])"), F.replace(clause, F.lit("."), F.lit("\\.")), F.lit("(?![\\d.])")))
+    """Whether a text has exactly this clause number, not as a part of a longer one. Texts without its characters are told by a plain search."""
+    ref = F.lit(clause) if isinstance(clause, str) else clause
+    exact = F.regexp_like(text, F.concat(F.lit("(?<![\\d.])"), F.replace(ref, F.lit("."), F.lit("\\.")), F.lit("(?![\\d.])")))
+    return F.contains(text, ref) & exact if isinstance(clause, str) and re.fullmatch(r"[\w.-]+", clause) else exact
 
 
 def related_clause(own: Column, wanted: Column) -> Column:

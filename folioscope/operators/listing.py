@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import contains_clause, related_clause
+from folioscope.functions.text import contains_clause, let, related_clause
 
 
 def keyword_hit(keyword: str, *columns: str) -> Column:
@@ -66,10 +68,8 @@ def contents_page(title: Column, section: Column, text: Column, kind: Column, nu
 
 def any_token(rows: DataFrame, tokens: Sequence[str], *columns: str) -> DataFrame:
     """Rows in which any of the tokens occurs in any of the columns."""
-    hit = F.lit(False)
-    for t in tokens:
-        hit = hit | keyword_hit(t, *columns)
-    return rows.where(hit)
+    forms = F.array(*(F.lower(F.col(c)) for c in columns))  # made once for all tokens
+    return rows.where(let(forms, lambda own: F.exists(own, lambda c: F.coalesce(reduce(or_, (F.contains(c, F.lit(t.lower())) for t in tokens), F.lit(False)), F.lit(False)))))
 
 
 def with_exact_clause(rows: DataFrame, ref: str, column: str = "text") -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,7 +88,13 @@ def has_token(text: Column, asked: Sequence[str]) -> Column:
     runs = [f"(?={other}{{{len(t)}}}(?!{other})){t}" for t in asked if not "一" <= t[0] <= "鿿"]
     parts = [*pairs, *([f"(?<![一-鿿])[{''.join(alone)}](?![一-鿿])"] if alone else ()), *([f"(?<!{other})(?:{'|'.join(runs)})"] if runs else ())]
     listed = F.arrays_overlap(index_tokens(text), F.array(*map(F.lit, asked)).cast("array<string>"))
-    return F.when(lower.rlike("[\\x{10000}-\\x{10FFFF}]"), listed).otherwise(lower.rlike("|".join(parts)) if parts else F.lit(False))
+
+    def found(own: Column) -> Column:
+        """Most texts without a token don't have its letters either, which a plain search tells."""
+        exact = F.when(own.rlike("[\\x{10000}-\\x{10FFFF}]"), listed).otherwise(own.rlike("|".join(parts)))
+        return reduce(or_, (F.contains(own, F.lit(t)) for t in asked)) & exact
+
+    return let(lower, found) if asked else F.lit(False)
 
 
 def fts_search(docs: DataFrame, key: str, text: str, terms: Sequence[str], *, top: int = 20) -> DataFrame:

@@ -90,5 +90,5 @@ def test_a_parameter_works_out_each_step_once(spark):
 
     rows = spark.createDataFrame([("q——荷载（kN/m）",)], "t string").select(F.filter(F.transform(F.array("t"), terms.parameter), lambda p: p["unit"] == "kN/m").alias("p"))
     assert rows.first()["p"][0]["symbol"] == "q"
-    # two passes over a line for the marks before it, once; they were in the plan over a hundred times
+    # the marks before a line are taken off once: the plan had this many times
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("式中|其中|注") == 1

@@ -87,6 +87,20 @@ def test_postings_are_dealt_by_their_number(spark, tmp_path, n, tasks):
     assert "rangepartitioning" not in plan(dealt) and dealt.count() == 2
 
 
+def test_pages_are_cut_in_the_rows_of_their_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "\n".join(f"l{i}" for i in range(41))), (2, ""), (3, None), (None, "a\n\n b"), (10, "\n" * 19)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "once" / "documents.parquet"))
+    docs.union(docs.where("doc_id = 1").withColumn("text", F.lit("m0\nm1"))).write.parquet(str(tmp_path / "twice" / "documents.parquet"))
+    pages = {}
+    for folder in ("once", "twice"):
+        found = routes.chunks(Tables(spark, str(tmp_path / folder)))
+        assert ("Exchange" in plan(found)) == (folder == "twice")
+        pages[folder] = {r["chunk_id"]: r["text"] for r in found.collect()}
+    whole = "\n".join(f"l{i}" for i in range(20))
+    assert pages["once"]["c1-0"] == whole and pages["once"]["c1-2"] == "l40" and pages["twice"]["c1-0"].startswith("l0\nm0\nl1\nm1")
+    assert {k: v for k, v in pages["once"].items() if k != "c1-0"} == {k: v for k, v in pages["twice"].items() if k != "c1-0"}
+
+
 def test_formulas_alone_gather_no_surroundings(spark):
     tables = Tables(spark, SMALL)
     found = retrieval.formula(routes.loaded_windows(tables), routes.loaded_chunks(tables), routes.FORMULA_QUESTION, top=routes.TOP)
