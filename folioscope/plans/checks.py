@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.query import Question
 from folioscope.operators import adapters, alignment, edits, evaluate, listing, search, structure
 from folioscope.plans import routes
 from folioscope.plans.registry import Tables, query
-from folioscope.session import work_dir
+from folioscope.session import work_dir, written
 from folioscope.sources import sinks
 
 
@@ -161,9 +164,18 @@ _TABLE_SQL = f"WITH {{blocks}}, {routes.CHUNKS_SQL}, {routes.TABLES_SQL}, {route
         UNION ALL SELECT 'entity_search', CAST(s_suppkey AS VARCHAR), 1.0 FROM supplier WHERE contains(lower(s_name), '#000000007')""",
 )
 def search_adapters(t: Tables) -> DataFrame:
-    """The three searches, called alike."""
+    """The three searches, called alike. Two of them ask the same, so the candidates of a question are found once."""
+    asked_before: dict[Question, dict[str, DataFrame]] = {}
+
+    def sources(q: Question) -> dict[str, DataFrame]:
+        if q not in asked_before:
+            given = routes.sources(t, q)
+            few = written(reduce(DataFrame.unionByName, given.values()))  # some hundred rows
+            asked_before[q] = {name: few.where(F.col("route") == name) for name in given}
+        return asked_before[q]
+
     entities = t.supplier.select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("name"), F.array().cast("array<string>").alias("aliases"), F.lit(None).cast("long").alias("doc_id"))
-    searches = adapters.Searches(lambda q: routes.sources(t, q), entities).tools()
+    searches = adapters.Searches(sources, entities).tools()
     asked = {"knowledge_search": routes.QUESTION.text, "table_search": routes.QUESTION.text, "entity_search": "#000000007"}
     parts = [searches[tool](text, top=routes.TOP, task="table_qa").select(F.lit(tool).alias("tool"), F.col("key").alias("item"), F.round("score", 6).alias("score")) for tool, text in asked.items()]
     return parts[0].union(parts[1]).union(parts[2])

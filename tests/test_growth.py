@@ -101,6 +101,14 @@ def test_pages_are_cut_in_the_rows_of_their_documents(spark, tmp_path):
     assert {k: v for k, v in pages["once"].items() if k != "c1-0"} == {k: v for k, v in pages["twice"].items() if k != "c1-0"}
 
 
+def test_searches_that_ask_the_same_share_their_candidates(spark, monkeypatch):
+    from folioscope import catalog
+
+    asked = []
+    monkeypatch.setattr(routes, "sources", lambda t, q, made=routes.sources: asked.append(q) or made(t, q))
+    assert catalog.QUERIES["search_adapters"](spark, SMALL).count() > 0 and len(asked) == 1
+
+
 def test_formulas_alone_gather_no_surroundings(spark):
     tables = Tables(spark, SMALL)
     found = retrieval.formula(routes.loaded_windows(tables), routes.loaded_chunks(tables), routes.FORMULA_QUESTION, top=routes.TOP)
