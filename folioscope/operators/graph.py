@@ -11,6 +11,8 @@ from folioscope.functions.text import similarity
 from folioscope.session import written
 
 SUBJECT, OBJECT = "source_id", "target_id"
+#: Relations that a task sums up, about, and over how many tasks those of one pair of ends are dealt.
+TASK_RELATIONS, SHARES = 500_000, 16
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -39,21 +41,32 @@ def contradictions(relations: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.relation_id").alias("first_id"), F.col("b.relation_id").alias("second_id"), F.col("a.source_id").alias("source_id"), F.col("a.target_id").alias("target_id"), F.col("a.relation_type").alias("first_type"), F.col("b.relation_type").alias("second_type"))
 
 
-def contradiction_groups(relations: DataFrame) -> DataFrame:
+def contradiction_groups(relations: DataFrame, *, task_rows: int = TASK_RELATIONS) -> DataFrame:
     """(source_id, target_id, n_pairs, relations, documents, types): the ends with contradictions, how many pairs of relations contradict
     each other, and the relations and documents of each type, as a sorted array of (relation_type, n, n_docs).
 
     The pairs are counted from sums over types and documents, none is made: all pairs, less those of one document, less those of one
-    type, and those of both again. So one pair of ends with very many relations costs what its rows cost. Null types and documents contradict nothing.
+    type, and those of both again. So one pair of ends with very many relations costs what its rows cost. Null types and documents contradict nothing, null ends are no ends.
+
+    Ends are nearly as many as relations, so combining before a shuffle saves nothing and fills the memory of a task with what it read. The relations
+    are dealt first, about `task_rows` to a task however many there are, those of one pair of ends over SHARES tasks by their document;
+    all sums of a share are made where it lies, and a pair's sums, at most SHARES for each type, meet in a second deal.
     """
     ends = [SUBJECT, OBJECT]
-    cells = relations.where("relation_type IS NOT NULL AND doc_id IS NOT NULL").groupBy(*ends, "relation_type", "doc_id").agg(F.count("*").alias("n"))
+    told = relations.select(*ends, "relation_type", "doc_id").dropna()
+    tasks = max(int(relations.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-told.count() // task_rows))
+    share = [*ends, "_share"]
+    dealt = told.withColumn("_share", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int")).repartition(tasks, *share)
     square = (F.col("n") * F.col("n")).cast("decimal(38,0)")
-    types = cells.groupBy(*ends, "relation_type").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"), F.sum(square).alias("both"))
-    docs = cells.groupBy(*ends, "doc_id").agg(F.sum("n").alias("n")).groupBy(*ends).agg(F.sum(square).alias("of_docs"), F.count("*").alias("documents"))
-    told = types.groupBy(*ends).agg(F.sum("n").alias("n"), F.sum(square).alias("of_types"), F.sum("both").alias("both"), F.sort_array(F.collect_list(F.struct("relation_type", F.col("n").alias("n"), "n_docs"))).alias("types"))
+    cells = dealt.groupBy(*share, "relation_type", "doc_id").agg(F.count("*").alias("n"))
+    types = cells.groupBy(*share, "relation_type").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"), F.sum(square).alias("both")).drop("_share")
+    docs = dealt.groupBy(*share, "doc_id").agg(F.count("*").alias("n")).groupBy(*share).agg(F.sum(square).alias("of_docs"), F.count("*").alias("documents")).drop("_share")
+    met = types.unionByName(docs, allowMissingColumns=True).repartition(tasks, *ends)  # the sums over documents have no type
+    sums = met.groupBy(*ends, "relation_type").agg(*(F.sum(c).alias(c) for c in ("n", "n_docs", "both", "of_docs", "documents")))
+    listed = F.collect_list(F.when(F.col("relation_type").isNotNull(), F.struct("relation_type", "n", "n_docs")))
+    whole = sums.groupBy(*ends).agg(F.sum("n").alias("n"), F.sum(square).alias("of_types"), F.sum("both").alias("both"), F.sum("of_docs").alias("of_docs"), F.sum("documents").alias("documents"), F.sort_array(listed).alias("types"))
     pairs = ((square - F.col("of_docs") - F.col("of_types") + F.col("both")) / 2).cast("long")
-    return told.join(docs, ends).select(*ends, pairs.alias("n_pairs"), F.col("n").alias("relations"), "documents", "types").where("n_pairs > 0")
+    return whole.select(*ends, pairs.alias("n_pairs"), F.col("n").alias("relations"), "documents", "types").where("n_pairs > 0")
 
 
 def near_names(names: DataFrame, *, least: float) -> DataFrame:

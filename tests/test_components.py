@@ -182,3 +182,14 @@ def test_vectors_without_groups_are_found_too(spark, tmp_path):
     asked = df.where("id % 50 = 0").selectExpr("string(id) AS query_id", "v AS vector")
     assert recall(kept, asked, top=10) >= 0.9 > recall(kept, asked, top=10, probes=PROBES)
     assert VectorIndex(spark, str(tmp_path / "flat")).model.probes == kept.model.probes > PROBES
+
+
+def test_contradiction_groups_deal_relations_by_their_number(spark):
+    rows = [(s, t, f"t{(s + i) % 3}", f"d{i % 4}") for s in range(10) for t in range(3) for i in range(7)] + [(0, 0, None, "d0"), (0, 0, "t0", None), (None, 1, "t0", "d0"), (None, 1, "t1", "d1")]
+    relations = spark.createDataFrame(rows, "source_id long, target_id long, relation_type string, doc_id string")
+    found = graph.contradiction_groups(relations, task_rows=20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [line.split("hashpartitioning")[1] for line in plan.split("\n") if "Exchange" in line]
+    assert dealt and all(", 11)" in line for line in dealt)  # of 210 relations without nulls, whatever the session's number of partitions
+    assert found.where("source_id IS NULL").isEmpty()
+    assert sorted(found.collect(), key=str) == sorted(graph.contradiction_groups(relations).collect(), key=str)
