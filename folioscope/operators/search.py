@@ -73,6 +73,16 @@ def index_tokens(text: Column) -> Column:
     return F.when(lower.rlike("[\\x{10000}-\\x{10FFFF}]"), F.flatten(cut)).otherwise(plain)
 
 
+def index_runs(text: Column) -> Column:
+    """The runs that index_tokens has its tokens from, in lower case: each is a token, or holds the pairs of run_pairs."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[一-鿿]+|[\\p{L}\\p{N}&&[^一-鿿]]+"), F.lit(0))
+
+
+def run_pairs(run: str) -> list[str]:
+    """The tokens of a run: its pairs if it is of two ideographs or more, else itself."""
+    return [run] if len(run) < 2 or not "一" <= run[0] <= "鿿" else [run[i : i + 2] for i in range(len(run) - 1)]
+
+
 def asked_tokens(text: str) -> list[str]:
     """Tokens of a question, by the same rules."""
     runs = re.findall(r"[一-鿿]+|(?:(?![一-鿿])[^\W_])+", text.lower())

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import partial
 from zlib import crc32
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import bigrams
-from folioscope.operators.search import index_tokens
+from folioscope.operators.search import index_runs, index_tokens, run_pairs
 from folioscope.session import written
 from folioscope.sources.segments import Segments
 
@@ -32,18 +33,34 @@ def bucket_of(token: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.crc32(token.cast("binary")), F.lit(buckets)).cast("int")
 
 
-def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts (key, tokens) as (key, dl, counts): the distinct tokens of each with how often it has them, sorted out for all texts of a batch at once."""
+def _counted(batches: Iterable[pa.RecordBatch], pieces: Callable[[str], list[str]] | None = None) -> Iterator[pa.RecordBatch]:
+    """Texts (key, tokens) as (key, dl, counts): the distinct tokens of each with how often it has them, sorted out for all texts of a batch at once.
+
+    With `pieces` the tokens of a text are the pieces of what is given: each distinct one of a batch is cut once, and how often a text has it is counted before.
+    """
     for batch in batches:
         key, tokens = batch.columns
         dl = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
         terms = tokens.flatten().dictionary_encode()
-        kinds = max(1, len(terms.dictionary))
+        names, kinds = terms.dictionary, max(1, len(terms.dictionary))
         # one number for each (text, term)
         seen, n = np.unique(np.repeat(np.arange(len(dl)), dl) * kinds + terms.indices.to_numpy().astype(np.int64), return_counts=True)
+        if pieces is not None:
+            cut = [pieces(x) for x in names.to_pylist()]
+            place: dict[str, int] = {}
+            ids = np.array([place.setdefault(p, len(place)) for ps in cut for p in ps], np.int64)
+            sizes = np.array([len(ps) for ps in cut], np.int64)
+            text, term = np.divmod(seen, kinds)
+            each = sizes[term] if len(sizes) else term
+            starts = np.repeat((np.cumsum(sizes) - sizes)[term] if len(sizes) else term, each)
+            at = starts + np.arange(len(starts)) - np.repeat(np.cumsum(each) - each, each)
+            dl = np.bincount(text, n * each, minlength=len(dl)).astype(np.int64)
+            names, kinds = pa.array(list(place), pa.string()), max(1, len(place))
+            seen, back = np.unique(np.repeat(text, each) * kinds + ids[at], return_inverse=True)
+            n = np.bincount(back, np.repeat(n, each), minlength=len(seen)).astype(np.int64)
         offsets = np.zeros(len(dl) + 1, np.int32)
         np.cumsum(np.bincount(seen // kinds, minlength=len(dl)), out=offsets[1:])
-        counts = pa.StructArray.from_arrays([terms.dictionary.take(pa.array(seen % kinds)), pa.array(n.astype(np.int64))], names=["term", "n"])
+        counts = pa.StructArray.from_arrays([names.take(pa.array(seen % kinds)), pa.array(n.astype(np.int64))], names=["term", "n"])
         yield pa.RecordBatch.from_arrays([key, pa.array(dl), pa.ListArray.from_arrays(pa.array(offsets), counts)], names=["key", "dl", "counts"])
 
 
@@ -75,9 +92,11 @@ class TextIndex:
         at = self.store.manifest()
         if batch in at.batches:
             return False
-        told = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), self.tokens(F.col(text)).alias("tokens"))
+        # pairs are many times their runs, so runs are sent and cut there
+        cut, pieces = (index_runs, run_pairs) if self.tokens is index_tokens else (self.tokens, None)
+        told = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), cut(F.col(text)).alias("tokens"))
         # terms are counted within the row of their text, once: all that follows reads the counts
-        rows = written(told.mapInArrow(_counted, "key string, dl long, counts array<struct<term:string,n:long>>"))
+        rows = written(told.mapInArrow(partial(_counted, pieces=pieces), "key string, dl long, counts array<struct<term:string,n:long>>"))
         keys = rows.select("key")
         if removed is not None:
             keys = keys.unionByName(removed.select(F.col(removed.columns[0]).cast("string").alias("key")))

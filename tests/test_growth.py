@@ -119,3 +119,20 @@ def test_windows_send_a_text_once(spark):
     found = retrieval.formula_windows(routes.loaded_blocks(Tables(spark, SMALL)))
     sent = next(line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Project" in line and " AS part#" in line)
     assert "plain#" not in sent.split("CASE WHEN")[0]
+
+
+def test_an_index_of_pairs_is_sent_runs(spark, tmp_path, monkeypatch):
+    from folioscope.operators import textindex
+
+    texts = [*RUNS, "一二一二 一二 a一二一", "二二二二二", "a a b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    sent = []
+    monkeypatch.setattr(textindex, "index_runs", lambda text, made=search.index_runs: sent.append(text) or made(text))
+    kept = TextIndex(spark, str(tmp_path / "index"))
+    kept.replace("load", rows, "id", "t")
+    assert len(sent) == 1
+    want = search.postings(rows.withColumn("id", F.col("id").cast("string")), "id", search.index_tokens(F.col("t")))
+    names = ["key", "token", "dl", "tf"]
+    assert sorted(map(tuple, kept.store.read("postings").select(*names).collect())) == sorted(map(tuple, want.select(*names).collect()))
+    lengths = {r["key"]: r["dl"] for r in kept.store.read("lengths").collect()}
+    assert lengths == {str(r["id"]): r["n"] for r in rows.select("id", F.size(search.index_tokens(F.col("t"))).alias("n")).collect()}
