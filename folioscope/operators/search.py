@@ -191,7 +191,7 @@ def dot(a: Column, b: Column) -> Column:
 def unit(v: Column) -> Column:
     """Vector of length 1; zero vectors stay."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return let(norm, lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double"))))
 
 
 def vector_top(vectors: DataFrame, key: str, vector: str, query: Sequence[float], *, top: int, cosine: bool = False) -> DataFrame:

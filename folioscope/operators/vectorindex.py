@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,10 @@ CELLS, PER_CELL, PART, CODES = 256, 40, 4, 256
 PROBES, RESCORED = 8, 20
 #: What the fit measures on its sample: share of the nearest so many that questions are to find, and questions asked. FITTED as probes: the cells found necessary.
 REACHED, NEAREST, ASKED, FITTED = 0.95, 10, 500, 0
+#: Where many questions are asked at once: vectors and questions of a block at most (about), and blocks of vectors at least.
+BLOCK_VECTORS, BLOCK_QUERIES, LEAST_PARTS = 1 << 17, 1 << 14, 8
+#: Pairs that are multiplied at a time and pairs that wait to be sorted, about, and by how much two ways to a product may differ.
+TILE, WAITING, NEAR = 1 << 21, 1 << 21, 1e-9
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -95,6 +101,10 @@ class Quantiser:
         rest = v - self.centroids[cell]
         return cell, np.stack([nearest(rest[:, PART * i : PART * (i + 1)], book) for i, book in enumerate(self.books)], 1).astype(np.uint8)
 
+    def decode(self, cell: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The vectors that cells and codes stand for."""
+        return self.centroids[cell] + np.concatenate([book[code[:, i]] for i, book in enumerate(self.books)], 1)
+
     def products(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Products of a query with the centroids, and with the codes: parts x CODES."""
         table = np.zeros((len(self.books), CODES))
@@ -186,47 +196,118 @@ class VectorIndex:
 
 
     def search_all(self, queries: DataFrame, *, top: int, probes: int | None = FITTED, rescored: int = RESCORED) -> DataFrame:
-        """(query_id, key, score) of the nearest vectors of each query (query_id, vector).
+        """(query_id, key, score) of the nearest vectors of each query (query_id, vector); queries with nulls or NaN find none.
 
-        Queries meet vectors by cell: a query is sent to the cells that it probes (all of them with probes None, exactly), and tasks score blocks of
-        vectors against all queries of their cell. Each task hands on its best of a query, so what is shuffled grows with queries, not with pairs.
+        Queries and vectors are dealt into blocks of a bounded size, and each block of queries meets each of vectors in a task, which scores them as
+        matrices, cell by cell for the queries that probe it (with probes None all by all, exactly), and hands on its best of a query. So pairs are never
+        rows: what is shuffled and sorted are the blocks and the best of each.
         """
         model = self.model
         if model is None or "vectors" not in self.store.manifest().schemas:
             return self.spark.createDataFrame([], "query_id string, key string, score double")
-        size, count = model.centroids.shape[1], len(model.centroids)
+        size = model.centroids.shape[1]
         probes = model.probes if probes == FITTED else probes
         wanted = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast("array<double>").alias("query")).where(F.size("query") == size)
-
-        def probed(column: pa.Array) -> pa.Array:
-            if not len(column):
-                return pa.array([], pa.list_(pa.int32()))
-            of_cell = np.stack(column.to_numpy(zero_copy_only=False)) @ model.centroids.T
-            return pa.array(list(np.argsort(-of_cell, axis=1, kind="stable")[:, : probes or count].astype(np.int32)), pa.list_(pa.int32()))
-
-        sent = wanted.select("query_id", unit(F.col("query")).alias("query"))
-        sent = sent.select("query_id", "query", F.explode(F.arrow_udf(probed, "array<int>")(F.col("query"))).alias("cell"))
-        met = self.store.read("vectors").join(sent, "cell")
-        exact = F.greatest(dot(F.col("vector"), F.col("query")), F.lit(0.0))
+        rows = self.store.read("vectors").select("key", "vector", *(() if probes is None else ("cell", "code")))
+        parts, groups = max(LEAST_PARTS, -(-rows.count() // BLOCK_VECTORS)), max(1, -(-wanted.count() // BLOCK_QUERIES))
+
+        def dealt(own: DataFrame, by: str, name: str, n: int, other: str, all_: int) -> DataFrame:
+            """Rows in one of n blocks, sent to all of the other side's."""
+            to = F.explode(F.sequence(F.lit(0), F.lit(all_ - 1))).alias(other)
+            # four partitions for each pair of blocks, so that few meet in one
+            return own.select("*", F.pmod(F.xxhash64(by), F.lit(n)).cast("int").alias(name), to).repartition(4 * parts * groups, "part", "group")
+
+        sent = dealt(wanted.select("query_id", unit(F.col("query")).alias("query")), "query_id", "group", groups, "part", parts).groupBy("part", "group")
+        held = dealt(rows, "key", "part", parts, "group", groups).groupBy("part", "group")
+        best = partial(best_of_blocks, model=model, top=top if probes is None else rescored * top, probes=probes)
+        scored = sent.cogroup(held).applyInArrow(best, "query_id string, key string, estimate double, score double")
         if probes is not None:
-            books = model.books
-
-            def products(cells: pa.Array, codes: pa.Array, asked: pa.Array) -> pa.Array:
-                if not len(codes):
-                    return pa.array([], pa.float64())
-                q = np.stack(asked.to_numpy(zero_copy_only=False))
-                taken = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(codes), len(books))
-                out = (q * model.centroids[cells.to_numpy()]).sum(1)
-                for i, book in enumerate(books):
-                    out += (q[:, PART * i : PART * (i + 1)] * book[taken[:, i]]).sum(1)
-                return pa.array(out)
-
-            near = met.withColumn("estimate", F.arrow_udf(products, "double")(F.col("cell"), F.col("code"), F.col("query")))
-            best = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "key")
-            met = near.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= rescored * top)
+            near = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "key")
+            scored = scored.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= rescored * top)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
-        scored = met.select("query_id", "key", exact.alias("score"))
-        return scored.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top).drop("_n")
+        return scored.select("query_id", "key", "score").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top).drop("_n")
+
+
+def _rows_of(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    """Lists of one size as the rows of a matrix; nulls become NaN."""
+    return pc.list_flatten(column).to_numpy().astype(float).reshape(-1, size)
+
+
+def best_of_blocks(asked: pa.Table, held: pa.Table, *, model: Quantiser, top: int, probes: int | None) -> pa.Table:
+    """(query_id, key, estimate, score): of a block of vectors the best `top` of each query of another, by estimates from the codes in the probed cells, or by scores with probes None."""
+    held = held.sort_by("key")  # so that places stand for keys
+    size = model.centroids.shape[1]
+    q, v = (_rows_of(t.column(name), size) for t, name in ((asked, "query"), (held, "vector")))
+    queries, places = np.arange(len(q), dtype=np.int32), np.arange(len(v), dtype=np.int32)
+    tile = max(128, TILE // max(1, len(q)))
+    if probes is None:
+        best = Best(q, v, top, least=0.0)
+        for at in range(0, len(v), tile):
+            best.offer(queries, places[at : at + tile])
+    else:
+        cell = held.column("cell").to_numpy()
+        code = np.frombuffer(b"".join(held.column("code").to_pylist()), np.uint8).reshape(len(v), len(model.books))
+        best = Best(q, model.decode(cell, code), top)
+        probed = np.zeros((len(q), len(model.centroids)), bool)
+        np.put_along_axis(probed, np.argsort(-(q @ model.centroids.T), axis=1, kind="stable")[:, :probes], True, axis=1)
+        order = np.argsort(cell, kind="stable").astype(np.int32)
+        for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(v) else ():
+            for at in range(0, len(own), tile):
+                best.offer(queries[probed[:, cell[own[0]]]], own[at : at + tile])
+    query, place, estimate = best.cut()
+    score = estimate if probes is None else np.maximum(products(q, query, v, place), 0.0)
+    columns = [asked.column("query_id").take(pa.array(query)), held.column("key").take(pa.array(place)), pa.array(estimate), pa.array(score)]
+    return pa.table(columns, names=["query_id", "key", "estimate", "score"])
+
+
+def products(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of the rows i of a with the rows j of b, summed in the order of the dimensions: equal rows have equal products, those of `dot`."""
+    out = np.zeros(len(i))
+    for x, y in zip(a.T, b.T, strict=True):
+        out += x[i] * y[j]
+    return out
+
+
+class Best:
+    """The best `top` vectors of each query, by product and then by place, of all that are offered. Matrix products, whose last digits depend on
+    what they are made with, only tell what can't be among the best; what may be is multiplied again. Products below `least` count as that."""
+
+    def __init__(self, q: np.ndarray, v: np.ndarray, top: int, *, least: float = -np.inf):
+        self.q, self.v, self.top, self.least = q, v, top, least
+        self.by_dimension = np.asfortranarray(q), np.asfortranarray(v)
+        self.floor = np.full(len(q), -np.inf)  # what a further vector has to reach
+        self.kept = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
+        self.more: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def offer(self, queries: np.ndarray, places: np.ndarray) -> None:
+        """Takes a few vectors for some of the queries, TILE pairs or so."""
+        scores = self.q[queries] @ self.v[places].T
+        if self.least > -np.inf:
+            np.maximum(scores, self.least, out=scores)
+        floor = self.floor[queries]
+        if len(places) > self.top and np.isneginf(floor).any():
+            floor = np.maximum(floor, np.partition(scores, len(places) - self.top, axis=1)[:, len(places) - self.top] - NEAR)
+        i, j = np.nonzero(scores >= floor[:, None])
+        self.more.append((queries[i], places[j]))
+        self.waiting += len(i)
+        if self.waiting > WAITING:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place, product) of the best so far."""
+        if self.more:
+            i, j = (np.concatenate(x) for x in zip(*self.more, strict=True))
+            score = np.maximum(products(self.by_dimension[0], i, self.by_dimension[1], j), self.least)
+            query, place, score = (np.concatenate(x) for x in zip(self.kept, (i, j, score), strict=True))
+            order = np.lexsort((place, -score, query))
+            query, place, score = query[order], place[order], score[order]
+            rank = np.arange(len(query)) - np.searchsorted(query, query)
+            self.kept = tuple(x[rank < self.top] for x in (query, place, score))
+            last = rank == self.top - 1
+            self.floor[query[last]] = score[last] - NEAR
+            self.more, self.waiting = [], 0
+        return self.kept
 
 
 def estimate(cell: Column, code: Column, of_cell: np.ndarray, table: np.ndarray) -> Column:

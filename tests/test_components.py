@@ -193,3 +193,40 @@ def test_contradiction_groups_deal_relations_by_their_number(spark):
     assert dealt and all(", 11)" in line for line in dealt)  # of 210 relations without nulls, whatever the session's number of partitions
     assert found.where("source_id IS NULL").isEmpty()
     assert sorted(found.collect(), key=str) == sorted(graph.contradiction_groups(relations).collect(), key=str)
+
+
+def test_many_questions_make_no_rows_of_pairs(spark, index, monkeypatch):
+    from folioscope.operators import vectorindex
+
+    kept, x = index
+    asked = spark.createDataFrame([(str(i), (x[i] + 0.1).tolist()) for i in range(0, 3000, 50)], "query_id string, vector array<double>")
+    for probes in (None, 5):
+        usual = kept.search_all(asked, top=10, probes=probes)
+        plan = usual._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "FlatMapCoGroups" in plan  # vectors and questions meet in blocks, not row by row
+        told = sorted(map(tuple, usual.collect()))
+        with monkeypatch.context() as small:
+            for name, value in {"BLOCK_VECTORS": 301, "BLOCK_QUERIES": 7, "TILE": 900, "WAITING": 50}.items():
+                small.setattr(vectorindex, name, value)
+            assert sorted(map(tuple, kept.search_all(asked, top=10, probes=probes).collect())) == told  # to the last digit
+        for i in (0, 1500):
+            alone = kept.search((x[i] + 0.1).tolist(), top=10, probes=probes).collect()
+            assert [(k, round(s, 9)) for q, k, s in sorted(told, key=lambda r: (-r[2], r[1])) if q == str(i)] == [(r["key"], round(r["score"], 9)) for r in alone]
+
+
+def test_blocks_with_copies_and_odd_questions(spark, tmp_path):
+    x = vectors(90, 8)
+    x[30:60] = x[0]  # copies, of which the first by key are the nearest
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    kept = VectorIndex(spark, str(tmp_path / "v"))
+    kept.fit(df, "id", "v")
+    kept.replace("load", df, "id", "v")
+    odd = [("same", x[0].tolist()), ("away", (-x[0]).tolist()), ("zero", [0.0] * 8), ("nan", [float("nan")] * 8), ("null", [1.0] * 7 + [None]), ("short", [1.0]), ("none", None)]
+    asked = spark.createDataFrame(odd, "query_id string, vector array<double>")
+    got = {}
+    for r in kept.search_all(asked, top=12, probes=None).orderBy(F.desc("score"), "key").collect():
+        got.setdefault(r["query_id"], []).append((r["key"], round(r["score"], 9)))
+    assert got == {name: exact(x, np.array(v), 12) for name, v in odd[:3]}
+    found = kept.search_all(asked.where("query_id = 'same'"), top=12).orderBy(F.desc("score"), "key").collect()
+    assert [(r["key"], round(r["score"], 9)) for r in found] == got["same"]
+    assert kept.search_all(asked.limit(0), top=3).isEmpty()
