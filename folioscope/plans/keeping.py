@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import upper_letters
 from folioscope.operators.upkeep import ChunkIndexes
-from folioscope.plans.ranking import LETTERS, bm25_sql
+from folioscope.plans.ranking import LETTERS, best_texts, bm25_sql
 from folioscope.plans.registry import Tables, query
 from folioscope.session import work_dir
 from folioscope.sources.segments import Segments, nested
@@ -51,5 +51,4 @@ def index_upkeep(t: Tables) -> DataFrame:
     second = first.where("lang IS NULL OR lang <> 'de'").withColumn("text", F.when(F.col("lang") == "fr", F.concat_ws(" ", "text", F.lit("gnu nation"), "chunk_id")).otherwise(F.col("text")))
     indexes.apply("first", first)
     indexes.apply("second", second)
-    found = indexes.text.search(["reaux", "étion", "gnu", "nation"])
-    return found.select(F.col("key").cast("long").alias("key"), F.round("score", 6).alias("score"))
+    return best_texts(indexes.text.bm25(["reaux", "étion", "gnu", "nation"]))

@@ -34,6 +34,12 @@ WORDS = "regexp_extract_all(lower(text), '[一-鿿]|[a-z]+|[0-9]+')"
 LETTERS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 
+def best_texts(found: DataFrame, top: int = 20) -> DataFrame:
+    """The best of (key, score) in the order of the SQL: by scores as they are returned, so that copies are equal in whatever order their parts were
+    summed, and then by the numbers that the index has as text."""
+    return found.select(F.col("key").cast("long").alias("key"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "key").limit(top)
+
+
 def document_index(t: Tables) -> TextIndex:
     return kept_index(t, "documents", lambda: t.documents, "doc_id", "text")
 
@@ -42,15 +48,13 @@ def document_index(t: Tables) -> TextIndex:
 def bm25_paragraph(t: Tables) -> DataFrame:
     """Of a kept index of ideographs, words and numbers; a word that is asked for twice counts twice."""
     index = kept_index(t, "paragraphs", lambda: t.documents, "doc_id", "text", tokens=word_tokens)
-    found = index.bm25(search.paragraph_tokens("licensed under the Apache the"), k1=1.5).orderBy(F.desc("score"), F.col("key").cast("long")).limit(5)
-    return found.select(F.col("key").cast("long").alias("key"), F.round("score", 6).alias("score"))
+    return best_texts(index.bm25(search.paragraph_tokens("licensed under the Apache the"), k1=1.5), 5)
 
 
 @query("fts_search", bm25_sql(LETTERS, ["reaux", "étion", "gnu"], 1.2, 20))
 def fts_search(t: Tables) -> DataFrame:
     """Of the kept index, the buckets of three tokens."""
-    found = document_index(t).search(["reaux", "étion", "gnu"])
-    return found.select(F.col("key").cast("long").alias("key"), F.round("score", 6).alias("score"))
+    return best_texts(document_index(t).bm25(["reaux", "étion", "gnu"]))
 
 
 #: Letters as ideographs, so that words become runs of them and their pairs tokens.
@@ -67,7 +71,7 @@ def cjk_search(t: Tables) -> DataFrame:
     """Full-text search over pairs of ideographs: the documents with their letters written as such."""
     texts = t.documents.select("doc_id", F.translate(F.lower("text"), LATIN, IDEOGRAPHS).alias("text"))
     index = kept_index(t, "ideographs", lambda: texts, "doc_id", "text")
-    return index.search(search.asked_tokens(CJK_TERMS)).select(F.col("key").cast("long").alias("key"), F.round("score", 6).alias("score"))
+    return best_texts(index.bm25(search.asked_tokens(CJK_TERMS)))
 
 
 REBUILT_SQL = "FROM (SELECT doc_id, CASE WHEN lang = 'fr' THEN text || ' gnu nation ' || doc_id ELSE text END AS text FROM documents WHERE lang IS DISTINCT FROM 'de'))"
@@ -80,7 +84,7 @@ def fts_rebuild(t: Tables) -> DataFrame:
     index.replace("load", t.documents, "doc_id", "text")
     changed = t.documents.where("lang = 'fr'").select("doc_id", F.concat_ws(" ", "text", F.lit("gnu nation"), "doc_id").alias("text"))
     index.replace("change", changed, "doc_id", "text", removed=t.documents.where("lang = 'de'").select("doc_id"))
-    return index.search(["reaux", "étion", "gnu", "nation"]).select(F.col("key").cast("long").alias("key"), F.round("score", 6).alias("score"))
+    return best_texts(index.bm25(["reaux", "étion", "gnu", "nation"]))
 
 
 @query(

@@ -41,3 +41,27 @@ def test_routes_score_all_documents(spark, tmp_path):
     clauses = {r["item_id"]: r["score"] for r in retrieval.clause(routes.blocks(tables), question, top=routes.TOP).collect()}
     near = sorted((c, key) for key, c, _ in lines(docs) if c == "3.2.1" or c.startswith("3.2.1.") or "3.2.1".startswith(c + "."))[:20]
     assert clauses == {key: 14.0 if c == "3.2.1" else 12.0 for c, key in near}
+
+
+def test_copies_are_in_the_order_of_the_sql(spark, tmp_path):
+    """More copies than are asked for: the smallest numbers of them are found, not the first as text, however their parts were summed."""
+    import duckdb
+
+    from folioscope import catalog
+
+    same = "gnu réaux reaux étion licensed under the apache nation"
+    docs = [(i, same, "en") for i in (7, 8, 9, 10, 11, *range(95, 130))] + [(1000 + i, f"other words {i}", "fr" if i % 2 else "de") for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("fts_search", "bm25_paragraph", "cjk_search", "fts_rebuild", "index_upkeep"):
+        want = duck.execute(catalog.ORACLE_SQL[name]).fetchall()
+        assert [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).select("key", "score").collect()] == want, name
+        assert want[:4] == [(i, want[0][1]) for i in (7, 8, 9, 10)], name
+
+
+def test_scores_that_are_returned_alike_are_ties(spark):
+    from folioscope.plans.ranking import best_texts
+
+    found = spark.createDataFrame([("10", 1.0000002), ("9", 1.0000001), ("8", 0.9999999), ("7", 0.5), ("100", 2.0)], "key string, score double")
+    assert [tuple(r) for r in best_texts(found, 4).collect()] == [(100, 2.0), (8, 1.0), (9, 1.0), (10, 1.0)]
